@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, small, staged, without
+from .common import WORD, scratch, small, staged, table, without
 
 #: Hexadecimal digits of the key that each refinement resolves, and how often.
 DIGITS, LEVELS = 3, 3
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir)
     return assign(measure(docs)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

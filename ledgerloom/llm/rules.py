@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, without
+from .common import WORD, table, without
 
 #: White space, for translate().
 BLANK = " \t\n\x0b\f\r"
@@ -124,7 +124,7 @@ def ablations(book: DataFrame, policies: dict[str, Policy] | None = None, rules:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir).select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
