@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, rules, substrings, token_files
+from . import bpe, minhash, mixing, rules, substrings, token_files
 
 QUERIES = {
     "op3_source_mix": mixing.op3,
+    "op5_near_duplicates": minhash.op5,
     "op6_token_files": token_files.op6,
     "op7_repeated_passages": substrings.op7,
     "op8_bpe_round_trip": bpe.op8,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 SQL = {
     "op3_source_mix": mixing.OP3_SQL,
+    "op5_near_duplicates": minhash.OP5_SQL,
     "op7_repeated_passages": substrings.OP7_SQL,
     "op10_quality_ledger": rules.OP10_SQL,
 }
