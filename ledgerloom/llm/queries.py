@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, rules, substrings, token_files
+from . import bpe, langid, minhash, mixing, rules, substrings, token_files, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2,
     "op3_source_mix": mixing.op3,
     "op5_near_duplicates": minhash.op5,
     "op6_token_files": token_files.op6,
     "op7_repeated_passages": substrings.op7,
     "op8_bpe_round_trip": bpe.op8,
+    "op9_language": langid.op9,
     "op10_quality_ledger": rules.op10,
 }
 SQL = {
