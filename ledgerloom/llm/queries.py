@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, rules, substrings, token_files, toxicity
+from . import bpe, ctw, langid, minhash, mixing, rules, substrings, token_files, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
     "op3_source_mix": mixing.op3,
+    "op4_context_tree": ctw.op4,
     "op5_near_duplicates": minhash.op5,
     "op6_token_files": token_files.op6,
     "op7_repeated_passages": substrings.op7,
