@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .common import col, slices, table, without
 
@@ -213,7 +213,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str | None = None) -> DataFrame:
     """docs with their ids as array<int> (a column of that name is replaced); null and empty texts give an empty array."""
     src = without(docs, out_col)
-    schema = StructType([*src.schema.fields]).add(out_col, "array<int>")
+    schema = StructType([*src.schema.fields]).add(out_col, ArrayType(IntegerType()))
 
     def run(batches):
         c = codec(path)
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids",
 def decode(docs: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
     """docs with the text of their ids (a column of that name is replaced); null ids give an empty text."""
     src = without(docs, out_col)
-    schema = StructType([*src.schema.fields]).add(out_col, "string")
+    schema = StructType([*src.schema.fields]).add(out_col, StringType())
 
     def run(batches):
         c = codec(path)

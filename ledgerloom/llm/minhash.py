@@ -298,6 +298,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_.drop("th", "sig").join(of, ["r", "f2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose document near_duplicates() keeps, one for each id; rows without id stay.
+
+    Only ids move: those to drop, and those that repeat, are joined to the rows, broadcast if they are few.
+    """
+    found = staged(near_duplicates(docs, id_col, text_col, shingle, percent).select(F.col("doc_id").alias(id_col), "kept"), "minhash-kept")
+    drop = small(staged(found.filter("not kept").select(id_col).distinct(), "minhash-drop"))
+    left = docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    again = staged(found.filter(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col), "minhash-again")
+    if again.isEmpty():
+        return left
+    again = small(again)
+    one = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(again, id_col, "left_anti").unionByName(one.select(*docs.columns))
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir), shingle=3, percent=85)
 
