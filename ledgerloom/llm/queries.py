@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, langid, minhash, mixing, rules, substrings, token_files, toxicity
+from . import bpe, chroma, ctw, langid, minhash, mixing, rules, substrings, token_files, toxicity
 
 QUERIES = {
+    "op1_chroma_alignment": chroma.op1,
     "op2_toxicity": toxicity.op2,
     "op3_source_mix": mixing.op3,
     "op4_context_tree": ctw.op4,
