@@ -49,8 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, and whether decoding them gives the text again."""
     common.ship(spark)
-    out = bpe.decode(bpe.encode(docs, out_col="token_ids"), out_col="__decoded")
-    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "exact")
 
 
 STAGES = [("toxicity", reject_toxic), ("near copies", drop_near_copies), ("repeated passages", cut_passages), ("source mix", mix_sources), ("BPE", encode)]

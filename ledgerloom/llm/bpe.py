@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from .common import col, slices, table, without
+from .common import col, raw, slices, table, without
 
 #: Characters above which a unit, and then a piece, counts as long; leaves are at most as long.
 LEAF = 1024
@@ -234,8 +234,27 @@ def decode(docs: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded"
     def run(batches):
         c = codec(path)
         for b in batches:
-            text = [c.decode(np.asarray(x or [], np.uint32).tobytes()).decode() for x in col(b, ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
+            for a in range(0, b.num_rows, 64):
+                part = b.slice(a, 64)
+                text = [c.decode(x.values.to_numpy(zero_copy_only=False).astype(np.uint32).tobytes()).decode() if x.is_valid else "" for x in col(part, ids_col)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
+
+    return src.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", exact_col: str = "exact", path: str | None = None) -> DataFrame:
+    """encode(), and whether decoding the ids gives the text again (null counts as empty), in one pass over the texts."""
+    src = without(docs, out_col, exact_col)
+    schema = StructType([*src.schema.fields]).add(out_col, ArrayType(IntegerType())).add(exact_col, BooleanType())
+
+    def run(batches):
+        c = codec(path)
+        for b in slices(batches, text_col, 1 << 20):
+            parts = c.encode_batch(col(b, text_col).to_pylist())
+            same = [c.decode(p) == t for p, t in zip(parts, raw(col(b, text_col)))]
+            ends = np.cumsum([0] + [len(p) // 4 for p in parts]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(same)], [*b.schema.names, out_col, exact_col])
 
     return src.mapInArrow(run, schema)
 
