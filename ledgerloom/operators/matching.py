@@ -60,21 +60,30 @@ def exact_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     plain = ref.join(one, keys).select(*keys, F.col("seq").alias("ref_seq")).join(offer.select(*keys, F.col("seq").alias("of_seq")), keys)
     plain = plain.select("ref_seq", "of_seq", F.lit("exact").alias("layer"), F.lit(1.0).alias("score"))
     many = n.filter("nr > 1 or no > 1").select(keys)
-    cols = ["section", "code", "seq", "unit", "qty"]
-
-    def take(r: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        r, out = r.sort_values(["qty", "seq"]), []
-        units = set(r["unit"])
-        pool = sorted(o[["seq", "unit", "qty"]].itertuples(index=False), key=lambda x: (x.unit not in units, x.qty, x.seq))
-        for x in r.itertuples(index=False):
-            if not pool:
-                break
-            best = min(range(len(pool)), key=lambda i: (pool[i].unit != x.unit, abs(pool[i].qty - x.qty), i))
-            out.append((x.seq, pool.pop(best).seq, "exact", 1.0))
+    side = lambda rows, k: rows.join(many, keys).select(*keys, "seq", "unit", "qty", F.lit(k).alias("side"))
+    both = side(ref, 0).unionByName(side(offer, 1)).withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(_blocks(ref))))
+
+    def take(g: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[tuple, tuple[list, list]] = {}
+        for s, c, seq, unit, qty, k in zip(g["section"], g["code"], g["seq"], g["unit"], g["qty"], g["side"]):
+            groups.setdefault((s, c), ([], []))[k].append((qty, seq, unit))
+        out = []
+        for refs, pool in groups.values():
+            units = {u for _, _, u in refs}
+            pool.sort(key=lambda x: (x[2] not in units, x[0], x[1]))
+            for qty, seq, unit in sorted(refs):
+                if not pool:
+                    break
+                best = min(range(len(pool)), key=lambda i: (pool[i][2] != unit, abs(pool[i][0] - qty), i))
+                out.append((seq, pool.pop(best)[1], "exact", 1.0))
         return pd.DataFrame(out, columns=["ref_seq", "of_seq", "layer", "score"])
 
-    grouped = ref.join(many, keys).select(cols).groupBy(keys).cogroup(offer.join(many, keys).select(cols).groupBy(keys)).applyInPandas(take, PAIRS)
-    return plain.unionByName(grouped)
+    return plain.unionByName(both.groupBy("block").applyInPandas(take, PAIRS))
+
+
+def _blocks(df: DataFrame) -> int:
+    """How many groups Python functions get where keys are many and small: a few for each shuffle partition."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def normalized_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
@@ -93,13 +102,12 @@ def _greedy(candidates: DataFrame, layer: str) -> DataFrame:
     """From scored candidate pairs (block, ref_seq, of_seq, score): every reference row in order takes its best offer row that is left."""
 
     def take(g: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for r, c in g.sort_values(["ref_seq", "score", "of_seq"], ascending=[True, False, True]).groupby("ref_seq", sort=True):
-            for o, s in zip(c["of_seq"], c["score"]):
-                if o not in used:
-                    used.add(o)
-                    out.append((r, o, layer, float(s)))
-                    break
+        used, done, out = set(), set(), []
+        for r, s, o in sorted(zip(g["ref_seq"], -g["score"], g["of_seq"])):
+            if r not in done and o not in used:
+                done.add(r)
+                used.add(o)
+                out.append((r, o, layer, -s))
         return pd.DataFrame(out, columns=["ref_seq", "of_seq", "layer", "score"])
 
     return candidates.groupBy("block").applyInPandas(take, PAIRS)
@@ -142,14 +150,17 @@ def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, le
 
 def _best_first(least_text: float):
     def take(g: pd.DataFrame) -> pd.DataFrame:
+        rows: dict[int, list] = {}
+        for r, o, s, t in zip(g["r_seq"], g["o_seq"], g["score"], g["t"]):
+            rows.setdefault(r, []).append((-s, o, t))
         used, out = set(), []
-        for r, c in g.sort_values(["r_seq", "o_seq"]).groupby("r_seq", sort=True):
-            c = c[~c["o_seq"].isin(used)]
-            if len(c):
-                b = c.loc[c["score"].idxmax()]
-                if b["t"] >= least_text:
-                    used.add(b["o_seq"])
-                    out.append((r, b["o_seq"], "similar", float(b["score"])))
+        for r in sorted(rows):
+            left = [x for x in rows[r] if x[1] not in used]
+            if left:
+                s, o, t = min(left)
+                if t >= least_text:
+                    used.add(o)
+                    out.append((r, o, "similar", -s))
         return pd.DataFrame(out, columns=["ref_seq", "of_seq", "layer", "score"])
 
     return take

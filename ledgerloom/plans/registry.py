@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import queries as q
+
 
 def flagship(spark, sf_dir):
-    return queries()["reconcile_flagship"](spark, sf_dir)
+    return q.reconcile_flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(q.ORACLES)
