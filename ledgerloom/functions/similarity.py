@@ -50,6 +50,23 @@ def code_ratio_of(a: str | None, b: str | None) -> float:
     return ratio(x, y) if x and y else 0.0
 
 
+def shared_characters(a: str, b: str) -> int:
+    return sum(min(a.count(c), b.count(c)) for c in set(a))
+
+
+def code_ratio_from(least: float):
+    """code_ratio() where it reaches `least`, else 0: characters in common bound it and are counted first."""
+
+    def ratio_from(a: str | None, b: str | None) -> float:
+        x, y = ("".join(ch for ch in (s or "").upper() if ch not in "#$@ ") for s in (a, b))
+        if not x or not y or 2 * shared_characters(x, y) < least * (len(x) + len(y)):
+            return 0.0
+        r = ratio(x, y)
+        return r if r >= least else 0.0
+
+    return _udf(ratio_from)
+
+
 def text_ratio_of(a: str | None, b: str | None) -> float:
     return ratio((a or "").lower(), (b or "").lower())
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import clean_code, normalize_code, section_key, text
-from ..functions.similarity import code_ratio, description_ratio, token_score
+from ..functions.similarity import code_ratio_from, description_ratio, token_score
 from ..functions.texts import extra_description
 from ..functions.units import compare_unit
 from ..session import ship
@@ -142,7 +142,7 @@ def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, le
     """
     c = _sides(ref, offer, ["section"])
     la, lb = F.length("r_code"), F.length("o_code")
-    c = c.filter(2 * F.least(la, lb) >= least_code * (la + lb)).withColumn("cr", code_ratio("r_code", "o_code")).filter(F.col("cr") >= least_code)
+    c = c.filter(2 * F.least(la, lb) >= least_code * (la + lb)).withColumn("cr", code_ratio_from(least_code)("r_code", "o_code")).filter(F.col("cr") >= least_code)
     c = c.withColumn("t", token_score("r_denumire", "o_denumire")).withColumn("score", 0.6 * F.col("cr") + 0.4 * F.col("t"))
     best = c.groupBy("section").applyInPandas(_best_first(least_text), PAIRS)
     return best
@@ -280,5 +280,5 @@ def code_similarity_candidates(ref: DataFrame, offer: DataFrame, least: float =
     """ref rows with any offer row of their section whose code ratio reaches `least`: what a provider is asked about."""
     c = _sides(ref, offer, ["section"])
     la, lb = F.length("r_code"), F.length("o_code")
-    c = c.filter(2 * F.least(la, lb) >= least * (la + lb)).filter(code_ratio("r_code", "o_code") >= least)
+    c = c.filter(2 * F.least(la, lb) >= least * (la + lb)).filter(code_ratio_from(least)("r_code", "o_code") >= least)
     return ref.join(c.select(F.col("r_seq").alias("seq")).distinct(), "seq", "left_semi")

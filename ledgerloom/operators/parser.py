@@ -311,15 +311,14 @@ def parse_lines(lines: list[str]) -> list[dict]:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Items of lines (doc_id, deviz, deviz_denumire, page_number, line_no, content), one group a document and section."""
+    """Items of lines (doc_id, deviz, deviz_denumire, page_number, line_no, content), one group a document and section; seq counts within it."""
     ship(lines.sparkSession)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["page_number", "line_no"])
         rows = parse_lines(g["content"].fillna("").tolist())
-        start = int(g["page_number"].iloc[0]) * 1_000_000
         head = {"doc_id": str(g["doc_id"].iloc[0]), "deviz": g["deviz"].iloc[0], "deviz_denumire": g["deviz_denumire"].iloc[0]}
         names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
-        return pd.DataFrame([head | r | {"seq": start + i} for i, r in enumerate(rows)], columns=names)
+        return pd.DataFrame([head | r | {"seq": i} for i, r in enumerate(rows)], columns=names)
 
     return lines.groupBy("doc_id", "deviz").applyInPandas(run, COLUMNS)
