@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +59,9 @@ class Codec:
 
     def __init__(self, path: str | None = None):
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
 
         path = path or default_path()
         self.path = path
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_padding()
-        self.lib.no_truncation()
         spec = json.loads(open(path, encoding="utf-8").read())
         vocab, byte = spec["model"]["vocab"], _byte_of()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -83,12 +80,30 @@ class Codec:
             self.bytes_of[i] = b
         for s, i in special.items():
             self.bytes_of[i] = s.encode()
-        self.raw = Tokenizer.from_file(path)
-        self.raw.no_padding()
-        self.raw.no_truncation()
-        self.raw.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.joins = 0
 
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.no_padding()
+        t.no_truncation()
+        return t
+
+    @cached_property
+    def lib(self):
+        """The library's tokenizer; most texts never need it."""
+        return self._library()
+
+    @cached_property
+    def raw(self):
+        """The same without splitting."""
+        from tokenizers import pre_tokenizers
+
+        t = self._library()
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return t
+
     def _piece(self, s: str) -> list[int]:
         """BPE of a string of the vocabulary's characters."""
         return [t.id for t in self.raw.model.tokenize(s)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word, for the regular expressions of Spark and of DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one slice of a batch holds at most, unless a single document is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of a small side up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -104,6 +104,17 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system: workers stay for later tasks of any kind."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows that hold at most so many bytes of text, or one row."""
     import pyarrow.compute as pc
@@ -116,9 +127,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         for i, n in enumerate(size.tolist()):
             if i > start and total + n > most:
                 yield batch.slice(start, i - start)
+                release()
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+        release()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

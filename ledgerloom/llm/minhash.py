@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64, raw, slices, small, staged, starts_of, table, word_hashes
+from .common import col, mix64, raw, release, slices, small, staged, starts_of, table, word_hashes
 from .substrings import _pair, fold
 
 #: Coordinates of a signature, and how many standard deviations below its mean the match threshold lies.
@@ -158,6 +158,7 @@ def grouped(batches, keys: list[str]):
             last = now
     if held:
         yield last, pa.Table.from_batches(held)
+    release()
 
 
 def blocks(members: DataFrame, weight: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, small, staged, table, without
+from .common import WORD, small, staged, table, without
 
 #: Hexadecimal digits of the key that each refinement resolves, and how often.
 DIGITS, LEVELS = 3, 3

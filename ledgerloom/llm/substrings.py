@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import col, mix64, raw, slices, staged, starts_of, table, without, word_hashes
+from .common import col, mix64, raw, release, slices, staged, starts_of, table, without, word_hashes
 
 #: Bytes of text in a chunk, unless one document is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Hashes that a bucket holds on average.
 BUCKET_HASHES = 2_000_000
 #: Bytes of answers up to which they are broadcast; beyond, the join shuffles.
@@ -183,6 +183,7 @@ def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int
             for b in batches:
                 cols = [col(b, x).to_pylist() for x in names]
                 for i, (c, blob) in enumerate(zip(col(b, "chunk").to_pylist(), col(b, "blob"))):
+                    release()
                     _, chunk = _walk(blob.as_py(), text_col, [*known, window], [x[i] or [] for x in cols], n_buckets)
                     _, u, bucket = chunk.ask(length)
                     if not len(u):
@@ -207,6 +208,7 @@ def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int
         for b in batches:
             cols = [col(b, x).to_pylist() for x in names]
             for i, blob in enumerate(col(b, "blob")):
+                release()
                 batch, chunk = _walk(blob.as_py(), text_col, levels, [x[i] or [] for x in cols], n_buckets)
                 gone = chunk.covered() if len(names) == len(levels) else np.zeros(chunk.n, bool)
                 lost, kept, removed = [], [], []
