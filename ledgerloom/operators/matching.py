@@ -15,7 +15,7 @@ from ..functions.codes import clean_code, normalize_code, section_key, text
 from ..functions.similarity import code_ratio_from, description_ratio, token_score
 from ..functions.texts import extra_description
 from ..functions.units import compare_unit
-from ..session import ship
+from ..session import ship, staged
 from .compare import dedup_discrepancies, diffs, lenient
 from .dedup import dedup_items
 
@@ -209,11 +209,11 @@ def with_sides(pairs: DataFrame, ref: DataFrame, offer: DataFrame) -> DataFrame:
     return pairs.join(side(ref, "ref_", "ref_seq"), "ref_seq").join(side(offer, "oferta_", "of_seq"), "of_seq")
 
 
-def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False, mode: str = "strict", fuzzy: bool = True, suppress: bool = True, persist=lambda df, name: df.cache()) -> tuple[DataFrame, DataFrame]:
+def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False, mode: str = "strict", fuzzy: bool = True, suppress: bool = True, persist=staged) -> tuple[DataFrame, DataFrame]:
     """Matches (ref_seq, of_seq, layer, score) and discrepancies of one offer against the reference, through all layers.
 
-    Both sides have FIELDS and `seq` as long. `persist` keeps a layer's result for the next (cache by default; pass a
-    function that writes a table where executors come and go).
+    Both sides have FIELDS and `seq` as long. `persist` keeps a layer's result for the next: a table in the shared folder,
+    so that plans stay small and lost executors cost no more than their tasks.
     """
     ship(ref_items.sparkSession)
     ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(offer_items, False), "offer")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,3 +33,15 @@ def ship(spark: SparkSession) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, else unchanged. It is counted, so pass what is cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the folder of spark.checkpoint.dir (a local one only where that is unset), and read: its plan ends there."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
