@@ -3,9 +3,9 @@
 A recording becomes frames of twelve pitch-class energies. Filters over rectangles of that image, summed through its
 integral image, compare neighbouring areas; sixteen answers of two bits pack into one integer a frame. Recordings that
 share integers vote for the offset between them; the offset with most votes is confirmed by the share of differing bits
-over the whole overlap. Recordings of one fingerprint are one class, and classes are what is aligned. A class posts the
-integers that are least within a run of frames, which two recordings share wherever a run of them is equal, so postings
-are a fraction of the frames and no frame is capped or sampled.
+over the whole overlap. Recordings of one fingerprint are one class, and classes are what is aligned. Every frame of every
+class votes. Classes are dealt into chunks, a chunk gets the queries' integers that it holds, and pairs with too few equal
+integers for VOTES at any offset end there; the others are counted offset by offset.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64, staged, table
-from .substrings import anchors, least_of
+from .common import col, staged, starts_of, table
 
 #: Samples of a frame and between frames, and the range of pitches in Hz.
 FRAME, HOP, LOW, HIGH = 1024, 256, 110.0, 2500.0
-#: Frames that a filter sees, frames of a run that posts its least integer, and the answer's outer thresholds.
-WIDTH, RUN, EDGE = 8, 6, 0.12
+#: Frames that a filter sees, and the answer's outer thresholds.
+WIDTH, EDGE = 8, 0.12
 #: Votes and overlapping frames an alignment needs, and the share of bits that may differ.
 VOTES, OVERLAP, MOST_ERROR = 2, 8, 0.25
+#: Frames of a chunk of recordings, and pairs of runs that are counted at once.
+CHUNK, BLOCK = 1 << 20, 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -142,13 +143,68 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable[[b
     return staged(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n int, fp binary, r long"), "chroma-fingerprints")
 
 
-def _terms(fp: np.ndarray) -> np.ndarray:
-    """Places whose integer is posted: the least of a run, where a value begins."""
-    v = mix64(fp.astype(np.uint64))
-    run = min(RUN, len(v))
-    ok = np.arange(len(v)) <= len(v) - run
-    at = anchors(v, run, least_of(v, run, ok))
-    return at[(at == 0) | (fp[at] != fp[at - 1])]
+def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one integer start, and their lengths."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(fp)), bool), fp[1:] != fp[:-1]]))
+    return at, np.diff(at, append=len(fp))
+
+
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal integers at every offset (place in b less place in a) from 1 - len(a) on.
+
+    Two runs of one integer add a trapezoid of votes, of which the bends are summed, so long runs cost no more than short ones.
+    """
+    (sa, la), (sb, lb) = _runs(a), _runs(b)
+    order = np.argsort(b[sb], kind="stable")
+    lo = np.searchsorted(b[sb[order]], a[sa])
+    n = np.searchsorted(b[sb[order]], a[sa], side="right") - lo
+    bends = np.zeros(len(a) + len(b) + 1, np.int64)
+    block = np.cumsum(n) // BLOCK
+    for some in np.split(np.arange(len(sa)), np.flatnonzero(np.diff(block)) + 1):
+        i, first = np.repeat(some, n[some]), starts_of(n[some])
+        j = order[np.arange(first[-1]) + np.repeat(lo[some] - first[:-1], n[some])]
+        at = sb[j] - sa[i] - la[i] + len(a)
+        for place, sign in ((at, 1), (at + la[i], -1), (at + lb[j], -1), (at + la[i] + lb[j], 1)):
+            bends += sign * np.bincount(place, minlength=len(bends))
+    return bends.cumsum().cumsum()[: len(a) + len(b) - 1]
+
+
+def _confirm(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
+    """Offset, votes, overlap and share of differing bits of an alignment that holds, or none."""
+    votes = offset_votes(a, b)
+    k = int(votes.argmax())
+    overlap, error = bit_errors(a, b, k + 1 - len(a))
+    return (k + 1 - len(a), int(votes[k]), overlap, error) if votes[k] >= VOTES and overlap >= OVERLAP and error <= MOST_ERROR else None
+
+
+def _post(batches):
+    """The distinct integers of recordings, with how often each stands there."""
+    for b in batches:
+        found = [np.unique(np.frombuffer(x, np.uint32), return_counts=True) for x in col(b, "fp").to_pylist()]
+        if found:
+            sizes = [len(v) for v, _ in found]
+            own = [pa.array(np.repeat(col(b, c).to_numpy(), sizes)) for c in ("r", "chunk")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for v, _ in found]).astype(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int32)), *own], ["value", "n", "r", "chunk"])
+
+
+def _meet(asked: pa.Table, there: pa.Table) -> pa.Table:
+    """Pairs of a query and a recording of the chunk whose equal integers can make VOTES at one offset."""
+    value, n, q = (asked[c].to_numpy() for c in ("value", "n", "q"))
+    order = np.argsort(value, kind="stable")
+    value, n, q = value[order], n[order], q[order]
+    qs, rs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r, x in zip(there["r"].to_pylist(), there["fp"].to_pylist()) if len(q) else ():
+        v, m = np.unique(np.frombuffer(x, np.uint32).astype(np.int64), return_counts=True)
+        lo = np.searchsorted(value, v)
+        k = np.searchsorted(value, v, side="right") - lo
+        first = starts_of(k)
+        at = np.arange(first[-1]) + np.repeat(lo - first[:-1], k)
+        who, place = np.unique(q[at], return_inverse=True)
+        most = np.bincount(place, np.minimum(n[at], np.repeat(m, k)), len(who))  # an integer votes no oftener at an offset
+        who = who[(most >= VOTES) & (who != r)]
+        qs.append(who)
+        rs.append(np.full(len(who), r))
+    return pa.table({"q": np.concatenate(qs), "r": np.concatenate(rs)})
 
 
 def align(prints: DataFrame, is_query) -> DataFrame:
@@ -161,28 +217,25 @@ def align(prints: DataFrame, is_query) -> DataFrame:
     """
     some = prints.filter("n > 0 and id is not null")
     reps = staged(some.groupBy("r").agg(F.min(F.struct("id", "fp")).alias("m"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("asks")).select("r", "copies", "asks", "m.*"), "chroma-classes")
+    frames = reps.agg(F.sum(F.length("fp").cast("long"))).first()[0] or 0
+    dealt = reps.select("r", "asks", "fp", F.pmod("r", F.lit(1 + frames // (4 * CHUNK))).alias("chunk"))
 
-    def post(batches):
-        for b in batches:
-            for r, asks, x in zip(col(b, "r").to_pylist(), col(b, "asks").to_pylist(), col(b, "fp").to_pylist()):
-                fp = np.frombuffer(x, np.uint32)
-                at = _terms(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at].astype(np.int64)), pa.array(np.full(len(at), r)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), asks, np.int32))], ["value", "r", "pos", "asks"])
-
-    posted = staged(reps.select("r", "asks", "fp").mapInArrow(post, "value long, r long, pos int, asks int"), "chroma-postings")
-    asked = posted.filter("asks = 1").select("value", F.col("r").alias("q"), F.col("pos").alias("qpos"))
-    votes = asked.join(posted, "value").filter("q != r").groupBy("q", "r", (F.col("pos") - F.col("qpos")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.filter(F.col("votes") >= VOTES).groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("q", "r", "b.votes", (-F.col("b.o")).cast("int").alias("offset"))
-    both = staged(best, "chroma-votes").join(reps.select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("fp").alias("qfp")), "q").join(reps.select("r", F.col("id").alias("match_id"), "fp"), "r")
+    post = lambda rows: rows.select("r", "chunk", "fp").mapInArrow(_post, "value long, n int, r long, chunk long")
+    asked = post(dealt.filter("asks = 1")).select("value", "n", F.col("r").alias("q"))
+    met = asked.join(post(dealt).select("value", "chunk").distinct(), "value")
+    near = met.groupBy("chunk").cogroup(dealt.select("chunk", "r", "fp").groupBy("chunk")).applyInArrow(_meet, "q long, r long")
+    both = staged(near, "chroma-pairs").join(reps.select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("fp").alias("qfp")), "q").join(reps.select("r", F.col("id").alias("match_id"), "fp"), "r")
 
     def confirm(batches):
         for b in batches:
-            found = [bit_errors(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), o) for x, y, o in zip(col(b, "qfp").to_pylist(), col(b, "fp").to_pylist(), col(b, "offset").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[col(b, c) for c in ("query_id", "match_id", "offset", "votes")], pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.float64())], ["query_id", "match_id", "offset", "votes", "overlap", "bit_error_rate"])
+            found = [_confirm(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(col(b, "qfp").to_pylist(), col(b, "fp").to_pylist())]
+            rows = b.filter(pa.array([x is not None for x in found], pa.bool_()))
+            offset, votes, overlap, error = zip(*[x for x in found if x]) if rows.num_rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([*[col(rows, c) for c in ("query_id", "match_id")], pa.array(offset, pa.int32()), pa.array(votes, pa.int64()), pa.array(overlap, pa.int32()), pa.array(error, pa.float64())], ["query_id", "match_id", "offset", "votes", "overlap", "bit_error_rate"])
 
     kind = prints.schema["id"].dataType.simpleString()
     pairs = both.mapInArrow(confirm, f"query_id {kind}, match_id {kind}, offset int, votes long, overlap int, bit_error_rate double")
-    pairs = pairs.filter((F.col("overlap") >= OVERLAP) & (F.col("bit_error_rate") <= MOST_ERROR)).select(F.lit("match").alias("kind"), "*")
+    pairs = pairs.select(F.lit("match").alias("kind"), "*")
     members = prints.select("id", "r", "n").join(reps.select("r", F.col("id").alias("match_id")), "r", "left")
     members = members.select(F.lit("member").alias("kind"), F.col("id").alias("query_id"), F.when(F.col("n") > 0, F.col("match_id")).alias("match_id"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("votes"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error_rate"))
     return pairs.unionByName(members)
