@@ -2,8 +2,8 @@
 
 A recording becomes frames of twelve pitch-class energies. Filters over rectangles of that image, summed through its
 integral image, compare neighbouring areas; sixteen answers of two bits pack into one integer a frame. Recordings that
-share integers vote for the offset between them; the offset with most votes is confirmed by the share of differing bits
-over the whole overlap. Recordings of one fingerprint are one class, and classes are what is aligned. Every frame of every
+share integers vote for the offset between them; offsets with votes enough are confirmed by the share of differing bits
+over the whole overlap, and the one with most votes of those that pass is taken. Recordings of one fingerprint are one class, and classes are what is aligned. Every frame of every
 class votes. Classes are dealt into chunks, a chunk gets the queries' integers that it holds, and pairs with too few equal
 integers for VOTES at any offset end there; the others are counted offset by offset.
 """
@@ -170,11 +170,14 @@ def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _confirm(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
-    """Offset, votes, overlap and share of differing bits of an alignment that holds, or none."""
+    """Offset, votes, overlap and share of differing bits of the best alignment that holds (most votes, then the least offset), or none."""
     votes = offset_votes(a, b)
-    k = int(votes.argmax())
-    overlap, error = bit_errors(a, b, k + 1 - len(a))
-    return (k + 1 - len(a), int(votes[k]), overlap, error) if votes[k] >= VOTES and overlap >= OVERLAP and error <= MOST_ERROR else None
+    at = np.flatnonzero(votes >= VOTES)
+    for k in at[np.argsort(-votes[at], kind="stable")].tolist():
+        overlap, error = bit_errors(a, b, k + 1 - len(a))
+        if overlap >= OVERLAP and error <= MOST_ERROR:
+            return k + 1 - len(a), int(votes[k]), overlap, error
+    return None
 
 
 def _post(batches):
@@ -210,8 +213,8 @@ def _meet(asked: pa.Table, there: pa.Table) -> pa.Table:
 def align(prints: DataFrame, is_query) -> DataFrame:
     """kind, query_id, match_id, offset, votes, overlap and bit_error_rate.
 
-    Rows of kind `match`: a class with a query in it and another class, at their best offset (most votes, then the
-    least), with VOTES votes, OVERLAP frames and at most MOST_ERROR of bits differing. Rows of kind `member`: every
+    Rows of kind `match`: a class with a query in it and another class, at the best (most votes, then the least) of all
+    offsets with VOTES votes, OVERLAP frames and at most MOST_ERROR of bits differing. Rows of kind `member`: every
     recording and its class (null without a fingerprint), with its frames as overlap. A class is named by its least id.
     Repeated rows are members once each.
     """

@@ -50,3 +50,17 @@ def test_offset_votes_of_runs(monkeypatch):
     for _ in range(60):
         a, b = (np.repeat(rng.integers(0, 3, n), rng.integers(1, 5, n)).astype(np.uint32) for n in rng.integers(1, 12, 2))
         assert dict(zip(range(1 - len(a), len(b)), chroma.offset_votes(a, b).tolist())) == votes_at(a, b)
+
+
+def test_refrain_at_a_second_offset(spark):
+    """A motif stands in the middle, with more votes but strange frames around it, and at the end, where the recordings overlap."""
+    rng = np.random.default_rng(13)
+    new = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    motif, tied = new(10), new(12)
+    a, b = np.concatenate([new(60), motif, new(60), motif]), np.concatenate([motif, new(60)])
+    longer = motif.copy()
+    longer[3] ^= np.uint32(1)
+    c, d = np.concatenate([new(60), tied, new(60), tied]), np.concatenate([tied, new(60)])
+    e, f = np.concatenate([new(60), motif[::-1], new(60), longer[::-1]]), np.concatenate([motif[::-1], new(60)])
+    got = links(spark, [a, c, e, b, d, f], 3)
+    assert got == {(0, 3): (-130, 10, 10, 0.0), (1, 4): (-132, 12, 12, 0.0), (2, 5): (-130, 9, 10, round(1 / 320, 9))}
