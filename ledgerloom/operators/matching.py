@@ -135,14 +135,19 @@ def cross_section_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     return ref.join(first, ["code", "qty", "unit"]).select(F.col("seq").alias("ref_seq"), "of_seq", F.lit("cross_section").alias("layer"), F.lit(1.0).alias("score"))
 
 
+def _lengths_reach(least: float) -> Column:
+    """Whether the lengths of r_code and o_code, as code_ratio_from() compares them, allow a ratio of `least`."""
+    la, lb = (F.length(F.translate(c, "#$@ ", "")) for c in ("r_code", "o_code"))
+    return 2 * F.least(la, lb) >= least * (la + lb)
+
+
 def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4) -> DataFrame:
     """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4.
 
     Lengths bound the ratio, so pairs whose lengths cannot reach it are dropped before any is scored.
     """
     c = _sides(ref, offer, ["section"])
-    la, lb = F.length("r_code"), F.length("o_code")
-    c = c.filter(2 * F.least(la, lb) >= least_code * (la + lb)).withColumn("cr", code_ratio_from(least_code)("r_code", "o_code")).filter(F.col("cr") >= least_code)
+    c = c.filter(_lengths_reach(least_code)).withColumn("cr", code_ratio_from(least_code)("r_code", "o_code")).filter(F.col("cr") >= least_code)
     c = c.withColumn("t", token_score("r_denumire", "o_denumire")).withColumn("score", 0.6 * F.col("cr") + 0.4 * F.col("t"))
     best = c.groupBy("section").applyInPandas(_best_first(least_text), PAIRS)
     return best
@@ -279,6 +284,5 @@ def final_discrepancies(every: DataFrame, scope: list[str] | None = None) -> Dat
 def code_similarity_candidates(ref: DataFrame, offer: DataFrame, least: float = 0.75) -> DataFrame:
     """ref rows with any offer row of their section whose code ratio reaches `least`: what a provider is asked about."""
     c = _sides(ref, offer, ["section"])
-    la, lb = F.length("r_code"), F.length("o_code")
-    c = c.filter(2 * F.least(la, lb) >= least * (la + lb)).filter(code_ratio_from(least)("r_code", "o_code") >= least)
+    c = c.filter(_lengths_reach(least)).filter(code_ratio_from(least)("r_code", "o_code") >= least)
     return ref.join(c.select(F.col("r_seq").alias("seq")).distinct(), "seq", "left_semi")
