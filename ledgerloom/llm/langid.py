@@ -20,8 +20,8 @@ from .common import col, mix64, raw, remainder, slices, starts_of, table, withou
 
 #: Slots of trigrams, weight of a slot's prior count, and languages that a model may have (each takes 256 KiB).
 SLOTS, PRIOR, MOST_LANGS = 1 << 16, 0.5, 1000
-#: Steps of expectation-maximisation over all languages and over each set, and the largest set tried.
-STEPS, SET_STEPS, MOST_SET = 8, 6, 4
+#: Steps of expectation-maximisation over all languages and over each set.
+STEPS, SET_STEPS = 8, 6
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,9 @@ def infer(model: Model, texts: list[bytes]) -> np.ndarray:
     pi, _ = _mixture(like, doc, start, n, np.full((len(full), len(model.langs)), 1 / len(model.langs)), STEPS)
     order = np.argsort(-pi, axis=1, kind="stable")
     best, best_value = None, None
-    for k in range(1, min(MOST_SET, len(model.langs)) + 1):
+    for k in range(1, len(model.langs) + 1):
+        if k > 1 and not (best_value < -0.5 * k * np.log(n + 1)).any():  # no log-likelihood is above zero
+            break
         allowed = np.zeros_like(pi)
         np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
         if k == 1:
