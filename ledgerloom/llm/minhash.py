@@ -36,7 +36,7 @@ XOR = _R.integers(0, 1 << 63, K, dtype=np.uint64)
 
 
 def threshold(similarity: float) -> int:
-    """Collisions that a pair of that similarity reaches but for a chance of about 1e-8."""
+    """Collisions that a pair of that similarity reaches but for a chance of about 1e-7 (binomial: 1.5e-7 at 0.85, 8e-8 at 0.8)."""
     return max(1, math.floor(K * similarity - SIGMAS * math.sqrt(K * similarity * (1 - similarity))))
 
 
