@@ -21,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops documents with a score of TOXIC or more, under a model of the labels of documents still here."""
     common.ship(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="__score").filter(F.col("__score") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, out_col="__score").filter(F.col("__score") < TOXIC).select(*common.quoted(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,20 +30,39 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.keep_one(docs)
 
 
+def _carried(docs: DataFrame, *used: str) -> DataFrame:
+    """docs as the columns that an operator reads and all others in one struct, so that none clashes with what it adds."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *[common.quoted([c])[0].alias(f"c{i}") for i, c in enumerate(rest)]).alias("__row"))
+
+
+def _restored(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of docs again, in their order; `new` gives those that are not as they were carried."""
+    place = {c: i for i, c in enumerate(c for c in docs.columns if c not in new)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"__row.c{place[c]}").alias(c) for c in docs.columns])
+
+
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more that stand elsewhere too; a document of nothing else goes, others keep the rest."""
+    """Cuts passages of 50 words or more that stand elsewhere too; a document of nothing else goes, others keep the rest.
+
+    n_chars, where there is such a column, follows the text.
+    """
     common.ship(spark)
-    cut = substrings.dedup(docs, window=50)
+    cut = substrings.dedup(_carried(docs, *[c for c in ("text", "n_chars") if c in docs.columns]), window=50)
+    cut = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    out = cut.filter(~changed | (F.col("n_removed") < F.col("n_words")))
-    return out.withColumn("n_chars", F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return _restored(cut, docs, **new)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or twice."""
     common.ship(spark)
-    return mixing.mix(docs).withColumn("__copy", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) END"))).select(*docs.columns)
+    mixed = mixing.mix(_carried(docs, "doc_id", "text", "source"))
+    taken = mixed.withColumn("__copy", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) END")))
+    return _restored(taken, docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
