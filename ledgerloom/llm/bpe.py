@@ -1,12 +1,16 @@
-"""BPE encoding and decoding with a public byte-level vocabulary, by tree concatenation where text does not split.
+"""BPE encoding and decoding with a public byte-level vocabulary, by tree concatenation.
 
 A text is cut where the pre-tokenizer is certain to cut: before the last character of a run of white space that more
 text follows. What is left holds no case for the pre-tokenizer's look-ahead, so a pattern without one, which needs no
-backtracking, splits it alike. Text between spaces that stays long is split by the library's own pre-tokenizer; a piece
-that even that leaves long is halved down to leaves, which the library encodes as one parallel batch, and neighbours are
-joined level by level: a window around the join, some tokens of either side, is encoded again and doubled until its
-first token is the left side's and its last the right side's. Every two neighbouring tokens are then as BPE would leave
-them, which makes the whole sequence what BPE gives for the whole piece.
+backtracking, splits it alike. A stretch of more than LEAF characters is halved, wherever that falls, down to leaves,
+which are encoded as one parallel batch, and neighbours are joined level by level: a window around the join is encoded
+again, pre-tokenizer included, and doubled until its first token is the left side's and its last the right side's. Its
+edges lie before a space that follows another character and leads a word, where every pre-tokenizer of this kind cuts
+whatever stands around, so what lies outside is as it is in the whole text.
+
+Text between spaces that stays long is split by the library's own pre-tokenizer, and a piece that even that leaves long
+is halved and joined in the same way without splitting, with windows that end between any two tokens: every two
+neighbouring tokens are then as BPE would leave them, which makes the sequence what BPE gives for the whole piece.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from .common import col, raw, slices, table, without
 
-#: Characters above which a unit, and then a piece, counts as long; leaves are at most as long.
+#: Characters of a leaf at most; what is longer is halved.
 LEAF = 1024
+#: Leaves from which a batch is worth threads.
+BATCH = 32
 #: Tokens of either side in the first window around a join.
 WINDOW = 4
 #: Below this character all Unicode versions agree on letters and digits, and the faster encoder is used.
-SETTLED = "\u0500"
 EXOTIC = re.compile("[\u0500-\U0010ffff]")
 #: White space as the pre-tokenizer's pattern has it (fixed values).
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,6 +79,8 @@ class Codec:
         order = [b for _, b in singles] + [bytes(byte[c] for c in m.replace(" ", "")) for m in merges]
         self.ids_of_rank = np.array([plain[b] for b in order], np.uint32)
         self.direct = bool((self.ids_of_rank == np.arange(len(order))).all())
+        self.names = order
+        self.lead = [len(b) > 1 and b[0] == 32 and b[1] > 32 and not 127 <= b[1] < 0xC3 for b in order]
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: r for r, b in enumerate(order)}, special_tokens={})
         self.bytes_of = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for b, i in plain.items():
@@ -119,17 +126,46 @@ class Codec:
                 return left[:i] + window + right[j:]
             k *= 2
 
-    def tree(self, piece: str) -> list[int]:
-        """The ids of a piece that the pre-tokenizer does not split."""
+    def _halves(self, text: str) -> list[str]:
         n = 1
-        while len(piece) / n > LEAF:
+        while len(text) / n > LEAF:
             n *= 2
-        cut = [len(piece) * i // n for i in range(n + 1)]
-        level = [e.ids for e in self.raw.encode_batch_fast([piece[a:b] for a, b in zip(cut, cut[1:])], add_special_tokens=False)]
+        cut = [len(text) * i // n for i in range(n + 1)]
+        return [text[a:b] for a, b in zip(cut, cut[1:])]
+
+    def tree(self, piece: str) -> list[int]:
+        """The ids of a piece that the pre-tokenizer does not split."""
+        level = [e.ids for e in self.raw.encode_batch_fast(self._halves(piece), add_special_tokens=False)]
         while len(level) > 1:
             level = [self.joined(level[i], level[i + 1]) for i in range(0, len(level), 2)]
         return level[0]
 
+    def _joined_words(self, left: list[int], right: list[int]) -> list[int]:
+        """The ranks of two neighbouring halves of one text as one sequence."""
+        k, name, lead = WINDOW, self.names, self.lead
+        while True:
+            i, j = max(0, len(left) - k), min(len(right), k)
+            while i and not lead[left[i]]:
+                i -= 1
+            while j < len(right) and not lead[right[j]]:
+                j += 1
+            window = self.fast.encode_ordinary(b"".join([name[r] for r in left[i:] + right[:j]]).decode())
+            self.joins += 1
+            if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
+                return left[:i] + window + right[j:]
+            k *= 2
+
+    def tree_words(self, text: str) -> list[int]:
+        """The ranks of a text without white space side by side but at its end."""
+        leaves = self._halves(text)
+        if len(leaves) >= BATCH:
+            level = self.fast.encode_ordinary_batch(leaves, num_threads=2)
+        else:
+            level = [self.fast.encode_ordinary(x) for x in leaves]
+        while len(level) > 1:
+            level = [self._joined_words(level[i], level[i + 1]) for i in range(0, len(level), 2)]
+        return level[0]
+
     def _unit(self, unit: str) -> bytes:
         """Text between two certain cuts that is long or has characters on which Unicode versions may differ."""
         if len(unit) <= LEAF:
@@ -140,7 +176,7 @@ class Codec:
         return array("I", ids).tobytes()
 
     def _easy(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text)
+        ids = self.tree_words(text) if len(text) > LEAF else self.fast.encode_ordinary(text)
         return array("I", ids).tobytes() if self.direct else self.ids_of_rank[ids].tobytes()
 
     def _plain(self, text: str) -> bytes:
@@ -202,11 +238,11 @@ def codec(path: str | None = None) -> Codec:
 
 
 def _digest_schema(dtype: str) -> str:
-    return f"doc_id {dtype}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return f"doc_id {dtype}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id (as doc_id), n_tokens, and the SHA-256 of the ids (little-endian, 32 bits) and of the text decoded from them.
+    """id (as doc_id), n_tokens, the SHA-256 of the ids (little-endian, 32 bits) and of the text decoded from them, and n_joins (windows encoded again).
 
     Null and empty texts have no ids. Rows stay where they are: no shuffle. Repeated rows give repeated results.
     """
@@ -214,12 +250,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches):
         c = codec(path)
         for b in slices(batches, "text"):
-            n, ids_hex, text_hex = [], [], []
-            for ids in c.encode_batch(col(b, "text").to_pylist()):
+            n, ids_hex, text_hex, joins = [], [], [], []
+            for text in col(b, "text").to_pylist():
+                before = c.joins
+                ids = c.encode(text)
                 n.append(len(ids) // 4)
+                joins.append(c.joins - before)
                 ids_hex.append(hashlib.sha256(ids).hexdigest())
                 text_hex.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), pa.array(joins, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, _digest_schema(src.schema["doc_id"].dataType.simpleString()))
