@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64, raw, release, slices, small, staged, starts_of, table, word_hashes
+from .common import col, mix64, quoted, raw, release, slices, small, staged, starts_of, table, word_hashes
 from .substrings import _pair, fold
 
 #: Coordinates of a signature, and how many standard deviations below its mean the match threshold lies.
@@ -300,19 +300,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document near_duplicates() keeps, one for each id; rows without id stay.
+    """The rows of docs whose document near_duplicates() keeps, one for each id (of several, that of the least text); rows without id stay.
 
     Only ids move: those to drop, and those that repeat, are joined to the rows, broadcast if they are few.
     """
     found = staged(near_duplicates(docs, id_col, text_col, shingle, percent).select(F.col("doc_id").alias(id_col), "kept"), "minhash-kept")
     drop = small(staged(found.filter("not kept").select(id_col).distinct(), "minhash-drop"))
-    left = docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    left = docs.join(drop, id_col, "left_anti").select(*quoted(docs.columns))
     again = staged(found.filter(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col), "minhash-again")
     if again.isEmpty():
         return left
     again = small(again)
-    one = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return left.join(again, id_col, "left_anti").unionByName(one.select(*docs.columns))
+    row = F.struct(*quoted(docs.columns))
+    one = left.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(row, F.struct(F.col(text_col), F.xxhash64(F.to_json(row)))).alias("__row"))
+    return left.join(again, id_col, "left_anti").select(*quoted(docs.columns)).unionByName(one.select("__row.*"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

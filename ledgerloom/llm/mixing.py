@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, staged, table, without
+from .common import WORD, quoted, small, staged, table, without
 
 #: Hexadecimal digits of the key that each refinement resolves, and how often.
 DIGITS, LEVELS = 3, 3
@@ -70,12 +70,14 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _apply(rows: DataFrame, cuts: DataFrame, source_col: str) -> DataFrame:
-    """rows (with `size` and the key `h`) with source_size, target, copies and taken."""
-    cut = small(cuts.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut", "inclusive"))
-    more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("inclusive"))
-    copies = (F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).cast("int")
-    out = rows.join(cut, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("__source", "whole", "cut", "inclusive", "h")
+    """rows (with `size` and the key `__mix_h`) with source_size, target, copies and taken."""
+    names = [*ADDED[1:3], "whole", "cut", "inclusive"]
+    cut = small(cuts.select(F.col("source").alias("__mix_source"), *[F.col(c).alias(f"__mix_{c}") for c in names]))
+    more = (F.col("__mix_h") < F.col("__mix_cut")) | ((F.col("__mix_h") == F.col("__mix_cut")) & F.col("__mix_inclusive"))
+    copies = (F.col("__mix_whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).cast("int")
+    out = rows.join(cut, F.col(source_col).eqNullSafe(F.col("__mix_source")))
+    added = [F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken")]
+    return out.select(*quoted(c for c in rows.columns if c != "__mix_h"), *added)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -85,11 +87,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def assign(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """The table of measure() with source_size, target, copies and taken."""
-    return _apply(sizes, thresholds(sizes, source_targets(sizes, weights, share, most)), "source")
+    return _apply(sizes.withColumnRenamed("h", "__mix_h"), thresholds(sizes, source_targets(sizes, weights, share, most)), "source")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (columns of these names are replaced).
+    """docs with size, source_size, target, copies and taken (columns of these names are replaced, all others stay; names
+    that start with `__mix_` are the operator's own).
 
     Null texts have size 0 and take nothing; a null source is a source of its own, last in order; documents of one id
     have one key and are taken together; an empty table gives an empty table. Within a source the words taken differ
@@ -97,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sizes = measure(docs, id_col, text_col, source_col)
     cuts = thresholds(sizes, source_targets(sizes, weights, share, most))
-    rows = without(docs, *ADDED, "h").withColumn("size", word_count(F.col(text_col))).withColumn("h", hash_key(F.col(id_col)))
+    rows = without(docs, *ADDED).withColumn("size", word_count(F.col(text_col))).withColumn("__mix_h", hash_key(F.col(id_col)))
     return _apply(rows, cuts, source_col)
 
 
