@@ -3,12 +3,15 @@
 Every word has a likelihood under each language, from hashed byte trigrams counted over all training texts. For a whole
 text, expectation-maximisation estimates the proportions of languages among its words; then the sets of its one, two,
 three ... most likely languages are compared by likelihood less half a logarithm of the number of words for each
-language, and the best set's proportions are the answer.
+language, for as long as a larger set can still win, and the best set's proportions are the answer. A language's table
+is a file of fixed size in the shared folder, so any number of them may be learned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +19,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
-from .common import col, mix64, raw, remainder, slices, starts_of, table, without
+from .common import col, get, mix64, put, raw, remainder, scratch, slices, staged, starts_of, table, without
 
-#: Slots of trigrams, weight of a slot's prior count, and languages that a model may have (each takes 256 KiB).
-SLOTS, PRIOR, MOST_LANGS = 1 << 16, 0.5, 1000
+#: Slots of trigrams, and weight of a slot's prior count.
+SLOTS, PRIOR = 1 << 16, 0.5
 #: Steps of expectation-maximisation over all languages and over each set.
 STEPS, SET_STEPS = 8, 6
+#: Words times languages that are held at once, and languages that a process keeps open.
+CELLS, OPEN = 1 << 21, 256
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order of their names, and for each the logarithm of every slot's probability."""
+    """Languages in order of their names, and the file of each: the logarithm of every slot's probability."""
 
     langs: list[str]
-    log_p: np.ndarray
+    paths: list[str]
+
+
+@lru_cache(maxsize=OPEN)
+def _log_p(path: str) -> np.ndarray:
+    """The logarithms of a language, and a zero for blanks behind them."""
+    return np.append(np.frombuffer(get(path), np.float32), np.float32(0))
 
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,62 +72,106 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "slot", "n"])
 
     rows = src.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    packed = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("a"), F.count("*").alias("k")).orderBy("lang").limit(MOST_LANGS + 1).toArrow()
-    langs = packed["lang"].to_pylist()
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages; the model would not be bounded")
-    log_p = np.zeros((len(langs), SLOTS), np.float32)
-    for i in range(len(langs)):
-        a = packed["a"][i].values
-        c = np.full(SLOTS, PRIOR)
-        c[a.field("slot").to_numpy()] += a.field("n").to_numpy()
-        log_p[i] = np.log(c / c.sum())
-    return Model(langs, log_p)
-
-
-def _mixture(like: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (texts by languages) after some steps, and the log-likelihood of each text under them."""
-    for _ in range(steps):
-        r = like * pi[doc]
-        r /= r.sum(1, keepdims=True)
-        pi = np.add.reduceat(r, at, axis=0) / n[:, None]
-    return pi, np.add.reduceat(np.log((like * pi[doc]).sum(1)), at)
+    packed = rows.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("a"))
+    folder = scratch(docs.sparkSession, "language-model")
+
+    def write(batches):
+        for b in batches:
+            paths = []
+            for lang, a in zip(col(b, "lang").to_pylist(), col(b, "a")):
+                c = np.full(SLOTS, PRIOR)
+                c[a.values.field("slot").to_numpy()] += a.values.field("n").to_numpy()
+                paths.append(f"{folder}/{hashlib.sha256(lang.encode()).hexdigest()}")
+                put(paths[-1], np.log(c / c.sum()).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([col(b, "lang"), pa.array(paths, pa.string())], ["lang", "path"])
+
+    found = sorted(tuple(r) for r in staged(packed.mapInArrow(write, "lang string, path string"), "language-files").collect())
+    return Model([x for x, _ in found], [p for _, p in found])
+
+
+def _infer(parts, n: np.ndarray, n_langs: int) -> np.ndarray:
+    """Proportions of texts of n words. parts(active) gives, block by block, the words' likelihoods, the place of each word's
+    text among the active ones, and where each of these starts."""
+
+    def steps(active, pi, k):
+        for _ in range(k):
+            total = np.zeros_like(pi)
+            for like, doc, start in parts(active):
+                r = like * pi[doc]
+                r /= r.sum(1, keepdims=True)
+                total += np.add.reduceat(r, start, axis=0)
+            pi = total / n[active][:, None]
+        return pi
+
+    def value(active, pi):
+        return sum(np.add.reduceat(np.log((like * pi[doc]).sum(1)), start) for like, doc, start in parts(active))
+
+    active = np.arange(len(n))
+    every = steps(active, np.full((len(n), n_langs), 1 / n_langs), STEPS)
+    order = np.argsort(-every, axis=1, kind="stable")
+    gain = sum(np.add.reduceat(like / (like * every[doc]).sum(1)[:, None], start, axis=0) for like, doc, start in parts(active))
+    # by concavity no proportions reach more than this, and no log-likelihood is above zero
+    most = np.minimum(value(active, every) + n * np.log((gain / n[:, None]).max(1)), 0)
+    best, best_value = np.zeros_like(every), np.full(len(n), -np.inf)
+    for k in range(1, n_langs + 1):
+        active = np.flatnonzero(best_value < most - 0.5 * k * np.log(n + 1))
+        if not len(active):
+            break
+        pi = np.zeros((len(active), n_langs))
+        top = order[active, :k]
+        np.put_along_axis(pi, top, np.take_along_axis(every[active], top, 1) + 1e-6, axis=1)
+        pi /= pi.sum(1, keepdims=True)
+        if k > 1:
+            pi = steps(active, pi, SET_STEPS)
+        now = value(active, pi) - 0.5 * k * np.log(n[active] + 1)
+        better = now > best_value[active]
+        best[active[better]], best_value[active[better]] = pi[better], now[better]
+    return best
 
 
 def infer(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Proportions of the languages in each text; zero for all where a text has no words."""
+    """Proportions of the languages in each text; zero for all where a text has no words.
+
+    Texts are taken together up to CELLS words times languages; a longer text is read again in blocks of that size.
+    """
     out = np.zeros((len(texts), len(model.langs)))
     slot, at, per_doc = _trigrams(texts)
     full = np.flatnonzero(per_doc)
     if not len(full) or not model.langs:
         return out
-    log_like = np.empty((len(at), len(model.langs)))
-    for k, log_p in enumerate(model.log_p):
-        log_like[:, k] = np.add.reduceat(np.append(log_p, np.float32(0))[slot], at)
-    top = log_like.max(1)
-    like = np.exp(np.maximum(log_like - top[:, None], -60))
-    n = per_doc[full]
-    doc, start = np.repeat(np.arange(len(full)), n), starts_of(n)[:-1]
-    pi, _ = _mixture(like, doc, start, n, np.full((len(full), len(model.langs)), 1 / len(model.langs)), STEPS)
-    order = np.argsort(-pi, axis=1, kind="stable")
-    best, best_value = None, None
-    for k in range(1, len(model.langs) + 1):
-        if k > 1 and not (best_value < -0.5 * k * np.log(n + 1)).any():  # no log-likelihood is above zero
-            break
-        allowed = np.zeros_like(pi)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        if k == 1:
-            now, value = allowed, np.add.reduceat(np.log(like[np.arange(len(doc)), order[doc, 0]]), start)
-        else:
-            begin = (pi + 1e-6) * allowed
-            now, value = _mixture(like, doc, start, n, begin / begin.sum(1, keepdims=True), SET_STEPS)
-        value = value - 0.5 * k * np.log(n + 1)
-        if best is None:
-            best, best_value = now, value
+    ends, first = np.append(at, len(slot)), starts_of(per_doc[full])
+    most = max(1, CELLS // len(model.langs))
+
+    def likelihoods(x: int, y: int) -> np.ndarray:
+        s, a = slot[ends[x] : ends[y]], at[x:y] - at[x]
+        log_like = np.empty((y - x, len(model.langs)))
+        for k, path in enumerate(model.paths):
+            log_like[:, k] = np.add.reduceat(_log_p(path)[s], a)
+        return np.exp(np.maximum(log_like - log_like.max(1, keepdims=True), -60))
+
+    a = 0
+    while a < len(full):
+        e = max(a + 1, int(np.searchsorted(first, first[a] + most, side="right")) - 1)
+        n, low, high = per_doc[full[a:e]], int(first[a]), int(first[e])
+        if high - low > most:  # one long text
+
+            def parts(active, low=low, high=high):
+                for x in range(low, high, most):
+                    y = min(x + most, high)
+                    yield likelihoods(x, y), np.zeros(y - x, np.int64), np.zeros(1, np.int64)
         else:
-            better = value > best_value
-            best[better], best_value[better] = now[better], value[better]
-    out[full] = best
+            like, doc = likelihoods(low, high), np.repeat(np.arange(e - a), n)
+            held: dict[int, tuple] = {}
+
+            def parts(active, like=like, doc=doc, n=n, held=held):
+                if len(active) not in held:  # active texts only ever get fewer
+                    held.clear()
+                    some = np.isin(doc, active)
+                    held[len(active)] = (like if some.all() else like[some], np.repeat(np.arange(len(active)), n[active]), starts_of(n[active])[:-1])
+                yield held[len(active)]
+
+        out[full[a:e]] = _infer(parts, n, len(model.langs))
+        a = e
     return out
 
 
