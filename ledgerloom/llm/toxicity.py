@@ -20,6 +20,8 @@ from .common import col, mix64, raw, remainder, slices, staged, table, without
 
 #: Bits of a feature's hash; the table of weights has so many rows, the bias aside.
 BITS = 20
+#: How often a small sample is read.
+PASSES = 3
 _TO_BLANK = bytes(32 if not (48 <= b < 58 or 97 <= b < 123 or b >= 128) else b for b in range(256))
 PLAIN = bytes(_TO_BLANK[b + 32] if 65 <= b < 91 else _TO_BLANK[b] for b in range(256))
 
@@ -60,14 +62,15 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0) -> Model:
-    """Fits on about `rows` labelled documents at most, those of the least hashes of their ids.
+    """Fits on about `rows` labelled documents at most, those of the least hashes of their ids; fewer are read again, PASSES times at most.
 
     labels may repeat an id (the larger label holds); null labels and ids without a document are left out. Without any
     labelled document every score is the bias's, 0.5.
     """
     lab = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     lab = staged(lab, "toxicity-labels")
-    share = min(1.0, rows / max(1, lab.count()))
+    n_labels = max(1, lab.count())
+    share, passes = min(1.0, rows / n_labels), max(1, min(PASSES, rows // n_labels))
     lab = lab.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
 
@@ -80,6 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str =
             yield pa.RecordBatch.from_arrays([col(b, "h"), col(b, "y"), pa.array([own[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["h", "y", "f"])
 
     found = src.withColumn("h", F.xxhash64("id")).select("h", "y", "text").mapInArrow(extract, "h long, y int, f binary")
+    found = found.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
 
     def fit(batches):
         z, n, bz, bn = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
@@ -99,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str =
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], -bz / ((beta + bn**0.5) / alpha)))], ["i", "w"])
 
-    got = found.repartitionByRange(1, "h").sortWithinPartitions("h", "y", "f").mapInArrow(fit, "i long, w double").toArrow()
+    got = found.repartitionByRange(1, "h").sortWithinPartitions("pass", "h", "y", "f").mapInArrow(fit, "i long, w double").toArrow()
     i, w = got["i"].to_numpy(), got["w"].to_numpy()
     weights = np.zeros(1 << BITS)
     weights[i[i >= 0]] = w[i >= 0]
