@@ -5,11 +5,14 @@
 2. Two sets as similar as asked share at least T of K coordinate-value pairs, so they share one of the K - T + 1 first
    pairs of each in any common order (the prefix). The order is by a count sketch of fixed size, rare pairs first.
    Representatives are posted under their prefix; the least of a posting list is its pivot, and lists of one pivot merge.
-3. Within a pivot's members, in blocks of bounded size, collisions are counted over whole signatures; those with a
-   partner of at least T collisions stay, and others are skipped.
-4. For these, full sets are built from whole texts again, and a breadth-first search over exact similarities finds the
-   components within a block. It gives one link a member, not a link a pair.
-5. Components of all links come from alternating large-star and small-star steps on tables in the shared folder.
+3. Collisions are counted over whole signatures in blocks of bounded size: between all members of a pivot that fit in
+   one block, and between the pivot and each member where they are more. Those with a partner of at least T collisions
+   stay, and others are skipped.
+4. For these, full sets are built from whole texts again, and a search over exact similarities finds the components
+   within a block. It gives one link a member, not a link a pair.
+5. Members of a large group that are linked to its pivot are in one component, so they need not meet each other. Only
+   those that are not linked to it meet all its members, again in blocks. A group of m near copies costs m rows.
+6. Components of all links come from alternating large-star and small-star steps on tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -161,77 +164,118 @@ def grouped(batches, keys: list[str]):
     release()
 
 
-def blocks(members: DataFrame, weight: str) -> DataFrame:
-    """members (pivot, r, ...) with i and j: every two of a pivot meet in a block of bounded size.
+def parts_of(members: DataFrame) -> DataFrame:
+    """pivot and parts: how many blocks a pivot's members fill, by their number and by the bytes of their sets. Staged."""
+    n = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    return staged(members.groupBy("pivot").agg(n.alias("parts")), "minhash-parts")
 
-    Pivots of up to one block's members have one block; larger ones are split by hash, and each two parts meet once.
-    """
-    sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) * 8 / BLOCK_BYTES)).cast("int").alias("parts")).filter("parts > 1")
-    sizes = small(staged(sizes, "minhash-parts"))
-    out = members.join(sizes, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+def first_blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """members (pivot, r, n) with block i, j and `asks`: all of a pivot with one block ask; of others the pivot alone, in each block."""
+    large = small(parts.filter("parts > 1"))
+    out = members.join(large, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")
-    out = out.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    out = out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return out.drop("parts", "own", "other")
+    pivot = F.col("r") == F.col("pivot")
+    out = out.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
+    return out.select("pivot", "r", "i", F.lit(0).alias("j"), (pivot | (F.col("parts") == 1)).alias("asks"))
+
+
+def rest_blocks(members: DataFrame, parts: DataFrame, linked: DataFrame) -> DataFrame:
+    """Blocks for what large groups leave: members that are not linked (pivot, r) to their pivot meet those that are, whom they ask, and each other."""
+    every = members.join(small(parts.filter("parts > 1")), "pivot")
+    rest = staged(every.filter("r <> pivot").join(linked, ["pivot", "r"], "left_anti"), "minhash-rest")
+    few = small(staged(rest.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("rests")), "minhash-rests"))
+    own = lambda n: F.pmod(F.xxhash64("r"), F.col(n)).cast("int")
+    rest, upto = rest.join(few, "pivot"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    ask = rest.select("pivot", "r", own("rests").alias("i"), F.explode(upto("parts")).alias("j"), F.lit(True).alias("asks"))
+    told = every.filter("r = pivot").unionByName(every.join(linked, ["pivot", "r"], "left_semi").select(*every.columns)).join(few, "pivot")
+    told = told.select("pivot", "r", F.explode(upto("rests")).alias("i"), own("parts").alias("j"), F.lit(False).alias("asks"))
+    both = rest.select("pivot", "r", own("rests").alias("own"), F.explode(upto("rests")).alias("other"))
+    both = both.select("pivot", "r", F.least("own", "other").alias("i"), (-1 - F.greatest("own", "other")).alias("j"), F.lit(True).alias("asks"))
+    return ask.union(told).union(both)
 
 
 def _in_blocks(df: DataFrame) -> DataFrame:
-    return df.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "r")
+    return df.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", F.desc("asks"), "r")
+
+
+def _block(g: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+    """A block's rows, those that ask first: r, signatures, and how many ask."""
+    return g["r"].to_numpy(), np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(-1, K), int(np.count_nonzero(g["asks"].to_numpy()))
 
 
 def live(members: DataFrame, t: int) -> DataFrame:
-    """pivot and r of the members (with sig) that some other member of the pivot meets in at least t coordinates."""
+    """pivot, i, j, r and asks of the rows of blocks (with sig) that meet one that they ask, or that asks them, in at least t coordinates. Staged."""
 
     def run(batches):
-        for (pivot, _, _), g in grouped(batches, ["pivot", "i", "j"]):
-            s = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(-1, K)
+        for (pivot, i, j), g in grouped(batches, ["pivot", "i", "j"]):
+            r, s, n = _block(g)
             alive = np.zeros(len(s), bool)
-            for x in range(len(s) - 1):
-                hit = np.count_nonzero(s[x + 1 :] == s[x], axis=1) >= t
+            for x in range(n):
+                first = n if n < len(s) else x + 1  # all ask each other, or some ask the others
+                hit = np.count_nonzero(s[first:] == s[x], axis=1) >= t
                 if hit.any():
                     alive[x] = True
-                    alive[x + 1 :] |= hit
-            r = g["r"].to_numpy()[alive]
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), pivot)), pa.array(r)], ["pivot", "r"])
+                    alive[first:] |= hit
+            k = int(alive.sum())
+            if k:
+                same = lambda v, kind: pa.array(np.full(k, v), kind)
+                yield pa.RecordBatch.from_arrays([same(pivot, pa.int64()), same(i, pa.int32()), same(j, pa.int32()), pa.array(r[alive]), pa.array(np.arange(len(s))[alive] < n)], ["pivot", "i", "j", "r", "asks"])
 
-    return _in_blocks(members).mapInArrow(run, "pivot long, r long").distinct()
+    return staged(_in_blocks(members).mapInArrow(run, "pivot long, i int, j int, r long, asks boolean"), "minhash-live")
 
 
 def links(members: DataFrame, t: int, percent: int) -> DataFrame:
-    """u and v, u > v: from each member to the least of its component within a block, by exact similarities of full sets."""
+    """pivot, u and v, u > v: what ties a block's rows (with sig and shingles) by exact similarities of full sets. Staged.
+
+    Where all ask, each row but the least of a component has one link, to that. Where some ask others, a pivot is linked
+    to each that is near, and any other row to the first that is near, as those it asks are one component.
+    """
 
     def run(batches):
-        for _, g in grouped(batches, ["pivot", "i", "j"]):
-            s = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(-1, K)
+        for (pivot, _, _), g in grouped(batches, ["pivot", "i", "j"]):
+            r, s, n = _block(g)
             sets = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
-            r, size = g["r"].to_numpy(), np.array([len(x) for x in sets])
+            size = np.array([len(x) for x in sets])
             every, flat = np.unique(np.concatenate(sets), return_inverse=True)
             parts = np.split(flat, np.cumsum(size)[:-1])
             mark = np.zeros(len(every), bool)
-            left = np.arange(len(r))
-            while len(left):
-                queue, left, found = [left[0]], left[1:], [left[0]]
-                while queue and len(left):
-                    x = queue.pop()
-                    near = left[np.count_nonzero(s[left] == s[x], axis=1) >= t]
-                    if not len(near):
-                        continue
-                    mark[parts[x]] = True
-                    both = np.array([np.count_nonzero(mark[parts[y]]) for y in near])
-                    mark[parts[x]] = False
-                    new = near[100 * both >= percent * (size[x] + size[near] - both)]
-                    if len(new):
-                        left = left[~np.isin(left, new)]
-                        queue += new.tolist()
-                        found += new.tolist()
-                if len(found) > 1:
+
+            def near(x: int, left: np.ndarray) -> np.ndarray:
+                y = left[np.count_nonzero(s[left] == s[x], axis=1) >= t]
+                if not len(y):
+                    return y
+                mark[parts[x]] = True
+                both = np.array([np.count_nonzero(mark[parts[k]]) for k in y])
+                mark[parts[x]] = False
+                return y[100 * both >= percent * (size[x] + size[y] - both)]
+
+            us, vs = [], []
+            if n < len(r):
+                for x in range(n):
+                    y = near(x, np.arange(n, len(r)))
+                    y = y if r[x] == pivot else y[:1]
+                    us.append(np.full(len(y), r[x]))
+                    vs.append(r[y])
+            else:
+                left = np.arange(len(r))
+                while len(left):
+                    queue, left, found = [left[0]], left[1:], [left[0]]
+                    while queue and len(left):
+                        new = near(queue.pop(), left)
+                        if len(new):
+                            left = left[~np.isin(left, new)]
+                            queue += new.tolist()
+                            found += new.tolist()
                     c = r[np.array(found)]
-                    least = c.min()
-                    c = c[c != least]
-                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.full(len(c), least))], ["u", "v"])
+                    c = c[c != c.min()]
+                    us.append(c)
+                    vs.append(np.full(len(c), r[np.array(found)].min()))
+            u, v = np.concatenate(us), np.concatenate(vs)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), pivot)), pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["pivot", "u", "v"])
 
-    return _in_blocks(members).mapInArrow(run, "u long, v long").distinct()
+    return staged(_in_blocks(members).mapInArrow(run, "pivot long, u long, v long").distinct(), "minhash-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,23 +299,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = staged(pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """id (as doc_id), n_shingles, component_id (the least id reachable over links, its own included) and kept.
-
-    Sets with 100 * intersection >= percent * union are linked. Words are split at ASCII white space, A-Z lower-cased;
-    a text of fewer words than a shingle is one shingle. Null texts, texts without words and rows without id are linked
-    with nothing; such rows without id have a null component and are kept. Repeated rows fall in one component.
-    """
-    t = threshold(percent / 100)
-    all_ = sketches(docs, id_col, text_col, shingle)
-    some = all_.filter("n > 0 and id is not null")
-    reps = staged(some.groupBy("r", "f2", "n").agg(F.min(F.struct("id", "th", "sig")).alias("m"), F.count("*").alias("copies")).select("r", "f2", "n", "copies", "m.*"), "minhash-classes")
-    posted = staged(postings(reps, t), "minhash-postings")
-    pivots = staged(posted.groupBy("key").agg(F.min("r").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("key", "pivot"), "minhash-pivots")
-    met = staged(posted.join(pivots, "key").groupBy("pivot", "r").agg(F.count("*").alias("collisions")), "minhash-members")
-    met = met.join(reps.select("r", "n", "sig"), "r")
-    alive = staged(live(blocks(met.withColumn("w", F.lit(1)), "w"), t), "minhash-live")
-    wanted = staged(alive.select("r").distinct().join(reps.select("r", "id", "th", "n", "sig"), "r"), "minhash-wanted")
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, alive: DataFrame, reps: DataFrame) -> DataFrame:
+    """r and shingles of the representatives in alive, from their whole texts. Staged."""
+    wanted = staged(alive.select("r").distinct().join(reps.select("r", "id", "th"), "r"), "minhash-wanted")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def build(batches):
@@ -284,16 +314,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets = shingle_sets([texts[i] for i in own], shingle)
                 yield pa.RecordBatch.from_arrays([col(b, "r").take(pa.array(own)), pa.array([s.tobytes() for s in sets], pa.binary())], ["r", "shingles"])
 
-    sets = src.join(small(wanted.select("id", "th", "r")), "id").mapInArrow(build, "r long, shingles binary")
-    sets = staged(sets.groupBy("r").agg(F.min("shingles").alias("shingles")), "minhash-sets")
-    full = alive.join(wanted.select("r", "n", "sig"), "r").join(sets, "r")
-    edges = staged(links(blocks(full, "n"), t, percent), "minhash-links")
+    sets = src.join(small(wanted), "id").mapInArrow(build, "r long, shingles binary")
+    return staged(sets.groupBy("r").agg(F.min("shingles").alias("shingles")), "minhash-sets")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """id (as doc_id), n_shingles, component_id (the least id reachable over links, its own included) and kept.
+
+    Sets with 100 * intersection >= percent * union are linked. Words are split at ASCII white space, A-Z lower-cased;
+    a text of fewer words than a shingle is one shingle. Null texts, texts without words and rows without id are linked
+    with nothing; such rows without id have a null component and are kept. Repeated rows fall in one component.
+    """
+    t = threshold(percent / 100)
+    all_ = sketches(docs, id_col, text_col, shingle)
+    some = all_.filter("n > 0 and id is not null")
+    reps = some.groupBy(F.col("r").alias("f1"), "f2", "n").agg(F.min(F.struct("id", "th", "sig")).alias("m"), F.count("*").alias("copies"))
+    reps = staged(reps.select("f1", "f2", "n", "copies", "m.*", F.monotonically_increasing_id().alias("r")), "minhash-classes")
+    posted = staged(postings(reps, t), "minhash-postings")
+    pivots = staged(posted.groupBy("key").agg(F.min("r").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("key", "pivot"), "minhash-pivots")
+    met = staged(posted.join(pivots, "key").select("pivot", "r").distinct().join(reps.select("r", "n"), "r"), "minhash-members")
+    parts = parts_of(met)
+    signed = lambda rows: rows.join(reps.select("r", "sig"), "r")
+    alive = live(signed(first_blocks(met, parts)), t)
+    sets = _sets(docs, id_col, text_col, shingle, alive, reps)
+    edges = links(signed(alive).join(sets, "r"), t, percent)
+    if not parts.filter("parts > 1").isEmpty():
+        star = edges.filter("v = pivot").select("pivot", F.col("u").alias("r"))
+        late = live(signed(rest_blocks(met, parts, star)), t)
+        if not late.isEmpty():
+            edges = edges.union(links(signed(late).join(_sets(docs, id_col, text_col, shingle, late, reps), "r"), t, percent))
     stars = components(edges)
     named = stars.join(reps.select("r", "id"), stars.u == reps.r).select("u", "v", "id").union(reps.select(F.col("r").alias("u"), F.col("r").alias("v"), "id").join(stars.select("v").distinct(), "v", "left_semi").select("u", "v", "id"))
     named = staged(named, "minhash-named")
     least = named.groupBy("v").agg(F.min("id").alias("component"))
     of = named.join(least, "v").select(F.col("u").alias("r"), "component")
-    of = reps.join(of, "r", "left").filter("copies > 1 or component is not null").select("r", "f2", "n", F.coalesce("component", "id").alias("component"))
+    of = reps.join(of, "r", "left").filter("copies > 1 or component is not null").select(F.col("f1").alias("r"), "f2", "n", F.coalesce("component", "id").alias("component"))
     of = small(staged(of, "minhash-components"))
     own = F.coalesce("component", "id")
     return all_.drop("th", "sig").join(of, ["r", "f2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
