@@ -107,6 +107,13 @@ def get(uri: str) -> pa.Buffer:
     return f.read_buffer()
 
 
+def exists(uri: str) -> bool:
+    from pyarrow.fs import FileType
+
+    fs, path = fs_of(uri)
+    return fs.get_file_info(path).type == FileType.File
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -142,6 +149,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         release()
 
 
+def grouped(batches, keys: list[str]):
+    """Tables of the rows of one key each, from rows that come sorted by these integer columns."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([col(b, x).to_numpy() for x in keys], axis=1)
+        cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(k)]):
+            now = tuple(k[a].tolist())
+            if held and now != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, e - a))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held)
+    release()
+
+
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

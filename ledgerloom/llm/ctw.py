@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, get, mix64, put, raw, remainder, scratch, slices, staged, starts_of, table, word_hashes
-from .minhash import grouped
+from .common import col, get, grouped, mix64, put, raw, remainder, scratch, slices, staged, starts_of, table, word_hashes
 
 #: Bytes of context.
 DEPTH = 5

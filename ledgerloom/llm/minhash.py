@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64, quoted, raw, release, slices, small, staged, starts_of, table, word_hashes
+from .common import col, grouped, mix64, quoted, raw, slices, small, staged, starts_of, table, word_hashes
 from .substrings import _pair, fold
 
 #: Coordinates of a signature, and how many standard deviations below its mean the match threshold lies.
@@ -144,26 +144,6 @@ def postings(reps: DataFrame, t: int) -> DataFrame:
     return reps.select("r", "sig").mapInArrow(run, "key long, r long")
 
 
-def grouped(batches, keys: list[str]):
-    """Tables of the rows of one key each, from rows that come sorted by these integer columns."""
-    held, last = [], None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([col(b, x).to_numpy() for x in keys], axis=1)
-        cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(k)]):
-            now = tuple(k[a].tolist())
-            if held and now != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(a, e - a))
-            last = now
-    if held:
-        yield last, pa.Table.from_batches(held)
-    release()
-
-
 def parts_of(members: DataFrame) -> DataFrame:
     """pivot and parts: how many blocks a pivot's members fill, by their number and by the bytes of their sets. Staged."""
     n = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")

@@ -3,28 +3,30 @@
 Texts are packed into chunks of a few MB, written once. At each length a chunk sends every hash that it must ask about
 once, grouped by hash bucket as one block of bytes, with a bit that says whether the hash occurs in the chunk twice; a
 bucket counts and answers each chunk with one bit a hash. A window of full length is a candidate while all that it was
-asked about is repeated; the last length asks about every candidate itself, so the result is exact up to 64-bit hashes
-within a bucket. Before the last length it is enough to ask at anchors, the least hash of any run of sub-windows within
-one full window: equal windows have the same least, so where one is asked about its copies are too. A passage that a third of all documents
-share costs its chunks one hash each, not one a document; bucket numbers follow the size of the input.
+asked about is repeated; the last length asks about every candidate itself, by 128 bits, so the result is exact but for
+their collisions. Before the last length it is enough to ask at anchors, the least hash of any run of sub-windows within
+one full window: equal windows have the same least, so where one is asked about its copies are too. A passage that a
+third of all documents share costs its chunks one hash each, not one a document; bucket numbers follow the size of the
+input. Answers go to one file for each partition of chunks, where the tasks that hold these find them: texts are never
+shuffled.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import col, mix64, raw, release, slices, staged, starts_of, table, without, word_hashes
+from .common import col, exists, get, grouped, mix64, put, raw, release, scratch, slices, staged, starts_of, table, without
 
 #: Bytes of text in a chunk, unless one document is longer.
 CHUNK_BYTES = 2 << 20
 #: Hashes that a bucket holds on average.
 BUCKET_HASHES = 2_000_000
-#: Bytes of answers up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 32 << 20
 ADDED = ("n_words", "n_removed", "kept_text", "removed")
 
 
@@ -67,6 +69,26 @@ def anchors(v: np.ndarray, span: int, least: np.ndarray) -> np.ndarray:
     return np.flatnonzero((best == v) & (best > 0))
 
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+
+
+def distinct(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the values a, or the pairs of a and b: where the first of each stands, in ascending order, which each is, and how many there are."""
+    if b is None:
+        _, at, which, count = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+        return at, which, count
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, np.bincount(which, minlength=int(new.sum()))
+
+
 class Chunk:
     """The words of a chunk and what is asked about them, level by level."""
 
@@ -76,23 +98,29 @@ class Chunk:
         self.starts = starts_of(self.lens)
         self.n, self.window, self.n_buckets = int(self.starts[-1]), window, n_buckets
         flat = [x for w in self.words for x in w]
-        self.h = word_hashes(flat)
+        keys = word_keys(flat)
+        self.h, self.h2 = keys[:, 0].copy(), keys[:, 1].copy()
         room = np.repeat(self.starts[1:], self.lens) - np.arange(self.n)
         self.ok = room >= window
 
     def ask(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions asked about at this length, their distinct hashes in order of buckets, and which of these each has."""
-        v = _full(fold(self.h, length, _pair), self.n)
+        """Positions asked about at this length, their distinct hashes in order of buckets, and which of these each has.
+
+        A hash is a row of one integer, of two at the last length.
+        """
+        v, v2 = _full(fold(self.h, length, _pair), self.n), None
         if length == self.window:
             pos = np.flatnonzero(self.ok)
+            v2 = _full(fold(self.h2, length, _pair), self.n)[pos]
         else:
             self.least = least_of(v, self.window - length + 1, self.ok)
             pos = anchors(v, self.window - length + 1, self.least)
-        u, self.which, self.count = np.unique(v[pos], return_inverse=True, return_counts=True)
-        self.u = u
+        at, self.which, self.count = distinct(v[pos], v2)
+        self.u = u = v[pos][at]
         bucket = (mix64(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(self.n_buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
-        return pos, u[self.order], bucket[self.order]
+        rows = u[:, None] if v2 is None else np.stack([u, v2[at]], axis=1)
+        return pos, rows[self.order], bucket[self.order]
 
     def told(self, length: int, pos: np.ndarray, answers: list[dict]) -> None:
         """Leaves in ok the windows that are candidates still after the answers for this length."""
@@ -147,20 +175,45 @@ def _walk(blob: bytes, text_col: str, levels: list[int], answers: list[list[dict
     return batch, chunk
 
 
-def _answers(asked: DataFrame) -> DataFrame:
-    """chunk and answers: for each bucket that the chunk asked, a bit a hash that says whether it occurs twice or more."""
+def _answers(asked: DataFrame, width: int, folder: str) -> int:
+    """Writes for each chunk and bucket that it asked a bit a hash, which says whether it occurs twice or more: a file for
+    each partition of chunks. Returns the bytes of bits."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        keys = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in t["keys"].to_pylist()]
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(t["twice"].to_pylist(), keys)])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        every = np.concatenate(keys)
+        _, which, _ = distinct(every[:, 0], every[:, 1] if width == 2 else None)
         flags = (np.bincount(which, 1 + twice.astype(np.float64)) >= 2)[which]
         ends = np.cumsum([len(k) for k in keys])[:-1]
         bits = [np.packbits(x).tobytes() for x in np.split(flags, ends)]
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "n": pa.array([len(k) for k in keys], pa.int32()), "bits": pa.array(bits, pa.binary())})
 
+    def write(batches):
+        for (part,), g in grouped(batches, ["part"]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, g.schema) as w:
+                w.write_table(g)
+            put(f"{folder}/{part}", sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sum(map(len, g["bits"].to_pylist()))], pa.int64())], ["part", "n_bytes"])
+
     bits = asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, n int, bits binary")
-    return bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("a"))
+    bits = bits.withColumn("part", F.shiftright("chunk", 32)).repartition("part").sortWithinPartitions("part", "chunk", "bucket")
+    return staged(bits.mapInArrow(write, "part long, n_bytes long"), "substring-answers").agg(F.sum("n_bytes")).first()[0] or 0
+
+
+@lru_cache(maxsize=8)
+def _answered(path: str) -> dict[int, list[dict]]:
+    """The answers in a file by chunk; none where no chunk of the partition asked."""
+    out: dict[int, list[dict]] = {}
+    if exists(path):
+        for r in pa.ipc.open_stream(get(path)).read_all().select(["chunk", "bucket", "n", "bits"]).to_pylist():
+            out.setdefault(r["chunk"], []).append(r)
+    return out
+
+
+def _told(folders: tuple[str, ...], chunk: int) -> list[list[dict]]:
+    return [_answered(f"{f}/{chunk >> 32}").get(chunk, []) for f in folders]
 
 
 def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int = 9) -> DataFrame:
@@ -173,44 +226,38 @@ def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int
     src = without(docs, *ADDED)
     levels = lengths(window, first)
     chunks = pack(src, text_col)
-    total, n_chunks = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_buckets = int(max(8, total // 6 // BUCKET_HASHES + 1))
-    seen, names = chunks, []
+    folders: list[str] = []
     for k, length in enumerate(levels):
-        known = levels[:k]
+        known, width = levels[:k], 2 if length == window else 1
 
-        def asks(batches, names=tuple(names), known=tuple(known), length=length):
+        def asks(batches, folders=tuple(folders), known=tuple(known), length=length):
             for b in batches:
-                cols = [col(b, x).to_pylist() for x in names]
-                for i, (c, blob) in enumerate(zip(col(b, "chunk").to_pylist(), col(b, "blob"))):
+                for c, blob in zip(col(b, "chunk").to_pylist(), col(b, "blob")):
                     release()
-                    _, chunk = _walk(blob.as_py(), text_col, [*known, window], [x[i] or [] for x in cols], n_buckets)
-                    _, u, bucket = chunk.ask(length)
-                    if not len(u):
+                    _, chunk = _walk(blob.as_py(), text_col, [*known, window], _told(folders, c), n_buckets)
+                    _, rows, bucket = chunk.ask(length)
+                    if not len(rows):
                         continue
                     twice = (chunk.count > 1)[chunk.order]
                     cut = np.flatnonzero(np.diff(bucket)) + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cut])], pa.int32()), pa.array([c] * (len(cut) + 1), pa.int64()), pa.array([x.tobytes() for x in np.split(u, cut)], pa.binary()), pa.array([np.packbits(x).tobytes() for x in np.split(twice, cut)], pa.binary())], ["bucket", "chunk", "keys", "twice"])
-
-        answers = staged(_answers(seen.mapInArrow(asks, "bucket int, chunk long, keys binary, twice binary")), "substring-answers")
-        size = answers.agg(F.sum(F.expr("aggregate(a, 0L, (s, x) -> s + length(x.bits))"))).first()[0]
-        names.append(f"a{k}")
-        answers = answers.withColumnRenamed("a", names[-1])
-        seen = seen.join(F.broadcast(answers) if (size or 0) + 100 * n_chunks <= BROADCAST_BYTES else answers, "chunk", "left")
-        if not size:
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cut])], pa.int32()), pa.array([c] * (len(cut) + 1), pa.int64()), pa.array([x.tobytes() for x in np.split(rows, cut)], pa.binary()), pa.array([np.packbits(x).tobytes() for x in np.split(twice, cut)], pa.binary())], ["bucket", "chunk", "keys", "twice"])
+
+        folders.append(scratch(docs.sparkSession, f"substring-answers-{length}"))
+        if not _answers(chunks.mapInArrow(asks, "bucket int, chunk long, keys binary, twice binary"), width, folders[-1]):
             break
 
     span = StructType().add("start", LongType()).add("end", LongType())
     schema = StructType([*src.schema.fields]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType()).add("removed", ArrayType(span))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def result(batches, names=tuple(names)):
+    def result(batches, folders=tuple(folders)):
         for b in batches:
-            cols = [col(b, x).to_pylist() for x in names]
-            for i, blob in enumerate(col(b, "blob")):
+            for c, blob in zip(col(b, "chunk").to_pylist(), col(b, "blob")):
                 release()
-                batch, chunk = _walk(blob.as_py(), text_col, levels, [x[i] or [] for x in cols], n_buckets)
-                gone = chunk.covered() if len(names) == len(levels) else np.zeros(chunk.n, bool)
+                batch, chunk = _walk(blob.as_py(), text_col, levels, _told(folders, c), n_buckets)
+                gone = chunk.covered() if len(folders) == len(levels) else np.zeros(chunk.n, bool)
                 lost, kept, removed = [], [], []
                 for w, a, e in zip(chunk.words, chunk.starts.tolist(), chunk.starts[1:].tolist()):
                     g = gone[a:e]
@@ -225,7 +272,7 @@ def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int
                 text = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk.lens), pa.array(lost, pa.int64()), text, pa.array(removed, spans)], [*batch.schema.names, *ADDED])
 
-    return seen.mapInArrow(result, schema)
+    return chunks.mapInArrow(result, schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
