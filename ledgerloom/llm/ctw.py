@@ -5,11 +5,13 @@ decision has a context tree over the bytes before it, to a fixed depth, with a K
 node. A node's weighted probability is half its own estimate and half the product of its children's; the share of the
 estimate in that sum is the weight with which prediction stops there, so a prediction mixes the estimates of all depths.
 
-All counts come from byte n-grams of all training texts, summed by Spark. Trees that share their last two context bytes
-are independent below depth two, so they are built in groups by these bytes; what lies above has at most 65,280 nodes
-and is built on the driver. The model is written in blocks of bounded size to the shared folder: open-addressing tables
-of n-grams seen, sorted nodes for those that were not, and sorted token counts for the base score. A scoring task maps
-one block after another, so no model size is ever broadcast.
+All counts come from byte n-grams of all training texts, summed by Spark. Trees that share their last three context bytes
+are independent below depth three, so they are built in batches of whole such groups; depth two is a table of at most
+16.7 million nodes, kept in 256 files, and what lies above has at most 65,280 nodes and is built on the driver. N-grams
+of the texts to score that training never showed get their values from the same trees: each decision is that of the
+deepest node seen. Values lie in sorted blocks of bounded size in the shared folder. A scoring task gathers the distinct
+n-grams of some MB of text, asks block after block for them once, and scores the texts from what it got, so no model
+size is ever broadcast or held.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, get, grouped, mix64, put, raw, remainder, scratch, slices, staged, starts_of, table, word_hashes
+from .common import col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, starts_of, table, word_hashes
 
-#: Bytes of context.
-DEPTH = 5
-#: Entries of a block, and distinct counts that a task holds before it passes them on.
-BLOCK, HELD = 3_000_000, 4_000_000
+#: Bytes of context, at most seven.
+DEPTH = 6
+#: Entries of a block, distinct counts that a task holds before it passes them on, and n-grams that are made trees at once.
+BLOCK, HELD, BATCH = 2_000_000, 4_000_000, 200_000
+#: Text that a scoring task holds while it asks the blocks.
+WINDOW = 8 << 20
 END = b"\n"
 EMPTY = np.uint64((1 << 64) - 1)
-GRAM, TOKEN, NODE = 0, 1, 2
+GRAM, TOKEN = 0, 1
 
 
 def normal(texts: list[bytes]) -> tuple[list[list[bytes]], list[bytes]]:
@@ -120,13 +124,14 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Nodes of one depth, sorted by key (context and bits decided so far): zeros, ones, weighted probability, weight of stopping."""
+    """Nodes of one depth, sorted by key (context and bits decided so far): zeros, ones, weighted probability, weight of stopping, and the product over the children."""
 
     key: np.ndarray
     n0: np.ndarray
     n1: np.ndarray
     log_p: np.ndarray
     stop: np.ndarray
+    below: np.ndarray | None = None
 
     @property
     def one(self) -> np.ndarray:
@@ -138,19 +143,44 @@ def weighted(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray
     own = log_kt(n0, n1)
     if below is None:
         return Level(key, n0, n1, own, np.ones(len(key)))
-    return Level(key, n0, n1, np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700))))
+    return Level(key, n0, n1, np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700))), below)
+
+
+def whole(batches, name: str, most: int):
+    """Tables of at least `most` rows, but the last, none of which cuts a run of equal values of a column."""
+    held, n, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = col(b, name).to_numpy()
+        if n >= most:
+            cut = np.flatnonzero(k[1:] != k[:-1])
+            at = int(cut[-1]) + 1 if len(cut) else 0
+            if at or k[0] != last:
+                yield pa.Table.from_batches([*held, b.slice(0, at)])
+                held, n, b = [], 0, b.slice(at)
+        held.append(b)
+        n += b.num_rows
+        last = k[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+    release()
 
 
 def leaves(gram: np.ndarray, n: np.ndarray) -> Level:
-    byte, ctx = gram & np.uint64(255), gram >> np.uint64(8)
-    keys, bits = [], []
+    """Nodes of full depth, from n-grams in which equal contexts stand together, in ascending order of their bytes."""
+    byte, ctx, n = gram & np.uint64(255), gram >> np.uint64(8) << np.uint64(8), n.astype(np.float64)
+    keys, zeros, ones = [], [], []
     for k in range(8):
-        keys.append((ctx << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k)))
-        bits.append((byte >> np.uint64(7 - k)) & np.uint64(1))
-    u, which = np.unique(np.concatenate(keys), return_inverse=True)
-    ones = np.concatenate(bits).astype(bool)
-    every = np.tile(n.astype(np.float64), 8)
-    return weighted(u, np.bincount(which, every * ~ones, len(u)), np.bincount(which, every * ones, len(u)), None)
+        key = ctx | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+        at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        one = n * ((byte >> np.uint64(7 - k)) & np.uint64(1))
+        keys.append(key[at])
+        ones.append(np.add.reduceat(one, at))
+        zeros.append(np.add.reduceat(n - one, at))
+    u = np.concatenate(keys)
+    order = np.argsort(u, kind="stable")
+    return weighted(u[order], np.concatenate(zeros)[order], np.concatenate(ones)[order], None)
 
 
 def parent_keys(key: np.ndarray, depth: int) -> np.ndarray:
@@ -164,10 +194,10 @@ def above(level: Level, depth: int) -> Level:
     return weighted(u, *[np.bincount(which, x, len(u)) for x in (level.n0, level.n1, level.log_p)])
 
 
-def subtree(g: pa.Table) -> list[Level]:
-    """Levels of depth DEPTH down to 2 for n-grams that share the last two bytes of context."""
-    levels = [leaves(g["key"].to_numpy().view(np.uint64), g["n"].to_numpy())]
-    for d in range(DEPTH, 2, -1):
+def subtree(gram: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels of depth DEPTH down to 3 for n-grams of whole groups by their last three bytes of context."""
+    levels = [leaves(gram, n)]
+    for d in range(DEPTH, 3, -1):
         levels.append(above(levels[-1], d))
     return levels
 
@@ -207,64 +237,75 @@ def probe(t: np.ndarray, v: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=6)
+@lru_cache(maxsize=2)
 def _load(path: str) -> tuple[np.ndarray, np.ndarray]:
     data = get(path)
     n = data.size // 16
     return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float64, n, 8 * n)
 
 
-def _write_blocks(rows: DataFrame, sizes: dict[int, int], folder: str) -> list[tuple[int, int, str]]:
-    """rows: kind, key, value. Writes a file a kind and block and returns kind, block and path of each."""
-    n = {k: max(1, -(-c // BLOCK)) for k, c in sizes.items()}
+def _write_blocks(rows: DataFrame, count: int, folder: str) -> list[str]:
+    """rows: key and value. Writes a sorted file a block and returns the path of each, empty where a block has no rows."""
+    n = max(1, -(-count // BLOCK))
 
     def deal(batches):
         for b in batches:
-            kind, key = col(b, "kind").to_numpy(), col(b, "key").to_numpy().view(np.uint64)
-            block = np.zeros(len(key), np.int32)
-            for k, c in n.items():
-                block[kind == k] = _block(key[kind == k], c)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], ["kind", "key", "value", "block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_block(col(b, "key").to_numpy().view(np.uint64), n))], ["key", "value", "block"])
 
     def write(batches):
-        for (kind, block), g in grouped(batches, ["kind", "block"]):
+        for (block,), g in grouped(batches, ["block"]):
             key, value = g["key"].to_numpy().view(np.uint64), g["value"].to_numpy()
-            if kind == GRAM:
-                key, value = open_table(key, value)
-            else:
-                order = np.argsort(key)
-                key, value = key[order], value[order]
-            path = f"{folder}/{kind}-{block}"
-            put(path, key.tobytes() + value.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([path])], ["kind", "block", "path"])
+            order = np.argsort(key)
+            path = f"{folder}/{block}"
+            put(path, key[order].tobytes() + value[order].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([path])], ["block", "path"])
 
-    dealt = rows.mapInArrow(deal, "kind int, key long, value double, block int").repartition("kind", "block").sortWithinPartitions("kind", "block")
-    return sorted(tuple(r) for r in staged(dealt.mapInArrow(write, "kind int, block int, path string"), "ctw-manifest").collect())
+    dealt = rows.mapInArrow(deal, "key long, value double, block int").repartition("block").sortWithinPartitions("block")
+    found = dict(tuple(r) for r in staged(dealt.mapInArrow(write, "block int, path string"), "ctw-manifest").collect())
+    return [found.get(k, "") for k in range(n)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Paths of the blocks by kind, probabilities of a one at depth 1 and 0, training tokens and distinct tokens."""
+    """Counts of n-grams, with g (the last three context bytes); the folder of depth two; for depth one and zero the weight that
+    has stopped, times its estimate, the weight left, and their prediction of a one; token blocks, tokens and distinct tokens."""
 
-    blocks: dict[int, list[str]]
+    counts: DataFrame
+    second: str
+    a1: np.ndarray
+    b1: np.ndarray
     top: np.ndarray
+    token_blocks: list[str]
     tokens: int
     distinct: int
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all whole texts (null: empty) and builds the trees."""
+    """Counts all whole texts (null: empty) and builds the upper trees."""
     spark = docs.sparkSession
     counts = counted(docs, text_col)
-    seen = counts.filter(f"kind = {GRAM}").select("key", "n", F.expr(f"cast(shiftright(key, 8) & {0xFFFF} as int)").alias("g"))
-    by_group = seen.repartition("g").sortWithinPartitions("g")
+    seen = counts.filter(f"kind = {GRAM}").select(_group(), "key", "n")
 
     def summary(batches):
-        for _, g in grouped(batches, ["g"]):
-            x = subtree(g)[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(parent_keys(x.key, 2).view(np.int64)), pa.array(x.n0), pa.array(x.n1), pa.array(x.log_p)], ["key", "n0", "n1", "lp"])
+        for g in whole(batches, "g", BATCH):
+            x = above(subtree(g["key"].to_numpy().view(np.uint64), g["n"].to_numpy())[-1], 3)
+            yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["key", "n0", "n1", "lp"])
 
-    ones = by_group.mapInArrow(summary, "key long, n0 double, n1 double, lp double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lp").alias("lp")).orderBy("key").toArrow()  # at most 65,280 rows
+    def sums(rows):
+        return rows.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lp").alias("lp"))
+
+    def level(b) -> Level:
+        return weighted(*[col(b, x).to_numpy() if x != "key" else col(b, x).to_numpy().view(np.uint64) for x in ("key", "n0", "n1", "lp")])
+
+    def raised(batches):
+        for b in batches:
+            if b.num_rows:
+                x = above(level(b), 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["key", "n0", "n1", "lp"])
+
+    kind = "key long, n0 double, n1 double, lp double"
+    two = staged(sums(_by_group(seen).mapInArrow(summary, kind)), "ctw-second")  # at most 16.7 million rows
+    ones = sums(two.mapInArrow(raised, kind)).orderBy("key").toArrow()  # at most 65,280 rows
     l1 = weighted(ones["key"].to_numpy().view(np.uint64), *[ones[x].to_numpy() for x in ("n0", "n1", "lp")])
     l0 = above(l1, 1)
     a0, b0 = np.zeros(256), np.ones(256)
@@ -276,117 +317,193 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     b1[k1] = b0[k1 & 255] * (1 - l1.stop)
     top = np.tile(a0 + b0 / 2, 256)
     top[k1] = a1[k1] + b1[k1] / 2
+    folder = scratch(spark, "ctw-second")
 
-    def predict(batches):
-        for _, g in grouped(batches, ["g"]):
-            levels = subtree(g)[::-1]
-            up = parent_keys(levels[0].key, 2).astype(np.int64)
-            a, b = a1[up], b1[up]
-            for d, x in enumerate(levels, 2):
-                if d > 2:
-                    at = np.searchsorted(levels[d - 3].key, parent_keys(x.key, d))
-                    a, b = a[at], b[at]
-                a, b = a + b * x.stop * x.one, b * (1 - x.stop)
-                key = (np.uint64(d) << np.uint64(48)) | x.key
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), NODE, np.int32)), pa.array(key.view(np.int64)), pa.array(a + b / 2)], ["kind", "key", "value"])
-            gram, last, p = g["key"].to_numpy().view(np.uint64), levels[-1].key, a + b / 2
-            byte, total = gram & np.uint64(255), np.zeros(len(gram))
-            for k in range(8):
-                node = (gram >> np.uint64(8) << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-                one = p[np.searchsorted(last, node)]
-                total += np.log10(np.where((byte >> np.uint64(7 - k)) & np.uint64(1), one, 1 - one))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), GRAM, np.int32)), pa.array(gram.view(np.int64)), pa.array(total)], ["kind", "key", "value"])
-
-    folder = scratch(spark, "ctw-model")
-    rows = staged(by_group.mapInArrow(predict, "kind int, key long, value double"), "ctw-nodes")
+    def write(batches):
+        for (byte,), g in grouped(batches, ["byte"]):
+            x = level(g.combine_chunks().to_batches()[0])
+            up = parent_keys(x.key, 2).astype(np.int64)
+            order = np.argsort(x.key)
+            parts = (x.key, a1[up] + b1[up] * x.stop * x.one, b1[up] * (1 - x.stop))
+            put(f"{folder}/{byte}", b"".join(v[order].tobytes() for v in parts))
+            yield pa.RecordBatch.from_arrays([pa.array([byte], pa.int64())], ["byte"])
+
+    staged(two.withColumn("byte", F.expr("shiftright(key, 8) & 255")).repartition("byte").sortWithinPartitions("byte", "key").mapInArrow(write, "byte long"), "ctw-second-files")
     tokens = counts.filter(f"kind = {TOKEN}")
     n_tokens, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sizes = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()} | {TOKEN: distinct}
-    every = rows.union(tokens.select("kind", "key", F.col("n").cast("double").alias("value")))
-    blocks: dict[int, list[str]] = {GRAM: [], TOKEN: [], NODE: []}
-    found = {(k, b): p for k, b, p in _write_blocks(every, sizes, folder)}
-    for k, c in sizes.items():
-        blocks[k] = [found.get((k, b), "") for b in range(max(1, -(-c // BLOCK)))]
-    return Model(blocks, top, int(n_tokens), int(distinct))
-
-
-def _sorted_values(paths: list[str], keys: np.ndarray, missing: float) -> np.ndarray:
-    """Values of ascending keys from sorted blocks."""
-    out, own = np.full(len(keys), missing), _block(keys, len(paths)) if len(paths) > 1 else None
-    for k, p in enumerate(paths):
-        if not p:
-            continue
-        t, v = _load(p)
-        some = np.arange(len(keys)) if own is None else np.flatnonzero(own == k)
-        at = np.minimum(np.searchsorted(t, keys[some]), len(t) - 1)
-        hit = t[at] == keys[some]
-        out[some[hit]] = v[at[hit]]
-    return out
+    blocks = _write_blocks(tokens.select("key", F.col("n").cast("double").alias("value")), distinct, scratch(spark, "ctw-tokens"))
+    return Model(seen, folder, a1, b1, top, blocks, int(n_tokens), int(distinct))
+
+
+def _group():
+    return F.expr(f"cast(shiftright(key, 8) & {0xFFFFFF} as int)").alias("g")
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g", "key")
 
 
-def unseen(model: Model, gram: np.ndarray) -> np.ndarray:
-    """log10 probability of bytes after contexts with which training never showed them: each decision by its deepest node."""
+@lru_cache(maxsize=256)
+def _second(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of depth two with one last byte: keys, weight that has stopped times its estimate, weight left."""
+    if not exists(path):
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    data = get(path)
+    n = data.size // 24
+    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float64, n, 8 * n), np.frombuffer(data, np.float64, n, 16 * n)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands among sorted ones, and whether it does."""
+    at = np.searchsorted(keys, wanted)
+    if not len(keys):
+        return at, np.zeros(len(wanted), bool)
+    at = np.minimum(at, len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _from_second(folder: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two weights of nodes of depth two; nan where there is none."""
+    a, b = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+    byte = (keys >> np.uint64(8)) & np.uint64(255)
+    for x in np.unique(byte):
+        some = np.flatnonzero(byte == x)
+        own, oa, ob = _second(f"{folder}/{x}")
+        at, hit = _found(own, keys[some])
+        a[some[hit]], b[some[hit]] = oa[at[hit]], ob[at[hit]]
+    return a, b
+
+
+def predicted(second: str, top: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each n-gram, from whole groups with those that training never showed (n = 0)."""
+    seen = n > 0
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
+    a = b = keys = None
+    for d, x in enumerate(subtree(gram[seen], n[seen])[::-1] if seen.any() else [], 3):
+        up = parent_keys(x.key, d)
+        if d == 3:
+            a, b = _from_second(second, up)
+        else:
+            at, _ = _found(keys, up)
+            a, b = a[at], b[at]
+        a, b, keys = a + b * x.stop * x.one, b * (1 - x.stop), x.key
+        tables.append((keys, a + b / 2))
     byte, total = gram & np.uint64(255), np.zeros(len(gram))
     for k in range(8):
         prefix = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        one = np.full(len(gram), np.nan)
-        for d in range(DEPTH, 1, -1):
-            left = np.flatnonzero(np.isnan(one))
-            ctx = (gram[left] >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
-            key, which = np.unique((np.uint64(d) << np.uint64(48)) | (ctx << np.uint64(8)) | prefix[left], return_inverse=True)
-            one[left] = _sorted_values(model.blocks[NODE], key, np.nan)[which]
-        left = np.flatnonzero(np.isnan(one))
-        one[left] = model.top[((((gram[left] >> np.uint64(8)) & np.uint64(255)) << np.uint64(8)) | prefix[left]).astype(np.int64)]
+        one, left = np.full(len(gram), np.nan), np.arange(len(gram))
+        for d in range(2 + len(tables), 2, -1):
+            at, hit = _found(tables[d - 3][0], _node(gram[left], prefix[left], d))
+            one[left[hit]] = tables[d - 3][1][at[hit]]
+            left = left[~hit]
+        if len(left):
+            a2, b2 = _from_second(second, _node(gram[left], prefix[left], 2))
+            one[left] = a2 + b2 / 2
+            left = left[np.isnan(one[left])]
+            one[left] = top[_node(gram[left], prefix[left], 1).astype(np.int64)]
         total += np.log10(np.where((byte >> np.uint64(7 - k)) & np.uint64(1), one, 1 - one))
     return total
 
 
-def log_probs(model: Model, norm: list[bytes]) -> np.ndarray:
-    """log10 probability of each normal text, its end included."""
-    key, at = grams(norm)
-    paths = model.blocks[GRAM]
-    if len(paths) == 1:
-        value = probe(*_load(paths[0]), key) if paths[0] else np.full(len(key), np.nan)
-    else:
-        value, own = np.full(len(key), np.nan), _block(key, len(paths))
-        for k, p in enumerate(paths):
-            some = np.flatnonzero(own == k)
-            if p and len(some):
-                value[some] = probe(*_load(p), key[some])
-    new = np.flatnonzero(np.isnan(value))
-    if len(new):
-        u, which = np.unique(key[new], return_inverse=True)
-        value[new] = unseen(model, u)[which]
-    return np.add.reduceat(value, at)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _node(gram: np.ndarray, prefix: np.ndarray, depth: int) -> np.ndarray:
+    """The key of the node of a depth on an n-gram's path after some bits of its last byte."""
+    ctx = (gram >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
+    return (ctx << np.uint64(8)) | prefix
+
+
+def values(model: Model, docs: DataFrame, text_col: str) -> list[str]:
+    """Blocks with the value of every n-gram of training and of docs."""
+
+    def run(batches):
+        g, late = Counts(), []
+        for b in slices(batches, "text", 1 << 20):
+            late.append(np.unique(grams(normal(raw(col(b, "text")))[1])[0], return_counts=True))
+            if sum(len(x) for x, _ in late) > HELD // 4:
+                _merge(g, late)
+            if len(g.keys) > HELD:
+                yield from g.rows(GRAM)
+        _merge(g, late)
+        yield from g.rows(GRAM)
+
+    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, key long, n long").select("key").distinct()
+    new = asked.join(model.counts, "key", "left_anti").select(_group(), "key", F.lit(0).cast("long").alias("n"))
+    second, top = model.second, model.top
+
+    def predict(batches):
+        for g in whole(batches, "g", BATCH):
+            value = predicted(second, top, g["key"].to_numpy().view(np.uint64), g["n"].to_numpy())
+            yield pa.RecordBatch.from_arrays([g["key"].combine_chunks(), pa.array(value)], ["key", "value"])
+
+    rows = staged(_by_group(model.counts.union(new)).mapInArrow(predict, "key long, value double"), "ctw-values")
+    return _write_blocks(rows, rows.count(), scratch(docs.sparkSession, "ctw-model"))
+
+
+def _looked_up(paths: list[str], keys: np.ndarray, missing: float) -> np.ndarray:
+    """Values of ascending keys from sorted blocks, each of which is read once."""
+    out, own = np.full(len(keys), missing), _block(keys, len(paths)) if len(paths) > 1 else np.zeros(len(keys), np.int32)
+    for k, p in enumerate(paths):
+        some = np.flatnonzero(own == k)
+        if p and len(some):
+            t, v = _load(p)
+            at, hit = _found(t, keys[some])
+            out[some[hit]] = v[at[hit]]
+    return out
+
+
+def windows(batches, text: str):
+    """Lists of slices that hold some MB of text together."""
+    held, size = [], 0
+    for b in slices(batches, text, 1 << 20):
+        n = sum(map(len, raw(col(b, text))))
+        if held and size + n > WINDOW:
+            yield held
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield held
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", new: DataFrame | None = None) -> DataFrame:
     """id (as doc_id), n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every whole text.
 
-    Null and empty texts are one end. Without training texts every byte has probability 1/256 and every token the
-    base's share of nothing known. Repeated rows score alike.
+    `new` are those rows of docs that training did not read, where the caller knows them; all of docs otherwise. Null and
+    empty texts are one end. Without training texts every byte has probability 1/256 and every token the base's share of
+    nothing known. Repeated rows score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    blocks, token_blocks = values(model, docs if new is None else new, text_col), model.token_blocks
+    tokens, distinct = model.tokens, model.distinct
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        m = shared.value
-        for b in slices(batches, "text", 2 << 20):
-            words, norm = normal(raw(col(b, "text")))
-            h = word_hashes([x for w in words for x in [*w, END]])
-            lens = np.array([len(w) + 1 for w in words], np.int64)
-            at = starts_of(lens)[:-1]
-            u, which = np.unique(h, return_inverse=True)
-            c = _sorted_values(m.blocks[TOKEN], u, 0.0)
-            share = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
-            lp = log_probs(m, norm)
-            n_bytes = np.array([len(x) for x in norm])
-            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(lens), pa.array(np.add.reduceat((c > 0).astype(np.int64)[which], at)), pa.array(np.full(len(lens), m.tokens, np.int64)), pa.array(np.add.reduceat(share[which], at)), pa.array(lp), pa.array(-lp * np.log2(10) / n_bytes)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        for held in windows(batches, "text"):
+            g, t, late = Counts(), Counts(), []
+            for b in held:
+                words, norm = normal(raw(col(b, "text")))
+                late.append(np.unique(grams(norm)[0], return_counts=True))
+                t.add(word_hashes([x for w in words for x in w] + [END]))
+            _merge(g, late)
+            known = open_table(g.keys, _looked_up(blocks, g.keys, np.nan))
+            counts, t_keys = _looked_up(token_blocks, t.keys, 0.0), t.keys
+            for b in held:
+                words, norm = normal(raw(col(b, "text")))
+                h = word_hashes([x for w in words for x in [*w, END]])
+                lens = np.array([len(w) + 1 for w in words], np.int64)
+                at = starts_of(lens)[:-1]
+                u, which = np.unique(h, return_inverse=True)
+                c = counts[np.searchsorted(t_keys, u)]
+                share = np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
+                key, first = grams(norm)
+                lp = np.add.reduceat(probe(*known, key), first)
+                n_bytes = np.array([len(x) for x in norm])
+                yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(lens), pa.array(np.add.reduceat((c > 0).astype(np.int64)[which], at)), pa.array(np.full(len(lens), tokens, np.int64)), pa.array(np.add.reduceat(share[which], at)), pa.array(lp), pa.array(-lp * np.log2(10) / n_bytes)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+            del g, t, known, held
+            release()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("doc_id", "text")
-    model = train(docs.filter(remainder("doc_id", 10) != 0))
-    return score(docs, model).withColumn("held_out", remainder("doc_id", 10) == 0)
+    held_out = remainder("doc_id", 10) == 0
+    return score(docs, train(docs.filter(~held_out)), new=docs.filter(held_out)).withColumn("held_out", held_out)
