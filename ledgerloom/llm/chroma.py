@@ -29,7 +29,9 @@ WIDTH, EDGE = 8, 0.12
 #: Votes and overlapping frames an alignment needs, and the share of bits that may differ.
 VOTES, OVERLAP, MOST_ERROR = 2, 8, 0.25
 #: Frames of a chunk of recordings, and pairs of runs that are counted at once.
-CHUNK, BLOCK = 1 << 20, 1 << 20
+CHUNK, BLOCK = 1 << 21, 1 << 20
+#: Hops that a note of a played text lasts.
+NOTE = 2
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -121,7 +123,7 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
 def melody(text: bytes) -> tuple[np.ndarray, int]:
     """A text played at 8 kHz, one note of two tones a word: recordings for tables that hold none."""
     rate = 8000
-    t = np.arange(HOP) / rate
+    t = np.arange(NOTE * HOP) / rate
     tones = np.sin(2 * np.pi * 220 * 2 ** (np.arange(36) / 12)[:, None] * t).astype(np.float32) * 0.4
     h = np.fromiter(map(zlib.crc32, text.split()), np.int64)
     return (tones[h % 36] + tones[h // 36 % 36]).ravel() if len(h) else np.zeros(0, np.float32), rate
@@ -244,7 +246,17 @@ def align(prints: DataFrame, is_query) -> DataFrame:
     return pairs.unionByName(members)
 
 
+def clip(text):
+    """The last two thirds of a text's words, every tenth of them reversed: a part of a recording with noise."""
+    return F.concat_ws(" ", F.transform(F.slice(F.split(text, r"[\x20\x09-\x0D]+"), F.floor(F.size(F.split(text, r"[\x20\x09-\x0D]+")) / 3).cast("int") + 1, 1 << 30), lambda w, i: F.when(i % 10 == 9, F.reverse(w)).otherwise(w)))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
-    """No table holds audio: every turn of `conversations` is played as a melody. Queries are conversations divisible by 50."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 65536 + F.col("turn")).alias("id"), "text")
-    return align(fingerprints(turns, "id", "text", melody), F.floor(F.col("id") / 65536) % 50 == 0)
+    """No table holds audio: every turn of `conversations` is played as a melody (clip 0), and those of conversations
+    divisible by 50, which are the queries, once more in part and with noise (clip 1), to be found in their whole."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    part = turns.filter("conv_id % 50 = 0 and text is not null").select("conv_id", "turn", F.lit(1).alias("clip"), clip(F.col("text")).alias("text"))
+    every = turns.select("conv_id", "turn", F.lit(0).alias("clip"), "text").union(part)
+    out = align(fingerprints(every.select(F.struct("conv_id", "turn", "clip").alias("id"), "text"), "id", "text", melody), F.col("id.conv_id") % 50 == 0)
+    ids = [F.col(f"{side}_id.{c}").alias(f"{side}_{c}") for side in ("query", "match") for c in ("conv_id", "turn", "clip")]
+    return out.select("kind", *ids, "offset", "votes", "overlap", "bit_error_rate")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, starts_of, table, word_hashes
 
 #: Bytes of context, at most seven.
-DEPTH = 6
+DEPTH = 7
 #: Entries of a block, distinct counts that a task holds before it passes them on, and n-grams that are made trees at once.
 BLOCK, HELD, BATCH = 2_000_000, 4_000_000, 200_000
 #: Text that a scoring task holds while it asks the blocks.
