@@ -450,12 +450,12 @@ def _looked_up(paths: list[str], keys: np.ndarray, missing: float) -> np.ndarray
     return out
 
 
-def windows(batches, text: str):
-    """Lists of slices that hold some MB of text together."""
+def windows(batches, text: str, most: int):
+    """Lists of slices that hold so many bytes of text together at most, or one slice."""
     held, size = [], 0
-    for b in slices(batches, text, 1 << 20):
+    for b in slices(batches, text, min(most, 1 << 20)):
         n = sum(map(len, raw(col(b, text))))
-        if held and size + n > WINDOW:
+        if held and size + n > most:
             yield held
             held, size = [], 0
         held.append(b)
@@ -476,7 +476,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for held in windows(batches, "text"):
+        for held in windows(batches, "text", WINDOW):
             g, t, late = Counts(), Counts(), []
             for b in held:
                 words, norm = normal(raw(col(b, "text")))

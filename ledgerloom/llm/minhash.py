@@ -32,7 +32,7 @@ K, SIGMAS = 64, 5.5
 #: Slots of the count sketch that orders pairs.
 SLOTS = 1 << 20
 #: Members and bytes of sets in a block.
-BLOCK, BLOCK_BYTES = 2000, 16 << 20
+BLOCK, BLOCK_BYTES = 500, 16 << 20
 _R = np.random.default_rng(20240229)
 ODD = _R.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 XOR = _R.integers(0, 1 << 63, K, dtype=np.uint64)

@@ -94,7 +94,9 @@ class Reader:
         index = pa.ipc.open_stream(self.frame(n - 1)).read_all()
         self.width = int(index.schema.metadata[b"width"])
         self.ids, self.where = index["id"].to_pylist(), list(zip(*(index[k].to_pylist() for k in ("frame", "start", "n"))))
-        self.place = {d: i for i, d in enumerate(self.ids)}
+        self.place: dict = {}
+        for i, d in enumerate(self.ids):
+            self.place.setdefault(d, []).append(i)
         self.last: tuple[int, bytes] = (-1, b"")
 
     def frame(self, k: int) -> bytes:
@@ -113,8 +115,9 @@ class Reader:
         w = self.width
         return np.frombuffer(self.last[1], "<u2" if w == 2 else "<u4", n, start * w).astype("<u4")
 
-    def doc(self, doc_id) -> np.ndarray:
-        return self.at_place(self.place[doc_id])
+    def doc(self, doc_id, which: int = 0) -> np.ndarray:
+        """The ids of a document; of several with one id, those of the which-th in the file."""
+        return self.at_place(self.place[doc_id][which])
 
     def docs(self):
         for i, d in enumerate(self.ids):
