@@ -5,7 +5,8 @@ decision has a context tree over the bytes before it, to a fixed depth, with a K
 node. A node's weighted probability is half its own estimate and half the product of its children's; the share of the
 estimate in that sum is the weight with which prediction stops there, so a prediction mixes the estimates of all depths.
 
-All counts come from byte n-grams of all training texts, summed by Spark. Trees that share their last three context bytes
+All counts come from byte n-grams of all training texts. Tasks pass distinct ones on as compressed blocks of keys and
+counts, dealt by hash, which are summed and dealt again by the last three context bytes. Trees that share their last three context bytes
 are independent below depth three, so they are built in batches of whole such groups; depth two is a table of at most
 16.7 million nodes, kept in 256 files, and what lies above has at most 65,280 nodes and is built on the driver. N-grams
 of the texts to score that training never showed get their values from the same trees: each decision is that of the
@@ -28,8 +29,8 @@ from .common import col, exists, get, grouped, mix64, put, raw, release, remaind
 
 #: Bytes of context, at most seven.
 DEPTH = 7
-#: Entries of a block, distinct counts that a task holds before it passes them on, and n-grams that are made trees at once.
-BLOCK, HELD, BATCH = 2_000_000, 4_000_000, 200_000
+#: Entries of a part or block on average, distinct counts that a task holds before it passes them on, and n-grams that are made trees at once.
+BLOCK, HELD, BATCH = 2_000_000, 2_000_000, 200_000
 #: Text that a scoring task holds while it asks the blocks.
 WINDOW = 8 << 20
 END = b"\n"
@@ -58,54 +59,100 @@ def grams(norm: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], starts_of(lens)[:-1]
 
 
+def runs(a: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.concatenate([np.zeros(min(1, len(a)), np.int64), np.flatnonzero(a[1:] != a[:-1]) + 1])
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the sums of what they had."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    if len(parts) > 1:
+        order = np.argsort(keys, kind="stable")  # finds the sorted runs
+        keys, n = keys[order], n[order]
+    at = runs(keys)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
 class Counts:
     """Distinct keys and their counts, merged as they come."""
 
     def __init__(self):
-        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray) -> None:
-        u, c = np.unique(keys, return_counts=True)
-        both, which = np.unique(np.concatenate([self.keys, u]), return_inverse=True)
-        self.keys, self.n = both, np.bincount(which, np.concatenate([self.n, c]), len(both)).astype(np.int64)
+        self.parts.append(np.unique(keys, return_counts=True))
+        if sum(len(k) for k, _ in self.parts[1:]) > HELD // 2:
+            self.parts = [merged(self.parts)]
+
+    def full(self) -> bool:
+        return sum(len(k) for k, _ in self.parts) > HELD
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out, self.parts = merged(self.parts), []
+        return out
+
+
+#: Keys of one part as compressed differences, with a number for each.
+MESSAGE = "kind int, part int, size int, keys binary, n binary"
+
 
-    def rows(self, kind: int):
-        for a in range(0, len(self.keys), 100_000):
-            k = self.keys[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(self.n[a : a + 100_000])], ["kind", "key", "n"])
-        self.__init__()
+def messages(kind: int, keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """A row for each part, from keys in ascending order."""
+    zip_ = lambda x: pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    order = np.argsort(part, kind="stable")
+    keys, n, part = keys[order], n[order], part[order]
+    at = runs(part)
+    ends = np.append(at[1:], len(part))
+    own = [zip_(np.diff(keys[a:e], prepend=np.uint64(0))) for a, e in zip(at, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(part[at].astype(np.int32)), pa.array((ends - at).astype(np.int32)), pa.array(own, pa.binary()), pa.array([zip_(n[a:e]) for a, e in zip(at, ends)], pa.binary())], ["kind", "part", "size", "keys", "n"])
 
 
-def counted(docs: DataFrame, text_col: str) -> DataFrame:
-    """kind, key and n: how often each byte n-gram and each token (by hash) occurs in all texts. Staged."""
+def opened(t: pa.Table, number=np.int64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The keys and numbers of messages."""
+    zip_ = lambda x, size, kind: np.frombuffer(pa.decompress(x, decompressed_size=8 * size, codec="zstd", asbytes=True), kind)
+    return [(np.cumsum(zip_(k, size, np.uint64), dtype=np.uint64), zip_(n, size, number)) for size, k, n in zip(*(t[c].to_pylist() for c in ("size", "keys", "n")))]
+
+
+def group_of(key: np.ndarray) -> np.ndarray:
+    """The last three bytes of context."""
+    return (key >> np.uint64(8)) & np.uint64(0xFFFFFF)
+
+
+def counted(docs: DataFrame, text_col: str, parts: int, folder: str) -> DataFrame:
+    """How often each byte n-gram and each token (by hash) occurs in all texts. Staged.
+
+    Messages of n-grams, dealt by their groups; of tokens, which go to files of the folder, distinct and total numbers.
+    """
 
     def run(batches):
-        g, t, late = Counts(), Counts(), []
+        held = {GRAM: Counts(), TOKEN: Counts()}
         for b in slices(batches, "text", 1 << 20):
             words, norm = normal(raw(col(b, "text")))
-            late += [np.unique(grams(norm)[0], return_counts=True)]
-            t_keys = word_hashes([x for w in words for x in w] + [END] * len(words))
-            t.add(t_keys)
-            if sum(len(x) for x, _ in late) > HELD // 4:
-                _merge(g, late)
-            if len(g.keys) > HELD:
-                yield from g.rows(GRAM)
-            if len(t.keys) > HELD:
-                yield from t.rows(TOKEN)
-        _merge(g, late)
-        yield from g.rows(GRAM)
-        yield from t.rows(TOKEN)
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, key long, n long")
-    return staged(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-
-
-def _merge(g: Counts, late: list) -> None:
-    if late:
-        u, which = np.unique(np.concatenate([g.keys, *[x for x, _ in late]]), return_inverse=True)
-        g.n = np.bincount(which, np.concatenate([g.n, *[c for _, c in late]]), len(u)).astype(np.int64)
-        g.keys = u
-        late.clear()
+            held[GRAM].add(grams(norm)[0])
+            held[TOKEN].add(word_hashes([x for w in words for x in w] + [END] * len(words)))
+            for kind, c in held.items():
+                if c.full():
+                    keys, n = c.take()
+                    yield messages(kind, keys, n, _block(keys, parts))
+        for kind, c in held.items():
+            keys, n = c.take()
+            yield messages(kind, keys, n, _block(keys, parts))
+        release()
+
+    def settle(t: pa.Table) -> pa.Table:
+        kind, part = t["kind"][0].as_py(), t["part"][0].as_py()
+        keys, n = merged(opened(t))
+        if kind == TOKEN:
+            put(f"{folder}/{part}", keys.tobytes() + n.astype(np.float64).tobytes())
+            return pa.table({"kind": pa.array([TOKEN], pa.int32()), "part": pa.array([part], pa.int32()), "size": pa.array([0], pa.int32()), "keys": [b""], "n": [b""], "distinct": [len(keys)], "total": [int(n.sum())]})
+        out = pa.Table.from_batches([messages(GRAM, keys, n, _block(group_of(keys), parts))])
+        return out.append_column("distinct", pa.array(out["size"].to_numpy().astype(np.int64))).append_column("total", pa.array(np.zeros(len(out), np.int64)))
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, MESSAGE)
+    return staged(rows.groupBy("kind", "part").applyInArrow(settle, MESSAGE + ", distinct long, total long"), "ctw-counts")
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -146,25 +193,16 @@ def weighted(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray
     return Level(key, n0, n1, np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700))), below)
 
 
-def whole(batches, name: str, most: int):
-    """Tables of at least `most` rows, but the last, none of which cuts a run of equal values of a column."""
-    held, n, last = [], 0, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = col(b, name).to_numpy()
-        if n >= most:
-            cut = np.flatnonzero(k[1:] != k[:-1])
-            at = int(cut[-1]) + 1 if len(cut) else 0
-            if at or k[0] != last:
-                yield pa.Table.from_batches([*held, b.slice(0, at)])
-                held, n, b = [], 0, b.slice(at)
-        held.append(b)
-        n += b.num_rows
-        last = k[-1]
-    if held:
-        yield pa.Table.from_batches(held)
-    release()
+def in_batches(keys: np.ndarray, n: np.ndarray):
+    """Keys and counts in batches of whole groups; in a group, equal contexts stand together in ascending order of bytes."""
+    order = np.lexsort((keys, group_of(keys)))
+    keys, n = keys[order], n[order]
+    at = np.append(runs(group_of(keys)), len(keys))
+    a = 0
+    while a < len(at) - 1:
+        e = max(a + 1, int(np.searchsorted(at, at[a] + BATCH, side="right")) - 1)
+        yield keys[at[a] : at[e]], n[at[a] : at[e]]
+        a = e
 
 
 def leaves(gram: np.ndarray, n: np.ndarray) -> Level:
@@ -239,72 +277,56 @@ def probe(t: np.ndarray, v: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _load(path: str) -> tuple[np.ndarray, np.ndarray]:
+    if not exists(path):
+        return np.zeros(0, np.uint64), np.zeros(0)
     data = get(path)
     n = data.size // 16
     return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float64, n, 8 * n)
 
 
-def _write_blocks(rows: DataFrame, count: int, folder: str) -> list[str]:
-    """rows: key and value. Writes a sorted file a block and returns the path of each, empty where a block has no rows."""
-    n = max(1, -(-count // BLOCK))
-
-    def deal(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_block(col(b, "key").to_numpy().view(np.uint64), n))], ["key", "value", "block"])
-
-    def write(batches):
-        for (block,), g in grouped(batches, ["block"]):
-            key, value = g["key"].to_numpy().view(np.uint64), g["value"].to_numpy()
-            order = np.argsort(key)
-            path = f"{folder}/{block}"
-            put(path, key[order].tobytes() + value[order].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([path])], ["block", "path"])
-
-    dealt = rows.mapInArrow(deal, "key long, value double, block int").repartition("block").sortWithinPartitions("block")
-    found = dict(tuple(r) for r in staged(dealt.mapInArrow(write, "block int, path string"), "ctw-manifest").collect())
-    return [found.get(k, "") for k in range(n)]
-
-
 @dataclass(frozen=True)
 class Model:
-    """Counts of n-grams, with g (the last three context bytes); the folder of depth two; for depth one and zero the weight that
-    has stopped, times its estimate, the weight left, and their prediction of a one; token blocks, tokens and distinct tokens."""
+    """Messages of n-grams and how many parts they have; the folder of depth two; for depth one the prediction of a one;
+    folder and parts of token counts, tokens, distinct tokens and distinct n-grams."""
 
     counts: DataFrame
+    parts: int
     second: str
-    a1: np.ndarray
-    b1: np.ndarray
     top: np.ndarray
-    token_blocks: list[str]
+    token_folder: str
     tokens: int
     distinct: int
+    grams: int
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all whole texts (null: empty) and builds the upper trees."""
     spark = docs.sparkSession
-    counts = counted(docs, text_col)
-    seen = counts.filter(f"kind = {GRAM}").select(_group(), "key", "n")
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    parts, token_folder, folder = int(n_bytes // (4 * BLOCK)) + 8, scratch(spark, "ctw-tokens"), scratch(spark, "ctw-second")
+    counts = counted(docs, text_col, parts, token_folder)
+    seen = counts.filter(f"kind = {GRAM}").select("kind", "part", "size", "keys", "n")
 
-    def summary(batches):
-        for g in whole(batches, "g", BATCH):
-            x = above(subtree(g["key"].to_numpy().view(np.uint64), g["n"].to_numpy())[-1], 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["key", "n0", "n1", "lp"])
+    def rows_of(levels):
+        arrays = [np.concatenate([getattr(x, c) for x in levels] or [np.zeros(0)]) for c in ("key", "n0", "n1", "below")]
+        return pa.table([pa.array(arrays[0].astype(np.uint64).view(np.int64)), *map(pa.array, arrays[1:])], ["key", "n0", "n1", "lp"])
+
+    def summary(t: pa.Table) -> pa.Table:
+        return rows_of([above(subtree(k, n)[-1], 3) for k, n in in_batches(*merged(opened(t)))])
 
     def sums(rows):
         return rows.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lp").alias("lp"))
 
     def level(b) -> Level:
-        return weighted(*[col(b, x).to_numpy() if x != "key" else col(b, x).to_numpy().view(np.uint64) for x in ("key", "n0", "n1", "lp")])
+        return weighted(col(b, "key").to_numpy().view(np.uint64), *[col(b, x).to_numpy() for x in ("n0", "n1", "lp")])
 
     def raised(batches):
         for b in batches:
             if b.num_rows:
-                x = above(level(b), 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x.key.view(np.int64)), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["key", "n0", "n1", "lp"])
+                yield from rows_of([above(level(b), 2)]).to_batches()
 
     kind = "key long, n0 double, n1 double, lp double"
-    two = staged(sums(_by_group(seen).mapInArrow(summary, kind)), "ctw-second")  # at most 16.7 million rows
+    two = staged(sums(seen.groupBy("part").applyInArrow(summary, kind)), "ctw-second")  # at most 16.7 million rows
     ones = sums(two.mapInArrow(raised, kind)).orderBy("key").toArrow()  # at most 65,280 rows
     l1 = weighted(ones["key"].to_numpy().view(np.uint64), *[ones[x].to_numpy() for x in ("n0", "n1", "lp")])
     l0 = above(l1, 1)
@@ -317,7 +339,6 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     b1[k1] = b0[k1 & 255] * (1 - l1.stop)
     top = np.tile(a0 + b0 / 2, 256)
     top[k1] = a1[k1] + b1[k1] / 2
-    folder = scratch(spark, "ctw-second")
 
     def write(batches):
         for (byte,), g in grouped(batches, ["byte"]):
@@ -329,18 +350,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([byte], pa.int64())], ["byte"])
 
     staged(two.withColumn("byte", F.expr("shiftright(key, 8) & 255")).repartition("byte").sortWithinPartitions("byte", "key").mapInArrow(write, "byte long"), "ctw-second-files")
-    tokens = counts.filter(f"kind = {TOKEN}")
-    n_tokens, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks = _write_blocks(tokens.select("key", F.col("n").cast("double").alias("value")), distinct, scratch(spark, "ctw-tokens"))
-    return Model(seen, folder, a1, b1, top, blocks, int(n_tokens), int(distinct))
-
-
-def _group():
-    return F.expr(f"cast(shiftright(key, 8) & {0xFFFFFF} as int)").alias("g")
-
-
-def _by_group(rows: DataFrame) -> DataFrame:
-    return rows.repartition("g").sortWithinPartitions("g", "key")
+    n = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total")).collect()}
+    return Model(seen, parts, folder, top, token_folder, n[TOKEN]["total"] if TOKEN in n else 0, n[TOKEN]["distinct"] if TOKEN in n else 0, n[GRAM]["distinct"] if GRAM in n else 0)
 
 
 @lru_cache(maxsize=256)
@@ -411,40 +422,50 @@ def _node(gram: np.ndarray, prefix: np.ndarray, depth: int) -> np.ndarray:
     return (ctx << np.uint64(8)) | prefix
 
 
-def values(model: Model, docs: DataFrame, text_col: str) -> list[str]:
-    """Blocks with the value of every n-gram of training and of docs."""
+def values(model: Model, docs: DataFrame, text_col: str) -> tuple[str, int]:
+    """Folder and number of blocks with the value of every n-gram of training and of docs."""
+    parts, second, top = model.parts, model.second, model.top
+    blocks, folder = max(1, -(-model.grams // BLOCK)), scratch(docs.sparkSession, "ctw-model")
 
-    def run(batches):
-        g, late = Counts(), []
+    def ask(batches):
+        g = Counts()
         for b in slices(batches, "text", 1 << 20):
-            late.append(np.unique(grams(normal(raw(col(b, "text")))[1])[0], return_counts=True))
-            if sum(len(x) for x, _ in late) > HELD // 4:
-                _merge(g, late)
-            if len(g.keys) > HELD:
-                yield from g.rows(GRAM)
-        _merge(g, late)
-        yield from g.rows(GRAM)
-
-    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, key long, n long").select("key").distinct()
-    new = asked.join(model.counts, "key", "left_anti").select(_group(), "key", F.lit(0).cast("long").alias("n"))
-    second, top = model.second, model.top
-
-    def predict(batches):
-        for g in whole(batches, "g", BATCH):
-            value = predicted(second, top, g["key"].to_numpy().view(np.uint64), g["n"].to_numpy())
-            yield pa.RecordBatch.from_arrays([g["key"].combine_chunks(), pa.array(value)], ["key", "value"])
-
-    rows = staged(_by_group(model.counts.union(new)).mapInArrow(predict, "key long, value double"), "ctw-values")
-    return _write_blocks(rows, rows.count(), scratch(docs.sparkSession, "ctw-model"))
-
-
-def _looked_up(paths: list[str], keys: np.ndarray, missing: float) -> np.ndarray:
+            g.add(grams(normal(raw(col(b, "text")))[1])[0])
+            if g.full():
+                keys, n = g.take()
+                yield messages(GRAM, keys, n * 0, _block(group_of(keys), parts))
+        keys, n = g.take()
+        yield messages(GRAM, keys, n * 0, _block(group_of(keys), parts))
+        release()
+
+    def predict(t: pa.Table) -> pa.Table:
+        out = []
+        for keys, n in in_batches(*merged(opened(t))):
+            value = predicted(second, top, keys, n)
+            order = np.argsort(keys)
+            out.append(messages(GRAM, keys[order], value[order], _block(keys[order], blocks)))
+        return pa.Table.from_batches(out)
+
+    def write(t: pa.Table) -> pa.Table:
+        part, own = t["part"][0].as_py(), opened(t, np.float64)
+        keys, value = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        put(f"{folder}/{part}", keys[order].tobytes() + value[order].tobytes())
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(ask, MESSAGE)
+    told = model.counts.union(asked).groupBy("part").applyInArrow(predict, MESSAGE)
+    staged(told.groupBy("part").applyInArrow(write, "part int"), "ctw-blocks")
+    return folder, blocks
+
+
+def _looked_up(folder: str, blocks: int, keys: np.ndarray, missing: float) -> np.ndarray:
     """Values of ascending keys from sorted blocks, each of which is read once."""
-    out, own = np.full(len(keys), missing), _block(keys, len(paths)) if len(paths) > 1 else np.zeros(len(keys), np.int32)
-    for k, p in enumerate(paths):
-        some = np.flatnonzero(own == k)
-        if p and len(some):
-            t, v = _load(p)
+    out, own = np.full(len(keys), missing), _block(keys, blocks)
+    order = np.argsort(own, kind="stable")
+    for some in np.split(order, runs(own[order])[1:]):
+        if len(some):
+            t, v = _load(f"{folder}/{own[some[0]]}")
             at, hit = _found(t, keys[some])
             out[some[hit]] = v[at[hit]]
     return out
@@ -471,33 +492,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty texts are one end. Without training texts every byte has probability 1/256 and every token the base's share of
     nothing known. Repeated rows score alike.
     """
-    blocks, token_blocks = values(model, docs if new is None else new, text_col), model.token_blocks
-    tokens, distinct = model.tokens, model.distinct
+    folder, blocks = values(model, docs if new is None else new, text_col)
+    token_folder, parts, tokens, distinct = model.token_folder, model.parts, model.tokens, model.distinct
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for held in windows(batches, "text", WINDOW):
-            g, t, late = Counts(), Counts(), []
+            g, t = Counts(), Counts()
             for b in held:
                 words, norm = normal(raw(col(b, "text")))
-                late.append(np.unique(grams(norm)[0], return_counts=True))
+                g.add(grams(norm)[0])
                 t.add(word_hashes([x for w in words for x in w] + [END]))
-            _merge(g, late)
-            known = open_table(g.keys, _looked_up(blocks, g.keys, np.nan))
-            counts, t_keys = _looked_up(token_blocks, t.keys, 0.0), t.keys
+            keys, t_keys = g.take()[0], t.take()[0]
+            known = open_table(keys, _looked_up(folder, blocks, keys, np.nan))
+            counts = _looked_up(token_folder, parts, t_keys, 0.0)
             for b in held:
                 words, norm = normal(raw(col(b, "text")))
                 h = word_hashes([x for w in words for x in [*w, END]])
                 lens = np.array([len(w) + 1 for w in words], np.int64)
                 at = starts_of(lens)[:-1]
-                u, which = np.unique(h, return_inverse=True)
-                c = counts[np.searchsorted(t_keys, u)]
+                c = counts[np.searchsorted(t_keys, h)]
                 share = np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
                 key, first = grams(norm)
                 lp = np.add.reduceat(probe(*known, key), first)
                 n_bytes = np.array([len(x) for x in norm])
-                yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(lens), pa.array(np.add.reduceat((c > 0).astype(np.int64)[which], at)), pa.array(np.full(len(lens), tokens, np.int64)), pa.array(np.add.reduceat(share[which], at)), pa.array(lp), pa.array(-lp * np.log2(10) / n_bytes)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-            del g, t, known, held
+                yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(lens), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(lens), tokens, np.int64)), pa.array(np.add.reduceat(share, at)), pa.array(lp), pa.array(-lp * np.log2(10) / n_bytes)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+            del known, keys, held
             release()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
