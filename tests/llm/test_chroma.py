@@ -64,3 +64,42 @@ def test_refrain_at_a_second_offset(spark):
     e, f = np.concatenate([new(60), motif[::-1], new(60), longer[::-1]]), np.concatenate([motif[::-1], new(60)])
     got = links(spark, [a, c, e, b, d, f], 3)
     assert got == {(0, 3): (-130, 10, 10, 0.0), (1, 4): (-132, 12, 12, 0.0), (2, 5): (-130, 9, 10, round(1 / 320, 9))}
+
+
+def test_recall_under_noise():
+    """Of the pairs that hold at the true offset, 0.9 or more get the votes, with a tenth to three tenths of the words replaced."""
+    rng = np.random.default_rng(14)
+    vocabulary = [b"w%d" % i for i in range(2000)]
+    fp = lambda words: chroma.fingerprint(chroma.chroma(*chroma.melody(b" ".join(words))))
+    for p in (0.1, 0.2, 0.3):
+        true = found = 0
+        for _ in range(60):
+            words = [vocabulary[i] for i in rng.integers(0, 2000, rng.integers(16, 120))]
+            cut = int(rng.integers(0, len(words) // 4 + 1))
+            other = [vocabulary[rng.integers(2000)] if rng.random() < p else w for w in words[cut:]]
+            a, b = fp(words), fp(other)
+            n, error = chroma.bit_errors(a, b, -cut * chroma.NOTE)
+            if n >= chroma.OVERLAP and error <= chroma.MOST_ERROR:
+                true += 1
+                best = chroma._confirm(a, b)
+                found += best is not None and chroma.offset_votes(a, b)[-cut * chroma.NOTE - 1 + len(a)] >= chroma.VOTES
+        assert true >= 40 and found >= 0.9 * true, (p, true, found)
+
+
+def test_query(spark):
+    """Clips are found in their wholes: the true offset of each that is long enough holds by brute force, and the query has it."""
+    sf = "/root/testdata/sf0.01"
+    rows = chroma.op1(spark, sf).collect()
+    own = {(r.query_conv_id, r.query_turn): r for r in rows if r.kind == "match" and (r.query_clip, r.match_clip) == (1, 0) and (r.query_conv_id, r.query_turn) == (r.match_conv_id, r.match_turn)}
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").filter("conv_id % 50 = 0 and text is not null").collect()
+    fp = lambda words: chroma.fingerprint(chroma.chroma(*chroma.melody(" ".join(words).encode())))
+    wanted = 0
+    for t in turns:
+        words = t.text.split()
+        cut = len(words) // 3
+        a, b = fp([w[::-1] if i % 10 == 9 else w for i, w in enumerate(words[cut:])]), fp(words)
+        n, error = chroma.bit_errors(a, b, cut * chroma.NOTE)
+        if n >= chroma.OVERLAP and error <= chroma.MOST_ERROR and chroma.offset_votes(a, b)[cut * chroma.NOTE - 1 + len(a)] >= chroma.VOTES:
+            wanted += 1
+            assert own[t.conv_id, t.turn].offset == cut * chroma.NOTE
+    assert wanted >= 5

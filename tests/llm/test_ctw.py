@@ -74,6 +74,7 @@ def test_against_the_recursive_form(spark, monkeypatch, sizes):
         monkeypatch.setattr(ctw, "BLOCK", sizes[0] * 10)
         monkeypatch.setattr(ctw, "BATCH", sizes[1])
         monkeypatch.setattr(ctw, "WINDOW", sizes[2])
+        monkeypatch.setattr(ctw, "HELD", 20)
     model = ctw.train(spark.createDataFrame([(x,) for x in TRAIN], "text string"))
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").coalesce(1)
     got = [r.score for r in ctw.score(docs, model).orderBy("doc_id").collect()]

@@ -149,7 +149,8 @@ def test_context_tree(spark, docs):
     assert got[1].n_tokens == 1 and got[1].score == got[2].score < 0 and got[3].score < got[1].score
     none = ctw.score(docs.limit(2), ctw.train(docs.limit(0))).collect()
     assert all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in none)
-    assert sum(10 ** s for s in ctw.log_probs(m, [bytes([b]) + ctw.END for b in range(256) if b != 10])) < 1
+    one = spark.createDataFrame([(b, chr(b)) for b in range(33, 127) if not 65 <= b <= 90], "doc_id int, text string")
+    assert 0 < sum(10**r.score for r in ctw.score(one, m).collect()) < 1
     x = np.array([0.5, 1, 3.7, 100.0])
     assert np.allclose(ctw.lgamma(x), [__import__("math").lgamma(v) for v in x])
 
@@ -165,3 +166,47 @@ def test_chroma(spark):
     assert {(r.query_id, r.match_id) for r in rows if r.kind == "member"} == {(0, 0), (1, 0), (2, 2), (3, None), (4, None)}
     assert [(r.query_id, r.match_id, r.offset) for r in rows if r.kind == "match"] == [(0, 2, -60)]
     assert chroma.decode_wav(b"nothing")[0].size == 0
+
+
+def test_large_groups_meet_their_pivot(spark, monkeypatch):
+    """Groups of many blocks: what is near the pivot, what is near only to that, and what is near to neither."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    rows = [(i, " ".join(f"x{rng.integers(9999)}" if rng.random() < 0.004 * (i % 13) else w for w in base)) for i in range(120)]
+    rows += [(200 + i, t.replace("w1", "v1")) for i, t in rows[:40]]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    root = {i: i for i in sets}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in sets}
+
+
+def test_ablations(spark):
+    """n_only against dropping the rule and judging again."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "# # # # # # # # # # # # a"), (3, "x" * 1200), (4, "one two three four five six seven eight nine ten"), (5, "1 2 3 4 5 6 7 8 9 0 1 2"), (6, "a b c d e f g h i j k l m")], "doc_id long, text string")
+    book = rules.ledger(docs).cache()
+    got = {(r.policy, r.rule): (r.n_fail, r.n_only) for r in rules.ablations(book).collect()}
+    for version, p in rules.POLICIES.items():
+        kept = {r.doc_id for r in book.filter(p.keeps()).collect()}
+        for i, rule in enumerate(rules.RULES):
+            less = rules.Policy(version, p.fatal & ~(1 << i), p.counted & ~(1 << i), p.allowed)
+            assert got[version, rule.name] == (book.filter(rule.fails).count(), len({r.doc_id for r in book.filter(less.keeps()).collect()} - kept))
+    assert any(n for _, n in got.values())
+
+
+def test_shared_folder(spark):
+    """Only where all runs in one process may a machine-local folder stand in for the shared one."""
+    from types import SimpleNamespace
+
+    from ledgerloom.llm import common
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="local-cluster[2,1,1024]"), conf=conf)
+    with pytest.raises(ValueError):
+        common.shared_dir(fake)
