@@ -3,9 +3,10 @@
 A recording becomes frames of twelve pitch-class energies. Filters over rectangles of that image, summed through its
 integral image, compare neighbouring areas; sixteen answers of two bits pack into one integer a frame. Recordings that
 share integers vote for the offset between them; offsets with votes enough are confirmed by the share of differing bits
-over the whole overlap, and the one with most votes of those that pass is taken. Recordings of one fingerprint are one class, and classes are what is aligned. Every frame of every
-class votes. Classes are dealt into chunks, a chunk gets the queries' integers that it holds, and pairs with too few equal
-integers for VOTES at any offset end there; the others are counted offset by offset.
+over the whole overlap, and the one with most votes of those that pass is taken. Recordings of one fingerprint are one
+class, and classes are what is aligned. Every frame votes. Classes are dealt into chunks and queries into blocks, and
+each block meets each chunk: an inverted list of the chunk's integers gives the offsets at which a query has votes, all
+recordings at once, and bit errors are counted there and then, so nothing but alignments leaves a task.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ FRAME, HOP, LOW, HIGH = 1024, 256, 110.0, 2500.0
 WIDTH, EDGE = 8, 0.12
 #: Votes and overlapping frames an alignment needs, and the share of bits that may differ.
 VOTES, OVERLAP, MOST_ERROR = 2, 8, 0.25
-#: Frames of a chunk of recordings, and pairs of runs that are counted at once.
-CHUNK, BLOCK = 1 << 21, 1 << 20
+#: Frames of a chunk of recordings or a block of queries, and pairs of runs or of frames that are compared at once.
+CHUNK, BLOCK = 1 << 20, 1 << 21
 #: Hops that a note of a played text lasts.
 NOTE = 2
 
@@ -99,18 +100,6 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_offset(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """Offset (place in b less place in a) with most equal integers, its votes, and the share of differing bits."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a), np.searchsorted(b[order], a, side="right")
-    offsets = np.concatenate([order[x:y] - i for i, (x, y) in enumerate(zip(lo, hi))] or [np.zeros(0, int)])
-    if not len(offsets):
-        return 0, 0, 1.0
-    u, c = np.unique(offsets, return_counts=True)
-    k = int(c.argmax())
-    return int(u[k]), int(c[k]), bit_errors(a, b, int(u[k]))[1]
-
-
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     """Overlapping frames at an offset, and the share of bits that differ there."""
     start, end = max(0, -offset), min(len(a), len(b) - offset)
@@ -151,65 +140,99 @@ def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(at, append=len(fp))
 
 
-def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal integers at every offset (place in b less place in a) from 1 - len(a) on.
+class Chunk:
+    """Recordings in one row, with room for a query of `most` frames before each, and their runs of one integer in the integers' order."""
+
+    def __init__(self, fps: list[np.ndarray], most: int):
+        lens = np.array([len(x) for x in fps], np.int64)
+        self.lens, self.flat, self.first = lens, np.concatenate(fps), starts_of(lens)[:-1]
+        self.at = self.first + most * np.arange(1, len(fps) + 1)
+        runs = [_runs(x) for x in fps]
+        start, self.length = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        own = np.repeat(np.arange(len(fps)), [len(r[0]) for r in runs])
+        value = self.flat[start + self.first[own]]
+        order = np.argsort(value, kind="stable")
+        self.value, self.place, self.length = value[order], (start + self.at[own])[order], self.length[order]
+
+
+def votes(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Where a query's first frame may stand in a chunk's row with VOTES or more equal integers, and how many there are.
 
-    Two runs of one integer add a trapezoid of votes, of which the bends are summed, so long runs cost no more than short ones.
+    Two runs of one integer add a trapezoid of votes over the places, of which the four bends are summed, so long runs cost
+    no more than short ones.
     """
-    (sa, la), (sb, lb) = _runs(a), _runs(b)
-    order = np.argsort(b[sb], kind="stable")
-    lo = np.searchsorted(b[sb[order]], a[sa])
-    n = np.searchsorted(b[sb[order]], a[sa], side="right") - lo
-    bends = np.zeros(len(a) + len(b) + 1, np.int64)
-    block = np.cumsum(n) // BLOCK
-    for some in np.split(np.arange(len(sa)), np.flatnonzero(np.diff(block)) + 1):
-        i, first = np.repeat(some, n[some]), starts_of(n[some])
-        j = order[np.arange(first[-1]) + np.repeat(lo[some] - first[:-1], n[some])]
-        at = sb[j] - sa[i] - la[i] + len(a)
-        for place, sign in ((at, 1), (at + la[i], -1), (at + lb[j], -1), (at + la[i] + lb[j], 1)):
-            bends += sign * np.bincount(place, minlength=len(bends))
-    return bends.cumsum().cumsum()[: len(a) + len(b) - 1]
-
-
-def _confirm(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
-    """Offset, votes, overlap and share of differing bits of the best alignment that holds (most votes, then the least offset), or none."""
-    votes = offset_votes(a, b)
-    at = np.flatnonzero(votes >= VOTES)
-    for k in at[np.argsort(-votes[at], kind="stable")].tolist():
-        overlap, error = bit_errors(a, b, k + 1 - len(a))
-        if overlap >= OVERLAP and error <= MOST_ERROR:
-            return k + 1 - len(a), int(votes[k]), overlap, error
-    return None
-
-
-def _post(batches):
-    """The distinct integers of recordings, with how often each stands there."""
-    for b in batches:
-        found = [np.unique(np.frombuffer(x, np.uint32), return_counts=True) for x in col(b, "fp").to_pylist()]
-        if found:
-            sizes = [len(v) for v, _ in found]
-            own = [pa.array(np.repeat(col(b, c).to_numpy(), sizes)) for c in ("r", "chunk")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for v, _ in found]).astype(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int32)), *own], ["value", "n", "r", "chunk"])
+    start, length = _runs(a)
+    low = np.searchsorted(chunk.value, a[start])
+    n = np.searchsorted(chunk.value, a[start], side="right") - low
+    places, bends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = starts_of(n)
+    for x in range(0, int(first[-1]), BLOCK):
+        pair = np.arange(x, min(x + BLOCK, int(first[-1])))
+        i = np.searchsorted(first, pair, side="right") - 1
+        j = low[i] + pair - first[i]
+        rise, stay = length[i], chunk.length[j]
+        at = chunk.place[j] - start[i] - rise + 1
+        one = np.ones(len(at), np.int64)
+        places = np.concatenate([places, at, at + rise, at + stay, at + rise + stay])
+        bends = np.concatenate([bends, one, -one, -one, one])
+        order = np.argsort(places, kind="stable")
+        places, bends = places[order], bends[order]
+        new = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+        places, bends = places[new], np.add.reduceat(bends, new)
+        kept = bends != 0
+        places, bends = places[kept], bends[kept]
+    if not len(places):
+        return places, bends
+    slope, width = bends.cumsum(), np.diff(places, append=places[-1:])
+    end = (slope * width).cumsum()
+    before = end - slope * width
+    some = np.flatnonzero((np.maximum(before + slope, end) >= VOTES) & (width > 0))
+    step = np.arange(width[some].sum()) - np.repeat(starts_of(width[some])[:-1], width[some])
+    some = np.repeat(some, width[some])
+    count = before[some] + slope[some] * (step + 1)
+    return (places[some] + step)[count >= VOTES], count[count >= VOTES]
+
+
+def search(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, ...]:
+    """Recording, offset, votes, overlap and share of differing bits of a query's best alignment with each recording that has one.
+
+    Best is that of most votes, and then the least offset, of those with OVERLAP frames and at most MOST_ERROR of bits differing.
+    """
+    place, count = votes(a, chunk)
+    r = np.searchsorted(chunk.at - len(a) + 1, place, side="right") - 1
+    offset = place - chunk.at[r]
+    start, end = np.maximum(0, -offset), np.minimum(len(a), chunk.lens[r] - offset)
+    long = np.flatnonzero(end - start >= OVERLAP)
+    r, offset, count, start, n = r[long], offset[long], count[long], start[long], (end - start)[long]
+    differ, first = np.zeros(len(r), np.int64), starts_of(n)
+    x = 0
+    while x < len(r):
+        y = max(x + 1, int(np.searchsorted(first, first[x] + BLOCK, side="right")) - 1)
+        i = np.arange(first[y] - first[x]) + np.repeat(start[x:y] - first[x:y] + first[x], n[x:y])
+        j = i + np.repeat(offset[x:y] + chunk.first[r[x:y]], n[x:y])
+        differ[x:y] = np.add.reduceat(np.bitwise_count(a[i] ^ chunk.flat[j]).astype(np.int64), first[x:y] - first[x])
+        x = y
+    error = differ / np.maximum(1, 32 * n)
+    good = np.flatnonzero(error <= MOST_ERROR)
+    good = good[np.lexsort((offset[good], -count[good], r[good]))]
+    good = good[np.concatenate([np.ones(min(1, len(good)), bool), r[good[1:]] != r[good[:-1]]])]
+    return r[good], offset[good], count[good], n[good], error[good]
 
 
 def _meet(asked: pa.Table, there: pa.Table) -> pa.Table:
-    """Pairs of a query and a recording of the chunk whose equal integers can make VOTES at one offset."""
-    value, n, q = (asked[c].to_numpy() for c in ("value", "n", "q"))
-    order = np.argsort(value, kind="stable")
-    value, n, q = value[order], n[order], q[order]
-    qs, rs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r, x in zip(there["r"].to_pylist(), there["fp"].to_pylist()) if len(q) else ():
-        v, m = np.unique(np.frombuffer(x, np.uint32).astype(np.int64), return_counts=True)
-        lo = np.searchsorted(value, v)
-        k = np.searchsorted(value, v, side="right") - lo
-        first = starts_of(k)
-        at = np.arange(first[-1]) + np.repeat(lo - first[:-1], k)
-        who, place = np.unique(q[at], return_inverse=True)
-        most = np.bincount(place, np.minimum(n[at], np.repeat(m, k)), len(who))  # an integer votes no oftener at an offset
-        who = who[(most >= VOTES) & (who != r)]
-        qs.append(who)
-        rs.append(np.full(len(who), r))
-    return pa.table({"q": np.concatenate(qs), "r": np.concatenate(rs)})
+    """The alignments of a block of queries with a chunk of recordings."""
+    queries = [np.frombuffer(x, np.uint32) for x in asked["fp"].to_pylist()]
+    out: list[tuple] = []
+    if queries and len(there):
+        chunk = Chunk([np.frombuffer(x, np.uint32) for x in there["fp"].to_pylist()], max(map(len, queries)))
+        ids = there["r"].to_numpy()
+        for q, a in zip(asked["r"].to_pylist(), queries):
+            r, *found = search(a, chunk)
+            other = ids[r] != q
+            out.append((np.full(int(other.sum()), q), ids[r][other], *[x[other] for x in found]))
+    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+    return pa.table([pa.array(x).cast(k) for x, k in zip(columns, kinds)], ["q", "r", "offset", "votes", "overlap", "bit_error_rate"])
 
 
 def align(prints: DataFrame, is_query) -> DataFrame:
@@ -222,24 +245,15 @@ def align(prints: DataFrame, is_query) -> DataFrame:
     """
     some = prints.filter("n > 0 and id is not null")
     reps = staged(some.groupBy("r").agg(F.min(F.struct("id", "fp")).alias("m"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("asks")).select("r", "copies", "asks", "m.*"), "chroma-classes")
-    frames = reps.agg(F.sum(F.length("fp").cast("long"))).first()[0] or 0
-    dealt = reps.select("r", "asks", "fp", F.pmod("r", F.lit(1 + frames // (4 * CHUNK))).alias("chunk"))
-
-    post = lambda rows: rows.select("r", "chunk", "fp").mapInArrow(_post, "value long, n int, r long, chunk long")
-    asked = post(dealt.filter("asks = 1")).select("value", "n", F.col("r").alias("q"))
-    met = asked.join(post(dealt).select("value", "chunk").distinct(), "value")
-    near = met.groupBy("chunk").cogroup(dealt.select("chunk", "r", "fp").groupBy("chunk")).applyInArrow(_meet, "q long, r long")
-    both = staged(near, "chroma-pairs").join(reps.select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("fp").alias("qfp")), "q").join(reps.select("r", F.col("id").alias("match_id"), "fp"), "r")
-
-    def confirm(batches):
-        for b in batches:
-            found = [_confirm(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(col(b, "qfp").to_pylist(), col(b, "fp").to_pylist())]
-            rows = b.filter(pa.array([x is not None for x in found], pa.bool_()))
-            offset, votes, overlap, error = zip(*[x for x in found if x]) if rows.num_rows else ([],) * 4
-            yield pa.RecordBatch.from_arrays([*[col(rows, c) for c in ("query_id", "match_id")], pa.array(offset, pa.int32()), pa.array(votes, pa.int64()), pa.array(overlap, pa.int32()), pa.array(error, pa.float64())], ["query_id", "match_id", "offset", "votes", "overlap", "bit_error_rate"])
-
-    kind = prints.schema["id"].dataType.simpleString()
-    pairs = both.mapInArrow(confirm, f"query_id {kind}, match_id {kind}, offset int, votes long, overlap int, bit_error_rate double")
+    frames, of_queries = (x or 0 for x in reps.agg(F.sum(F.length("fp").cast("long")), F.sum(F.when(F.col("asks") == 1, F.length("fp").cast("long")))).first())
+    chunks, blocks = 1 + frames // (4 * CHUNK), 1 + of_queries // (4 * CHUNK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("r"), F.lit(n)).cast("int")
+    asked = reps.filter("asks = 1").select("r", "fp", dealt(blocks).alias("block"), every(chunks).alias("chunk"))
+    there = reps.select("r", "fp", every(blocks).alias("block"), dealt(chunks).alias("chunk"))
+    met = asked.groupBy("block", "chunk").cogroup(there.groupBy("block", "chunk")).applyInArrow(_meet, "q long, r long, offset int, votes long, overlap int, bit_error_rate double")
+    pairs = staged(met, "chroma-pairs").join(reps.select(F.col("r").alias("q"), F.col("id").alias("query_id")), "q").join(reps.select("r", F.col("id").alias("match_id")), "r")
+    pairs = pairs.select("query_id", "match_id", "offset", "votes", "overlap", "bit_error_rate")
     pairs = pairs.select(F.lit("match").alias("kind"), "*")
     members = prints.select("id", "r", "n").join(reps.select("r", F.col("id").alias("match_id")), "r", "left")
     members = members.select(F.lit("member").alias("kind"), F.col("id").alias("query_id"), F.when(F.col("n") > 0, F.col("match_id")).alias("match_id"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("votes"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error_rate"))
