@@ -44,12 +44,28 @@ def test_every_frame_votes(spark):
     assert len(want) >= 35 and links(spark, fps, len(asks)) == want
 
 
-def test_offset_votes_of_runs(monkeypatch):
+def test_votes_of_runs(monkeypatch):
+    """Votes and alignments in rows of several recordings, with long runs and small blocks."""
     rng = np.random.default_rng(12)
     monkeypatch.setattr(chroma, "BLOCK", 7)
+    monkeypatch.setattr(chroma, "OVERLAP", 2)
+    monkeypatch.setattr(chroma, "MOST_ERROR", 0.02)
+    new = lambda: np.repeat(rng.integers(0, 3, n := rng.integers(1, 12)), rng.integers(1, 5, n)).astype(np.uint32)
     for _ in range(60):
-        a, b = (np.repeat(rng.integers(0, 3, n), rng.integers(1, 5, n)).astype(np.uint32) for n in rng.integers(1, 12, 2))
-        assert dict(zip(range(1 - len(a), len(b)), chroma.offset_votes(a, b).tolist())) == votes_at(a, b)
+        a, fps = new(), [new() for _ in range(rng.integers(1, 5))]
+        chunk = chroma.Chunk(fps, len(a) + 3)
+        place, count = chroma.votes(a, chunk)
+        got = dict(zip(place.tolist(), count.tolist()))
+        every = [votes_at(a, b) for b in fps]
+        assert got == {int(chunk.at[k]) + o: v for k, at in enumerate(every) for o, v in at.items() if v >= chroma.VOTES}
+        want = {}
+        for k, (b, at) in enumerate(zip(fps, every)):
+            good = [(-v, o, *chroma.bit_errors(a, b, o)) for o, v in at.items() if v >= chroma.VOTES]
+            good = [g for g in good if g[2] >= 2 and g[3] <= 0.02]
+            if good:
+                v, o, n, e = min(good)
+                want[k] = (o, -v, n, e)
+        assert {r: x for r, *x in zip(*map(np.ndarray.tolist, chroma.search(a, chunk)))} == {k: list(v) for k, v in want.items()}
 
 
 def test_refrain_at_a_second_offset(spark):
@@ -81,8 +97,7 @@ def test_recall_under_noise():
             n, error = chroma.bit_errors(a, b, -cut * chroma.NOTE)
             if n >= chroma.OVERLAP and error <= chroma.MOST_ERROR:
                 true += 1
-                best = chroma._confirm(a, b)
-                found += best is not None and chroma.offset_votes(a, b)[-cut * chroma.NOTE - 1 + len(a)] >= chroma.VOTES
+                found += -cut * chroma.NOTE in chroma.search(a, chroma.Chunk([b], len(a)))[1]
         assert true >= 40 and found >= 0.9 * true, (p, true, found)
 
 
@@ -99,7 +114,7 @@ def test_query(spark):
         cut = len(words) // 3
         a, b = fp([w[::-1] if i % 10 == 9 else w for i, w in enumerate(words[cut:])]), fp(words)
         n, error = chroma.bit_errors(a, b, cut * chroma.NOTE)
-        if n >= chroma.OVERLAP and error <= chroma.MOST_ERROR and chroma.offset_votes(a, b)[cut * chroma.NOTE - 1 + len(a)] >= chroma.VOTES:
+        if n >= chroma.OVERLAP and error <= chroma.MOST_ERROR and votes_at(a, b)[cut * chroma.NOTE] >= chroma.VOTES:
             wanted += 1
             assert own[t.conv_id, t.turn].offset == cut * chroma.NOTE
     assert wanted >= 5
