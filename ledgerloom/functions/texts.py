@@ -13,9 +13,9 @@ ITEM_CODE = r"\b(?:[A-Z]{2,5}\d{1,4}[A-Z]?\d{0,2}|[A-Z]\d[A-Z]{1,3}\d{2,4}[A-Z]?
 PREFIXED = r"(?i)L\s*:\s*([A-Z0-9]+)\s*-\s*([A-Z0-9]*)\s*:\s*([0-9A-Z]+)"
 #: Component formats in the order in which they are tried (fixed values): pattern, group of the code, confidence.
 FORMATS = {
-    "PREFIXED": (r"L:\w+\s*-\d+:(\w+)", 1, 0.95),
-    "SIMPLE": (r"(?m)^\s*\d+\.\d+\s+([A-Z0-9]+)\s*-", 1, 0.85),
-    "MARKER": (r">>>\s*componenta\s+\d+\s+\d+\s+([A-Z0-9]+)", 1, 0.90),
+    "PREFIXED": (r"L\s*:\s*([A-Z0-9]+)\s*-\s*([A-Z0-9]*)\s*:\s*([0-9A-Z]+)", 3, 0.95),
+    "SIMPLE": (r"(\d+\.\d+)\s+([A-Z0-9]+)\s*-", 2, 0.95),
+    "MARKER": (r">>>\s*componenta\s+(\d+)\s+(\d+)\s+([A-Z0-9]+)", 3, 0.95),
 }
 
 

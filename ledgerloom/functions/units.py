@@ -16,12 +16,12 @@ KNOWN_UNITS = (
 NOT_UNITS = ("ASIM", "TSCH", "SCH", "UM", "NR", "CRT", "TOTAL", "PU", "VAL")
 # Synonyms on the line path; kg as tona and l as ml lose the scale, as results require.
 SYNONYMS = {
-    "mc": ("mc", "m3", "m cub", "metri cubi", "metru cub"),
-    "mp": ("mp", "m2", "metri patrati", "metru patrat"),
-    "buc": ("buc", "bucata", "bucati", "bucat"),
-    "ml": ("ml", "l", "metri liniari", "metru liniar"),
-    "tona": ("tona", "tone", "to", "t", "kg"),
-    "m": ("m", "metri", "metru"),
+    "mc": ("m cub", "m3", "mc", "m³"),
+    "mp": ("mp", "m²", "m2"),
+    "buc": ("buc", "bucata", "buc.", "bucati"),
+    "ml": ("ml", "litru", "l", "ltr"),
+    "tona": ("tona", "ton", "t", "kg"),
+    "m": ("m", "meter", "mt"),
 }
 
 
@@ -32,8 +32,8 @@ def compare_unit(c) -> Column:
 
 
 def line_unit(c) -> Column:
-    """A unit by its synonym; others lower-cased, without dots."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text(c)), r"\.", ""), r"\s+", " "))
+    """A unit by its synonym; others lower-cased."""
+    t = F.lower(text(c))
     out = t
     for name, words in SYNONYMS.items():
         out = F.when(t.isin(*words), name).otherwise(out)
@@ -51,7 +51,7 @@ def is_unit(c) -> Column:
     return (
         F.when(low.isin("m cub", "m3", "m cu b") | low.contains("m²") | low.contains("m2"), True)
         .when((t == "") | t.isin(*NOT_UNITS), False)
-        .when(low.rlike(r"\d"), False)
+        .when(low.rlike(r"\d") & ~t.isin("M2", "M3"), False)
         .when(t.isin(*KNOWN_UNITS), True)
         .otherwise(t.rlike(r"[?!|~^]") & quiet.isin(*KNOWN_UNITS))
     )

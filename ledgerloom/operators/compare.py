@@ -13,8 +13,15 @@ PRICES = (*(p for p, _ in PAIRS), *(v for _, v in PAIRS))
 #: A numeric difference counts beyond this and beyond this part of the larger value; a product beyond one hundredth.
 ABSOLUTE, RELATIVE, ARITHMETIC = 0.05, 0.005, 0.01
 DIFF = "array<struct<tip:string,camp:string,ref:double,oferta:double,ref_text:string,oferta_text:string>>"
-#: Which discrepancy of a pair stays when several are found (larger first).
-PRIORITY = {"COD_SIMILAR": 5, "DEVIZ_MISMATCH": 4, "UM_DIFERIT": 3, "DIFERENTA_CAMP": 2, "EROARE_ARITMETICA": 1}
+# Which discrepancy of a pair stays when several are found (larger first, all others 0).
+PRIORITY = {"COD_SIMILAR": 3, "ARTICOL_ORPHAN": 2, "DIFERENTA_CAMP": 1, "UM_DIFERIT": 1}
+#: Fields in the order in which a pair's differences are found.
+FIELD_ORDER = ("um", *QUANTITY, *PRICES)
+
+
+def field_rank(camp: str = "camp") -> Column:
+    """A field's place among a pair's differences; what is no field comes last."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, FIELD_ORDER)), F.coalesce(F.col(camp), F.lit(""))).cast("int"), F.lit(0)).cast("int")
 
 
 def differs(a: Column, b: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions.similarity import code_ratio_from, description_ratio, token_sco
 from ..functions.texts import extra_description
 from ..functions.units import compare_unit
 from ..session import ship, staged
-from .compare import dedup_discrepancies, diffs, lenient
+from .compare import dedup_discrepancies, diffs, field_rank, lenient
 from .dedup import dedup_items
 
 PAIRS = "ref_seq long, of_seq long, layer string, score double"
@@ -278,7 +278,7 @@ def _side(name: str, here: str) -> Column:
 
 def final_discrepancies(every: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """The discrepancies after the dedup by (ref_cod, oferta_cod)."""
-    return dedup_discrepancies(every, [F.coalesce("ref_seq", F.lit(1 << 62)), F.coalesce("of_seq", F.lit(1 << 62)), "camp"], scope)
+    return dedup_discrepancies(every, [F.coalesce("ref_seq", F.lit(1 << 62)), F.coalesce("of_seq", F.lit(1 << 62)), field_rank()], scope)
 
 
 def code_similarity_candidates(ref: DataFrame, offer: DataFrame, least: float = 0.75) -> DataFrame:

@@ -19,6 +19,8 @@ PAGED = r"(?i)^.{0,149}?\b[A-Z0-9]{6}\s+pag\b"
 EXPLICIT = r"(?i)Deviz\s+Oferta\s+([A-Z0-9]{5,8})"
 OBJECT = r"(?i)Obiectul\s*:\s*([0-9.]*)\s*(.+?)(?=Categoria|Stadiul|Beneficiar|Nr\.|Lista|$)"
 CATEGORY = r"(?i)(?:Categoria\s+de\s+lucrari|Stadiul\s+fizic)\s*:\s*([0-9]{0,4})\s*(.+?)(?=Beneficiar|Nr\.|Lista|OBSE|Executant|Proiectant|Formular|e\s+Devize|$)"
+#: What follows the physical-stage label: labels that OCR put between, the word oferta, a chapter number, a code of 5 to 8 signs with three digits in a row.
+STAGED = r"(?i)STADIU[L]?\s+FIZIC\s*:\s*(?:(?:Beneficiar|Proiectant|Executant|Ofertant|Obiectul|Obiectiv)\s*:\s*){0,3}(?:oferta\s+)?(?:\d{1,3}\s+)?((?=[A-Z0-9]*\d{3})[A-Z0-9]{5,8})(?![A-Z0-9])\s*(.*?)(?=\s*(?:Beneficiar|Proiectant|Executant|Ofertant|Formular|e\s+Devize|Lista)|\s+Pag\s+\d|\s+0\s+1\s+2|\s+Recapitulati|$)"
 PARTIAL = "__partial__"
 NAMED = "struct<num:string,text:string>"
 
@@ -36,16 +38,22 @@ def page_text(rows: DataFrame) -> DataFrame:
 
 
 def section_of(full: Column) -> Column:
-    """method, code and the object's and category's number and text of a page's section, by the first of four ways."""
+    """method, code and the object's and category's number and text of a page's section, by the first of five ways.
+
+    explicit (the label of a bid's section), compound (two numbers), stage (a code after the physical-stage label), partial
+    (texts that wait for a reference), none.
+    """
     group = lambda p, i: F.trim(F.regexp_extract(full, p, i))
     explicit = F.upper(F.regexp_extract(full, EXPLICIT, 1))
     on, ot, cn = group(OBJECT, 1), group(OBJECT, 2), group(CATEGORY, 1)
     ct = F.substring(F.trim(F.regexp_extract(group(CATEGORY, 2), r"^(.*?)(?:\s+Pag\s+\d+.*|\s+0\s+1\s+2\s+3.*)?$", 1)), 1, 60)
+    stage = group(STAGED, 1)
     pair = F.struct(on.alias("num"), ot.alias("text")), F.struct(cn.alias("num"), ct.alias("text"))
     make = lambda method, code, both: F.struct(F.lit(method).alias("method"), code.alias("code"), (pair[0] if both else F.lit(None).cast(NAMED)).alias("object"), (pair[1] if both else F.lit(None).cast(NAMED)).alias("category"))
     return (
         F.when(explicit != "", make("explicit", explicit, False))
         .when((on != "") & (cn != ""), make("compound", F.concat_ws("-", on, cn), True))
+        .when(stage != "", F.struct(F.lit("stage").alias("method"), F.upper(stage).alias("code"), pair[0].alias("object"), F.struct(F.lit("").alias("num"), F.substring(group(STAGED, 2), 1, 60).alias("text")).alias("category")))
         .when((ot != "") | (ct != ""), make("partial", F.concat(F.lit(PARTIAL), F.substring(ot, 1, 40), F.lit(":"), F.substring(ct, 1, 40)), True))
         .otherwise(make("none", F.lit(""), False))
     )

@@ -41,13 +41,18 @@ LABEL = re.compile(r"^(?:material|manopera|utilaj|transport)\s*:", I)
 COMPONENT = re.compile(r">>>\s*component[a-z]?\b", I)
 SPEC = re.compile(r"^(?:[A-Z]{1,2}\d{2}|[A-Z]\d{3,5})$", I)
 MODEL = re.compile(r"^[A-Z]{2,3}\d{2,4}$", I)
-SKIP = re.compile(
-    r"Cheltuieli\s+(?:directe|indirecte)|Total\s+cheltuieli|Profit|TOTAL\s+GENERAL|TVA|contributie\s+asiguratorie|Formular\s+generat|Pagina\s+\d+\s+din|"
-    r"Deviz\s+[\"']?\d+(?:\.\d+)?[\"']?\s*[-–]?\s*Formular\s+F3|^\d+\s+pag|^pag\s|\bpag$|Lista\s+cu\s+cantitati|Categoria\s+de\s+lucrari|Persoana\s+juridica|"
-    r"Obiectul\s*:|^Deviz\s+oferta|^=\s*$|^NR\.?\s+SIMBOL|^CANTITATE$|^PU\s|^SPOR\s|^(?:MATERIALE|MANOPERA|UTILAJ|TRANSPORT|GREUTATE|TOTAL|ARTICOL)$|Din\s+care:|Valoare\s+aferenta|PROIECTANT|S\.R\.L\.|\bSRL\b",
-    I,
+# Lines that never belong to an item.
+SKIPPED = (
+    r"Cheltuieli\s+directe", r"Total\s+cheltuieli", r"Cheltuieli\s+indirecte", r"Profit", r"TOTAL\s+GENERAL", r"TVA", r"contributie\s+asiguratorie",
+    r"Formular\s+generat\s+cu\s+programul", r"Pagina\s+\d+\s+din\s+\d+", r"Deviz\s+[\"']?\d+(?:\.\d+)?[\"']?\s*[-–]?\s*Formular\s+F3", r"^\d+\s+pag", r"^pag\s", r"\bpag$",
+    r"Lista\s+cu\s+cantitati", r"Categoria\s+de\s+lucrari", r"Persoana\s+juridica", r"Obiectul\s*:", r"^Deviz\s+oferta", r"^=\s*$", r"^NR\.\s+SIMBOL", r"^CANTITATE$", r"^PU\s", r"^GR\.\s+", r"^SPOR\s",
+    r"^(MATERIALE|MANOPERA|UTILAJ|TRANSPORT|GREUTATE|TOTAL|ARTICOL)$", r"^\d{4,8}$", r"Din\s+care:", r"Valoare\s+aferenta", r"PROIECTANT", r"ORIGEN\s+STUDIE", r"SIGN\s+", r"S\.\s+C\.\s+", r"Artisan", r"-\s+proiect", r"424",
+    r"STE[\-\s]", r"TARGO", r"DAMBO", r"\d{3}-?rev[/\s]+\d{4}", r"[A-Z\s]*S\.R\.L\.", r"[A-Z]{2,}\s+SRL", r"(?:proiect|project)\s+(?:initial|inițial|integral|actualizat|updated)", r"-\s+(?:proiect|project)", r"(?:design|studio|solutions?)(?:\s+|\.)*s\.?r\.?l\.?",
 )
-FOOTER = re.compile(r"\bpag(?:ina)?\b|Formular|e\s*Devize", I)
+SKIP = re.compile("|".join(SKIPPED), I)
+#: Where an item of this section's number ends: its page's footer.
+SECTION_FOOTER = re.compile(r"deviz\s+['\"]?\d{5,8}['\"]?\s*[-–]?\s*formular\s+f3", I)
+FOOTER = re.compile(r"^pag|formular\s+f3|e\s+devize", I)
 PRICES = tuple(f"{a}_{b}" for b in ("material", "manopera", "utilaj", "transport") for a in ("pret", "val"))
 COLUMNS = "doc_id string, seq long, cod string, denumire string, um string, cantitate double, deviz string, deviz_denumire string, is_component boolean, parent_code string, subcomponents array<string>, " + ", ".join(f"{p} double" for p in PRICES)
 
@@ -69,6 +74,8 @@ def unit(token: str) -> str | None:
         return "mc"
     if low in ("m²", "m2", "mp"):
         return "mp"
+    if "m²" in low or "m2" in low:
+        return t.lower()
     if not t or t in NOT_UNITS or re.search(r"\d", token):
         return None
     quiet = re.sub(r"[?!|~^]", "", t)
@@ -97,7 +104,7 @@ class Machine:
         self.waiting = 0
         self.linked = self.marked = False
         self.last_number = 0
-        self.parent = ""
+        self.parent = self.line = self.next = ""
 
     @property
     def state(self) -> str:
@@ -110,16 +117,19 @@ class Machine:
         code, text = it.code.upper(), re.sub(r"\s+", " ", " ".join(it.parts)).strip()
         if code.isdigit():
             code = "$" + code
-        if "/" in code or unit(code) or (SPEC.match(code) and not it.quantity and not it.um) or re.fullmatch(r"\$000\d", code) or (code.startswith("$") and FOOTER.search(text) and not it.quantity):
+        summary = re.fullmatch(r"\$\d{4,7}", code) and FOOTER.search(text)
+        if "/" in code or code in KNOWN_UNITS or SPEC.match(code) or re.fullmatch(r"\$0{2,}\d", code) or summary or SECTION_FOOTER.search(text):
             return
-        um = "mc" if it.um == "m" and re.search(r"\bcub", text, I) else it.um
-        part = it.component or bool(PREFIXED.match(text))
+        um = "mc" if it.um == "m" and "cub" in text.lower() else it.um
+        part = it.component or (bool(self.parent) and component_mark(code, self.parent, text))
         self.out.append({"cod": code, "denumire": text, "um": um, "cantitate": it.quantity, "is_component": part, "parent_code": (self.parent or None) if part else None, "subcomponents": [m.upper() for m in re.findall(r"L\s*:\s*[A-Z0-9]+\s*-\s*[A-Z0-9]*\s*:\s*([0-9A-Z]+)", text, I)], **{p: (it.prices[i] if i < len(it.prices) else 0.0) for i, p in enumerate(PRICES)}})
         if not part:
             self.parent = code
 
     def start(self, code: str, text: str = "", tokens: str = "") -> None:
+        """Opens an item; its code loses variant numbers and the marks at its end."""
         self.flush()
+        code = re.sub(r"-\d+[#@!]*$", "", code)
         self.item = Item(re.sub(r"(?:ASIM|TSCH)$", "", code, flags=I), [text.strip()] if text.strip() else [], component=self.marked)
         self.waiting, self.linked, self.marked = 0, False, False
         for t in tokens.split():
@@ -131,6 +141,12 @@ class Machine:
         self.waiting, self.linked = 1, linked
 
 
+def component_mark(code: str, last: str, line: str) -> bool:
+    """Whether a code is a component of the last item: a marker, `.L` at its end, `N.M` after `N`, the prefix `L:`, or a price heading."""
+    nested = re.fullmatch(r"(\d+)\.\d+", code)
+    return bool(COMPONENT.search(line) or re.search(r"\.L$", code, I) or (nested and nested[1] == last) or re.match(r"\s*L:\s*[A-Z0-9]+\s+-", line) or re.search(r"(?:material|manopera|utilaj|transport):\s*$", line, I))
+
+
 def _complete(m: Machine) -> bool:
     return bool(m.item and (m.item.um or m.item.quantity))
 
@@ -226,10 +242,25 @@ def _weak(m: Machine, line: str) -> bool:
 
 
 def _fit(line: str) -> bool:
+    """A code and a description of its own: a letter code with less than three characters behind it is part of a name."""
     g = DESCRIBED.match(line)
+    if g and not g[1][0].isdigit() and not g[1].startswith("$") and len(g[3].strip()) < 3:
+        return False
     return bool(g) and not (g[1].isdigit() and not re.search(r"[A-Za-z]{2}", g[3])) and not SPEC.match(g[1]) and not unit(g[1])
 
 
+def _is_size(m: Machine, line: str) -> bool:
+    """A bare number before a unit whose next line is a decimal, a fraction or a short word that is no unit: a size, not a row."""
+    after = m.next
+    short = re.match(r"^[A-Z]{1,4}[\"'°%]?\s*$", after, I) and after.upper() not in KNOWN_UNITS
+    return bool(ROW_NUMBER.match(line) and m.item and not m.item.um and (DECIMAL.match(after) or re.match(r"^\d+/\d+", after) or short))
+
+
+def _before_unit(m: Machine, line: str) -> bool:
+    """A unit of one letter whose next line is a unit too."""
+    return len(re.sub(r"[.\s]", "", line)) == 1 and unit(m.next) is not None
+
+
 def _decimal_after(m: Machine, line: str) -> bool:
     return bool(SUB_ROW.match(line)) and (m.item is None or m.item.quantity > 0)
 
@@ -255,10 +286,13 @@ RULES = [
     ("wait", lambda m, s: True, _wait_more),
     ("idle", lambda m, s: True, lambda m, s: None),
     ("read", lambda m, s: MODEL.match(s) and not _complete(m), lambda m, s: None),
+    ("read", lambda m, s: _is_size(m, s), lambda m, s: m.item.parts.append(s)),
     ("read", lambda m, s: ROW_NUMBER.match(s) and m.item.quantity and _is_row_number(m, s), _row),
     ("read", lambda m, s: _fit(s) and not _weak(m, s), _described),
     ("read", lambda m, s: ALONE.match(s) and not unit(s) and _complete(m) and not SPEC.match(ALONE.match(s)[1]), _alone),
-    ("read", lambda m, s: not m.item.um and unit(s) and unit(s) != "km", _unit),
+    ("read", lambda m, s: not m.item.um and unit(s) and (unit(s) == "km" or _before_unit(m, s)), lambda m, s: None),
+    ("read", lambda m, s: not m.item.um and unit(s), _unit),
+    ("read", lambda m, s: not m.item.um and re.match(r"^\d+\s+(?:KM|[A-Z])\.?\s*$", s, I) and (s.upper().rstrip(" .").endswith("KM") or (unit(s.split()[1]) and unit(m.next))), lambda m, s: None),
     ("read", lambda m, s: not m.item.um and re.match(r"^(?:ZECI|SUTE)\s+\S+$", s, I), _count_unit),
     ("read", lambda m, s: not m.item.um and re.match(r"^\d+\s+[A-Za-z]+(?:\s+[A-Za-z]+)?$", s) and (unit(s.split(None, 1)[1]) or unit(s.split()[-1])), _count_unit),
     ("read", lambda m, s: not m.item.um and s.count("|") >= 1 and unit(s.split("|")[0]) and DECIMAL.match(s.split("|")[1].strip()), lambda m, s: _unit_row(m, s + "|")),
@@ -299,7 +333,8 @@ def merged(lines: list[str]) -> list[str]:
 def parse_lines(lines: list[str]) -> list[dict]:
     """The items of one section's lines, in order."""
     m = Machine()
-    for s in merged(lines):
+    every = merged(lines)
+    for s, m.next in zip(every, [*every[1:], ""]):
         if LABEL.match(s) and m.item:
             m.flush()
         for states, test, act in RULES:
