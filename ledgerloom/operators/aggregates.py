@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import text
+from ..session import small
 from ..functions.texts import FORMATS, component_format, format_codes, format_confidence
 
 
@@ -49,13 +50,12 @@ def coverage(found: DataFrame, detected: DataFrame) -> DataFrame:
 
 
 def suspicious_extras(extra: DataFrame, ref_text: DataFrame, ref_items: DataFrame) -> DataFrame:
-    """extra with posibil_omis_din_extractie: the code stands in the reference's text, yet no item was extracted for it.
+    """extra with posibil_omis_din_extractie: the code stands in the reference's lines (content), as any part of them, yet no item was extracted for it."""
+    from .audits import occurrences
 
-    The text is split to its tokens once, so the test is a semi-join and not a search of the whole text a row.
-    """
-    tokens = ref_text.select(F.explode(F.split(F.upper("content"), "[^A-Z0-9$]+")).alias("__t")).filter("__t <> ''").distinct()
-    known = ref_items.select(F.upper(text("cod")).alias("__t")).distinct()
-    hit = tokens.join(known, "__t", "left_anti").withColumn("__hit", F.lit(True))
+    known = ref_items.select(F.upper(text("cod")).alias("code")).distinct()
+    rows = ref_text.select(F.lit(0).alias("line"), "content")
+    hit = occurrences(extra.select(F.col("oferta_cod").alias("code")), rows, ("line",)).join(known, "code", "left_anti").select(F.col("code").alias("__t"), F.lit(True).alias("__hit")).distinct()
     return extra.withColumn("__t", F.upper(text("oferta_cod"))).join(hit, "__t", "left").withColumn("posibil_omis_din_extractie", F.coalesce("__hit", F.lit(False))).drop("__t", "__hit")
 
 
@@ -64,16 +64,22 @@ def pattern_scores(lines: DataFrame, patterns: DataFrame) -> DataFrame:
     p = patterns.select("name", F.posexplode(F.concat(F.transform("parent_indicators", lambda x: F.struct(x.alias("p"), F.lit(0).alias("k"))), F.transform("component_indicators", lambda x: F.struct(x["pattern"].alias("p"), F.lit(1).alias("k"))))).alias("i", "x")).select("name", "x.*")
     full = lines.filter(text("content") != "")
     total = full.groupBy("doc_id").agg(F.count("*").alias("total"))
-    hit = full.join(F.broadcast(p)).filter(F.expr("regexp_like(content, p)"))
+    hit = full.crossJoin(small(p)).filter(F.expr("regexp_like(content, p)"))  # a library of patterns, by hand or a row a document kind
     n = hit.groupBy("doc_id", "name").agg(F.count_if(F.col("k") == 0).alias("a"), F.count_if(F.col("k") == 1).alias("b")).join(total, "doc_id")
     base = (F.col("a") + F.col("b")) / F.col("total")
     return n.select("doc_id", "name", F.least(F.lit(1.0), F.when((F.col("a") > 0) & (F.col("b") > 0), base * 1.5).otherwise(base)).alias("confidence"))
 
 
-def best_pattern(scores: DataFrame, docs: DataFrame, least: float = 0.70) -> DataFrame:
-    """doc_id, name and confidence of the best pattern of 0.7 or more, else a generated template at 0.5."""
-    b = scores.groupBy("doc_id").agg(F.max(F.struct("confidence", "name")).alias("b")).filter(F.col("b.confidence") >= least)
-    return docs.select("doc_id").distinct().join(b, "doc_id", "left").select("doc_id", F.coalesce("b.name", F.lit("generated")).alias("name"), F.coalesce("b.confidence", F.lit(0.5)).alias("confidence"))
+def best_pattern(scores: DataFrame, docs: DataFrame, least: float = 0.70, generated: str = "AUTO_GEN_1") -> DataFrame:
+    """doc_id, name and confidence of the best pattern of 0.7 or more, else the generated one's at 0.5. Of equal ones the lesser name."""
+    b = scores.groupBy("doc_id").agg(F.max_by("name", F.struct("confidence", F.transform(F.split("name", ""), lambda x: -F.ascii(x)))).alias("name"), F.max("confidence").alias("c")).filter(F.col("c") >= least)
+    return docs.select("doc_id").distinct().join(b, "doc_id", "left").select("doc_id", F.coalesce("name", F.lit(generated)).alias("name"), F.coalesce("c", F.lit(0.5)).alias("confidence"))
+
+
+def generated_pattern(patterns: DataFrame) -> DataFrame:
+    """The template for documents that no pattern of the library fits, as a row of it: named by the library's size, parents by a number and a capital."""
+    n = patterns.agg(F.count("*").alias("n"))
+    return n.select(F.concat(F.lit("AUTO_GEN_"), F.col("n") + 1).alias("name"), F.array(F.lit(r"^\d+\s+[A-Z]")).alias("parent_indicators"), F.array().cast("array<struct<pattern:string,type:string>>").alias("component_indicators"), F.lit("inherit_from_parent").alias("quantity_rule"))
 
 
 def component_summary(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,40 +16,45 @@ def last_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
     return first_by(rows, keys, [F.col(o).desc() if isinstance(o, str) else o.desc() for o in order])
 
 
-def dedup_extraction(items: DataFrame, order: list) -> DataFrame:
-    """One row for each code (in upper case), section and quantity."""
-    return first_by(items, [F.upper("cod"), "deviz", "cantitate"], order)
+def dedup_extraction(items: DataFrame, order: list, scope: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each code (in upper case), section and quantity, within `scope`."""
+    return first_by(items, [*scope, F.upper("cod"), "deviz", "cantitate"], order)
 
 
-def dedup_items(items: DataFrame, order: list) -> DataFrame:
-    """One row for each section, code, unit and quantity."""
-    return first_by(items, ["deviz", "cod", "um", "cantitate"], order)
+def dedup_items(items: DataFrame, order: list, scope: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each section, code, unit and quantity, within `scope`."""
+    return first_by(items, [*scope, "deviz", "cod", "um", "cantitate"], order)
 
 
 def _bare(c: str) -> Column:
     return F.regexp_replace(F.upper(F.col(c)), r"^\$", "")
 
 
-def drop_code_suffixes(items: DataFrame, order: str = "seq") -> DataFrame:
-    """Drops codes that are the end of another's.
+def drop_code_suffixes(items: DataFrame, order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
+    """Drops codes that are the end of another's, within `scope`.
 
     First among rows of one section, quantity and unit (of equal codes the later row goes); then, over what is left,
-    numeric ends of 4 to 9 digits among all rows of a section. Lengths from a code's own on are compared by equality of
-    suffixes, so each pass is an equi-join on exploded suffixes, not a comparison of all pairs.
+    numeric ends of 4 to 9 digits among all rows of a section. Only the proper ends of distinct codes are spread out,
+    those of 4 to 9 digits in the second pass, so each is an equi-join and no comparison of all pairs.
     """
 
     def without_ends(rows: DataFrame, keys: list[str], numeric: bool) -> DataFrame:
         base = rows.withColumn("__c", _bare("cod"))
-        ends = base.select(*[F.col(k).alias("__" + k) for k in keys], F.col("__c").alias("__long"), F.explode(F.expr("transform(sequence(1, greatest(1, length(__c))), i -> substring(__c, i))")).alias("__end"), F.col(order).alias("__seq"))
-        hit = (F.col("__end") == F.col("__c")) & ((F.length("__long") > F.length("__c")) | ((F.length("__long") == F.length("__c")) & (F.col("__seq") < F.col(order)) & F.lit(not numeric)))
+        if not numeric:
+            first = Window.partitionBy(*keys, "__c").orderBy(order)
+            base = base.withColumn("__n", F.row_number().over(first)).filter("__n = 1 OR __c = ''").drop("__n")
+        least, most = (4, 9) if numeric else (1, 1 << 30)
+        ends = base.select(*[F.col(k).alias("__" + k) for k in keys], "__c").distinct()
+        ends = ends.withColumn("__end", F.explode(F.expr(f"CASE WHEN length(__c) > {least} THEN transform(sequence(greatest(2, length(__c) - {most} + 1), length(__c) - {least} + 1), i -> substring(__c, i)) END")))
         if numeric:
-            hit = hit & F.col("__c").rlike(r"^\d{4,9}$")
-        on = hit & (F.col("__c") != "")
+            ends = ends.filter(F.col("__end").rlike(r"^\d{4,9}$"))
+        ends = ends.drop("__c").distinct()
+        on = F.col("__end") == F.col("__c")
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col("__" + k))
         return base.join(ends, on, "left_anti").drop("__c")
 
-    return without_ends(without_ends(items, ["deviz", "cantitate", "um"], False), ["deviz"], True)
+    return without_ends(without_ends(items, [*scope, "deviz", "cantitate", "um"], False), [*scope, "deviz"], True)
 
 
 def drop_code_fragments(items: DataFrame) -> DataFrame:

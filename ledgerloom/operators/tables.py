@@ -58,41 +58,56 @@ def table_items(c: DataFrame) -> DataFrame:
     return out.filter("cod <> ''")
 
 
-def merge(line_items: DataFrame, table_rows: DataFrame) -> DataFrame:
-    """Items of lines and tables: an equal (section, code, unit, quantity) is skipped, a table row replaces the line's of its quantity, or once a line's without one, and others are added.
-
-    Keys whose lines all have quantities follow a closed form: of the first rows of each unit, lines first, the last one
-    stays. Only keys with a line without quantity are grouped in Python.
+def upserted(rows: list[dict]) -> list[dict]:
+    """The rows of one key, those of lines first, after the merge: see merge(). One look-up a row, whatever the key's size."""
+    out: list[dict] = []
+    seen: set[tuple] = set()
+    place: dict = {}
+    empty = None
+    for r in rows:
+        q, mark = r["cantitate"] or 0.0, (r["um"], r["cantitate"] or 0.0)
+        if mark in seen:
+            continue
+        seen.add(mark)
+        if r["side"] == 1 and q in place:
+            out[place[q]] = r
+        elif r["side"] == 1 and q and empty is not None:
+            out[empty] = r
+            place[q] = empty
+            place.pop(0.0, None)
+            empty = None
+        else:
+            place[q] = len(out)
+            if r["side"] == 0 and not q:
+                empty = len(out)
+            out.append(r)
+    return out
+
+
+def merge(line_items: DataFrame, table_rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Items of lines and tables: an equal (section, code, unit, quantity) is skipped, a table row replaces the last row of its quantity, or once the last line without one, and others are added.
+
+    `scope` adds columns to the key. Keys whose lines all have quantities follow a closed form: of the first rows of each
+    unit and quantity, the last table row stands for all others and for the last line. Only keys with a line without
+    quantity are grouped in Python.
     """
     ship(line_items.sparkSession)
-    cols = ["deviz", "cod", "um", "cantitate", "denumire", "seq"]
+    key = [*scope, "deviz", "cod"]
+    cols = [*key, "um", "cantitate", "denumire", "seq"]
     both = line_items.select(*cols, F.lit(0).alias("side")).unionByName(table_rows.select(*cols, F.lit(1).alias("side")))
-    zero = both.filter("side = 0 and coalesce(cantitate, 0) = 0").select("deviz", "cod").distinct()
-    plain = both.join(zero, ["deviz", "cod"], "left_anti")
-    w = Window.partitionBy("deviz", "cod", "cantitate", "um").orderBy("side", "seq")
+    zero = both.filter("side = 0 and coalesce(cantitate, 0) = 0").select(*key).distinct()
+    plain = both.join(zero, key, "left_anti")
+    w = Window.partitionBy(*key, "cantitate", "um").orderBy("side", "seq")
     firsts = plain.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    last = Window.partitionBy("deviz", "cod", "cantitate").orderBy(F.col("side").desc(), F.col("seq").desc())
-    closed = firsts.withColumn("__n", F.row_number().over(last)).withColumn("__t", F.max("side").over(Window.partitionBy("deviz", "cod", "cantitate"))).filter("__n = 1 or __t = 0").drop("__n", "__t")
+    same = Window.partitionBy(*key, "cantitate")
+    last = Window.partitionBy(*key, "cantitate", "side").orderBy(F.col("seq").desc())
+    closed = firsts.withColumn("__n", F.row_number().over(last)).withColumn("__t", F.max("side").over(same))
+    closed = closed.filter("__t = 0 OR (side = 1) = (__n = 1)").drop("__n", "__t")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["side", "seq"])
-        out: list[dict] = []
-        for r in g.to_dict("records"):
-            if any((x["um"], x["cantitate"]) == (r["um"], r["cantitate"]) for x in out):
-                continue
-            if r["side"] == 0:
-                out.append(r)
-                continue
-            same = next((i for i, x in enumerate(out) if x["cantitate"] == r["cantitate"]), None)
-            if same is None and r["cantitate"]:
-                same = next((i for i, x in enumerate(out) if x["side"] == 0 and not x["cantitate"]), None)
-            if same is None:
-                out.append(r)
-            else:
-                out[same] = r
-        return pd.DataFrame(out, columns=[*cols, "side"])
-
-    hard = both.join(zero, ["deviz", "cod"], "left_semi").groupBy("deviz", "cod").applyInPandas(run, both.schema)
+        return pd.DataFrame(upserted(g.sort_values(["side", "seq"]).to_dict("records")), columns=[*cols, "side"])
+
+    hard = both.join(zero, key, "left_semi").groupBy(*key).applyInPandas(run, both.schema)
     return closed.unionByName(hard)
 
 

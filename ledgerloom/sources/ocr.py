@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 DOCUMENT = "pages array<struct<page_number:int,lines:array<struct<content:string>>>>, tables array<struct<row_count:int,column_count:int,cells:array<struct<row_index:int,column_index:int,content:string>>>>"
 
 
+# The built-in library of layouts.
+PATTERNS = [
+    ("MANECIU", [r"^\d+\s+[A-Z0-9]+"], [(r"^L:\s*[A-Z0-9]+\s+-", "prefix")], "inherit_from_parent"),
+    ("DRAGOMIRESTI", [r"^\d+\s+[A-Z0-9]+"], [(r"^\d+\.\d+\s+", "hierarchy")], "inherit_from_parent"),
+]
+
+
 def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """doc_id (the file's name without ending), pages and tables; missing ones are empty."""
     d = spark.read.schema(DOCUMENT).option("multiLine", True).json(paths).withColumn("file", F.col("_metadata.file_name"))
@@ -37,14 +44,24 @@ def checkpoint(spark: SparkSession, path: str, rules: str) -> DataFrame | None:
 
 
 def patterns(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """name, parent_indicators, component_indicators and quantity_rule; empty without a file."""
+    """name, parent_indicators, component_indicators and quantity_rule; the built-in library without a file."""
     schema = "name string, parent_indicators array<string>, component_indicators array<struct<pattern:string,type:string>>, quantity_rule string"
     if path is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame(PATTERNS, schema)
     d = spark.read.schema(f"patterns array<struct<{schema.replace(' string', ':string').replace(' array', ':array').replace(', ', ',')}>>").option("multiLine", True).json(path)
     return d.select(F.inline("patterns"))
 
 
+def pattern_by_name(library: DataFrame, name: str) -> DataFrame:
+    """The row of a pattern, none where the library has none of that name."""
+    return library.filter(F.col("name") == name)
+
+
+def first_checkpoint(spark: SparkSession, paths: list[str], rules: str) -> DataFrame | None:
+    """The first of several checkpoints that was written under these rules, such as a section map's beside the reference's; None without any."""
+    return next((t for t in (checkpoint(spark, p, rules) for p in paths) if t is not None), None)
+
+
 def expected_items(spark: SparkSession, path: str) -> DataFrame:
     """code and description from lines CODE|DESCRIPTION; comments and malformed lines are left out."""
     t = spark.read.text(path).filter(~F.trim("value").startswith("#") & F.col("value").contains("|"))
