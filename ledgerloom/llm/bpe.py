@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from .common import col, raw, slices, table, without
+from .common import col, plain_names, raw, slices, table, without
 
 #: Characters of a leaf at most; what is longer is halved.
 LEAF = 1024
@@ -266,7 +266,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str | None = None) -> DataFrame:
     """docs with their ids as array<int> (a column of that name is replaced); null and empty texts give an empty array."""
-    src = without(docs, out_col)
+    src, named = plain_names(without(docs, out_col))
     schema = StructType([*src.schema.fields]).add(out_col, ArrayType(IntegerType()))
 
     def run(batches):
@@ -277,12 +277,12 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids",
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out_col])
 
-    return src.mapInArrow(run, schema)
+    return named(src.mapInArrow(run, schema))
 
 
 def decode(docs: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
     """docs with the text of their ids (a column of that name is replaced); null ids give an empty text."""
-    src = without(docs, out_col)
+    src, named = plain_names(without(docs, out_col))
     schema = StructType([*src.schema.fields]).add(out_col, StringType())
 
     def run(batches):
@@ -293,12 +293,12 @@ def decode(docs: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded"
                 text = [c.decode(x.values.to_numpy(zero_copy_only=False).astype(np.uint32).tobytes()).decode() if x.is_valid else "" for x in col(part, ids_col)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
 
-    return src.mapInArrow(run, schema)
+    return named(src.mapInArrow(run, schema))
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", exact_col: str = "exact", path: str | None = None) -> DataFrame:
     """encode(), and whether decoding the ids gives the text again (null counts as empty), in one pass over the texts."""
-    src = without(docs, out_col, exact_col)
+    src, named = plain_names(without(docs, out_col, exact_col))
     schema = StructType([*src.schema.fields]).add(out_col, ArrayType(IntegerType())).add(exact_col, BooleanType())
 
     def run(batches):
@@ -310,7 +310,7 @@ def round_trip(docs: DataFrame, text_col: str = "text", out_col: str = "token_id
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(same)], [*b.schema.names, out_col, exact_col])
 
-    return src.mapInArrow(run, schema)
+    return named(src.mapInArrow(run, schema))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -76,6 +76,13 @@ def quoted(names) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def plain_names(df: DataFrame):
+    """df with names that mapInArrow() takes (it fails on dots), and what gives a frame its names back, new columns behind them."""
+    names = df.columns
+    safe = [n if re.fullmatch(r"\w+", n) else f"__column{i}" for i, n in enumerate(names)]
+    return (df, lambda out: out) if safe == names else (df.toDF(*safe), lambda out: out.toDF(*names, *out.columns[len(names) :]))
+
+
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m (null ids count as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % m

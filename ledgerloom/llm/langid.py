@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
-from .common import col, get, mix64, put, raw, remainder, scratch, slices, staged, starts_of, table, without
+from .common import col, get, mix64, plain_names, put, raw, remainder, scratch, slices, staged, starts_of, table, without
 
 #: Slots of trigrams, and weight of a slot's prior count.
 SLOTS, PRIOR = 1 << 16, 0.5
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     A null text, or one without letters, is `und` with score 0 and no languages.
     """
-    src = without(docs, "lang_pred", "score", "languages")
+    src, named = plain_names(without(docs, "lang_pred", "score", "languages"))
     shared = src.sparkSession.sparkContext.broadcast(model)
     pair = StructType().add("lang", StringType()).add("share", DoubleType())
     schema = StructType([*src.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("languages", ArrayType(pair))
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     every.append([])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(every, kind)], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return named(src.mapInArrow(run, schema))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

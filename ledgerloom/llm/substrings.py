@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import col, exists, get, grouped, mix64, put, raw, release, scratch, slices, staged, starts_of, table, without
+from .common import col, exists, get, grouped, mix64, plain_names, put, raw, release, scratch, slices, staged, starts_of, table, without
 
 #: Bytes of text in a chunk, unless one document is longer.
 CHUNK_BYTES = 2 << 20
@@ -223,7 +223,7 @@ def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int
     same text too. Words are split at ASCII white space and joined by one space in kept_text. Null and short texts lose
     nothing; repeated rows are copies of each other, and lose every word if they hold a window.
     """
-    src = without(docs, *ADDED)
+    src, named = plain_names(without(docs, *ADDED))
     levels = lengths(window, first)
     chunks = pack(src, text_col)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
@@ -272,7 +272,7 @@ def dedup(docs: DataFrame, text_col: str = "text", window: int = 35, first: int
                 text = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk.lens), pa.array(lost, pa.int64()), text, pa.array(removed, spans)], [*batch.schema.names, *ADDED])
 
-    return chunks.mapInArrow(result, schema)
+    return named(chunks.mapInArrow(result, schema))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import col, mix64, raw, remainder, slices, staged, table, without
+from .common import col, mix64, plain_names, raw, remainder, slices, staged, table, without
 
 #: Bits of a feature's hash; the table of weights has so many rows, the bias aside.
 BITS = 20
@@ -112,14 +112,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str =
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with the score of each whole text, 0 to 1 (a column of that name is replaced); null and empty texts have the bias's."""
-    src = without(docs, out_col)
+    src, named = plain_names(without(docs, out_col))
     shared = src.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(shared.value, raw(col(b, text_col))))], [*b.schema.names, out_col])
 
-    return src.mapInArrow(run, StructType([*src.schema.fields]).add(out_col, DoubleType()))
+    return named(src.mapInArrow(run, StructType([*src.schema.fields]).add(out_col, DoubleType())))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
