@@ -34,7 +34,6 @@ BLOCK, HELD, BATCH = 2_000_000, 2_000_000, 200_000
 #: Text that a scoring task holds while it asks the blocks.
 WINDOW = 8 << 20
 END = b"\n"
-EMPTY = np.uint64((1 << 64) - 1)
 GRAM, TOKEN = 0, 1
 
 
@@ -76,6 +75,15 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and which of them each key is."""
+    order = np.argsort(keys)
+    at = runs(keys[order])
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(at, append=len(keys)))
+    return keys[order[at]], which
+
+
 class Counts:
     """Distinct keys and their counts, merged as they come."""
 
@@ -95,25 +103,25 @@ class Counts:
         return out
 
 
-#: Keys of one part as compressed differences, with a number for each.
+#: Keys of one part in ascending order, byte by byte of all of them and compressed, with a number for each.
 MESSAGE = "kind int, part int, size int, keys binary, n binary"
 
 
 def messages(kind: int, keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     """A row for each part, from keys in ascending order."""
-    zip_ = lambda x: pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    zip_ = lambda x: pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
     order = np.argsort(part, kind="stable")
     keys, n, part = keys[order], n[order], part[order]
     at = runs(part)
     ends = np.append(at[1:], len(part))
-    own = [zip_(np.diff(keys[a:e], prepend=np.uint64(0))) for a, e in zip(at, ends)]
+    own = [zip_(keys[a:e]) for a, e in zip(at, ends)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(part[at].astype(np.int32)), pa.array((ends - at).astype(np.int32)), pa.array(own, pa.binary()), pa.array([zip_(n[a:e]) for a, e in zip(at, ends)], pa.binary())], ["kind", "part", "size", "keys", "n"])
 
 
 def opened(t: pa.Table, number=np.int64) -> list[tuple[np.ndarray, np.ndarray]]:
     """The keys and numbers of messages."""
-    zip_ = lambda x, size, kind: np.frombuffer(pa.decompress(x, decompressed_size=8 * size, codec="zstd", asbytes=True), kind)
-    return [(np.cumsum(zip_(k, size, np.uint64), dtype=np.uint64), zip_(n, size, number)) for size, k, n in zip(*(t[c].to_pylist() for c in ("size", "keys", "n")))]
+    zip_ = lambda x, size, kind: np.frombuffer(pa.decompress(x, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+    return [(zip_(k, size, np.uint64), zip_(n, size, number)) for size, k, n in zip(*(t[c].to_pylist() for c in ("size", "keys", "n")))]
 
 
 def group_of(key: np.ndarray) -> np.ndarray:
@@ -244,37 +252,6 @@ def _block(key: np.ndarray, n: int) -> np.ndarray:
     return (mix64(key ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(max(1, n))).astype(np.int32)
 
 
-def open_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An open-addressing table with linear probing, at most half full."""
-    bits = max(4, int(2 * len(keys)).bit_length())
-    t, v = np.full(1 << bits, EMPTY), np.zeros(1 << bits)
-    at, left, mask = (mix64(keys) >> np.uint64(64 - bits)).astype(np.int64), np.arange(len(keys)), (1 << bits) - 1
-    while len(left):
-        free = left[t[at[left]] == EMPTY]
-        t[at[free]] = keys[free]
-        won = t[at[left]] == keys[left]
-        v[at[left[won]]] = values[left[won]]
-        left = left[~won]
-        at[left] = (at[left] + 1) & mask
-    return t, v
-
-
-def probe(t: np.ndarray, v: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Values of keys; nan where there is none."""
-    bits = len(t).bit_length() - 1
-    at = (mix64(keys) >> np.uint64(64 - bits)).astype(np.int64)
-    found = t[at]
-    out = np.where(found == keys, v[at], np.nan)
-    left = np.flatnonzero((found != keys) & (found != EMPTY))
-    while len(left):
-        at[left] = (at[left] + 1) & (len(t) - 1)
-        found = t[at[left]]
-        hit = found == keys[left]
-        out[left[hit]] = v[at[left[hit]]]
-        left = left[~hit & (found != EMPTY)]
-    return out
-
-
 @lru_cache(maxsize=2)
 def _load(path: str) -> tuple[np.ndarray, np.ndarray]:
     if not exists(path):
@@ -498,26 +475,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for held in windows(batches, "text", WINDOW):
-            g, t = Counts(), Counts()
+            read = []
             for b in held:
                 words, norm = normal(raw(col(b, "text")))
-                g.add(grams(norm)[0])
-                t.add(word_hashes([x for w in words for x in w] + [END]))
-            keys, t_keys = g.take()[0], t.take()[0]
-            known = open_table(keys, _looked_up(folder, blocks, keys, np.nan))
-            counts = _looked_up(token_folder, parts, t_keys, 0.0)
-            for b in held:
-                words, norm = normal(raw(col(b, "text")))
-                h = word_hashes([x for w in words for x in [*w, END]])
-                lens = np.array([len(w) + 1 for w in words], np.int64)
+                key, first = grams(norm)
+                lens, n_bytes = np.array([len(w) + 1 for w in words], np.int64), np.array([len(x) for x in norm])
+                read.append((col(b, "doc_id"), lens, n_bytes, first, *ranked(key), *ranked(word_hashes([x for w in words for x in [*w, END]]))))
+                del words, norm, key
+            keys, t_keys = (np.unique(np.concatenate([r[i] for r in read])) for i in (4, 6))
+            known, counts = _looked_up(folder, blocks, keys, np.nan), _looked_up(token_folder, parts, t_keys, 0.0)
+            for doc_id, lens, n_bytes, first, u, which, h, token in read:
                 at = starts_of(lens)[:-1]
                 c = counts[np.searchsorted(t_keys, h)]
                 share = np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
-                key, first = grams(norm)
-                lp = np.add.reduceat(probe(*known, key), first)
-                n_bytes = np.array([len(x) for x in norm])
-                yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(lens), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(lens), tokens, np.int64)), pa.array(np.add.reduceat(share, at)), pa.array(lp), pa.array(-lp * np.log2(10) / n_bytes)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-            del known, keys, held
+                lp = np.add.reduceat(known[np.searchsorted(keys, u)][which], first)
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(lens), pa.array(np.add.reduceat((c > 0).astype(np.int64)[token], at)), pa.array(np.full(len(lens), tokens, np.int64)), pa.array(np.add.reduceat(share[token], at)), pa.array(lp), pa.array(-lp * np.log2(10) / n_bytes)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+            del read, known, keys, held
             release()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
