@@ -27,11 +27,11 @@ def blocks(lines: DataFrame) -> DataFrame:
     return r.select("doc_id", "page_number", "line_no", "cod", F.trim(den).alias("denumire"), F.when(is_unit(um), unit_value(um)).otherwise("").alias("um"), parse_number(qty).alias("cantitate"), F.lit(True).alias("is_component"))
 
 
-def inherit(items: DataFrame, order: str = "seq") -> DataFrame:
-    """Components without quantity or unit take those of the last parent of their code."""
-    p = items.filter(~F.coalesce("is_component", F.lit(False))).groupBy(F.col("cod").alias("parent_code")).agg(F.max_by(F.struct("cantitate", "um"), order).alias("__p"))
+def inherit(items: DataFrame, order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
+    """Components without quantity or unit take those of the last parent of their code, within `scope`."""
+    p = items.filter(~F.coalesce("is_component", F.lit(False))).groupBy(*scope, F.col("cod").alias("parent_code")).agg(F.max_by(F.struct("cantitate", "um"), order).alias("__p"))
     part = F.coalesce("is_component", F.lit(False)) & F.col("__p").isNotNull()
-    return items.join(p, "parent_code", "left").withColumn("cantitate", F.when(part & (F.coalesce("cantitate", F.lit(0.0)) == 0), F.col("__p.cantitate")).otherwise(F.col("cantitate"))).withColumn("um", F.when(part & (text("um") == ""), F.col("__p.um")).otherwise(F.col("um"))).select(*items.columns)
+    return items.join(p, [*scope, "parent_code"], "left").withColumn("cantitate", F.when(part & (F.coalesce("cantitate", F.lit(0.0)) == 0), F.col("__p.cantitate")).otherwise(F.col("cantitate"))).withColumn("um", F.when(part & (text("um") == ""), F.col("__p.um")).otherwise(F.col("um"))).select(*items.columns)
 
 
 def hierarchy(items: DataFrame, order: str = "seq") -> DataFrame:

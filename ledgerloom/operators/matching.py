@@ -141,13 +141,36 @@ def _lengths_reach(least: float) -> Column:
     return 2 * F.least(la, lb) >= least * (la + lb)
 
 
-def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4) -> DataFrame:
-    """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4.
-
-    Lengths bound the ratio, so pairs whose lengths cannot reach it are dropped before any is scored.
+def _short(least: float) -> int:
+    """Codes up to this length may reach a ratio of `least` without two neighbouring characters in common; a longer one can't."""
+    worst = 0
+    for a in range(1, 25):
+        for b in range(1, a + 1):
+            both = -(-int(least * (a + b) * 1000) // 2000)  # matched characters that the ratio needs at least
+            for m in range(max(0, both - 1), b + 1):
+                if 2 * m >= least * (a + b) and m - (a + b - 2 * m + 1) <= 0:
+                    worst = max(worst, a)
+    return worst
+
+
+def similar_codes(ref: DataFrame, offer: DataFrame, least: float) -> DataFrame:
+    """Pairs of a section (r_ and o_ columns) with cr, the ratio of their codes, where it reaches `least`.
+
+    Distinct codes meet over two neighbouring characters, or over one where both are so short that the ratio does not ask
+    for two; lengths and characters in common are compared before a ratio is computed.
     """
-    c = _sides(ref, offer, ["section"])
-    c = c.filter(_lengths_reach(least_code)).withColumn("cr", code_ratio_from(least_code)("r_code", "o_code")).filter(F.col("cr") >= least_code)
+    short = _short(least)
+    bare = F.translate("code", "#$@ ", "")
+    own = lambda rows, p: rows.select("section", "code").distinct().withColumn("__b", bare).select("section", F.col("code").alias(p), F.explode(F.expr(f"array_distinct(concat(transform(sequence(1, greatest(1, length(__b) - 1)), i -> substring(__b, i, 2)), CASE WHEN length(__b) <= {short} THEN transform(sequence(1, greatest(1, length(__b))), i -> concat('1', substring(__b, i, 1))) ELSE array() END))")).alias("__k"))
+    met = own(ref, "r_code").join(own(offer, "o_code"), ["section", "__k"]).filter(_lengths_reach(least)).select("section", "r_code", "o_code").distinct()
+    met = met.withColumn("cr", code_ratio_from(least)("r_code", "o_code")).filter(F.col("cr") >= least)
+    name = lambda rows, p: rows.select("section", *[F.col(c).alias(p + c) for c in ("seq", "code", "norm", "unit", "qty", "denumire", "um")])
+    return met.join(name(ref, "r_"), ["section", "r_code"]).join(name(offer, "o_"), ["section", "o_code"])
+
+
+def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4) -> DataFrame:
+    """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4."""
+    c = similar_codes(ref, offer, least_code)
     c = c.withColumn("t", token_score("r_denumire", "o_denumire")).withColumn("score", 0.6 * F.col("cr") + 0.4 * F.col("t"))
     best = c.groupBy("section").applyInPandas(_best_first(least_text), PAIRS)
     return best
@@ -214,11 +237,12 @@ def with_sides(pairs: DataFrame, ref: DataFrame, offer: DataFrame) -> DataFrame:
     return pairs.join(side(ref, "ref_", "ref_seq"), "ref_seq").join(side(offer, "oferta_", "of_seq"), "of_seq")
 
 
-def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False, mode: str = "strict", fuzzy: bool = True, suppress: bool = True, persist=staged) -> tuple[DataFrame, DataFrame]:
+def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False, mode: str = "strict", fuzzy: bool = True, suppress: bool = True, persist=staged, provider=None) -> tuple[DataFrame, DataFrame]:
     """Matches (ref_seq, of_seq, layer, score) and discrepancies of one offer against the reference, through all layers.
 
     Both sides have FIELDS and `seq` as long. `persist` keeps a layer's result for the next: a table in the shared folder,
-    so that plans stay small and lost executors cost no more than their tasks.
+    so that plans stay small and lost executors cost no more than their tasks. A provider is asked last, about what no
+    layer matched and whose codes are alike.
     """
     ship(ref_items.sparkSession)
     ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(offer_items, False), "offer")
@@ -235,6 +259,10 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
         p = persist(f(r, o), f.__name__)
         r, o = rest(r, p, "ref_seq"), rest(o, p, "of_seq")
         found.append(p)
+    if provider is not None:
+        p = persist(provided_pairs(r, o, provider), "provided_pairs")
+        r, o = rest(r, p, "ref_seq"), rest(o, p, "of_seq")
+        found.append(p)
     pairs = crossed
     for p in found:
         pairs = pairs.unionByName(p)
@@ -255,7 +283,7 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     ctx = ["layer", "ref_seq", "of_seq", "ref_cod", "oferta_cod", "ref_denumire", "oferta_denumire", "ref_deviz", "oferta_deviz", "ref_um", "oferta_um", "ref_cantitate", "oferta_cantitate"]
     fields = found_diffs.withColumn("x", F.explode("d")).select(*ctx, "x.tip", "x.camp", "x.ref", "x.oferta")
     none = [F.lit(None).cast("double").alias("ref"), F.lit(None).cast("double").alias("oferta")]
-    coded = found_diffs.filter((clean_code("ref_cod") != clean_code("oferta_cod")) & ((F.size("d") > 0) | F.col("layer").isin("similar", "interval"))).select(*ctx, F.lit("COD_SIMILAR").alias("tip"), F.lit("cod").alias("camp"), *none)
+    coded = found_diffs.filter((clean_code("ref_cod") != clean_code("oferta_cod")) & ((F.size("d") > 0) | F.col("layer").isin("similar", "interval", "provider"))).select(*ctx, F.lit("COD_SIMILAR").alias("tip"), F.lit("cod").alias("camp"), *none)
     moved = both.filter("layer = 'cross_section'").select(*ctx, F.lit("DEVIZ_MISMATCH").alias("tip"), F.lit("deviz").alias("camp"), *none)
     gap = lambda rows, here, there, tip: rows.select(*[_side(c, here) for c in ctx], F.lit(tip).alias("tip"), F.lit(None).cast("string").alias("camp"), *none)
     lost, surplus = gap(r, "ref", "oferta", "ARTICOL_LIPSA"), gap(o, "oferta", "ref", "ARTICOL_EXTRA")
@@ -281,8 +309,18 @@ def final_discrepancies(every: DataFrame, scope: list[str] | None = None) -> Dat
     return dedup_discrepancies(every, [F.coalesce("ref_seq", F.lit(1 << 62)), F.coalesce("of_seq", F.lit(1 << 62)), field_rank()], scope)
 
 
+def provided_pairs(ref: DataFrame, offer: DataFrame, provider, least: float = 0.75) -> DataFrame:
+    """What the provider matches, 50 reference rows a call: each is shown with the offer rows of its section whose code ratio reaches `least`."""
+    from .providers import ask
+
+    shown = similar_codes(ref, offer, least).groupBy("section", "r_seq", "r_code", "r_denumire").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_seq").alias("of_seq"), F.col("o_code").alias("cod"), F.substring("o_denumire", 1, 40).alias("denumire"))))).alias("candidates"))
+    told = ask(shown, "fuzzy_items", provider).filter("answer_of_seq is not null")
+    free = offer.select(F.col("seq").alias("answer_of_seq"), "section")
+    told = told.join(free, ["answer_of_seq", "section"], "left_semi")
+    return _greedy(told.select(F.col("section").alias("block"), F.col("r_seq").alias("ref_seq"), F.col("answer_of_seq").alias("of_seq"), F.coalesce("answer_score", F.lit(1.0)).alias("score")), "provider")
+
+
 def code_similarity_candidates(ref: DataFrame, offer: DataFrame, least: float = 0.75) -> DataFrame:
     """ref rows with any offer row of their section whose code ratio reaches `least`: what a provider is asked about."""
-    c = _sides(ref, offer, ["section"])
-    c = c.filter(_lengths_reach(least)).filter(code_ratio_from(least)("r_code", "o_code") >= least)
+    c = similar_codes(ref, offer, least)
     return ref.join(c.select(F.col("r_seq").alias("seq")).distinct(), "seq", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -60,6 +62,65 @@ def ask(rows: DataFrame, task: str, provider: Provider | None = None, batch: int
     return source.mapInPandas(run, schema)
 
 
+class JsonClient:
+    """A provider over a chat function (model, messages, temperature) -> reply text: rows go out as JSON, the JSON object in the reply comes back.
+
+    The reply's `rows` are the answers, in the order of the batch; what is no JSON is no answer.
+    """
+
+    def __init__(self, chat, model: str = "", instructions: dict[str, str] | None = None):
+        self.chat, self.model, self.instructions = chat, model, instructions or {}
+
+    def answer(self, task: str, rows: list[dict]) -> list[dict]:
+        system = f"{self.instructions.get(task, task)}\nAnswer with one JSON object {{\"rows\": [...]}} with an object of the fields {TASKS[task]} for each row, in order."
+        reply = self.chat(self.model, [{"role": "system", "content": system}, {"role": "user", "content": json.dumps(rows, ensure_ascii=False, default=str)}], 0.0)
+        return reply_object(reply).get("rows", [])
+
+
+def reply_object(reply: str) -> dict:
+    """The JSON object in a free-text reply: the whole of it, a fenced block, or the outermost braces; empty otherwise."""
+    fenced, braced = re.search(r"(?s)```(?:json)?\s*(.*?)```", reply or ""), re.search(r"(?s)\{.*\}", reply or "")
+    for text in (reply, fenced and fenced[1], braced and braced[0]):
+        try:
+            found = json.loads(text or "")
+        except json.JSONDecodeError:
+            continue
+        if isinstance(found, dict):
+            return found
+    return {}
+
+
+def section_names(names: DataFrame, provider: Provider | None = None) -> DataFrame:
+    """offer_name and ref_name of section names (offer_name) that no rule mapped, as far as the provider knows them."""
+    return ask(names.select("offer_name").distinct(), "section_names", provider).filter("answer_ref_name is not null").select("offer_name", F.col("answer_ref_name").alias("ref_name"))
+
+
+def categories(items: DataFrame, provider: Provider | None = None) -> DataFrame:
+    """items with the category that the provider gives their description, null without."""
+    d = ask(items.select("denumire").distinct(), "categories", provider).select("denumire", F.col("answer_category").alias("category"))
+    return items.join(d, "denumire", "left")
+
+
+def formats(docs: DataFrame, provider: Provider | None = None) -> DataFrame:
+    """docs (doc_id, text, format) whose format no pattern showed take the provider's."""
+    q = docs.filter("format = 'UNKNOWN'")
+    told = ask(q.select("doc_id", "text"), "component_format", provider).select("doc_id", F.col("answer_format").alias("__f"))
+    return docs.join(told, "doc_id", "left").withColumn("format", F.coalesce("__f", "format")).drop("__f")
+
+
+def extracted(texts: DataFrame, provider: Provider | None = None, most: int = 12_000) -> DataFrame:
+    """doc_id, chunk and the fields of each item that the provider reads from texts, chunk by chunk."""
+    told = ask(chunks(texts, most), "extract_items", provider).filter("answer_items is not null")
+    item = "array<struct<cod:string,denumire:string,um:string,cantitate:double,is_component:boolean>>"
+    return told.select("doc_id", "chunk", F.inline(F.from_json("answer_items", item)))
+
+
+def drop_found(components: DataFrame, items: DataFrame) -> DataFrame:
+    """Components of rules but for those (doc_id, code, quantity) that the provider's items have."""
+    key = ["doc_id", "cod", "cantitate"]
+    return components.join(items.select(*key).distinct(), key, "left_anti")
+
+
 def resolve_partial(pages: DataFrame, provider: Provider | None = None) -> DataFrame:
     """Partial section keys resolved by the provider over distinct (object, category) pairs, and by the first-word rule where it has no answer."""
     from .pages import PARTIAL, partial_fallback

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import clean_code, section_name_key, strip_section_prefix, text
 from ..functions.similarity import name_ratio, text_ratio, word_overlap
+from ..session import small
 
 
 def names(items: DataFrame) -> DataFrame:
@@ -43,9 +44,9 @@ def lookup_text(queries: DataFrame, catalog: DataFrame, least: float = 0.65) ->
 
     queries has q; catalog is names(). Both are one row a distinct name, and only lengths that can reach the score meet.
     """
-    t = catalog.select("deviz", F.explode("texts").alias("t")).withColumn("w", F.lit("*"))
-    q = queries.select("q", F.lower(text("q")).alias("low")).filter("low <> ''").distinct().withColumn("w", F.lit("*"))
-    c = q.join(t, "w")
+    t = catalog.select("deviz", F.explode("texts").alias("t"))
+    q = queries.select("q", F.lower(text("q")).alias("low")).filter("low <> ''").distinct()
+    c = q.crossJoin(small(t))  # a row a name of a section; beyond a broadcast's size, both sides are dealt out
     kind = F.when(F.col("low") == F.col("t"), "exact").when(F.col("low").contains(F.col("t")) & (F.length("low") > F.length("t")), "substring").otherwise("fuzzy")
     c = c.withColumn("kind", kind).filter((F.col("kind") != "fuzzy") | (2 * F.least(F.length("low"), F.length("t")) >= least * (F.length("low") + F.length("t"))))
     c = c.withColumn("score", F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "substring", 0.85).otherwise(text_ratio("low", "t"))).filter(F.col("score") >= least)
@@ -72,7 +73,7 @@ def map_by_name(ref: DataFrame, offer: DataFrame, least: float = 0.70) -> DataFr
     left = o.join(code, "offer_deviz", "left_anti")
     same = left.filter("n <> ''").join(r, left.n == r.rn).groupBy("offer_deviz").agg(F.min("ref_deviz").alias("ref_deviz")).select("offer_deviz", "ref_deviz", F.lit("name").alias("how"), F.lit(1.0).alias("score"))
     left = left.join(same, "offer_deviz", "left_anti").filter("n <> ''")
-    pairs = left.withColumn("k", F.lit(1)).join(r.filter("rn <> ''").withColumn("k", F.lit(1)), "k").withColumn("s", name_ratio("rn", "n"))
+    pairs = left.crossJoin(small(r.filter("rn <> ''"))).withColumn("s", name_ratio("rn", "n"))  # a row a section on either side
     best = pairs.groupBy("offer_deviz").agg(F.max_by(F.struct("ref_deviz", "s"), F.struct("s", "ref_deviz")).alias("b")).select("offer_deviz", "b.ref_deviz", F.col("b.s").alias("score"))
     close = best.filter(F.col("score") >= least).select("offer_deviz", "ref_deviz", F.lit("similar").alias("how"), "score")
     word = pairs.join(close, "offer_deviz", "left_anti").filter(~F.col("offer_deviz").contains("-") & (F.col("rn").contains(F.split_part("n", F.lit(" "), F.lit(1)))) & (F.length(F.split_part("n", F.lit(" "), F.lit(1))) > 2))
