@@ -61,29 +61,52 @@ def exact_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     plain = plain.select("ref_seq", "of_seq", F.lit("exact").alias("layer"), F.lit(1.0).alias("score"))
     many = n.filter("nr > 1 or no > 1").select(keys)
     side = lambda rows, k: rows.join(many, keys).select(*keys, "seq", "unit", "qty", F.lit(k).alias("side"))
-    both = side(ref, 0).unionByName(side(offer, 1)).withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(_blocks(ref))))
-
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[tuple, tuple[list, list]] = {}
-        for s, c, seq, unit, qty, k in zip(g["section"], g["code"], g["seq"], g["unit"], g["qty"], g["side"]):
-            groups.setdefault((s, c), ([], []))[k].append((qty, seq, unit))
-        out = []
-        for refs, pool in groups.values():
-            units = {u for _, _, u in refs}
-            pool.sort(key=lambda x: (x[2] not in units, x[0], x[1]))
+    both = side(ref, 0).unionByName(side(offer, 1))
+
+    def take(parts):
+        for rows in _runs(parts, keys):
+            refs = [(x.qty, x.seq, x.unit) for x in rows if x.side == 0]
+            units, out = {u for _, _, u in refs}, []
+            pool = sorted(((x.qty, x.seq, x.unit) for x in rows if x.side == 1), key=lambda x: (x[2] not in units, x[0], x[1]))
             for qty, seq, unit in sorted(refs):
                 if not pool:
                     break
                 best = min(range(len(pool)), key=lambda i: (pool[i][2] != unit, abs(pool[i][0] - qty), i))
                 out.append((seq, pool.pop(best)[1], "exact", 1.0))
-        return pd.DataFrame(out, columns=["ref_seq", "of_seq", "layer", "score"])
+            yield out
+
+    return plain.unionByName(_by_run(both, keys, take, PAIRS))
+
+
+def _runs(parts, keys: list[str]):
+    """The rows of one key at a time, from frames that come sorted by the keys."""
+    held, last = [], None
+    for p in parts:
+        for row in p.itertuples(index=False):
+            now = tuple(getattr(row, k) for k in keys)
+            if held and now != last:
+                yield held
+                held = []
+            held.append(row)
+            last = now
+    if held:
+        yield held
+
 
-    return plain.unionByName(both.groupBy("block").applyInPandas(take, PAIRS))
+def _by_run(rows: DataFrame, keys: list[str], take, schema: str) -> DataFrame:
+    """The lists that take() gives for each key of rows. Partitions are sorted and read key by key, so a task holds one key."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
+    def run(parts):
+        out: list[tuple] = []
+        for found in take(parts):
+            out += found
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
 
-def _blocks(df: DataFrame) -> int:
-    """How many groups Python functions get where keys are many and small: a few for each shuffle partition."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def normalized_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
@@ -101,16 +124,17 @@ def variant_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
 def _greedy(candidates: DataFrame, layer: str) -> DataFrame:
     """From scored candidate pairs (block, ref_seq, of_seq, score): every reference row in order takes its best offer row that is left."""
 
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        used, done, out = set(), set(), []
-        for r, s, o in sorted(zip(g["ref_seq"], -g["score"], g["of_seq"])):
-            if r not in done and o not in used:
-                done.add(r)
-                used.add(o)
-                out.append((r, o, layer, -s))
-        return pd.DataFrame(out, columns=["ref_seq", "of_seq", "layer", "score"])
+    def take(parts):
+        for rows in _runs(parts, ["block"]):
+            used, done, out = set(), set(), []
+            for r, s, o in sorted((x.ref_seq, -x.score, x.of_seq) for x in rows):
+                if r not in done and o not in used:
+                    done.add(r)
+                    used.add(o)
+                    out.append((r, o, layer, -s))
+            yield out
 
-    return candidates.groupBy("block").applyInPandas(take, PAIRS)
+    return _by_run(candidates, ["block"], take, PAIRS)
 
 
 def _sides(ref: DataFrame, offer: DataFrame, on: list[str]) -> DataFrame:
@@ -172,32 +196,35 @@ def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, le
     """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4."""
     c = similar_codes(ref, offer, least_code)
     c = c.withColumn("t", token_score("r_denumire", "o_denumire")).withColumn("score", 0.6 * F.col("cr") + 0.4 * F.col("t"))
-    best = c.groupBy("section").applyInPandas(_best_first(least_text), PAIRS)
-    return best
-
-
-def _best_first(least_text: float):
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        rows: dict[int, list] = {}
-        for r, o, s, t in zip(g["r_seq"], g["o_seq"], g["score"], g["t"]):
-            rows.setdefault(r, []).append((-s, o, t))
-        used, out = set(), []
-        for r in sorted(rows):
-            left = [x for x in rows[r] if x[1] not in used]
-            if left:
-                s, o, t = min(left)
-                if t >= least_text:
-                    used.add(o)
-                    out.append((r, o, "similar", -s))
-        return pd.DataFrame(out, columns=["ref_seq", "of_seq", "layer", "score"])
-
-    return take
+    c = c.select("section", "r_seq", "o_seq", "score", "t")
+
+    def take(parts):
+        for group in _runs(parts, ["section"]):
+            rows: dict[int, list] = {}
+            for x in group:
+                rows.setdefault(x.r_seq, []).append((-x.score, x.o_seq, x.t))
+            used, out = set(), []
+            for r in sorted(rows):
+                left = [x for x in rows[r] if x[1] not in used]
+                if left:
+                    s, o, t = min(left)
+                    if t >= least_text:
+                        used.add(o)
+                        out.append((r, o, "similar", -s))
+            yield out
+
+    return _by_run(c, ["section"], take, PAIRS)
 
 
 def interval_candidates(ref: DataFrame, offer: DataFrame) -> DataFrame:
-    """Pairs of one section and unit whose quantities differ by a hundredth of the larger at most (and 0.01)."""
-    r = ref.filter((F.col("qty") != 0) | (F.col("unit") != ""))
-    c = _sides(r, offer, ["section", "unit"])
+    """Pairs of one section and unit whose quantities differ by a hundredth of the larger at most (and 0.01).
+
+    Such quantities, one added, differ by a factor of 1/0.99 at most, so they lie in one class of that width or in two
+    neighbouring ones: rows meet over these.
+    """
+    size = F.floor(F.log(F.abs("qty") + 1) / 0.0102)
+    r = ref.filter((F.col("qty") != 0) | (F.col("unit") != "")).withColumn("__s", F.explode(F.array(size - 1, size, size + 1)))
+    c = _sides(r, offer.withColumn("__s", size), ["section", "unit", "__s"]).drop("__s")
     return c.filter(F.abs(F.col("r_qty") - F.col("o_qty")) <= 0.01 * F.greatest(F.abs("r_qty"), F.abs("o_qty")) + 0.01)
 
 
