@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -16,9 +16,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item a lineitem; seq is unique and in the order of order, line, part and supplier."""
+    """One item a lineitem; seq is unique and in the order of order and line, and of part, supplier and amounts where a line repeats.
+
+    It holds up to 64 lines of an order and 4,096 repeats of a line, and any number of orders below 2^45.
+    """
     li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    seq = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 262144 + F.col("l_partkey")) * 4096 + F.col("l_suppkey")
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    li = li.withColumn("again", again - 1)
+    seq = (F.col("l_orderkey") * 64 + F.col("l_linenumber")) * 4096 + F.col("again")
     units = F.array(*map(F.lit, UNITS))
     return li.join(p, li.l_partkey == p.p_partkey).select(
         seq.alias("seq"), (F.col("l_orderkey") % 40).cast("string").alias("deviz"), F.concat(F.lit("PK"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")).alias("cod"),
@@ -44,7 +49,7 @@ def offer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH b AS (SELECT ((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 4096 + l_suppkey AS seq, (l_orderkey % 40)::VARCHAR AS deviz, 'PK' || lpad(l_partkey::VARCHAR, 5, '0') AS cod,
+WITH b AS (SELECT (l_orderkey * 64 + l_linenumber) * 4096 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS seq, (l_orderkey % 40)::VARCHAR AS deviz, 'PK' || lpad(l_partkey::VARCHAR, 5, '0') AS cod,
                   p_name AS denumire, ['buc', 'mp', 'mc', 'kg', 'm'][p_size % 5 + 1] AS um, l_quantity AS cantitate, p_brand AS deviz_denumire, p_retailprice AS pret_material,
                   l_extendedprice AS val_material, l_orderkey, l_linenumber, l_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey),
 ref AS (SELECT * FROM b WHERE (l_orderkey + l_linenumber) % 10 <> 0),

@@ -81,10 +81,7 @@ SELECT conv_id, turn, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_in
 def token_overlap(spark, d):
     """Shared words of every turn and the next of its conversation, as a part of the shorter one's."""
     c = read(spark, d, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("nxt is not null")
-    w = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.trim(x)), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 3))
-    c = c.withColumns({"a": w("text"), "b": w("nxt")})
-    n = F.least(F.size("a"), F.size("b"))
-    return c.select("conv_id", "turn", F.round(F.when(n > 0, F.size(F.array_intersect("a", "b")) / n).otherwise(F.lit(0.0)), 6).alias("overlap"))
+    return c.select("conv_id", "turn", F.round(S.word_overlap("text", "nxt"), 6).alias("overlap"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
@@ -352,7 +349,8 @@ def json_replies(spark, d):
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (trim(c) = '')::BIGINT AS blank, max(length(c))::BIGINT AS longest, count(*) FILTER (regexp_matches(c, '\b(?:[A-Z]{2,5}[0-9]{1,4}[A-Z]?[0-9]{0,2}|[A-Z][0-9][A-Z]{1,3}[0-9]{2,4}[A-Z]?[0-9]{0,2})\b') OR regexp_matches(c, '\$[A-Z0-9]{4,8}'))::BIGINT AS coded FROM l GROUP BY doc_id""")
 def line_scan(spark, d):
-    t = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("content")))
+    t = pages.lines(read(spark, d, "documents").filter("text is not null").select("doc_id", F.array(F.struct(F.lit(1).alias("page_number"), line.alias("lines"))).alias("pages")))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("content") == "").alias("blank"), F.max(F.length("content")).cast("long").alias("longest"), F.count_if(T.has_item_codes("content")).alias("coded"))
 
 
@@ -362,29 +360,6 @@ def page_predicates(spark, d):
     return p.select("page_id", F.rlike("html", F.lit(pages.SUMMARY)).alias("summary"), F.rlike("html", F.lit(pages.REJECT[1])).alias("rejected"), F.substring("html", 1, 200).contains("TOTAL GENERAL").alias("total"), F.rlike("html", F.lit(pages.COMPONENT)).alias("component"))
 
 
-@query()
-def page_classes(spark, d):
-    """Each document as a page: label, section and method."""
-    t = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), F.split("text", "\n").alias("lines")).withColumn("full", F.concat_ws(" ", "lines"))
-    return pages.classify(t).select("doc_id", "label", "deviz_cod", "extraction_method")
-
-
-@query()
-def parsed_bill(spark, d):
-    """The bill printed as lines and parsed again, a group a section and order."""
-    b = bill(spark, d).withColumn("doc_id", (F.col("l_orderkey") % 1000).cast("string"))
-    ln = F.array(F.lit("1"), F.concat("cod", F.lit(" - "), "denumire"), F.col("um"), F.format_string("%.3f", "cantitate"), F.format_string("%.2f", "pret_material"), F.format_string("%.2f", "val_material"))
-    rows = b.select("doc_id", "deviz", "deviz_denumire", F.col("seq").alias("page_number"), F.posexplode(ln).alias("line_no", "content"))
-    return parser.parse(rows.withColumn("deviz_denumire", F.lit(""))).select("doc_id", "seq", "deviz", "cod", "um", "cantitate")
-
-
-@query()
-def merged_tables(spark, d):
-    """Line rows and table rows of one bill merged."""
-    r, o = reference(spark, d), offer(spark, d)
-    return tables.merge(r, o).select("deviz", "cod", "um", "cantitate", "seq", "side")
-
-
 @query(SQL + """SELECT seq, cod, CASE WHEN c = 1 AND cantitate = 0 THEN pq ELSE cantitate END AS cantitate, CASE WHEN c = 1 AND um = '' THEN pu ELSE um END AS um FROM (
  SELECT x.seq, 'C' || x.cod AS cod, 1 AS c, 0.0::DOUBLE AS cantitate, '' AS um, p.q AS pq, p.u AS pu FROM ref x JOIN (SELECT cod, arg_max(cantitate, seq) AS q, arg_max(um, seq) AS u FROM ref GROUP BY cod) p USING (cod))""")
 def component_inheritance(spark, d):

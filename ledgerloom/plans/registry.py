@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import cases  # noqa: F401 - registers its queries
 from . import queries as q
 
 
