@@ -187,6 +187,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ascending(a: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting (np.unique() may hash first, which is far slower on long arrays)."""
+    s = np.sort(a)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, starts_of, table, word_hashes
+from .common import ascending, col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, starts_of, table, word_hashes
 
 #: Bytes of context, at most seven.
 DEPTH = 7
@@ -482,7 +482,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 lens, n_bytes = np.array([len(w) + 1 for w in words], np.int64), np.array([len(x) for x in norm])
                 read.append((col(b, "doc_id"), lens, n_bytes, first, *ranked(key), *ranked(word_hashes([x for w in words for x in [*w, END]]))))
                 del words, norm, key
-            keys, t_keys = (np.unique(np.concatenate([r[i] for r in read])) for i in (4, 6))
+            keys, t_keys = (ascending(np.concatenate([r[i] for r in read])) for i in (4, 6))
             known, counts = _looked_up(folder, blocks, keys, np.nan), _looked_up(token_folder, parts, t_keys, 0.0)
             for doc_id, lens, n_bytes, first, u, which, h, token in read:
                 at = starts_of(lens)[:-1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, grouped, mix64, quoted, raw, slices, small, staged, starts_of, table, word_hashes
+from .common import ascending, col, grouped, mix64, quoted, raw, slices, small, staged, starts_of, table, word_hashes
 from .substrings import _pair, fold
 
 #: Coordinates of a signature, and how many standard deviations below its mean the match threshold lies.
@@ -53,7 +53,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     out = []
     for w, a, e in zip(words, at.tolist(), at[1:].tolist()):
         if e - a >= n:
-            out.append(np.unique(s[a : e - n + 1]))
+            out.append(ascending(s[a : e - n + 1]))
         elif e > a:
             out.append(mix64(word_hashes([b"\0".join(w)]) + np.uint64(e - a)))
         else:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, table, without
+from .common import table, without
 
 #: White space, for translate().
 BLANK = " \t\n\x0b\f\r"

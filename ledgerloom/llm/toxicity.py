@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import col, mix64, plain_names, raw, remainder, slices, staged, table, without
+from .common import ascending, col, mix64, plain_names, raw, remainder, slices, staged, table, without
 
 #: Bits of a feature's hash; the table of weights has so many rows, the bias aside.
 BITS = 20
@@ -56,7 +56,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     doc, f = features(texts)
     hot = np.flatnonzero(model.weights[f])
-    key = np.unique(doc[hot] << BITS | f[hot])
+    key = ascending(doc[hot] << BITS | f[hot])
     total = np.bincount(key >> BITS, model.weights[key & ((1 << BITS) - 1)], len(texts)) + model.bias
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str =
     def extract(batches):
         for b in slices(batches, "text"):
             doc, f = features(raw(col(b, "text")))
-            key = np.unique(doc << BITS | f)
+            key = ascending(doc << BITS | f)
             at = np.searchsorted(key >> BITS, np.arange(b.num_rows + 1))
             own = (key & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([col(b, "h"), col(b, "y"), pa.array([own[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["h", "y", "f"])
