@@ -10,7 +10,7 @@ from ..functions import similarity as S
 from ..functions import texts as T
 from ..functions import units as U
 from ..operators import aggregates as A
-from ..operators import compare, components, dedup, matching, pages, parser, sections, tables
+from ..operators import compare, components, dedup, matching, pages, sections, tables
 from .bill import SQL, bill, offer, read, reference
 
 QUERIES, ORACLES = {}, {}
