@@ -122,17 +122,30 @@ def extra_description(c) -> Column:
     return F.substring(cut, 1, 100)
 
 
-def observation(tip, camp, ref, offer, calculated, declared) -> Column:
-    """The report's text for a discrepancy."""
+# The names of fields in a report's texts.
+FIELD_LABELS = {
+    "cantitate": "Cantitate", "pret_material": "Preț material", "pret_manopera": "Preț manoperă", "pret_utilaj": "Preț utilaj", "pret_transport": "Preț transport",
+    "val_material": "Valoare material", "val_manopera": "Valoare manoperă", "val_utilaj": "Valoare utilaj", "val_transport": "Valoare transport",
+}
+
+
+def observation(tip="tip", camp="camp", ref="ref", offer="oferta", ref_um="ref_um", offer_um="oferta_um", ref_code="ref_cod", offer_code="oferta_cod", reason=None, declared=None, calculated=None) -> Column:
+    """The report's text for a discrepancy, from its columns; missing values show as nothing."""
+    c = lambda x: F.lit("") if x is None else F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit(""))
+    t, f, why = c(tip), c(camp), c(reason)
+    label = f
+    for name, shown in FIELD_LABELS.items():
+        label = F.when(f == name, shown).otherwise(label)
+    unit = F.when(f == "cantitate", c(ref_um)).otherwise("lei")
     return (
-        F.when(tip == "ARTICOL_LIPSA", "missing from the offer")
-        .when(tip == "ARTICOL_EXTRA", "not in the reference")
-        .when(tip == "UM_DIFERIT", F.format_string("unit %s instead of %s", F.coalesce(offer, F.lit("-")), F.coalesce(ref, F.lit("-"))))
-        .when(tip == "DIFERENTA_CAMP", F.format_string("%s: %s instead of %s", F.coalesce(camp, F.lit("-")), F.coalesce(offer, F.lit("-")), F.coalesce(ref, F.lit("-"))))
-        .when(tip == "EROARE_ARITMETICA", F.format_string("%s: declared %s, calculated %s", F.coalesce(camp, F.lit("-")), F.coalesce(declared, F.lit("-")), F.coalesce(calculated, F.lit("-"))))
-        .when(tip == "COD_SIMILAR", "matched under a similar code")
-        .when(tip == "DEVIZ_MISMATCH", "found in another section")
-        .otherwise(tip)
+        F.when(t == "ARTICOL_LIPSA", "Articol lipsă din ofertă")
+        .when(t == "ARTICOL_EXTRA", "Articol suplimentar în ofertă (nu există în referință)")
+        .when(t == "UM_DIFERIT", F.concat(F.lit("Unitate de măsură diferită: referință "), c(ref_um), F.lit(", ofertat "), c(offer_um)))
+        .when(t == "DIFERENTA_CAMP", F.trim(F.concat(label, F.lit(" diferită: referință "), c(ref), F.lit(" "), unit, F.lit(", ofertat "), c(offer), F.lit(" "), unit)))
+        .when(t == "EROARE_ARITMETICA", F.concat(F.lit("Eroare aritmetică: "), f, F.lit(" declarat "), c(declared), F.lit(" lei ≠ calculat "), c(calculated), F.lit(" lei")))
+        .when(t == "COD_SIMILAR", F.concat(F.lit("Cod similar — posibilă eroare OCR sau variație: referință '"), c(ref_code), F.lit("', ofertat '"), c(offer_code), F.lit("'. "), why, F.lit(". Necesită verificare manuală.")))
+        .when(t == "ARTICOL_ORPHAN", F.concat(F.lit("ORPHAN: Cod '"), c(ref_code), F.lit("' identic, dar categorii DIFERITE. "), why, F.lit(". VERIFICARE MANUALA NECESARA!")))
+        .otherwise(t)
     )
 
 
