@@ -413,3 +413,111 @@ def sliced_text(spark, d):
     s = b.groupBy("doc_id", "code").agg(F.concat_ws("\n", F.concat(F.lit("Deviz oferta "), "code", F.lit(" LOT "), "code"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", ln.alias("l")))), lambda x: x["l"]), "\n")).alias("t"))
     text = s.groupBy("doc_id").agg(F.concat_ws("\n", F.lit("Centralizator\n1 AB01A1 - altceva\nbuc\n2.000\n\nFormularul F3"), F.array_join(F.array_sort(F.collect_list("t")), "\n")).alias("text"))
     return extraction.extract_text(text).groupBy("doc_id", "deviz", F.col("deviz_denumire").alias("name")).agg(F.count("*").alias("items"))
+
+
+@query(SQL + """, m AS (SELECT DISTINCT deviz, CASE WHEN deviz::INT % 3 = 0 THEN 'R' || deviz WHEN deviz::INT % 3 = 1 THEN deviz END AS t FROM offer) SELECT seq, coalesce(t, offer.deviz) AS deviz, CASE WHEN t IS NOT NULL AND t <> offer.deviz THEN offer.deviz END AS deviz_original FROM offer LEFT JOIN m USING (deviz)""")
+def remapped_sections(spark, d):
+    o = offer(spark, d)
+    k = F.col("deviz").cast("int") % 3
+    m = o.select("deviz").distinct().filter(k < 2).select(F.col("deviz").alias("offer_deviz"), F.when(k == 0, F.concat(F.lit("R"), "deviz")).otherwise(F.col("deviz")).alias("ref_deviz"))
+    return sections.remap(o, m).select("seq", "deviz", "deviz_original")
+
+
+@query(SQL + """SELECT (l_orderkey % 7)::VARCHAR AS doc_id, l_orderkey % 100 AS page_number, cod, min(seq) AS seq FROM b GROUP BY ALL""")
+def page_components(spark, d):
+    b = bill(spark, d).withColumns({"doc_id": (F.col("l_orderkey") % 7).cast("string"), "page_number": F.col("l_orderkey") % 100})
+    return dedup.distinct_components(b, ["seq"]).select("doc_id", "page_number", "cod", "seq")
+
+
+@query(SQL + """SELECT l_orderkey AS page_number, count(*)::BIGINT AS score FROM b WHERE l_partkey % 4 <> 0 GROUP BY ALL HAVING count(*) > 0 UNION ALL SELECT l_orderkey, 0 FROM b GROUP BY ALL HAVING count(*) FILTER (l_partkey % 4 <> 0) = 0""")
+def content_scores(spark, d):
+    """Pages on which some codes stand alone, seven lines from any unit, and others before their unit."""
+    far = F.array(*[F.lit("fara") for _ in range(7)])
+    b = bill(spark, d).withColumn("l", F.concat(far, F.array(F.concat(F.lit("PK"), F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0"))), F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit("fara"))).otherwise(F.array("um")), far))
+    rows = b.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "l"))), lambda x: x["l"])).alias("l")).select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.posexplode("l").alias("line_no", "content"))
+    return pages.content_scores(rows).select("page_number", "score")
+
+
+@query(SQL + """SELECT DISTINCT l_orderkey AS page_number, 'S' || deviz || 'X' AS target FROM b WHERE deviz::INT % 2 = 0 AND l_orderkey % 3 <> 2""")
+def opened_sections(spark, d):
+    """Pages whose heading names a section that is looked for, on its own line or within seven behind it; too far behind on every third."""
+    b = bill(spark, d).select("l_orderkey", "deviz").distinct()
+    code = F.concat(F.lit("s"), "deviz", F.lit("x"))
+    gap = F.array_repeat(F.lit("x"), F.element_at(F.array(F.lit(0), F.lit(6), F.lit(8)), (F.col("l_orderkey") % 3).cast("int") + 1))
+    ln = F.concat(F.array(F.lit("Stadiul fizic:")), gap, F.array(F.concat(F.lit("oferta "), code, F.lit(" LOT")), F.concat(F.lit("z"), code)))
+    rows = b.select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.posexplode(ln).alias("line_no", "content"))
+    targets = b.filter("try_cast(deviz AS int) % 2 = 0").select(code.alias("target")).distinct()
+    return pages.opens_section(rows, targets).select("page_number", "target")
+
+
+# type, field, reference, offer, both units, both codes, text
+OBSERVED = [
+    ("ARTICOL_LIPSA", "", 0.0, 0.0, "m", "", "AB1", "", "Articol lipsă din ofertă"), ("ARTICOL_EXTRA", "", 0.0, 0.0, "", "m", "", "AB1", "Articol suplimentar în ofertă (nu există în referință)"), ("UM_DIFERIT", "um", 0.0, 0.0, "m", "mp", "AB1", "AB1", "Unitate de măsură diferită: referință m, ofertat mp"),
+    ("DIFERENTA_CAMP", "cantitate", 1.5, 2.0, "m", "m", "AB1", "AB1", "Cantitate diferită: referință 1.5 m, ofertat 2.0 m"), ("DIFERENTA_CAMP", "val_utilaj", 1.5, 2.0, "m", "m", "AB1", "AB1", "Valoare utilaj diferită: referință 1.5 lei, ofertat 2.0 lei"), ("SUBCOMP_EXTRA", "", 0.0, 0.0, "", "", "A", "B", "SUBCOMP_EXTRA"),
+    ("COD_SIMILAR", "cod", 0.0, 0.0, "m", "m", "AB1", "AB7", "Cod similar — posibilă eroare OCR sau variație: referință 'AB1', ofertat 'AB7'. . Necesită verificare manuală."),
+]
+
+
+@query(_expected("tip, camp, r, o, ru, ou, rc, oc, shown", OBSERVED, "shown"))
+def observations(spark, d):
+    t = _dealt(spark, d, "tip string, camp string, ref double, oferta double, ref_um string, oferta_um string, ref_cod string, oferta_cod string", [x[:8] for x in OBSERVED])
+    return _counted(t, T.observation().alias("shown"))
+
+
+# description, parent, label, cut description
+LABELS = [("AB1", True, "CD2", "[COMPONENT] AB1 (parent: CD2)"), ("AB1", False, None, "AB1"), ("AB1", None, "CD2", "AB1"), (None, True, None, "[COMPONENT]  (parent: )")]
+
+
+@query(_expected("code, part, parent, label", LABELS, "label"))
+def hierarchy_labels(spark, d):
+    t = _dealt(spark, d, "code string, part boolean, parent string", [x[:3] for x in LABELS])
+    return _counted(t, T.hierarchy_label("code", F.col("part"), "parent").alias("label"))
+
+
+@query(SQL + """, n AS (SELECT count(DISTINCT deviz)::BIGINT AS n FROM ref), h AS (SELECT count(DISTINCT deviz)::BIGINT AS n FROM ref WHERE deviz::INT < 9) SELECT 'same' AS how, 'IDENTICAL' AS pattern, n.n AS n_ref, n.n AS n_offer, n.n AS n_both FROM n UNION ALL SELECT 'fewer', 'SUBSET', n.n, h.n, h.n FROM n, h UNION ALL SELECT 'more', 'SUPERSET', h.n, n.n, h.n FROM n, h
+UNION ALL SELECT 'prefix', 'PREFIXED', n.n, n.n, 0 FROM n UNION ALL SELECT 'main', 'MAIN_PLUS_SUB', n.n, n.n, 0 FROM n UNION ALL SELECT 'other', 'UNKNOWN', n.n, n.n, 0 FROM n""")
+def section_patterns(spark, d):
+    """How the codes of an offer's sections relate to the reference's: each outcome once."""
+    r = reference(spark, d).select("deviz").distinct()
+    x = r.select(F.concat(F.lit("Q"), "deviz").alias("deviz"))
+    less, sub = r.filter("try_cast(deviz AS int) < 9"), r.select(F.concat(F.lit("M"), "deviz", F.lit("-01")).alias("deviz"))
+    runs = {"same": (r, r), "fewer": (r, less), "more": (less, r), "prefix": (r, x), "main": (sub, r.select(F.concat(F.lit("M"), "deviz").alias("deviz"))), "other": (r, r.select(F.concat("deviz", F.lit("!")).alias("deviz")))}
+    out = [sections.code_pattern(a, b).withColumn("how", F.lit(k)) for k, (a, b) in runs.items()]
+    for o in out[1:]:
+        out[0] = out[0].unionByName(o)
+    return out[0]
+
+
+@query(SQL + """, r AS (SELECT deviz, cod, count(*) AS n FROM rd GROUP BY ALL), o AS (SELECT deviz, cod, count(*) AS n FROM od GROUP BY ALL) SELECT 'ref' AS side, deviz, cod, (r.n - coalesce(o.n, 0))::BIGINT AS n FROM r LEFT JOIN o USING (deviz, cod) WHERE r.n > coalesce(o.n, 0)
+UNION ALL SELECT 'offer', deviz, cod, (o.n - coalesce(r.n, 0))::BIGINT FROM o LEFT JOIN r USING (deviz, cod) WHERE o.n > coalesce(r.n, 0)""")
+def left_over(spark, d):
+    """What the exact layer leaves on either side: rows a key beyond the other side's."""
+    r, o = matching.prepare(reference(spark, d), True), matching.prepare(offer(spark, d), False)
+    p = staged(matching.exact_pairs(r, o), "exact")
+    one = lambda rows, side, name: matching.rest(rows, p, side).groupBy("deviz", "cod").agg(F.count("*").alias("n")).withColumn("side", F.lit(name))
+    return one(r, "ref_seq", "ref").unionByName(one(o, "of_seq", "offer"))
+
+
+@query(SQL + """SELECT 'lot ' || md5(deviz_denumire) || ' nou' AS q, deviz, 'substring' AS kind, 0.85::DOUBLE AS score FROM ref GROUP BY ALL UNION ALL SELECT md5(deviz_denumire), deviz, 'exact', 1.0 FROM ref GROUP BY ALL""")
+def section_lookup(spark, d):
+    """Texts that are a section's name, or hold it."""
+    r = reference(spark, d).withColumn("deviz_denumire", F.md5("deviz_denumire"))
+    q = r.select(F.explode(F.array("deviz_denumire", F.concat(F.lit("lot "), "deviz_denumire", F.lit(" nou")))).alias("q")).distinct()
+    return sections.lookup_text(q, sections.names(r), 0.85)
+
+
+@query(SQL + """, e AS (SELECT DISTINCT md5(deviz_denumire) AS q FROM ref), c AS (SELECT md5(deviz_denumire) AS q, deviz, count(DISTINCT cod) AS n FROM ref WHERE l_partkey % 5 = 0 GROUP BY ALL), a AS (SELECT DISTINCT md5(deviz_denumire) AS q, deviz FROM ref),
+k AS (SELECT DISTINCT md5(deviz_denumire) AS q, cod FROM ref WHERE l_partkey % 5 = 0), s AS (SELECT k.q, r.deviz, count(DISTINCT r.cod) AS n FROM k JOIN ref r USING (cod) GROUP BY ALL)
+SELECT q, deviz FROM (SELECT a.q, a.deviz, row_number() OVER (PARTITION BY a.q ORDER BY coalesce(s.n, 0) DESC, a.deviz) AS i FROM a LEFT JOIN s ON s.q = a.q AND s.deviz = a.deviz) WHERE i = 1""")
+def told_apart_sections(spark, d):
+    """Of the sections of one name, the one that shares most codes with a page."""
+    r = reference(spark, d).withColumn("deviz_denumire", F.md5("deviz_denumire"))
+    found = sections.lookup_text(r.select(F.col("deviz_denumire").alias("q")).distinct(), sections.names(r), 0.9)
+    return sections.disambiguate(found, r.filter("l_partkey % 5 = 0").select(F.col("deviz_denumire").alias("q"), F.col("cod").alias("code")).distinct(), r)
+
+
+@query(SQL + """SELECT count(*)::BIGINT AS n, 0::BIGINT AS told FROM (SELECT DISTINCT denumire FROM ref)""")
+def silent_provider(spark, d):
+    """Without a provider every question is left open, and nothing fails."""
+    r = reference(spark, d).select("denumire").distinct()
+    return providers.categories(r).agg(F.count("*").alias("n"), F.count("category").alias("told"))

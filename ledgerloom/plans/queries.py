@@ -108,8 +108,9 @@ def exact_one_to_one(spark, d):
     r, o = _sides(spark, d)
     one = lambda df: df.groupBy("section", "code").agg(F.count("*").alias("n")).filter("n = 1").select("section", "code")
     k = one(r).join(one(o), ["section", "code"])
-    side = lambda df, p: df.select("section", "code", F.col("seq").alias(p), F.col("unit").alias(p + "_unit"), F.col("qty").alias(p + "_qty"))
-    m = side(r, "ref_seq").join(k, ["section", "code"]).join(side(o, "of_seq"), ["section", "code"])
+    pairs = matching.exact_pairs(r.join(k, ["section", "code"]), o.join(k, ["section", "code"]))
+    side = lambda df, p: df.select(F.col("seq").alias(p), F.col("unit").alias(p + "_unit"), F.col("qty").alias(p + "_qty"))
+    m = pairs.join(side(r, "ref_seq"), "ref_seq").join(side(o, "of_seq"), "of_seq")
     return m.select("ref_seq", "of_seq", (F.col("ref_seq_unit") != F.col("of_seq_unit")).alias("um_diff"), compare.differs(F.col("ref_seq_qty"), F.col("of_seq_qty")).alias("qty_diff"))
 
 
