@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     """source, source_size, target: the share of all words dealt to sources by weight, none above `most` times its size.
 
     Weights repeat over the sources in code-point order, null last. The rank comes from range partitions and their
-    counts, and the level of the water filling from repeated sums, so no task holds all sources.
+    counts, and the level of the water filling from running sums over ranges of cap by weight, so no task holds all sources.
     """
     src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = staged(src.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("pid", F.spark_partition_id()), "mix-sources")
@@ -41,15 +41,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("offset")
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     src = staged(src.join(F.broadcast(offset), "pid").select("source", "source_size", pick.alias("w"), (F.col("source_size") * float(most)).alias("cap")), "mix-weights")
-    total = float(src.agg(F.sum("source_size")).first()[0] or 0) * share
-    level, last = 0.0, -1.0
-    while level > last:  # each turn caps at least one source more, or ends
-        full = F.col("cap") <= F.lit(level) * F.col("w")
-        capped, free = src.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
-        last = level
-        if free:
-            level = max(level, (total - (capped or 0.0)) / free)
-    return src.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
+    size, weight = src.agg(F.sum("source_size"), F.sum("w")).first()
+    ratio = src.withColumn("ratio", F.col("cap") / F.col("w"))
+    by = ["ratio", F.col("source").asc_nulls_last()]
+    ratio = staged(ratio.repartitionByRange(*by).withColumn("pid", F.spark_partition_id()), "mix-ratios")
+    past = ratio.groupBy("pid").agg(F.sum("cap").alias("c"), F.sum("w").alias("f")).select("pid", *[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(x) for x in ("c", "f")])
+    here = Window.partitionBy("pid").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    done = lambda x, name: F.coalesce(F.sum(x).over(here), F.lit(0.0)) + F.col(name)
+    # below a source's ratio all before it are full and share the rest by weight; the level is where that first holds
+    level = (F.lit(float(size or 0) * share) - done("cap", "c")) / (F.lit(float(weight or 0)) - done("w", "f"))
+    first = ratio.join(F.broadcast(past), "pid").withColumn("level", level).filter("level <= ratio")
+    level = first.agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source"))).first()[0]
+    fill = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))
+    return src.select("source", "source_size", fill.alias("target"))
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:

@@ -210,3 +210,24 @@ def test_shared_folder(spark):
     fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="local-cluster[2,1,1024]"), conf=conf)
     with pytest.raises(ValueError):
         common.shared_dir(fake)
+
+
+@pytest.mark.parametrize("share", [0.3, 1.5, 1.9, 2.5])
+def test_water_filling(spark, share):
+    """Targets against filling turn by turn, over many sources, some of size 0 and one null."""
+    rng = np.random.default_rng(int(share * 10))
+    size = {f"s{i:03}": int(n) for i, n in enumerate(rng.integers(0, 400, 120) ** 2 // 50)} | {None: 700}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, size long").repartition(4), share=share).collect()}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, open_, left = {}, set(size), share * sum(size.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        if not full:
+            want |= {s: level * weight[s] for s in open_}
+            break
+        want |= {s: 2.0 * size[s] for s in full}
+        left -= sum(2 * size[s] for s in full)
+        open_ -= full
+    assert got == pytest.approx(want)
