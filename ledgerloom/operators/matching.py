@@ -16,13 +16,22 @@ from ..functions.similarity import code_ratio_from, description_ratio, token_sco
 from ..functions.texts import extra_description
 from ..functions.units import compare_unit
 from ..session import ship, staged
-from .compare import dedup_discrepancies, diffs, field_rank, lenient
+from .compare import PRICES, dedup_discrepancies, diffs, field_rank, lenient
 from .dedup import dedup_items
 
 PAIRS = "ref_seq long, of_seq long, layer string, score double"
 FIELDS = ("seq", "cod", "denumire", "um", "cantitate", "deviz", "deviz_denumire", "is_component")
 
 
+#: What every discrepancy carries of both items.
+CONTEXT = ("layer", "ref_seq", "of_seq", *[f"{side}_{c}" for c in ("cod", "denumire", "deviz", "um", "cantitate") for side in ("ref", "oferta")], "deviz_denumire", "is_component", *[f"{side}_{c}" for side in ("ref", "oferta") for c in PRICES])
+
+
+def whole(items: DataFrame) -> DataFrame:
+    """Items with all prices and values, 0 where a column is missing."""
+    return items.withColumns({c: F.lit(0.0) for c in PRICES if c not in items.columns})
+
+
 def is_artefact(quantity: str = "cantitate", unit: str = "um") -> Column:
     """A row without quantity whose unit is empty or in upper case comes from a heading."""
     u = text(unit)
@@ -272,6 +281,7 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     layer matched and whose codes are alike.
     """
     ship(ref_items.sparkSession)
+    ref_items, offer_items = whole(ref_items), whole(offer_items)
     ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(offer_items, False), "offer")
     layers = [exact_pairs, normalized_pairs, variant_pairs, surplus_pairs]
     late = [similar_pairs, interval_pairs] if fuzzy else []
@@ -302,12 +312,13 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     dollar = lenient_dollar(o, ref_items)
     pairs = persist(pairs.unionByName(dollar), "pairs")
     o = rest(o, dollar, "of_seq")
-    both = with_sides(pairs.filter("layer <> 'suppressed'"), ref_items.select(*FIELDS), offer_items.select(*FIELDS))
+    both = with_sides(pairs.filter("layer <> 'suppressed'"), ref_items.select(*FIELDS, *PRICES), offer_items.select(*FIELDS, *PRICES))
+    both = both.withColumns({"deviz_denumire": F.col("ref_deviz_denumire"), "is_component": F.coalesce("ref_is_component", F.lit(False))})
     d = diffs(prices=prices)
     if mode == "lenient":
         d = lenient(d, F.col("oferta_is_component"), F.col("oferta_cantitate"), F.col("oferta_um"))
     found_diffs = both.withColumn("d", d)
-    ctx = ["layer", "ref_seq", "of_seq", "ref_cod", "oferta_cod", "ref_denumire", "oferta_denumire", "ref_deviz", "oferta_deviz", "ref_um", "oferta_um", "ref_cantitate", "oferta_cantitate"]
+    ctx = list(CONTEXT)
     fields = found_diffs.withColumn("x", F.explode("d")).select(*ctx, "x.tip", "x.camp", "x.ref", "x.oferta")
     none = [F.lit(None).cast("double").alias("ref"), F.lit(None).cast("double").alias("oferta")]
     coded = found_diffs.filter((clean_code("ref_cod") != clean_code("oferta_cod")) & ((F.size("d") > 0) | F.col("layer").isin("similar", "interval", "provider"))).select(*ctx, F.lit("COD_SIMILAR").alias("tip"), F.lit("cod").alias("camp"), *none)
@@ -324,8 +335,12 @@ def _side(name: str, here: str) -> Column:
         return F.lit("none").alias(name)
     if name in ("ref_seq", "of_seq"):
         return (F.col("seq") if (name == "ref_seq") == (here == "ref") else F.lit(None).cast("long")).alias(name)
+    if name == "deviz_denumire":
+        return F.col(name)
+    if name == "is_component":
+        return F.coalesce(name, F.lit(False)).alias(name)
     side, _, field = name.partition("_")
-    kind = "double" if field == "cantitate" else "string"
+    kind = "double" if field == "cantitate" or field in PRICES else "string"
     if side != here:
         return F.lit(None).cast(kind).alias(name)
     return (extra_description("denumire") if field == "denumire" else F.col(field)).alias(name)

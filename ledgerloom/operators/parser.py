@@ -345,6 +345,19 @@ def parse_lines(lines: list[str]) -> list[dict]:
     return m.out
 
 
+def register(spark) -> None:
+    """The table function parse_lines(array of lines) for SQL: one row an item, in order."""
+    from pyspark.sql.functions import udtf
+
+    class ParseLines:
+        def eval(self, lines):
+            for i, r in enumerate(parse_lines([x or "" for x in lines or []])):
+                yield i, r["cod"], r["denumire"], r["um"], float(r["cantitate"]), r["is_component"], r["parent_code"]
+
+    ship(spark)
+    spark.udtf.register("parse_lines", udtf(ParseLines, returnType="seq int, cod string, denumire string, um string, cantitate double, is_component boolean, parent_code string"))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Items of lines (doc_id, deviz, deviz_denumire, page_number, line_no, content), one group a document and section; seq counts within it."""
     ship(lines.sparkSession)

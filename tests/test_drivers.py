@@ -128,3 +128,24 @@ def test_streamed_offers(spark, tmp_path):
     q = offers.compare_arrivals(offers.incoming(spark, f"{tmp_path}/in"), ref, f"{tmp_path}/out", f"{tmp_path}/state", lambda r, o: o.join(r.select("cod"), "cod", "left_anti").select("offer_nr", "cod"))
     q.awaitTermination(120)
     assert sorted(r.cod for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["AB01", "AB02", "AB03"]
+
+
+def test_prices_and_context(spark):
+    priced = lambda rows, p: items(spark, rows).withColumn("pret_material", F.lit(p))
+    ref, offer = priced([("1", "AB01", "zid", "m", 5.0), ("1", "CD02", "vopsea", "mp", 1.0)], 10.0), priced([("1", "AB01", "zid", "m", 5.0), ("1", "QQ99Z", "altceva", "kg", 2.0)], 12.0)
+    _, without = matching.reconcile(ref, offer)
+    assert {r.tip for r in without.collect()} == {"ARTICOL_LIPSA", "ARTICOL_EXTRA"}
+    _, rows = matching.reconcile(ref, offer, prices=True)
+    got = {r.tip: r for r in rows.collect()}
+    d = got["DIFERENTA_CAMP"]
+    assert (d.camp, d.ref, d.oferta, d.ref_pret_material, d.oferta_pret_material, d.is_component) == ("pret_material", 10.0, 12.0, 10.0, 12.0, False)
+    assert got["ARTICOL_EXTRA"].oferta_pret_material == 12.0 and got["ARTICOL_EXTRA"].ref_pret_material is None
+    assert set(matching.CONTEXT) <= set(rows.columns)
+
+
+def test_parse_lines_in_sql(spark):
+    from ledgerloom.operators import parser
+
+    parser.register(spark)
+    got = spark.sql("SELECT p.cod, p.um, p.cantitate FROM VALUES (array('1', 'CA01A1 - Beton', 'mc', '5.000')) t(l), LATERAL parse_lines(t.l) p").collect()
+    assert [tuple(r) for r in got] == [("CA01A1", "mc", 5.0)]
