@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascending, col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, starts_of, table, word_hashes
+from .common import ascending, col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, table
 
 #: Bytes of context, at most seven.
 DEPTH = 7
@@ -37,25 +37,51 @@ END = b"\n"
 GRAM, TOKEN = 0, 1
 
 
-def normal(texts: list[bytes]) -> tuple[list[list[bytes]], list[bytes]]:
-    """Words of each text, and its bytes as the model reads them."""
-    words = [t.lower().split() for t in texts]
-    return words, [b" ".join(w) + END for w in words]
+#: Lower case for A-Z, a space for white space.
+PLAIN = bytes(b + 32 if 65 <= b < 91 else 32 if b in b" \t\n\v\f\r" else b for b in range(256))
+_R = np.random.default_rng(20240607)
+#: What a byte and its place add to a word's hash.
+BYTE, STEP = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+
+
+def normal(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts as the model reads them, words with single spaces and an end behind each text; and where each starts."""
+    flat = np.frombuffer(END.join([t.translate(PLAIN) for t in texts] + [b""]), np.uint8)
+    gap = flat == 32
+    before = np.ones(len(flat), bool)
+    before[1:] = (gap | (flat == 10))[:-1]
+    flat = flat[~(gap & before)]
+    behind = np.zeros(len(flat), bool)
+    behind[:-1] = (flat == 32)[:-1] & (flat == 10)[1:]
+    flat = flat[~behind]
+    ends = np.flatnonzero(flat == 10)
+    return flat, np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+
+
+def grams(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For every byte of the texts, that byte (lowest) and the DEPTH bytes before it; ends stand before a text."""
+    at = np.arange(len(flat)) + DEPTH * np.repeat(np.arange(1, len(first) + 1), np.diff(first, append=len(flat)))
+    pad = np.full(len(flat) + DEPTH * len(first), 10, np.uint64)
+    pad[at] = flat
+    key = pad.copy()
+    for j in range(1, DEPTH + 1):
+        key[j:] |= pad[:-j] << np.uint64(8 * j)
+    return key[at]
 
 
-def grams(norm: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the texts, that byte (lowest) and the DEPTH bytes before it; and where each text starts. Ends stand before a text."""
-    pad = END * DEPTH
-    flat = np.frombuffer(b"".join([pad + n for n in norm]), np.uint8).astype(np.uint64)
-    key = flat.copy()
-    for j in range(1, DEPTH + 1):
-        key[j:] |= flat[:-j] << np.uint64(8 * j)
-    lens = np.array([len(n) for n in norm], np.int64)
-    keep = np.ones(len(flat), bool)
-    at = starts_of(lens + DEPTH)[:-1]
-    for j in range(DEPTH):
-        keep[at + j] = False
-    return key[keep], starts_of(lens)[:-1]
+def tokens_of(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word and every end, in order; and where the tokens of each text start."""
+    end = flat == 10
+    gap = end | (flat == 32)
+    start = end.copy()
+    start[0] |= not gap[0]
+    start[1:] |= gap[:-1] & ~gap[1:]
+    at = np.flatnonzero(start)
+    place = np.arange(len(flat)) - np.repeat(at, np.diff(at, append=len(flat)))
+    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, STEP))
+    part = BYTE[flat] * power[place]
+    part[flat == 32] = 0
+    return mix64(np.add.reduceat(part, at)), np.searchsorted(at, first)
 
 
 def runs(a: np.ndarray) -> np.ndarray:
@@ -107,10 +133,15 @@ class Counts:
 MESSAGE = "kind int, part int, size int, keys binary, n binary"
 
 
+def narrow(part: np.ndarray) -> np.ndarray:
+    """Part numbers in 16 bits where they fit, which sort in linear time."""
+    return part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part
+
+
 def messages(kind: int, keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     """A row for each part, from keys in ascending order."""
     zip_ = lambda x: pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(narrow(part), kind="stable")
     keys, n, part = keys[order], n[order], part[order]
     at = runs(part)
     ends = np.append(at[1:], len(part))
@@ -138,9 +169,9 @@ def counted(docs: DataFrame, text_col: str, parts: int, folder: str) -> DataFram
     def run(batches):
         held = {GRAM: Counts(), TOKEN: Counts()}
         for b in slices(batches, "text", 1 << 20):
-            words, norm = normal(raw(col(b, "text")))
-            held[GRAM].add(grams(norm)[0])
-            held[TOKEN].add(word_hashes([x for w in words for x in w] + [END] * len(words)))
+            text = normal(raw(col(b, "text")))
+            held[GRAM].add(grams(*text))
+            held[TOKEN].add(tokens_of(*text)[0])
             for kind, c in held.items():
                 if c.full():
                     keys, n = c.take()
@@ -407,7 +438,7 @@ def values(model: Model, docs: DataFrame, text_col: str) -> tuple[str, int]:
     def ask(batches):
         g = Counts()
         for b in slices(batches, "text", 1 << 20):
-            g.add(grams(normal(raw(col(b, "text")))[1])[0])
+            g.add(grams(*normal(raw(col(b, "text")))))
             if g.full():
                 keys, n = g.take()
                 yield messages(GRAM, keys, n * 0, _block(group_of(keys), parts))
@@ -439,7 +470,7 @@ def values(model: Model, docs: DataFrame, text_col: str) -> tuple[str, int]:
 def _looked_up(folder: str, blocks: int, keys: np.ndarray, missing: float) -> np.ndarray:
     """Values of ascending keys from sorted blocks, each of which is read once."""
     out, own = np.full(len(keys), missing), _block(keys, blocks)
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(narrow(own), kind="stable")
     for some in np.split(order, runs(own[order])[1:]):
         if len(some):
             t, v = _load(f"{folder}/{own[some[0]]}")
@@ -477,15 +508,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for held in windows(batches, "text", WINDOW):
             read = []
             for b in held:
-                words, norm = normal(raw(col(b, "text")))
-                key, first = grams(norm)
-                lens, n_bytes = np.array([len(w) + 1 for w in words], np.int64), np.array([len(x) for x in norm])
-                read.append((col(b, "doc_id"), lens, n_bytes, first, *ranked(key), *ranked(word_hashes([x for w in words for x in [*w, END]]))))
-                del words, norm, key
+                flat, first = normal(raw(col(b, "text")))
+                token, at = tokens_of(flat, first)
+                read.append((col(b, "doc_id"), np.diff(first, append=len(flat)), first, at, *ranked(grams(flat, first)), *ranked(token)))
+                del flat, token
             keys, t_keys = (ascending(np.concatenate([r[i] for r in read])) for i in (4, 6))
             known, counts = _looked_up(folder, blocks, keys, np.nan), _looked_up(token_folder, parts, t_keys, 0.0)
-            for doc_id, lens, n_bytes, first, u, which, h, token in read:
-                at = starts_of(lens)[:-1]
+            for doc_id, n_bytes, first, at, u, which, h, token in read:
+                lens = np.diff(at, append=len(token))
                 c = counts[np.searchsorted(t_keys, h)]
                 share = np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
                 lp = np.add.reduceat(known[np.searchsorted(keys, u)][which], first)

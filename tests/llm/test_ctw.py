@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -13,10 +14,14 @@ SF = "/root/testdata/sf0.001"
 D = ctw.DEPTH
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
 def steps(text: str):
     """Context, bits decided so far and next bit, for every bit of a text."""
     before = ctw.END * D
-    for x in ctw.normal([text.encode()])[1][0]:
+    for x in b" ".join(words_of(text)) + ctw.END:
         for k in range(8):
             yield before, (1 << k) | (x >> (8 - k)), (x >> (7 - k)) & 1
         before = (before + bytes([x]))[-D:]
@@ -64,6 +69,16 @@ def direct(train: list[str], texts: list[str]) -> list[float]:
 
 
 TRAIN = ["the cat sat on the mat", "the dog sat on the log and the cat", "ünïcode wörds hère", "a b c a b c a b d", "", "The END of it"]
+def test_normal_form():
+    texts = ["", " \n ", "  The  CAT\tsat \n", "a", "\x0bÄ é\x0c", "x" * 300 + "  y "]
+    flat, first = ctw.normal([t.encode() for t in texts])
+    assert [bytes(x) for x in np.split(flat, first[1:])] == [b" ".join(words_of(t)) + ctw.END for t in texts]
+    token, at = ctw.tokens_of(flat, first)
+    words = [w for t in texts for w in [*words_of(t), ctw.END]]
+    assert len(token) == len(words) and len(set(zip(token.tolist(), words))) == len(set(words)) == len(set(token.tolist()))
+    assert np.diff(at, append=len(token)).tolist() == [len(words_of(t)) + 1 for t in texts]
+
+
 TEXTS = [*TRAIN[:2], "the cat and the frog", "zzz", "", "wörds of it", "the  CAT\n sat"]
 
 
@@ -84,7 +99,7 @@ def test_against_the_recursive_form(spark, monkeypatch, sizes):
 def test_query(spark):
     d = pq.read_table(f"{SF}/documents.parquet").to_pydict()
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in d["doc_id"]}
-    words = {i: [*ctw.normal([(t or "").encode()])[0][0], ctw.END] for i, t in zip(d["doc_id"], d["text"])}
+    words = {i: [*words_of(t), ctw.END] for i, t in zip(d["doc_id"], d["text"])}
     c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
     got = ctw.op4(spark, SF).collect()
