@@ -109,8 +109,20 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows that hold at most so many bytes of text, or one row."""
+def roomy() -> None:
+    """Lets the C library keep what arrays free, for functions that allocate large ones all the time; release() at their end gives it back."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 30)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES, give_back: bool = True) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows that hold at most so many bytes of text, or one row. Unless told not to, memory is given back after each."""
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -121,11 +133,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         for i, n in enumerate(size.tolist()):
             if i > start and total + n > most:
                 yield batch.slice(start, i - start)
-                release()
+                if give_back:
+                    release()
                 start, total = i, 0
             total += n
         yield batch.slice(start)
-        release()
+        if give_back:
+            release()
 
 
 def grouped(batches, keys: list[str]):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascending, col, exists, get, grouped, mix64, put, raw, release, remainder, scratch, slices, staged, table
+from .common import ascending, col, exists, get, grouped, mix64, put, raw, release, remainder, roomy, scratch, slices, staged, table
 
 #: Bytes of context, at most seven.
 DEPTH = 7
@@ -167,8 +167,9 @@ def counted(docs: DataFrame, text_col: str, parts: int, folder: str) -> DataFram
     """
 
     def run(batches):
+        roomy()
         held = {GRAM: Counts(), TOKEN: Counts()}
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 20, give_back=False):
             text = normal(raw(col(b, "text")))
             held[GRAM].add(grams(*text))
             held[TOKEN].add(tokens_of(*text)[0])
@@ -436,8 +437,9 @@ def values(model: Model, docs: DataFrame, text_col: str) -> tuple[str, int]:
     blocks, folder = max(1, -(-model.grams // BLOCK)), scratch(docs.sparkSession, "ctw-model")
 
     def ask(batches):
+        roomy()
         g = Counts()
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 20, give_back=False):
             g.add(grams(*normal(raw(col(b, "text")))))
             if g.full():
                 keys, n = g.take()
@@ -482,7 +484,7 @@ def _looked_up(folder: str, blocks: int, keys: np.ndarray, missing: float) -> np
 def windows(batches, text: str, most: int):
     """Lists of slices that hold so many bytes of text together at most, or one slice."""
     held, size = [], 0
-    for b in slices(batches, text, min(most, 1 << 20)):
+    for b in slices(batches, text, min(most, 1 << 20), give_back=False):
         n = sum(map(len, raw(col(b, text))))
         if held and size + n > most:
             yield held
@@ -505,6 +507,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
+        roomy()
         for held in windows(batches, "text", WINDOW):
             read = []
             for b in held:
