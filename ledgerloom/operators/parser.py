@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +51,9 @@ SKIPPED = (
     r"STE[\-\s]", r"TARGO", r"DAMBO", r"\d{3}-?rev[/\s]+\d{4}", r"[A-Z\s]*S\.R\.L\.", r"[A-Z]{2,}\s+SRL", r"(?:proiect|project)\s+(?:initial|inițial|integral|actualizat|updated)", r"-\s+(?:proiect|project)", r"(?:design|studio|solutions?)(?:\s+|\.)*s\.?r\.?l\.?",
 )
 SKIP = re.compile("|".join(SKIPPED), I)
+#: The alternatives that look for company names try many beginnings in a line; they are tried only where their words stand.
+COMPANY = ("s.r.l", "srl", "s.rl", "sr.l")
+PLAIN_SKIP = re.compile("|".join(x for x in SKIPPED if "R\\.L" not in x and "SRL" not in x and "r\\.?l" not in x), I)
 #: Where an item of this section's number ends: its page's footer.
 SECTION_FOOTER = re.compile(r"deviz\s+['\"]?\d{5,8}['\"]?\s*[-–]?\s*formular\s+f3", I)
 FOOTER = re.compile(r"^pag|formular\s+f3|e\s+devize", I)
@@ -57,6 +61,12 @@ PRICES = tuple(f"{a}_{b}" for b in ("material", "manopera", "utilaj", "transport
 COLUMNS = "doc_id string, seq long, cod string, denumire string, um string, cantitate double, deviz string, deviz_denumire string, is_component boolean, parent_code string, subcomponents array<string>, " + ", ".join(f"{p} double" for p in PRICES)
 
 
+@lru_cache(maxsize=1 << 16)
+def skipped(line: str) -> bool:
+    low = line.lower()
+    return bool((SKIP if any(w in low for w in COMPANY) else PLAIN_SKIP).search(line))
+
+
 def number(s: str) -> float:
     s = s.strip().replace(" ", "")
     if "." in s and "," in s:
@@ -67,6 +77,7 @@ def number(s: str) -> float:
         return 0.0
 
 
+@lru_cache(maxsize=1 << 16)
 def unit(token: str) -> str | None:
     """The unit that a token stands for, None if it is none."""
     low, t = token.lower().strip(), re.sub(r"[.\s]", "", token).upper()
@@ -267,7 +278,7 @@ def _decimal_after(m: Machine, line: str) -> bool:
 
 RULES = [
     ("read", lambda m, s: LABEL.match(s), lambda m, s: None),
-    ("idle wait read", lambda m, s: not s or (SKIP.search(s) and not (m.state == "wait" and m.linked and BARE_NUMBER.match(s))) or LABEL.match(s), lambda m, s: None),
+    ("idle wait read", lambda m, s: not s or (skipped(s) and not (m.state == "wait" and m.linked and BARE_NUMBER.match(s))) or LABEL.match(s), lambda m, s: None),
     ("idle wait read", lambda m, s: LINKED.match(s), _linked),
     ("idle wait read", lambda m, s: LINK.match(s) and not (m.item and not m.item.um), lambda m, s: _linked(m, ".L")),
     ("idle wait read", lambda m, s: PREFIXED.match(s), _prefixed),
@@ -314,7 +325,7 @@ def merged(lines: list[str]) -> list[str]:
         s = lines[i].strip()
         if i + 3 < n and s.isdigit() and len(s) < 4 and coded.match(lines[i + 1].strip()) and unit(lines[i + 2].strip()) and DECIMAL.match(lines[i + 3].strip()):
             j, text = i + 4, []
-            while j < n and lines[j].strip() and not (lines[j].strip().isdigit() or coded.match(lines[j].strip()) or LABEL.match(lines[j].strip()) or SKIP.search(lines[j]) or NUMBER.match(lines[j].strip())):
+            while j < n and lines[j].strip() and not (lines[j].strip().isdigit() or coded.match(lines[j].strip()) or LABEL.match(lines[j].strip()) or skipped(lines[j]) or NUMBER.match(lines[j].strip())):
                 text.append(lines[j].strip())
                 j += 1
             if text:
