@@ -37,6 +37,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key from which a join keeps that key out of the shuffle.
+HOT_ROWS = 50_000
+
+
+def joined(rows: DataFrame, of: DataFrame, on, how: str = "left") -> DataFrame:
+    """rows joined with a staged table `of` of one row a key, which has a column `copies`, the rows of its key; on(rows, of) is the condition.
+
+    A few keys are broadcast. Of many, only those of HOT_ROWS rows or more are, whose number is the rows over that at
+    most; the others shuffle, so no task gets more than HOT_ROWS rows of one key.
+    """
+    if of.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        b = F.broadcast(of)
+        return rows.join(b, on(rows, b), how)
+    hot, rest = F.broadcast(of.filter(F.col("copies") >= HOT_ROWS)), of.filter(F.col("copies") < HOT_ROWS)
+    return rows.join(hot, on(rows, hot), "inner").unionByName((left := rows.join(hot, on(rows, hot), "left_anti")).join(rest, on(left, rest), how))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add, compared as Spark resolves names."""
     low = {n.lower() for n in names}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chroma, ctw, langid, minhash, mixing, rules, substrings, token_files, toxicity
+from . import bpe, chroma, codebooks, ctw, interactions, langid, minhash, mixing, rules, substrings, tiles, token_files, toxicity
 
 QUERIES = {
     "op1_chroma_alignment": chroma.op1,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8,
     "op9_language": langid.op9,
     "op10_quality_ledger": rules.op10,
+    "op11_vector_codes": codebooks.op11,
+    "op12_filter_interactions": interactions.op12,
+    "op13_near_vectors": tiles.op13,
 }
 SQL = {
     "op3_source_mix": mixing.OP3_SQL,
     "op5_near_duplicates": minhash.OP5_SQL,
     "op7_repeated_passages": substrings.OP7_SQL,
     "op10_quality_ledger": rules.OP10_SQL,
+    "op11_vector_codes": codebooks.OP11_SQL,
+    "op12_filter_interactions": interactions.OP12_SQL,
+    "op13_near_vectors": tiles.OP13_SQL,
 }
