@@ -115,11 +115,10 @@ def shortened(c, most: int) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("…"))).otherwise(t)
 
 
-def extra_description(c) -> Column:
-    """The description of a missing or surplus item: up to the programme's name, or 100 characters."""
+def programme_name(c) -> Column:
+    """The section name of a surplus item: up to the name of the programme that printed it, or 100 characters."""
     t = text(c)
-    cut = F.when(t.contains("e Devize"), F.trim(F.substring_index(t, "e Devize", 1))).otherwise(t)
-    return F.substring(cut, 1, 100)
+    return F.when(t.contains("e Devize"), F.trim(F.substring_index(t, "e Devize", 1))).otherwise(F.substring(t, 1, 100))
 
 
 # The names of fields in a report's texts.

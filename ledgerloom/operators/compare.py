@@ -53,17 +53,22 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
-def arithmetic_errors(items: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, camp, calculat and declarat where a value is not quantity times price within a hundredth."""
+def arithmetic(prefix: str = "", columns: list[str] | None = None) -> Column:
+    """camp, calculat and declarat of each value that is not quantity times price within a hundredth, as an array; a column missing from `columns` has none."""
     rows = []
     for price, value in PAIRS:
-        if price in items.columns and value in items.columns:
-            p, v = F.coalesce(F.col(price), F.lit(0.0)), F.coalesce(F.col(value), F.lit(0.0))
-            want = round2(F.coalesce(F.col("cantitate"), F.lit(0.0)) * p)
+        if columns is None or (price in columns and value in columns):
+            p, v = F.coalesce(F.col(prefix + price), F.lit(0.0)), F.coalesce(F.col(prefix + value), F.lit(0.0))
+            want = round2(F.coalesce(F.col(prefix + "cantitate"), F.lit(0.0)) * p)
             gap = F.abs(v - want)
             bad = (p > 0) & (v > 0) & (want > 0) & (gap > ABSOLUTE) & (gap / F.greatest(v, want) > ARITHMETIC)
             rows.append(F.when(bad, F.struct(F.lit(value).alias("camp"), want.alias("calculat"), v.alias("declarat"))))
-    return items.withColumn("__e", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull()))).select(*keys, F.lit("EROARE_ARITMETICA").alias("tip"), "__e.*")
+    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+
+
+def arithmetic_errors(items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tip, camp, calculat and declarat of the items' arithmetic errors."""
+    return items.withColumn("__e", F.explode(arithmetic(columns=items.columns))).select(*keys, F.lit("EROARE_ARITMETICA").alias("tip"), "__e.*")
 
 
 def dedup_discrepancies(rows: DataFrame, order: list, scope: list[str] | None = None) -> DataFrame:

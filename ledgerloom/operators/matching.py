@@ -1,25 +1,35 @@
 """The layered join of reference items and offer items.
 
 Layers run on residuals: each takes what the ones before left on both sides and returns pairs (ref_seq, of_seq, layer,
-score). Equi-joins carry every layer; the greedy layers use one Arrow group function per block of a section, since the
-order of consumption is part of the result. Ties go to the smaller ordinal.
+score). Equi-joins carry every layer. The exact layer reads one key at a time; the other greedy layers deal candidate
+pairs out by the components of their graph (graph.py), as the order of consumption is part of the result. Ties go to the
+smaller ordinal.
+
+Every row takes part in every layer until it is matched: a matched key does not use up its other rows, and these are
+reported where nothing matches them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import clean_code, normalize_code, section_key, text
-from ..functions.similarity import code_ratio_from, description_ratio, token_score
-from ..functions.texts import extra_description
+from ..functions.similarity import token_score
+from ..functions.texts import programme_name
 from ..functions.units import compare_unit
 from ..session import ship, staged
-from .compare import PRICES, dedup_discrepancies, diffs, field_rank, lenient
+from .alike import similar_codes, suppressed_extras
+from .compare import PRICES, arithmetic, dedup_discrepancies, diffs, field_rank, lenient
 from .dedup import dedup_items
+from .graph import PAIRS, assigned
+from .runs import runs
 
-PAIRS = "ref_seq long, of_seq long, layer string, score double"
+#: Layers whose pairs share a key or a variant of it.
+EARLY = ("exact", "normalized", "variant", "surplus")
 FIELDS = ("seq", "cod", "denumire", "um", "cantitate", "deviz", "deviz_denumire", "is_component")
 
 
@@ -72,50 +82,112 @@ def exact_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     side = lambda rows, k: rows.join(many, keys).select(*keys, "seq", "unit", "qty", F.lit(k).alias("side"))
     both = side(ref, 0).unionByName(side(offer, 1))
 
-    def take(parts):
-        for rows in _runs(parts, keys):
-            refs = [(x.qty, x.seq, x.unit) for x in rows if x.side == 0]
-            units, out = {u for _, _, u in refs}, []
-            pool = sorted(((x.qty, x.seq, x.unit) for x in rows if x.side == 1), key=lambda x: (x[2] not in units, x[0], x[1]))
-            for qty, seq, unit in sorted(refs):
-                if not pool:
-                    break
-                best = min(range(len(pool)), key=lambda i: (pool[i][2] != unit, abs(pool[i][0] - qty), i))
-                out.append((seq, pool.pop(best)[1], "exact", 1.0))
-            yield out
-
-    return plain.unionByName(_by_run(both, keys, take, PAIRS))
-
-
-def _runs(parts, keys: list[str]):
-    """The rows of one key at a time, from frames that come sorted by the keys."""
-    held, last = [], None
-    for p in parts:
-        for row in p.itertuples(index=False):
-            now = tuple(getattr(row, k) for k in keys)
-            if held and now != last:
-                yield held
-                held = []
-            held.append(row)
-            last = now
-    if held:
-        yield held
-
-
-def _by_run(rows: DataFrame, keys: list[str], take, schema: str) -> DataFrame:
-    """The lists that take() gives for each key of rows. Partitions are sorted and read key by key, so a task holds one key."""
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def run(parts):
+    def run(frames):
         out: list[tuple] = []
-        for found in take(parts):
-            out += found
+        for g in runs(frames, keys):
+            side = lambda k: sorted((q, s, u) for q, s, u, x in zip(g["qty"], g["seq"], g["unit"], g["side"]) if x == k)
+            out += [(r, o, "exact", 1.0) for r, o in nearest_pairs(side(0), side(1))]
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    names = [c.split(" ")[0] for c in PAIRS.split(", ")]
+    return plain.unionByName(both.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, PAIRS))
+
+
+class Free:
+    """Quantities in order, some of them taken: the nearest that are left on either side of one, by links that skip what is taken."""
+
+    def __init__(self, values: list[float]):
+        self.values = values
+        self.left, self.right = list(range(-1, len(values))), list(range(len(values) + 1))  # of i: where i - 1, and where i, lead
+
+    def _end(self, links: list[int], i: int) -> int:
+        end = i
+        while links[end] != end:
+            end = links[end]
+        while links[i] != end:
+            links[i], i = end, links[i]
+        return end
+
+    def around(self, q: float) -> tuple[int, int]:
+        """Places of the last that is left below q and of the first from q on; -1 and the number of all where there is none."""
+        at = bisect_left(self.values, q)
+        return self._below(at), self._end(self.right, at)
+
+    def _below(self, at: int) -> int:
+        i = at
+        while self.left[i] != i - 1:
+            i = self.left[i] + 1
+        end = i - 1
+        i = at
+        while self.left[i] != end:
+            self.left[i], i = end, self.left[i] + 1
+        return end
+
+    def take(self, i: int) -> None:
+        self.right[i] = i + 1
+        self.left[i + 1] = i - 1
+
+
+def nearest_pairs(refs: list[tuple], offers: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of ordinals of one key's rows, (quantity, ordinal, unit) in order: each reference row takes the nearest offer row of its unit that is left, or else of any unit.
+
+    Of offer rows as near, units that the reference has come first, then lesser quantities and ordinals. Rows of one
+    quantity wait in a queue, and look-ups skip quantities that are used up, so a key of n rows takes about n log n steps.
+    """
+    units = {u for _, _, u in refs}
+    first = [u not in units for _, _, u in offers]
+    gone = [False] * len(offers)
+
+    def pool(places: list[int]):
+        """Distinct quantities of the rows at these places, in order, and the queues of each: rows of a known unit, and others, last first."""
+        values, queues = [], []
+        for p in places:
+            if not values or values[-1] != offers[p][0]:
+                values.append(offers[p][0])
+                queues.append(([], []))
+            queues[-1][first[p]].append(p)
+        for known, others in queues:
+            known.reverse()
+            others.reverse()
+        return Free(values), queues
+
+    def head(queues, i: int) -> int | None:
+        """The first row left of a quantity, None without one."""
+        for queue in queues[i]:
+            while queue and gone[queue[-1]]:
+                queue.pop()
+            if queue:
+                return queue[-1]
+        return None
+
+    def best(free: Free, queues, q: float) -> int | None:
+        """The nearest row left, None if all are gone. Quantities whose rows all went are taken out as they are met."""
+        while True:
+            heads = [(i, head(queues, i)) for i in free.around(q) if 0 <= i < len(queues)]
+            for i, h in heads:
+                if h is None:
+                    free.take(i)
+            if all(h is not None for _, h in heads):
+                return min(heads, key=lambda x: (abs(free.values[x[0]] - q), first[x[1]], x[1]))[1] if heads else None
+
+    by_unit: dict = {}
+    for p, (_, _, u) in enumerate(offers):
+        by_unit.setdefault(u, []).append(p)
+    pools = {u: pool(places) for u, places in by_unit.items() if u in units}
+    every, out = None, []
+    for q, s, u in refs:
+        place = best(*pools[u], q) if u in pools else None
+        if place is None:
+            every = every or pool(list(range(len(offers))))
+            place = best(*every, q)
+        if place is None:
+            break
+        gone[place] = True
+        out.append((s, offers[place][1]))
+    return out
 
 
 def normalized_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
@@ -130,35 +202,19 @@ def variant_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     return ordinal_pairs(ref, longer, [F.col("section"), F.col("code")], "variant")
 
 
-def _greedy(candidates: DataFrame, layer: str) -> DataFrame:
-    """From scored candidate pairs (block, ref_seq, of_seq, score): every reference row in order takes its best offer row that is left."""
-
-    def take(parts):
-        for rows in _runs(parts, ["block"]):
-            used, done, out = set(), set(), []
-            for r, s, o in sorted((x.ref_seq, -x.score, x.of_seq) for x in rows):
-                if r not in done and o not in used:
-                    done.add(r)
-                    used.add(o)
-                    out.append((r, o, layer, -s))
-            yield out
-
-    return _by_run(candidates, ["block"], take, PAIRS)
-
-
 def _sides(ref: DataFrame, offer: DataFrame, on: list[str]) -> DataFrame:
     name = lambda rows, p: rows.select(*on, *[F.col(c).alias(p + c) for c in ("seq", "code", "norm", "unit", "qty", "denumire", "um") if c not in on])
     return name(ref, "r_").join(name(offer, "o_"), on)
 
 
-def surplus_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
+def surplus_pairs(ref: DataFrame, offer: DataFrame, persist=staged) -> DataFrame:
     """Left-over offer rows of a section: a variant digit, or an equal normalized code that is not the code itself, at the same quantity."""
     keyed = lambda rows, keys: rows.withColumn("__k", F.explode(keys))
     r = keyed(ref, F.array(F.concat(F.lit("v"), "code"), F.concat(F.lit("n"), "norm")))
     longer = F.when(F.col("code").rlike(r"^.+\d$"), F.concat(F.lit("v"), F.expr("substring(code, 1, length(code) - 1)")))
     o = keyed(offer, F.array_compact(F.array(longer, F.concat(F.lit("n"), "norm"))))
     c = _sides(r, o, ["section", "__k"]).filter(F.col("__k").startswith("v") | ((F.col("r_code") != F.col("r_norm")) & (F.abs(F.col("r_qty") - F.col("o_qty")) < 0.01)))
-    return _greedy(c.select(F.col("section").alias("block"), F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), F.lit(1.0).alias("score")).distinct(), "surplus")
+    return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), F.lit(1.0).alias("score"), F.lit(True).alias("sure")).distinct(), "surplus", persist)
 
 
 def cross_section_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
@@ -168,61 +224,10 @@ def cross_section_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     return ref.join(first, ["code", "qty", "unit"]).select(F.col("seq").alias("ref_seq"), "of_seq", F.lit("cross_section").alias("layer"), F.lit(1.0).alias("score"))
 
 
-def _lengths_reach(least: float) -> Column:
-    """Whether the lengths of r_code and o_code, as code_ratio_from() compares them, allow a ratio of `least`."""
-    la, lb = (F.length(F.translate(c, "#$@ ", "")) for c in ("r_code", "o_code"))
-    return 2 * F.least(la, lb) >= least * (la + lb)
-
-
-def _short(least: float) -> int:
-    """Codes up to this length may reach a ratio of `least` without two neighbouring characters in common; a longer one can't."""
-    worst = 0
-    for a in range(1, 25):
-        for b in range(1, a + 1):
-            both = -(-int(least * (a + b) * 1000) // 2000)  # matched characters that the ratio needs at least
-            for m in range(max(0, both - 1), b + 1):
-                if 2 * m >= least * (a + b) and m - (a + b - 2 * m + 1) <= 0:
-                    worst = max(worst, a)
-    return worst
-
-
-def similar_codes(ref: DataFrame, offer: DataFrame, least: float) -> DataFrame:
-    """Pairs of a section (r_ and o_ columns) with cr, the ratio of their codes, where it reaches `least`.
-
-    Distinct codes meet over two neighbouring characters, or over one where both are so short that the ratio does not ask
-    for two; lengths and characters in common are compared before a ratio is computed.
-    """
-    short = _short(least)
-    bare = F.translate("code", "#$@ ", "")
-    own = lambda rows, p: rows.select("section", "code").distinct().withColumn("__b", bare).select("section", F.col("code").alias(p), F.explode(F.expr(f"array_distinct(concat(transform(sequence(1, greatest(1, length(__b) - 1)), i -> substring(__b, i, 2)), CASE WHEN length(__b) <= {short} THEN transform(sequence(1, greatest(1, length(__b))), i -> concat('1', substring(__b, i, 1))) ELSE array() END))")).alias("__k"))
-    met = own(ref, "r_code").join(own(offer, "o_code"), ["section", "__k"]).filter(_lengths_reach(least)).select("section", "r_code", "o_code").distinct()
-    met = met.withColumn("cr", code_ratio_from(least)("r_code", "o_code")).filter(F.col("cr") >= least)
-    name = lambda rows, p: rows.select("section", *[F.col(c).alias(p + c) for c in ("seq", "code", "norm", "unit", "qty", "denumire", "um")])
-    return met.join(name(ref, "r_"), ["section", "r_code"]).join(name(offer, "o_"), ["section", "o_code"])
-
-
-def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4) -> DataFrame:
-    """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4."""
-    c = similar_codes(ref, offer, least_code)
-    c = c.withColumn("t", token_score("r_denumire", "o_denumire")).withColumn("score", 0.6 * F.col("cr") + 0.4 * F.col("t"))
-    c = c.select("section", "r_seq", "o_seq", "score", "t")
-
-    def take(parts):
-        for group in _runs(parts, ["section"]):
-            rows: dict[int, list] = {}
-            for x in group:
-                rows.setdefault(x.r_seq, []).append((-x.score, x.o_seq, x.t))
-            used, out = set(), []
-            for r in sorted(rows):
-                left = [x for x in rows[r] if x[1] not in used]
-                if left:
-                    s, o, t = min(left)
-                    if t >= least_text:
-                        used.add(o)
-                        out.append((r, o, "similar", -s))
-            yield out
-
-    return _by_run(c, ["section"], take, PAIRS)
+def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4, persist=staged) -> DataFrame:
+    """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4 for the best."""
+    c = similar_codes(ref, offer, least_code, persist).withColumn("t", token_score("r_denumire", "o_denumire"))
+    return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), (0.6 * F.col("cr") + 0.4 * F.col("t")).alias("score"), (F.col("t") >= least_text).alias("sure")), "similar", persist)
 
 
 def interval_candidates(ref: DataFrame, offer: DataFrame) -> DataFrame:
@@ -237,26 +242,9 @@ def interval_candidates(ref: DataFrame, offer: DataFrame) -> DataFrame:
     return c.filter(F.abs(F.col("r_qty") - F.col("o_qty")) <= 0.01 * F.greatest(F.abs("r_qty"), F.abs("o_qty")) + 0.01)
 
 
-def interval_pairs(ref: DataFrame, offer: DataFrame, least_text: float = 0.4) -> DataFrame:
+def interval_pairs(ref: DataFrame, offer: DataFrame, least_text: float = 0.4, persist=staged) -> DataFrame:
     c = interval_candidates(ref, offer).withColumn("score", token_score("r_denumire", "o_denumire")).filter(F.col("score") >= least_text)
-    return _greedy(c.select(F.col("section").alias("block"), F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), "score"), "interval")
-
-
-def suppressed_extras(extra: DataFrame, ref: DataFrame, least: float = 0.45) -> DataFrame:
-    """Surplus rows whose description has a ratio of 0.45 or more with any reference description: of_seq, ref_seq and score of the best.
-
-    A ratio is at most twice the shorter length over the sum, so only descriptions of neighbouring length classes can
-    reach it; distinct descriptions are scored once.
-    """
-    d = lambda rows: rows.select(F.lower(text("denumire")).alias("d"), "seq").filter("length(d) >= 3")
-    size = F.floor(F.log(F.length("d")) / F.log(F.lit(2 / least - 1)) + 1e-9)
-    r = d(ref).groupBy("d").agg(F.min("seq").alias("seq")).select(size.alias("size"), F.col("d").alias("rd"), F.col("seq").alias("ref_seq"))
-    e = d(extra).select("d").distinct().withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
-    c = e.join(r, "size").select("d", "rd", "ref_seq")
-    la, lb = F.length("rd"), F.length("d")
-    c = c.filter(2 * F.least(la, lb) >= least * (la + lb)).withColumn("score", description_ratio("rd", "d")).filter(F.col("score") >= least)
-    best = c.groupBy("d").agg(F.max(F.struct("score", (-F.col("ref_seq")).alias("s"))).alias("b"))
-    return d(extra).join(best, "d").select(F.col("seq").alias("of_seq"), (-F.col("b.s")).alias("ref_seq"), F.col("b.score").alias("score"))
+    return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), "score", F.lit(True).alias("sure")), "interval", persist)
 
 
 def lenient_dollar(extra: DataFrame, ref_all: DataFrame) -> DataFrame:
@@ -283,50 +271,55 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     ship(ref_items.sparkSession)
     ref_items, offer_items = whole(ref_items), whole(offer_items)
     ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(offer_items, False), "offer")
-    layers = [exact_pairs, normalized_pairs, variant_pairs, surplus_pairs]
-    late = [similar_pairs, interval_pairs] if fuzzy else []
-    r, o, found = ref, offer, []
-    for f in layers:
-        p = persist(f(r, o), f.__name__)
-        r, o = rest(r, p, "ref_seq"), rest(o, p, "of_seq")
-        found.append(p)
-    crossed = persist(cross_section_pairs(r, o), "cross")
-    r, o = rest(r, crossed, "ref_seq"), rest(o, crossed.select("of_seq").distinct(), "of_seq")
-    for f in late:
-        p = persist(f(r, o), f.__name__)
-        r, o = rest(r, p, "ref_seq"), rest(o, p, "of_seq")
-        found.append(p)
+    layers = [exact_pairs, normalized_pairs, variant_pairs, lambda r, o: surplus_pairs(r, o, persist)]
+    late = [lambda r, o: similar_pairs(r, o, persist=persist), lambda r, o: interval_pairs(r, o, persist=persist)] if fuzzy else []
     if provider is not None:
-        p = persist(provided_pairs(r, o, provider), "provided_pairs")
-        r, o = rest(r, p, "ref_seq"), rest(o, p, "of_seq")
+        late.append(lambda r, o: provided_pairs(r, o, provider, persist=persist))
+    r, o, found = ref, offer, []
+    for f in [*layers, cross_section_pairs, *late]:
+        p = persist(f(r, o), "pairs")
+        r, o = rest(r, p, "ref_seq"), rest(o, p.select("of_seq").distinct(), "of_seq")
         found.append(p)
-    pairs = crossed
-    for p in found:
+    pairs = found[0]
+    for p in found[1:]:
         pairs = pairs.unionByName(p)
-    components = ref_items.filter(F.coalesce("is_component", F.lit(False))).select(normalize_code("cod").alias("norm")).distinct()
-    o = o.join(components, "norm", "left_anti")
+    o = persist(o, "offer-rest")
     if fuzzy and suppress:
-        gone = suppressed_extras(o, ref)
+        gone = persist(suppressed_extras(o, ref, persist=persist), "suppressed")
         pairs = pairs.unionByName(gone.select("ref_seq", "of_seq", F.lit("suppressed").alias("layer"), "score"))
         o = rest(o, gone, "of_seq")
+    components = ref_items.filter(F.coalesce("is_component", F.lit(False))).select(normalize_code("cod").alias("norm")).distinct()
+    o = o.join(components, "norm", "left_anti")
     dollar = lenient_dollar(o, ref_items)
     pairs = persist(pairs.unionByName(dollar), "pairs")
-    o = rest(o, dollar, "of_seq")
+    o = o.join(pairs.filter("layer = 'lenient'").select(F.col("of_seq").alias("seq")), "seq", "left_anti")
+    return pairs, discrepancies(pairs, ref_items, offer_items, r, o, prices, mode)
+
+
+def discrepancies(pairs: DataFrame, ref_items: DataFrame, offer_items: DataFrame, missing: DataFrame, surplus: DataFrame, prices: bool = False, mode: str = "strict") -> DataFrame:
+    """What is wrong with matched pairs, and the items that one side has alone: CONTEXT, tip, camp, ref, oferta, calculat, declarat.
+
+    Pairs found by their key or a variant of it (EARLY) also have their arithmetic checked where prices count; a code that
+    differs is a discrepancy only beside another one. Pairs across sections differ by section, `lenient` ones by unit only.
+    """
     both = with_sides(pairs.filter("layer <> 'suppressed'"), ref_items.select(*FIELDS, *PRICES), offer_items.select(*FIELDS, *PRICES))
     both = both.withColumns({"deviz_denumire": F.col("ref_deviz_denumire"), "is_component": F.coalesce("ref_is_component", F.lit(False))})
     d = diffs(prices=prices)
     if mode == "lenient":
         d = lenient(d, F.col("oferta_is_component"), F.col("oferta_cantitate"), F.col("oferta_um"))
-    found_diffs = both.withColumn("d", d)
-    ctx = list(CONTEXT)
-    fields = found_diffs.withColumn("x", F.explode("d")).select(*ctx, "x.tip", "x.camp", "x.ref", "x.oferta")
-    none = [F.lit(None).cast("double").alias("ref"), F.lit(None).cast("double").alias("oferta")]
-    coded = found_diffs.filter((clean_code("ref_cod") != clean_code("oferta_cod")) & ((F.size("d") > 0) | F.col("layer").isin("similar", "interval", "provider"))).select(*ctx, F.lit("COD_SIMILAR").alias("tip"), F.lit("cod").alias("camp"), *none)
-    moved = both.filter("layer = 'cross_section'").select(*ctx, F.lit("DEVIZ_MISMATCH").alias("tip"), F.lit("deviz").alias("camp"), *none)
-    gap = lambda rows, here, there, tip: rows.select(*[_side(c, here) for c in ctx], F.lit(tip).alias("tip"), F.lit(None).cast("string").alias("camp"), *none)
-    lost, surplus = gap(r, "ref", "oferta", "ARTICOL_LIPSA"), gap(o, "oferta", "ref", "ARTICOL_EXTRA")
-    every = fields.unionByName(coded).unionByName(moved).unionByName(lost).unionByName(surplus)
-    return pairs, every
+    none = F.lit(None).cast("double")
+    kind = "array<struct<tip:string,camp:string,ref:double,oferta:double,calculat:double,declarat:double>>"
+    plain = F.transform(d, lambda x: F.struct(x["tip"], x["camp"], x["ref"], x["oferta"], none, none)).cast(kind)
+    plain = F.when(F.col("layer") == "cross_section", F.array().cast(kind)).when(F.col("layer") == "lenient", F.filter(plain, lambda x: x["tip"] == "UM_DIFERIT")).otherwise(plain)
+    if prices:
+        wrong = F.transform(arithmetic("oferta_"), lambda x: F.struct(F.lit("EROARE_ARITMETICA"), x["camp"], none, none, x["calculat"], x["declarat"])).cast(kind)
+        plain = F.concat(plain, F.when(F.col("layer").isin(*EARLY), wrong).otherwise(F.array().cast(kind)))
+    other = lambda tip, camp: F.array(F.struct(F.lit(tip), F.lit(camp), none, none, none, none)).cast(kind)
+    coded = (clean_code("ref_cod") != clean_code("oferta_cod")) & (F.size("d") > 0)
+    every = F.concat("d", F.when(coded, other("COD_SIMILAR", "cod")).otherwise(F.array().cast(kind)), F.when(F.col("layer") == "cross_section", other("DEVIZ_MISMATCH", "deviz")).otherwise(F.array().cast(kind)))
+    fields = both.withColumn("d", plain).withColumn("x", F.explode(every)).select(*CONTEXT, "x.*")
+    gap = lambda rows, here, tip: rows.select(*[_side(c, here) for c in CONTEXT], F.lit(tip).alias("tip"), F.lit(None).cast("string").alias("camp"), *[none.alias(c) for c in ("ref", "oferta", "calculat", "declarat")])
+    return fields.unionByName(gap(missing, "ref", "ARTICOL_LIPSA")).unionByName(gap(surplus, "oferta", "ARTICOL_EXTRA"))
 
 
 def _side(name: str, here: str) -> Column:
@@ -336,14 +329,14 @@ def _side(name: str, here: str) -> Column:
     if name in ("ref_seq", "of_seq"):
         return (F.col("seq") if (name == "ref_seq") == (here == "ref") else F.lit(None).cast("long")).alias(name)
     if name == "deviz_denumire":
-        return F.col(name)
+        return (F.col(name) if here == "ref" else programme_name(name)).alias(name)
     if name == "is_component":
         return F.coalesce(name, F.lit(False)).alias(name)
     side, _, field = name.partition("_")
     kind = "double" if field == "cantitate" or field in PRICES else "string"
     if side != here:
         return F.lit(None).cast(kind).alias(name)
-    return (extra_description("denumire") if field == "denumire" else F.col(field)).alias(name)
+    return F.col(field).alias(name)
 
 
 def final_discrepancies(every: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -351,15 +344,15 @@ def final_discrepancies(every: DataFrame, scope: list[str] | None = None) -> Dat
     return dedup_discrepancies(every, [F.coalesce("ref_seq", F.lit(1 << 62)), F.coalesce("of_seq", F.lit(1 << 62)), field_rank()], scope)
 
 
-def provided_pairs(ref: DataFrame, offer: DataFrame, provider, least: float = 0.75) -> DataFrame:
+def provided_pairs(ref: DataFrame, offer: DataFrame, provider, least: float = 0.75, persist=staged) -> DataFrame:
     """What the provider matches, 50 reference rows a call: each is shown with the offer rows of its section whose code ratio reaches `least`."""
     from .providers import ask
 
-    shown = similar_codes(ref, offer, least).groupBy("section", "r_seq", "r_code", "r_denumire").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_seq").alias("of_seq"), F.col("o_code").alias("cod"), F.substring("o_denumire", 1, 40).alias("denumire"))))).alias("candidates"))
+    shown = similar_codes(ref, offer, least, persist).groupBy("section", "r_seq", "r_code", "r_denumire").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_seq").alias("of_seq"), F.col("o_code").alias("cod"), F.substring("o_denumire", 1, 40).alias("denumire"))))).alias("candidates"))
     told = ask(shown, "fuzzy_items", provider).filter("answer_of_seq is not null")
     free = offer.select(F.col("seq").alias("answer_of_seq"), "section")
     told = told.join(free, ["answer_of_seq", "section"], "left_semi")
-    return _greedy(told.select(F.col("section").alias("block"), F.col("r_seq").alias("ref_seq"), F.col("answer_of_seq").alias("of_seq"), F.coalesce("answer_score", F.lit(1.0)).alias("score")), "provider")
+    return assigned(told.select(F.col("r_seq").alias("ref_seq"), F.col("answer_of_seq").alias("of_seq"), F.coalesce("answer_score", F.lit(1.0)).alias("score"), F.lit(True).alias("sure")), "provider", persist)
 
 
 def code_similarity_candidates(ref: DataFrame, offer: DataFrame, least: float = 0.75) -> DataFrame:

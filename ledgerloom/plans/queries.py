@@ -161,15 +161,105 @@ def missing_and_surplus(spark, d):
     return one(r, o, "missing").unionByName(one(o, r, "surplus"))
 
 
-@query()
+#: The exact layer: every reference row of a key in its turn takes from the pool that the rows before it left.
+_GREEDY = f""", eu AS (SELECT deviz, cod, list(DISTINCT {_UM}) AS us FROM rd GROUP BY ALL),
+er AS (SELECT deviz, cod, seq, cantitate AS q, {_UM} AS u, row_number() OVER (PARTITION BY deviz, cod ORDER BY cantitate, seq) AS n FROM rd),
+eo AS (SELECT deviz, cod, list(struct_pack(i := i, s := seq, q := cantitate, u := u) ORDER BY i) AS pool FROM (
+       SELECT deviz, cod, seq, cantitate, u, row_number() OVER (PARTITION BY deviz, cod ORDER BY NOT list_contains(us, u), cantitate, seq) AS i FROM (SELECT *, {_UM} AS u FROM od) JOIN eu USING (deviz, cod)) GROUP BY ALL),
+eg AS (SELECT deviz, cod, 0::BIGINT AS n, NULL::BIGINT AS ref_seq, NULL::BIGINT AS of_seq, pool FROM eo
+       UNION ALL SELECT deviz, cod, n, ref_seq, best.s, list_filter(pool, lambda x: x.i <> best.i) FROM (
+       SELECT eg.deviz, eg.cod, er.n, er.seq AS ref_seq, pool, list_sort(list_transform(pool, lambda x: struct_pack(d := x.u <> er.u, a := abs(x.q - er.q), i := x.i, s := x.s)))[1] AS best
+       FROM eg JOIN er ON er.deviz = eg.deviz AND er.cod = eg.cod AND er.n = eg.n + 1 WHERE len(pool) > 0)),
+p1 AS (SELECT ref_seq, of_seq, 'exact' AS layer, 1.0::DOUBLE AS score FROM eg WHERE n > 0)"""
+
+
+def _in_turn(name: str, candidates: str, layer: str) -> str:
+    """SQL for greedy choice from candidates (deviz, r, o, score, sure) within a section, reference rows in order."""
+    return f""",
+{name}c AS (SELECT *, row_number() OVER (PARTITION BY deviz ORDER BY r) AS n FROM (SELECT deviz, r, list(struct_pack(s := -score, o := o, sure := sure) ORDER BY -score, o) AS l FROM ({candidates}) GROUP BY ALL)),
+{name}g AS (SELECT DISTINCT deviz, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS r, NULL::BIGINT AS o, NULL::DOUBLE AS score FROM {name}c
+       UNION ALL SELECT deviz, n, CASE WHEN best.sure THEN list_append(used, best.o) ELSE used END, r, CASE WHEN best.sure THEN best.o END, -best.s FROM (
+       SELECT c.deviz, c.n, c.r, g.used, list_filter(c.l, lambda x: NOT list_contains(g.used, x.o))[1] AS best FROM {name}g g JOIN {name}c c ON c.deviz = g.deviz AND c.n = g.n + 1)),
+{name} AS (SELECT r AS ref_seq, o AS of_seq, '{layer}' AS layer, score FROM {name}g WHERE o IS NOT NULL)"""
+
+
+def _rest(k: int, pairs: str) -> str:
+    """r{k} and o{k}: what pairs leave of the rows before."""
+    return f""",
+r{k} AS (SELECT * FROM r{k - 1} WHERE seq NOT IN (SELECT ref_seq FROM {pairs})), o{k} AS (SELECT * FROM o{k - 1} WHERE seq NOT IN (SELECT of_seq FROM {pairs}))"""
+
+
+def _zipped(k: int, name: str, r: str, o: str, key: str, layer: str) -> str:
+    """SQL for pairs of the n-th rows of a key, in order of quantity."""
+    n = f"row_number() OVER (PARTITION BY deviz, {key} ORDER BY cantitate, seq) AS n"
+    return f""",
+{name} AS (SELECT a.seq AS ref_seq, b.seq AS of_seq, '{layer}' AS layer, 1.0::DOUBLE AS score FROM (SELECT *, {n} FROM ({r})) a JOIN (SELECT *, {n} FROM ({o})) b USING (deviz, {key}, n))"""
+
+
+_TOKENS = "list_distinct(regexp_extract_all(regexp_replace(lower(denumire), '([0-9])[,x.\\-]([0-9])', '\\1\\2', 'g'), '[a-z0-9]+'))"
+_SCORE = "CASE WHEN len(a.tok) > 0 AND len(b.tok) > 0 THEN greatest(len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok))), len(list_intersect(a.tok, b.tok)) / len(a.tok)) ELSE 0.0 END"
+#: Every layer in turn. The ratio of two codes is a sequence matcher's: the longest common part (the first of several), then the same on both sides of it.
+_LAYERS = (
+    _GREEDY
+    + f""",
+r0 AS (SELECT *, {_UM} AS u, {_NORM.replace("u,", "c,").replace("u)", "c)").replace("|| u", "|| c")} AS norm, {_TOKENS} AS tok FROM (SELECT *, translate(upper(cod), 'LIO', '110') AS c FROM rd)),
+o0 AS (SELECT *, {_UM} AS u, {_NORM.replace("u,", "c,").replace("u)", "c)").replace("|| u", "|| c")} AS norm, {_TOKENS} AS tok FROM (SELECT *, translate(upper(cod), 'LIO', '110') AS c FROM od))"""
+    + _rest(1, "p1")
+    + _zipped(1, "p2", "FROM r1", "FROM o1 SEMI JOIN (SELECT deviz, norm, arg_min(cod, seq) AS cod FROM o1 GROUP BY ALL) f USING (deviz, norm, cod)", "norm", "normalized")
+    + _rest(2, "p2")
+    + _zipped(2, "p3", "FROM r2", "SELECT * REPLACE (substr(cod, 1, length(cod) - 1) AS cod) FROM o2 WHERE regexp_matches(cod, '^.+[0-9]$')", "cod", "variant")
+    + _rest(3, "p3")
+    + _in_turn("p4", """SELECT DISTINCT a.deviz, a.seq AS r, b.seq AS o, 1.0::DOUBLE AS score, true AS sure FROM r3 a JOIN o3 b ON a.deviz = b.deviz
+        WHERE (regexp_matches(b.cod, '^.+[0-9]$') AND substr(b.cod, 1, length(b.cod) - 1) = a.cod) OR (a.norm = b.norm AND a.cod <> a.norm AND abs(a.cantitate - b.cantitate) < 0.01)""", "surplus")
+    + _rest(4, "p4")
+    + """,
+p5 AS (SELECT a.seq AS ref_seq, of_seq, 'cross_section' AS layer, 1.0::DOUBLE AS score FROM r4 a JOIN (SELECT cod, cantitate, u, min(seq) AS of_seq FROM o4 GROUP BY ALL) b USING (cod, cantitate, u))"""
+    + _rest(5, "p5")
+    + """,
+sp AS (SELECT DISTINCT a.cod AS x, b.cod AS y FROM (SELECT DISTINCT deviz, cod FROM r5) a JOIN (SELECT DISTINCT deviz, cod FROM o5) b USING (deviz)),
+sq AS (SELECT x, y FROM sp WHERE 2 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, ''))))) >= 0.8 * (length(x) + length(y))),
+ss AS (SELECT x, y, 0::BIGINT AS a, length(x) AS b, 0::BIGINT AS c, length(y) AS d, 0::BIGINT AS k FROM sq
+       UNION ALL SELECT x, y, unnest([a, a, m.i + m.k]), unnest([a, m.i, b]), unnest([c, c, m.j + m.k]), unnest([c, m.j, d]), unnest([m.k, 0, 0]) FROM (
+       SELECT x, y, a, b, c, d, struct_pack(k := -t.n, i := t.i, j := c + t.j - 1) AS m FROM (SELECT *, list_sort(list_filter(flatten(list_transform(range(a, b), lambda i: list_transform(range(1, b - i + 1), lambda n:
+          struct_pack(n := -n, i := i, j := strpos(substr(y, c + 1, d - c), substr(x, i + 1, n)))))), lambda z: z.j > 0))[1] AS t FROM ss WHERE b > a AND d > c) WHERE t IS NOT NULL)),
+sr AS (SELECT x, y, 2.0 * sum(k)::DOUBLE / (length(x) + length(y)) AS cr FROM ss GROUP BY x, y)"""
+    + _in_turn("p6", f"SELECT deviz, r, o, 0.6 * cr + 0.4 * t AS score, t >= 0.4 AS sure FROM (SELECT a.deviz, a.seq AS r, b.seq AS o, cr, ({_SCORE})::DOUBLE AS t FROM r5 a JOIN o5 b ON a.deviz = b.deviz JOIN sr ON sr.x = a.cod AND sr.y = b.cod WHERE cr >= 0.8)", "similar")
+    + _rest(6, "p6")
+    + _in_turn("p7", f"""SELECT deviz, r, o, t AS score, true AS sure FROM (SELECT a.deviz, a.seq AS r, b.seq AS o, ({_SCORE})::DOUBLE AS t FROM r6 a JOIN o6 b ON a.deviz = b.deviz AND a.u = b.u
+        WHERE (a.cantitate <> 0 OR a.u <> '') AND abs(a.cantitate - b.cantitate) <= 0.01 * greatest(abs(a.cantitate), abs(b.cantitate)) + 0.01) WHERE t >= 0.4""", "interval")
+    + _rest(7, "p7")
+    + """,
+p8 AS (SELECT f.seq AS ref_seq, o7.seq AS of_seq, 'suppressed' AS layer, 1.0::DOUBLE AS score FROM o7 JOIN (SELECT lower(denumire) AS d, min(seq) AS seq FROM r0 GROUP BY ALL) f ON f.d = lower(o7.denumire))"""
+    + """,
+pairs AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5 UNION ALL SELECT * FROM p6 UNION ALL SELECT * FROM p7 UNION ALL SELECT * FROM p8),
+bx AS (SELECT p.ref_seq, p.of_seq, p.layer, a.deviz AS rdev, a.cod AS rc, b.cod AS oc, a.u <> b.u AS udiff, abs(a.cantitate - b.cantitate) > 0.05 AND abs(a.cantitate - b.cantitate) / greatest(abs(a.cantitate), abs(b.cantitate)) >= 0.005 AS qdiff
+        FROM pairs p JOIN r0 a ON a.seq = p.ref_seq JOIN o0 b ON b.seq = p.of_seq WHERE layer <> 'suppressed'),
+every AS (SELECT rdev, rc, oc, ref_seq, of_seq, 'UM_DIFERIT' AS tip, 1 AS prio, 1 AS k FROM bx WHERE udiff AND layer <> 'cross_section'
+          UNION ALL SELECT rdev, rc, oc, ref_seq, of_seq, 'DIFERENTA_CAMP', 1, 2 FROM bx WHERE qdiff AND layer <> 'cross_section'
+          UNION ALL SELECT rdev, rc, oc, ref_seq, of_seq, 'COD_SIMILAR', 3, 0 FROM bx WHERE rc <> oc AND (udiff OR qdiff)
+          UNION ALL SELECT rdev, rc, oc, ref_seq, of_seq, 'DEVIZ_MISMATCH', 0, 0 FROM bx WHERE layer = 'cross_section'
+          UNION ALL SELECT deviz, cod, NULL, seq, NULL, 'ARTICOL_LIPSA', 0, 0 FROM r7
+          UNION ALL SELECT NULL, NULL, cod, NULL, seq, 'ARTICOL_EXTRA', 0, 0 FROM o7 WHERE seq NOT IN (SELECT of_seq FROM p8)),
+final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rdev, rc, oc ORDER BY prio DESC, coalesce(ref_seq, 4611686018427387904), coalesce(of_seq, 4611686018427387904), k) AS n FROM every) WHERE n = 1)"""
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH b AS", "WITH RECURSIVE b AS", 1)
+
+
+@query(_recursive(SQL + _LAYERS + """
+SELECT 'layer:' || layer AS what, count(*)::BIGINT AS n, sum(ref_seq % 1009 + of_seq % 1013)::BIGINT AS mark FROM pairs GROUP BY layer
+UNION ALL SELECT 'tip:' || tip, count(*)::BIGINT, sum(coalesce(ref_seq % 1009, 0) + coalesce(of_seq % 1013, 0))::BIGINT FROM final GROUP BY tip"""))
 def reconcile_all_layers(spark, d):
-    """All layers with greedy assignment and similarity, then the discrepancies' dedup: counts by layer or type."""
-    r, o = reference(spark, d), offer(spark, d)
-    pairs, rows = matching.reconcile(r, o)
-    return pairs.groupBy(F.concat(F.lit("layer:"), "layer").alias("what")).agg(F.count("*").alias("n")).unionByName(matching.final_discrepancies(rows, ["ref_deviz"]).groupBy(F.concat(F.lit("tip:"), "tip").alias("what")).agg(F.count("*").alias("n")))
+    """All layers with greedy assignment and similarity, then the discrepancies' dedup: counts by layer or type, and a sum over the ordinals of what they hold."""
+    pairs, rows = matching.reconcile(reference(spark, d), offer(spark, d))
+    mark = F.sum(F.coalesce(F.col("ref_seq") % 1009, F.lit(0)) + F.coalesce(F.col("of_seq") % 1013, F.lit(0))).alias("mark")
+    told = lambda df, c: df.groupBy(F.concat(F.lit(c + ":"), "tip" if c == "tip" else "layer").alias("what")).agg(F.count("*").alias("n"), mark)
+    return told(pairs, "layer").unionByName(told(matching.final_discrepancies(rows, ["ref_deviz"]), "tip"))
 
 
-@query()
+@query(_recursive(SQL + _GREEDY + " SELECT * FROM p1"))
 def greedy_exact(spark, d):
     """The exact layer with greedy assignment by unit and nearest quantity."""
     return matching.exact_pairs(*_sides(spark, d))
