@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def word_overlap(a, b) -> Column:
 
 def token_score(ref, offer) -> Column:
     """The larger of the Jaccard index and of the part of the reference's tokens found; digits around a separator are one token."""
-    glue = lambda c: F.regexp_replace(F.lower(text(c)), r"(\d)[.,x/\-](?=\d)", "$1")
+    glue = lambda c: F.regexp_replace(F.lower(text(c)), r"(\d)[,x.\-](\d)", "$1$2")
     x, y = _tokens(glue(ref), "[a-z0-9]+"), _tokens(glue(offer), "[a-z0-9]+")
     both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.greatest(both / either, both / F.size(x))).otherwise(F.lit(0.0))
@@ -45,26 +46,52 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
+_BARE = str.maketrans("", "", "#$@ ")
+
+
 def code_ratio_of(a: str | None, b: str | None) -> float:
-    x, y = ("".join(ch for ch in (s or "").upper() if ch not in "#$@ ") for s in (a, b))
+    x, y = ((s or "").upper().translate(_BARE) for s in (a, b))
     return ratio(x, y) if x and y else 0.0
 
 
-def shared_characters(a: str, b: str) -> int:
-    return sum(min(a.count(c), b.count(c)) for c in set(a))
+def can_match(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Whether the ratio of each pair of texts may reach `least`.
+
+    A ratio asks for m characters matched in order, so no matched character of a is farther from its place in b than the
+    characters that either leaves out. Those that have an equal one as near are counted, in all pairs at once.
+    """
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    m = np.ceil(least * (la + lb) / 2 - 1e-9).astype(np.int64)
+    out = (la > 0) & (lb > 0) & (m <= np.minimum(la, lb))
+    at = np.flatnonzero(out)
+    if not len(at):
+        return out
+    width = int(max(la[at].max(), lb[at].max()))
+    x, y = (np.array([t[i] for i in at], f"U{width}").view(np.uint32).reshape(len(at), width) for t in (a, b))
+    da, db = (la - m)[at], (lb - m)[at]
+    near = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    for shift in range(-int(db.max()), int(da.max()) + 1):  # x[i] beside y[i - shift]
+        i, j = slice(max(0, shift), width + min(0, shift)), slice(max(0, -shift), width + min(0, -shift))
+        same = (x[:, i] == y[:, j]) & (x[:, i] != 0) & ((shift <= da) & (-shift <= db))[:, None]
+        near[0][:, i] |= same
+        near[1][:, j] |= same
+    out[at] = np.minimum(near[0].sum(axis=1), near[1].sum(axis=1)) >= m[at]
+    return out
 
 
 def code_ratio_from(least: float):
-    """code_ratio() where it reaches `least`, else 0: characters in common bound it and are counted first."""
+    """code_ratio() where it reaches `least`, else 0: only codes that can match are compared."""
 
-    def ratio_from(a: str | None, b: str | None) -> float:
-        x, y = ("".join(ch for ch in (s or "").upper() if ch not in "#$@ ") for s in (a, b))
-        if not x or not y or 2 * shared_characters(x, y) < least * (len(x) + len(y)):
-            return 0.0
-        r = ratio(x, y)
-        return r if r >= least else 0.0
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = ([(s or "").upper().translate(_BARE) for s in side] for side in (a, b))
+        out = np.zeros(len(x))
+        for i in np.flatnonzero(can_match(x, y, least)).tolist():
+            r = ratio(x[i], y[i])
+            out[i] = r if r >= least else 0.0
+        return pd.Series(out)
 
-    return _udf(ratio_from)
+    return run
 
 
 def text_ratio_of(a: str | None, b: str | None) -> float:
@@ -77,7 +104,7 @@ def description_ratio_of(a: str | None, b: str | None) -> float:
 
 
 def name_ratio_of(a: str | None, b: str | None) -> float:
-    """The larger of the ratio of the leading words before a number, and 0.8 of the whole names' ratio."""
+    """The larger of the ratio of the leading words (up to a number, a sign of a product or the end; else the first word), and 0.8 of the whole names' ratio."""
     import re
 
     x, y = (a or "").lower().strip(), (b or "").lower().strip()
@@ -85,8 +112,8 @@ def name_ratio_of(a: str | None, b: str | None) -> float:
         return 0.0
 
     def main(s: str) -> str:
-        m = re.match(r"([a-z\s\-]+?)\s*\d", s)
-        return m[1].strip() if m and m[1].strip() else s.split()[0]
+        m = re.match(r"([a-z\s\-]+?)(?:\s+[0-9]|\s*[=×]|$)", s)
+        return m[1].strip() if m else s.split()[0]
 
     return max(ratio(main(x), main(y)), 0.8 * ratio(x, y))
 

@@ -10,7 +10,7 @@ from ..session import staged
 
 PAIRS = "ref_seq long, of_seq long, layer string, score double"
 #: Candidate pairs up to which one sorted partition is read; more are split by the components of their graph. Both give the same pairs.
-ONE_PARTITION = 200_000
+ONE_PARTITION = 2_000_000
 
 
 def components(edges: DataFrame, persist=staged) -> DataFrame:

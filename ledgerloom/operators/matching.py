@@ -269,8 +269,8 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     layer matched and whose codes are alike.
     """
     ship(ref_items.sparkSession)
-    ref_items, offer_items = whole(ref_items), whole(offer_items)
-    ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(offer_items, False), "offer")
+    ref_items = persist(whole(ref_items), "ref-items")
+    ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(whole(offer_items), False), "offer")
     layers = [exact_pairs, normalized_pairs, variant_pairs, lambda r, o: surplus_pairs(r, o, persist)]
     late = [lambda r, o: similar_pairs(r, o, persist=persist), lambda r, o: interval_pairs(r, o, persist=persist)] if fuzzy else []
     if provider is not None:
@@ -293,7 +293,7 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     dollar = lenient_dollar(o, ref_items)
     pairs = persist(pairs.unionByName(dollar), "pairs")
     o = o.join(pairs.filter("layer = 'lenient'").select(F.col("of_seq").alias("seq")), "seq", "left_anti")
-    return pairs, discrepancies(pairs, ref_items, offer_items, r, o, prices, mode)
+    return pairs, discrepancies(pairs, ref_items, offer, r, o, prices, mode)
 
 
 def discrepancies(pairs: DataFrame, ref_items: DataFrame, offer_items: DataFrame, missing: DataFrame, surplus: DataFrame, prices: bool = False, mode: str = "strict") -> DataFrame:

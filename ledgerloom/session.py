@@ -47,9 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: By application, the folder in the shared one that holds what this run stages.
+_RUNS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This run's own folder in the shared one. The driver's file system deletes it when the session's process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        path = f"{shared_dir(spark)}/ledgerloom-{app}-{uuid.uuid4().hex[:8]}"
+        jvm = spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _RUNS[app] = path
+    return _RUNS[app]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder, and read: its plan ends there, and lost executors cost no more than their tasks."""
+    """df written as a table in the run's folder, and read: its plan ends there, and lost executors cost no more than their tasks."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)

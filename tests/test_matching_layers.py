@@ -207,3 +207,16 @@ def test_a_dollar_code_without_unit_differs_by_unit_alone(spark):
     ref, offer = items(spark, [("1", "$5000123", "teava", "", 0.0)]), items(spark, [("1", "$5000123", "###", "m", 9.0)])
     pairs, rows = layer(spark, ref, offer)
     assert pairs == {(0, 0): "lenient"} and [r.tip for r in rows] == ["UM_DIFERIT"]
+
+
+def test_codes_that_can_match(spark):
+    """The count of characters in reach never falls below what a ratio matches."""
+    from ledgerloom.functions.similarity import can_match
+
+    rng = random.Random(12)
+    every = [c for c in codes(rng, 300, "AB01", 12)] + ["", "É0A"]
+    pairs = [(a, b) for a in every[::2] for b in every[1::3]]
+    for least in (0.6, 0.75, 0.8, 1.0):
+        may = can_match([a for a, _ in pairs], [b for _, b in pairs], least)
+        want = [bool(a and b) and SequenceMatcher(None, a, b).ratio() >= least for a, b in pairs]
+        assert all(m for m, w in zip(may, want) if w) and (least < 0.8 or may.sum() < 20 * max(1, sum(want)))
