@@ -6,7 +6,8 @@ share integers vote for the offset between them; offsets with votes enough are c
 over the whole overlap, and the one with most votes of those that pass is taken. Recordings of one fingerprint are one
 class, and classes are what is aligned. Every frame votes. Classes are dealt into chunks and queries into blocks, and
 each block meets each chunk: an inverted list of the chunk's integers gives the offsets at which a query has votes, all
-recordings at once, and bit errors are counted there and then, so nothing but alignments leaves a task.
+recordings at once, and bit errors are counted there and then, so nothing but alignments leaves a task. A vote is two of
+an integer's four bytes that agree, so frames vote whose integers differ in a few bits; an equal integer is six votes.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ FRAME, HOP, LOW, HIGH = 0.128, 0.032, 110.0, 2500.0
 #: Frames that a filter sees, and the answer's outer thresholds.
 WIDTH, EDGE = 8, 0.12
 #: Votes and overlapping frames an alignment needs, and the share of bits that may differ.
-VOTES, OVERLAP, MOST_ERROR = 2, 8, 0.25
+VOTES, OVERLAP, MOST_ERROR = 3, 8, 0.25
+#: The pairs of bytes that vote.
+BYTES = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 #: Frames of a chunk of recordings or a block of queries, and pairs of runs or of frames that are compared at once.
 CHUNK, BLOCK = 1 << 20, 1 << 21
 #: Hops that a note of a played text lasts.
-NOTE = 2
+NOTE = 1
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -110,10 +113,10 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return end - start, float(np.bitwise_count(x).sum() / (32 * (end - start)))
 
 
-def melody(text: bytes) -> tuple[np.ndarray, int]:
-    """A text played at 4 kHz, one note of two tones a word: recordings for tables that hold none."""
+def melody(text: bytes, note: int = NOTE) -> tuple[np.ndarray, int]:
+    """A text played at 4 kHz, one note of two tones and `note` hops a word: recordings for tables that hold none."""
     rate = 4000
-    t = np.arange(NOTE * round(rate * HOP)) / rate
+    t = np.arange(note * round(rate * HOP)) / rate
     tones = np.sin(2 * np.pi * 220 * 2 ** (np.arange(36) / 12)[:, None] * t).astype(np.float32) * 0.4
     h = np.fromiter(map(zlib.crc32, text.split()), np.int64)
     return (tones[h % 36] + tones[h // 36 % 36]).ravel() if len(h) else np.zeros(0, np.float32), rate
@@ -135,14 +138,20 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable[[b
     return staged(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n int, fp binary, r long"), "chroma-fingerprints")
 
 
-def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of one integer start, and their lengths."""
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(fp)), bool), fp[1:] != fp[:-1]]))
-    return at, np.diff(at, append=len(fp))
+def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of one value of each pair of bytes start, their lengths, and the value with the pair's number."""
+    starts, lengths, values = [], [], []
+    for k, (p, q) in enumerate(BYTES):
+        v = (fp >> np.uint32(8 * p) & np.uint32(255)) | (fp >> np.uint32(8 * q) & np.uint32(255)) << np.uint32(8) | np.uint32(k << 16)
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]]))
+        starts.append(at)
+        lengths.append(np.diff(at, append=len(v)))
+        values.append(v[at])
+    return np.concatenate(starts), np.concatenate(lengths), np.concatenate(values)
 
 
 class Chunk:
-    """Recordings in one row, with room for a query of `most` frames before each, and their runs of one integer in the integers' order."""
+    """Recordings in one row, with room for a query of `most` frames before each, and their runs of one value in the values' order."""
 
     def __init__(self, fps: list[np.ndarray], most: int):
         lens = np.array([len(x) for x in fps], np.int64)
@@ -151,20 +160,20 @@ class Chunk:
         runs = [_runs(x) for x in fps]
         start, self.length = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
         own = np.repeat(np.arange(len(fps)), [len(r[0]) for r in runs])
-        value = self.flat[start + self.first[own]]
+        value = np.concatenate([r[2] for r in runs])
         order = np.argsort(value, kind="stable")
         self.value, self.place, self.length = value[order], (start + self.at[own])[order], self.length[order]
 
 
 def votes(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Where a query's first frame may stand in a chunk's row with VOTES or more equal integers, and how many there are.
+    """Where a query's first frame may stand in a chunk's row with VOTES or more equal pairs of bytes, and how many there are.
 
-    Two runs of one integer add a trapezoid of votes over the places, of which the four bends are summed, so long runs cost
+    Two runs of one value add a trapezoid of votes over the places, of which the four bends are summed, so long runs cost
     no more than short ones.
     """
-    start, length = _runs(a)
-    low = np.searchsorted(chunk.value, a[start])
-    n = np.searchsorted(chunk.value, a[start], side="right") - low
+    start, length, value = _runs(a)
+    low = np.searchsorted(chunk.value, value)
+    n = np.searchsorted(chunk.value, value, side="right") - low
     places, bends = np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = starts_of(n)
     for x in range(0, int(first[-1]), BLOCK):

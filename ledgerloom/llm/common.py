@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship, staged  # noqa: F401 - for the operators of this package too
+from ..session import run_dir, ship, staged  # noqa: F401 - for the operators of this package too
 
 #: A word, for the regular expressions of Spark and of DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the run's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,9 +5,11 @@
 2. Two sets as similar as asked share at least T of K coordinate-value pairs, so they share one of the K - T + 1 first
    pairs of each in any common order (the prefix). The order is by a count sketch of fixed size, rare pairs first.
    Representatives are posted under their prefix; the least of a posting list is its pivot, and lists of one pivot merge.
-3. Collisions are counted over whole signatures in blocks of bounded size: between all members of a pivot that fit in
-   one block, and between the pivot and each member where they are more. Those with a partner of at least T collisions
-   stay, and others are skipped.
+3. Collisions are counted in blocks of bounded size, between all members of a pivot that fit in one block, and between
+   the pivot and each member where they are more. A block's rows are posted under each of their pairs; a row merges its
+   K posting lists in order of length. The K - T + 1 shortest (the prefix) make its partners and their first counts; in
+   the others partners are looked up, and those that can't reach T any more are skipped. That count decides: rows with a
+   partner of at least T collisions stay.
 4. For these, full sets are built from whole texts again, and a search over exact similarities finds the components
    within a block. It gives one link a member, not a link a pair.
 5. Members of a large group that are linked to its pivot are in one component, so they need not meet each other. Only
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import ascending, col, grouped, mix64, quoted, raw, slices, small, staged, starts_of, table, word_hashes
 from .substrings import _pair, fold
 
@@ -184,19 +187,52 @@ def _block(g: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
     return g["r"].to_numpy(), np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(-1, K), int(np.count_nonzero(g["asks"].to_numpy()))
 
 
+class Postings:
+    """Rows of a block under each of their coordinate-value pairs."""
+
+    def __init__(self, s: np.ndarray):
+        self.s, n = s, len(s)
+        keys = s.astype(np.uint64) | (np.arange(K, dtype=np.uint64) << np.uint64(32))
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.rows = keys.ravel()[order], order // K
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, n), bool), self.keys[1:] != self.keys[:-1]]))
+        at, size = np.empty(n * K, np.int64), np.diff(new, append=n * K)
+        at[order] = np.repeat(np.arange(len(new)), size)
+        self.list, self.start, self.size = at.reshape(n, K), new, size  # the list of each row's pairs, where lists start, and their lengths
+
+    def partners(self, x: int, t: int, wanted: np.ndarray) -> np.ndarray:
+        """Rows among wanted (a mask), x itself aside, that share at least t pairs with row x."""
+        lists = self.list[x]
+        order = np.argsort(self.size[lists], kind="stable")
+        short, rest = lists[order[: K - t + 1]], order[K - t + 1 :]
+        start, size = self.start[short], self.size[short]
+        at = np.arange(size.sum()) - np.repeat(starts_of(size)[:-1] - start, size)
+        count = np.bincount(self.rows[at], minlength=len(self.s))
+        y = np.flatnonzero((count > 0) & wanted)
+        y = y[y != x]
+        count = count[y]
+        for a in range(0, len(rest), 16):  # the longer lists: who is in them, a few lists at a time
+            if not len(y):
+                break
+            now = rest[a : a + 16]
+            count = count + np.count_nonzero(self.list[y[:, None], now] == lists[now], axis=1)
+            able = count + len(rest) - a - len(now) >= t
+            y, count = y[able], count[able]
+        return y[count >= t]
+
+
 def live(members: DataFrame, t: int) -> DataFrame:
     """pivot, i, j, r and asks of the rows of blocks (with sig) that meet one that they ask, or that asks them, in at least t coordinates. Staged."""
 
     def run(batches):
         for (pivot, i, j), g in grouped(batches, ["pivot", "i", "j"]):
             r, s, n = _block(g)
-            alive = np.zeros(len(s), bool)
+            alive, posted = np.zeros(len(s), bool), Postings(s)
             for x in range(n):
-                first = n if n < len(s) else x + 1  # all ask each other, or some ask the others
-                hit = np.count_nonzero(s[first:] == s[x], axis=1) >= t
-                if hit.any():
-                    alive[x] = True
-                    alive[first:] |= hit
+                wanted = np.arange(len(s)) >= (n if n < len(s) else x + 1)  # all ask each other, or some ask the others
+                y = posted.partners(x, t, wanted)
+                if len(y):
+                    alive[x] = alive[y] = True
             k = int(alive.sum())
             if k:
                 same = lambda v, kind: pa.array(np.full(k, v), kind)
@@ -219,10 +255,12 @@ def links(members: DataFrame, t: int, percent: int) -> DataFrame:
             size = np.array([len(x) for x in sets])
             every, flat = np.unique(np.concatenate(sets), return_inverse=True)
             parts = np.split(flat, np.cumsum(size)[:-1])
-            mark = np.zeros(len(every), bool)
+            mark, posted = np.zeros(len(every), bool), Postings(s)
 
             def near(x: int, left: np.ndarray) -> np.ndarray:
-                y = left[np.count_nonzero(s[left] == s[x], axis=1) >= t]
+                wanted = np.zeros(len(s), bool)
+                wanted[left] = True
+                y = posted.partners(x, t, wanted)
                 if not len(y):
                     return y
                 mark[parts[x]] = True
@@ -258,27 +296,6 @@ def links(members: DataFrame, t: int, percent: int) -> DataFrame:
     return staged(_in_blocks(members).mapInArrow(run, "pivot long, u long, v long").distinct(), "minhash-links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """u and v: each node but the least of its component, and that least. Edges (u, v) may be in any order.
-
-    Large-star steps tie every larger neighbour of a node to its least neighbour, small-star steps every smaller one;
-    stars are left when nothing changes. Each step is a table in the shared folder.
-    """
-    edges = staged(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    before = None
-    while True:
-        mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before or not mark[0]:
-            return edges
-        before = mark
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components")
-        large = staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "components")
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "components")
-        pairs = large.join(low, "u")
-        edges = staged(pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "components")
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, alive: DataFrame, reps: DataFrame) -> DataFrame:
     """r and shingles of the representatives in alive, from their whole texts. Staged."""
     wanted = staged(alive.select("r").distinct().join(reps.select("r", "id", "th"), "r"), "minhash-wanted")

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8,
     "op9_language": langid.op9,
     "op10_quality_ledger": rules.op10,
+    "rule_ablations": rules.rule_ablations,
     "op11_vector_codes": codebooks.op11,
     "op12_filter_interactions": interactions.op12,
     "op13_near_vectors": tiles.op13,
@@ -24,6 +25,7 @@ SQL = {
     "op5_near_duplicates": minhash.OP5_SQL,
     "op7_repeated_passages": substrings.OP7_SQL,
     "op10_quality_ledger": rules.OP10_SQL,
+    "rule_ablations": rules.ABLATIONS_SQL,
     "op11_vector_codes": codebooks.OP11_SQL,
     "op12_filter_interactions": interactions.OP12_SQL,
     "op13_near_vectors": tiles.OP13_SQL,

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .codebooks import flat_lists
 from .common import col, grouped, joined, small, staged, table
-from .minhash import components
 
 #: Bytes of a tile's rotated coordinates, leading coordinates by which tiles are cut, and classes (about) whose coordinates say where.
 TILE_BYTES, AXES, SAMPLE = 1 << 19, 8, 50_000

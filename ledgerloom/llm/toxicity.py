@@ -20,8 +20,6 @@ from .common import ascending, col, mix64, plain_names, raw, remainder, slices,
 
 #: Bits of a feature's hash; the table of weights has so many rows, the bias aside.
 BITS = 20
-#: How often a small sample is read.
-PASSES = 3
 _TO_BLANK = bytes(32 if not (48 <= b < 58 or 97 <= b < 123 or b >= 128) else b for b in range(256))
 PLAIN = bytes(_TO_BLANK[b + 32] if 65 <= b < 91 else _TO_BLANK[b] for b in range(256))
 
@@ -61,8 +59,8 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0) -> Model:
-    """Fits on about `rows` labelled documents at most, those of the least hashes of their ids; fewer are read again, PASSES times at most.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, passes: int = 3) -> Model:
+    """Fits on about `rows` labelled documents at most, those of the least hashes of their ids, each read `passes` times.
 
     labels may repeat an id (the larger label holds); null labels and ids without a document are left out. Without any
     labelled document every score is the bias's, 0.5.
@@ -70,7 +68,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id_col: str =
     lab = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     lab = staged(lab, "toxicity-labels")
     n_labels = max(1, lab.count())
-    share, passes = min(1.0, rows / n_labels), max(1, min(PASSES, rows // n_labels))
+    share = min(1.0, rows / n_labels)
     lab = lab.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
 

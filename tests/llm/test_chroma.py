@@ -14,7 +14,9 @@ def links(spark, fps: list[np.ndarray], queries: int) -> dict:
 
 
 def votes_at(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
-    return {o: sum(int(a[i] == b[i + o]) for i in range(max(0, -o), min(len(a), len(b) - o))) for o in range(1 - len(a), len(b))}
+    """By offset, the pairs of bytes that agree: k equal bytes of a frame are k (k - 1) / 2."""
+    equal = lambda x, y: sum(((int(x) ^ int(y)) >> 8 * k) & 255 == 0 for k in range(4))
+    return {o: sum(k * (k - 1) // 2 for k in (equal(a[i], b[i + o]) for i in range(max(0, -o), min(len(a), len(b) - o)))) for o in range(1 - len(a), len(b))}
 
 
 def noisy(rng, x: np.ndarray, p: float) -> np.ndarray:
@@ -79,26 +81,27 @@ def test_refrain_at_a_second_offset(spark):
     c, d = np.concatenate([new(60), tied, new(60), tied]), np.concatenate([tied, new(60)])
     e, f = np.concatenate([new(60), motif[::-1], new(60), longer[::-1]]), np.concatenate([motif[::-1], new(60)])
     got = links(spark, [a, c, e, b, d, f], 3)
-    assert got == {(0, 3): (-130, 10, 10, 0.0), (1, 4): (-132, 12, 12, 0.0), (2, 5): (-130, 9, 10, round(1 / 320, 9))}
+    assert got == {(0, 3): (-130, 60, 10, 0.0), (1, 4): (-132, 72, 12, 0.0), (2, 5): (-130, 57, 10, round(1 / 320, 9))}
 
 
 def test_recall_under_noise():
     """Of the pairs that hold at the true offset, 0.9 or more get the votes, with a tenth to three tenths of the words replaced."""
     rng = np.random.default_rng(14)
     vocabulary = [b"w%d" % i for i in range(2000)]
-    fp = lambda words: chroma.fingerprint(chroma.chroma(*chroma.melody(b" ".join(words))))
-    for p in (0.1, 0.2, 0.3):
+    fp = lambda words, note: chroma.fingerprint(chroma.chroma(*chroma.melody(b" ".join(words), note)))
+    for note, p in ((n, p) for n in (1, 2, 4) for p in (0.1, 0.2, 0.3)):
         true = found = 0
-        for _ in range(60):
+        for _ in range(60 // note + 30):
             words = [vocabulary[i] for i in rng.integers(0, 2000, rng.integers(16, 120))]
             cut = int(rng.integers(0, len(words) // 4 + 1))
             other = [vocabulary[rng.integers(2000)] if rng.random() < p else w for w in words[cut:]]
-            a, b = fp(words), fp(other)
-            n, error = chroma.bit_errors(a, b, -cut * chroma.NOTE)
+            a, b = fp(words, note), fp(other, note)
+            n, error = chroma.bit_errors(a, b, -cut * note)
             if n >= chroma.OVERLAP and error <= chroma.MOST_ERROR:
                 true += 1
-                found += -cut * chroma.NOTE in chroma.search(a, chroma.Chunk([b], len(a)))[1]
-        assert true >= 40 and found >= 0.9 * true, (p, true, found)
+                found += -cut * note in chroma.search(a, chroma.Chunk([b], len(a)))[1]
+        print(note, p, true, found)
+        assert true >= 25 and found >= 0.9 * true, (note, p, true, found)
 
 
 def test_query(spark):

@@ -38,11 +38,12 @@ def test_mixing_meets_targets(spark):
 
 
 def test_rules(spark, docs):
-    got = {(r.doc_id, r.n_words): r for r in rules.judged(docs).collect()}
-    assert got[1, 0].base_failed and not got[1, 0].kept and got[4, 30_000].n_words == 30_000
-    book = rules.ledger(docs)
+    book = rules.ledger(docs.withColumns({"__w": F.lit(5), "__score": F.lit("x")}))
+    got = {(r.doc_id, r.n_words): r for r in rules.judged(book).collect()}
+    assert got[1, 0].base_failed and not got[1, 0].kept and got[4, 30_000].n_words == 30_000 and {(r["__w"], r["__score"]) for r in got.values()} == {(5, "x")}
+    assert "text" not in book.columns and {v: rules.judged(book, p).filter("kept").count() for v, p in rules.POLICIES.items()}["v0"] >= 1
     assert {r.rule: r.n_fail for r in rules.ablations(book).collect() if r.policy == "v1"}["too_few_words"] == 7
-    assert rules.judged(docs.limit(0)).count() == 0
+    assert rules.judged(rules.ledger(docs.limit(0))).count() == 0
 
 
 def test_bpe_is_the_library(spark, docs):

@@ -54,7 +54,7 @@ def test_steps(spark):
     y = {i: int(i % 4 == 0 or i == 3) for i in range(100)}
     key = lambda r: (order[r[0]], y[r[0]], b"".join(i.to_bytes(4, "little") for i in r[1]))
     seen = sorted([(i, features(t or "")) for i, t in rows if i in y], key=key)
-    weights, bias = ftrl([(y[i], f) for i, f in seen], toxicity.PASSES)
+    weights, bias = ftrl([(y[i], f) for i, f in seen], 3)
     assert model.bias == pytest.approx(bias, abs=1e-9)
     assert {int(i): w for i, w in enumerate(model.weights) if w} == pytest.approx({i: w for i, w in weights.items() if w}, abs=1e-9)
     assert 0 < sum(w != 0 for w in weights.values()) < len(weights)  # the L1 bound leaves most at zero
