@@ -21,7 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops documents with a score of TOXIC or more, under a model of the labels of documents still here."""
     common.ship(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="__score").filter(F.col("__score") < TOXIC).select(*common.quoted(docs.columns))
+    kept = toxicity.score(_carried(docs, "text"), model).filter(F.col("score") < TOXIC)
+    return _restored(kept, docs, text=F.col("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
