@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -103,19 +104,16 @@ def description_ratio_of(a: str | None, b: str | None) -> float:
     return ratio(x, y) if len(x) >= 3 and len(y) >= 3 else 0.0
 
 
-def name_ratio_of(a: str | None, b: str | None) -> float:
-    """The larger of the ratio of the leading words (up to a number, a sign of a product or the end; else the first word), and 0.8 of the whole names' ratio."""
-    import re
-
-    x, y = (a or "").lower().strip(), (b or "").lower().strip()
-    if not x or not y:
-        return 0.0
+def main_words(name: str) -> str:
+    """The leading words of a name, up to a number, a sign of a product or the end; else its first word."""
+    m = re.match(r"([a-z\s\-]+?)(?:\s+[0-9]|\s*[=×]|$)", name)
+    return m[1].strip() if m else name.split()[0] if name.split() else name
 
-    def main(s: str) -> str:
-        m = re.match(r"([a-z\s\-]+?)(?:\s+[0-9]|\s*[=×]|$)", s)
-        return m[1].strip() if m else s.split()[0]
 
-    return max(ratio(main(x), main(y)), 0.8 * ratio(x, y))
+def name_ratio_of(a: str | None, b: str | None) -> float:
+    """The larger of the ratio of the names' main words, and 0.8 of the whole names' ratio."""
+    x, y = (a or "").lower().strip(), (b or "").lower().strip()
+    return max(ratio(main_words(x), main_words(y)), 0.8 * ratio(x, y)) if x and y else 0.0
 
 
 def _udf(f):
@@ -131,6 +129,9 @@ code_ratio, text_ratio, description_ratio, name_ratio = map(_udf, (code_ratio_of
 
 
 def register(spark) -> None:
-    """The ratios as SQL functions."""
+    """The ratios, and the token score, as SQL functions."""
     for name, f in (("code_ratio", code_ratio), ("text_ratio", text_ratio), ("description_ratio", description_ratio), ("name_ratio", name_ratio)):
         spark.udf.register(name, f)
+    tokens = "array_distinct(regexp_extract_all(regexp_replace(lower(trim(coalesce({0}, ''))), '([0-9])[,x.-]([0-9])', '$1$2'), '[a-z0-9]+', 0))"
+    both, either, first = (f"size(array_{f}({tokens.format('ref')}, {tokens.format('offer')}))" for f in ("intersect", "union", "intersect"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION token_score(ref STRING, offer STRING) RETURNS DOUBLE RETURN CASE WHEN size({tokens.format('ref')}) > 0 AND size({tokens.format('offer')}) > 0 THEN greatest({both} / {either}, {first} / size({tokens.format('ref')})) ELSE 0D END")

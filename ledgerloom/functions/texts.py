@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .codes import text
+from .codes import clean_table_code, text
 
 #: Item codes in running text (fixed value).
 ITEM_CODE = r"\b(?:[A-Z]{2,5}\d{1,4}[A-Z]?\d{0,2}|[A-Z]\d[A-Z]{1,3}\d{2,4}[A-Z]?\d{0,2})\b"
@@ -25,14 +25,24 @@ def plain_description(c) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"([a-zăâîșț])\.(?=\s)", "$1"), r"\s+", " "))
 
 
+#: Table cells `CODE - DESCRIPTION` (fixed values): a code of one of three kinds, or any run of the signs that codes have.
+CELL = r"(?i)^(\$?\d{4,8}|[A-Z]{2,5}\d{1,4}[A-Z]?(?:-\d+)?(?:#)?|[A-Z]\d[A-Z]{1,3}\d{2,4}[A-Z]?(?:-\d+)?(?:#)?)\s*[-–]\s*(.+)"
+LOOSE_CELL = r"(?i)^([A-Z0-9#@\-]{2,10})\s*[-–]\s*(.+)"
+
+
+def dollared(code) -> Column:
+    """A code, with a dollar sign before one of digits only."""
+    return F.when(code.rlike(r"^\d+$"), F.concat(F.lit("$"), code)).otherwise(code)
+
+
 def item_cell(c) -> Column:
-    """code and description of a table cell `CODE - DESCRIPTION`; a numeric code gets a dollar sign."""
+    """code (upper case) and description of a table cell `CODE - DESCRIPTION`, empty where it is none; a numeric code gets a dollar sign."""
     t = text(c)
-    strict = r"^([A-Z]{1,5}\d[A-Z0-9]*|\$?\d{4,9})[#@!*%^+]*\s*[-–]\s*(.+)$"
-    loose = r"^([A-Z0-9$]{2,10})[#@!*%^+]*\s+[-–]\s+(.+)$"
-    code = F.coalesce(F.nullif(F.regexp_extract(t, strict, 1), F.lit("")), F.regexp_extract(t, loose, 1))
-    den = F.coalesce(F.nullif(F.regexp_extract(t, strict, 2), F.lit("")), F.regexp_extract(t, loose, 2))
-    return F.struct(F.when(code.rlike(r"^\d+$"), F.concat(F.lit("$"), code)).otherwise(code).alias("code"), F.trim(den).alias("description"))
+    loose = clean_table_code(F.upper(F.regexp_extract(t, LOOSE_CELL, 1)))
+    strict = F.upper(F.regexp_extract(t, CELL, 1))
+    code = F.when(strict != "", dollared(strict)).when(F.length(loose) >= 2, loose).otherwise("")
+    den = F.when(strict != "", F.regexp_extract(t, CELL, 2)).when(F.length(loose) >= 2, F.regexp_extract(t, LOOSE_CELL, 2)).otherwise("")
+    return F.struct(code.alias("code"), F.trim(den).alias("description"))
 
 
 def component_codes(c) -> Column:
@@ -77,29 +87,34 @@ def format_code(c, fmt: str) -> Column:
 
 
 def physical_stage(c) -> Column:
-    """What follows the physical-stage label, up to a digit or the line's end."""
-    return F.trim(F.regexp_extract(text(c), r"(?im)STADIUL?\s+FIZIC\s*:\s*(?:\d+\s*)?([^\d\n]+)", 1))
+    """What follows the physical-stage label, up to a number or the line's end; empty where a number follows at once."""
+    return F.trim(F.regexp_extract(text(c), r"(?im)STADIUL\s+FIZIC:\s*([^\n0-9]+?)(?:\s+[0-9]|\s*$)", 1))
+
+
+#: A section behind its physical-stage label (fixed values): a chapter and a sub-code, a sub-code, a code of 5 to 8 signs before a digit.
+STAGE_FORMS = (r"^\d{1,3}\s+([0-9]\.[0-9])\s+(.*)", r"^([0-9]\.[0-9])\s+(.*)", r"^(?i:oferta\s+)?(?:\d{1,3}\s+)?((?=.*\d)(?i:[A-Z0-9]{5,8}))\s*(.*)")
 
 
 def stage_section(c) -> Column:
-    """code and name of a section from its physical-stage label, by the first of four forms that fits; null without one."""
-    t = text(c)
-    coded = r"(?i)STADIUL?\s+FIZIC\s*:\s*(?:oferta\s+)?(?:\d{1,3}\s+)?((?=[A-Z0-9]*\d{3})[A-Z0-9]{5,8})\s+([^\n]*)"
-    short = r"(?i)STADIUL?\s+FIZIC\s*:\s*(\d{1,4})\s+([^\n]*)"
-    named = r"(?i)STADIUL?\s+FIZIC\s*:\s*()([^\n]+)"
-    below = r"(?i)STADIUL?\s+FIZIC\s*:\s*\n\s*(?:oferta\s+)?((?=[A-Z0-9]*\d{3})[A-Z0-9]{5,8})\s+([^\n]*)"
-    out = F.lit(None).cast("struct<code:string,name:string>")
-    for p in (named, short, below, coded):
-        out = F.when(t.rlike(p), F.struct(F.regexp_extract(t, p, 1).alias("code"), F.trim(F.regexp_extract(t, p, 2)).alias("name"))).otherwise(out)
+    """code and name of a section from its physical stage (behind the label, if the text has it): the first of STAGE_FORMS, else the whole as name.
+
+    A name that a catalogue knows is sections.lookup_text()'s to find.
+    """
+    t = F.trim(F.regexp_replace(text(c), r"(?is)^.*?STADIUL?\s+FIZIC\s*:\s*", ""))
+    out = F.struct(F.lit("").alias("code"), t.alias("name"))
+    for p in reversed(STAGE_FORMS):
+        out = F.when(t.rlike(p), F.struct(F.upper(F.regexp_extract(t, p, 1)).alias("code"), F.trim(F.regexp_extract(t, p, 2)).alias("name"))).otherwise(out)
     return out
 
 
+#: A section's name in the heading of its form (fixed values), up to the category or the list.
+FORM_NAMES = (r"(?i)Deviz\s+oferta\s+\d{5,8}\s+(.+?)(?=\s+(?:Categ|Lista))", r"(?i)Obiectul\s*:\s*\d+\s+(.+?)(?=\s+(?:Categ|Lista))")
+
+
 def form_section_name(c) -> Column:
-    """A section's name from the heading of its form."""
-    t = text(c)
-    first = F.regexp_extract(t, r"(?i)Deviz\s+[\"']?[\w.]+[\"']?\s*[-–]?\s*([^\n\"']+?)\s*[-–]?\s*Formular(?:ul)?\s+F3", 1)
-    second = F.regexp_extract(t, r"(?i)Formular(?:ul)?\s+F3\s*[-–:]?\s*([^\n]+)", 1)
-    return F.trim(F.when(first != "", first).otherwise(second))
+    """A section's name from the heading of its form: behind the bid's label, else behind the object's; empty without either."""
+    first, second = (F.trim(F.regexp_extract(text(c), p, 1)) for p in FORM_NAMES)
+    return F.when(first != "", first).otherwise(second)
 
 
 def reply_json(c) -> Column:
@@ -129,7 +144,7 @@ FIELD_LABELS = {
 
 
 def observation(tip="tip", camp="camp", ref="ref", offer="oferta", ref_um="ref_um", offer_um="oferta_um", ref_code="ref_cod", offer_code="oferta_cod", reason=None, declared=None, calculated=None) -> Column:
-    """The report's text for a discrepancy, from its columns; missing values show as nothing."""
+    """The report's text for a discrepancy, from its columns; missing values show as nothing. The sentences are fixed values."""
     c = lambda x: F.lit("") if x is None else F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit(""))
     t, f, why = c(tip), c(camp), c(reason)
     label = f
@@ -148,5 +163,37 @@ def observation(tip="tip", camp="camp", ref="ref", offer="oferta", ref_um="ref_u
     )
 
 
+# The names of fields in a spreadsheet's texts.
+SHEET_LABELS = {
+    "cantitate": "CANTITATE DIFERITĂ", "pret_material": "PREȚ MATERIAL DIFERIT", "pret_manopera": "PREȚ MANOPERĂ DIFERIT", "pret_utilaj": "PREȚ UTILAJ DIFERIT", "pret_transport": "PREȚ TRANSPORT DIFERIT",
+    "val_material": "VALOARE MATERIAL DIFERITĂ", "val_manopera": "VALOARE MANOPERĂ DIFERITĂ", "val_utilaj": "VALOARE UTILAJ DIFERITĂ", "val_transport": "VALOARE TRANSPORT DIFERITĂ",
+}
+
+
+def sheet_observation(columns: list[str]) -> Column:
+    """A spreadsheet's text for a discrepancy, from its columns; those that are missing or null show as nothing. The sentences are fixed values."""
+    c = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("")) if x in columns else F.lit("")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    label = say("DIFERENȚĂ ", F.upper(c("camp")))
+    for name, shown in SHEET_LABELS.items():
+        label = F.when(c("camp") == name, shown).otherwise(label)
+    return (
+        F.when(c("tip") == "ARTICOL_LIPSA", "LIPSĂ ARTICOL")
+        .when(c("tip") == "ARTICOL_EXTRA", "ARTICOL SUPLIMENTAR ÎN OFERTĂ")
+        .when(c("tip") == "UM_DIFERIT", say("UNITATE DE MĂSURĂ DIFERITĂ\nRef: ", c("ref_um"), "  |  Ofertă: ", c("oferta_um")))
+        .when(c("tip") == "DIFERENTA_CAMP", say(label, "\nRef: ", c("ref"), "  |  Ofertă: ", c("oferta")))
+        .when(c("tip") == "EROARE_ARITMETICA", say("EROARE ARITMETICĂ: ", c("camp"), "\nDeclarat: ", c("declarat"), "  Calculat: ", c("calculat")))
+        .when(c("tip") == "COD_SIMILAR", say("COD SIMILAR — posibilă eroare OCR sau variație\nRef: ", c("ref_cod"), "  |  Ofertat: ", c("oferta_cod"), "\n", c("motiv_similaritate")))
+        .otherwise(c("tip"))
+    )
+
+
+def systemic_alert(part: float) -> str:
+    """The spreadsheet's alert for the part of checked items that are suspect (a fixed value)."""
+    return f"⚠️ ALERTĂ SISTEMICĂ: {int(part * 100)}% din itemii verificați sunt suspecți"
+
+
 def hierarchy_label(code, is_component, parent) -> Column:
-    return F.when(F.coalesce(is_component, F.lit(False)), F.format_string("[COMPONENT] %s (parent: %s)", text(code), text(parent))).otherwise(text(code))
+    """A code as a report shows it: a component's with a mark, and its parent where it has one."""
+    of = F.when(text(parent) != "", F.concat(F.lit(" (parent: "), text(parent), F.lit(")"))).otherwise("")
+    return F.when(F.coalesce(is_component, F.lit(False)), F.concat(F.lit("[COMPONENT] "), text(code), of)).otherwise(text(code))

@@ -98,10 +98,10 @@ def table_quantity(c) -> Column:
 
 
 def table_unit(quantity, unit) -> Column:
-    """The letters that trail a quantity cell, before the unit cell's, without dots; the column numbers 0 to 5 are none."""
-    own = F.regexp_extract(text(quantity), r"([A-Za-z]+)\.?$", 1)
-    u = F.regexp_replace(F.concat(own, text(unit)), r"\.", "")
-    return F.trim(F.when(text(unit).isin("0", "1", "2", "3", "4", "5"), own).otherwise(u))
+    """The unit cell in upper case without dots, behind the letters at the quantity cell's end; a column number from 0 to 5 alone is none."""
+    own, u = F.regexp_extract(text(quantity), r"([A-Za-z]+)$", 1), F.upper(text(unit))
+    both = F.translate(F.when(own != "", F.trim(F.concat(own, F.lit(" "), u))).otherwise(u), ".", "")
+    return F.when(both.isin("0", "1", "2", "3", "4", "5"), "").otherwise(both)
 
 
 def is_price_line(c) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import text
-from ..session import small
 from ..functions.texts import FORMATS, component_format, format_codes, format_confidence
 
 
@@ -42,11 +43,11 @@ def rolled_up(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def coverage(found: DataFrame, detected: DataFrame) -> DataFrame:
-    """extracted and detected distinct codes, their ratio to three decimals (1 if none is detected), and a warning below 0.7."""
-    d, f = detected.select("code").distinct(), found.select("code").distinct()
-    one = d.join(f.withColumn("hit", F.lit(1)), "code", "left").agg(F.count("*").alias("detected"), F.coalesce(F.sum("hit"), F.lit(0)).alias("extracted"))
-    ratio = F.when(F.col("detected") > 0, F.floor(F.col("extracted") / F.col("detected") * 1000 + 0.5) / 1000).otherwise(F.lit(1.0))
-    return one.withColumn("ratio", ratio).withColumn("warn", F.col("ratio") < 0.7)
+    """extracted and detected distinct codes, the former over the latter to three decimals (1 if none is detected, above 1 if more were extracted), and a warning below 0.7."""
+    n = lambda rows, name: rows.filter(text("code") != "").agg(F.count_distinct(F.upper(text("code"))).alias(name))
+    one = n(detected, "detected").join(F.broadcast(n(found, "extracted")))
+    part = F.when(F.col("detected") > 0, F.col("extracted") / F.col("detected")).otherwise(F.lit(1.0))
+    return one.withColumn("ratio", F.floor(part * 1000 + 0.5) / 1000).withColumn("warn", part < 0.7)
 
 
 def suspicious_extras(extra: DataFrame, ref_text: DataFrame, ref_items: DataFrame) -> DataFrame:
@@ -60,19 +61,24 @@ def suspicious_extras(extra: DataFrame, ref_text: DataFrame, ref_items: DataFram
 
 
 def pattern_scores(lines: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, name and confidence: lines that show a pattern's parents or components over lines that aren't blank, half more if both occur, 1 at most."""
-    p = patterns.select("name", F.posexplode(F.concat(F.transform("parent_indicators", lambda x: F.struct(x.alias("p"), F.lit(0).alias("k"))), F.transform("component_indicators", lambda x: F.struct(x["pattern"].alias("p"), F.lit(1).alias("k"))))).alias("i", "x")).select("name", "x.*")
-    full = lines.filter(text("content") != "")
-    total = full.groupBy("doc_id").agg(F.count("*").alias("total"))
-    hit = full.crossJoin(small(p)).filter(F.expr("regexp_like(content, p)"))  # a library of patterns, by hand or a row a document kind
-    n = hit.groupBy("doc_id", "name").agg(F.count_if(F.col("k") == 0).alias("a"), F.count_if(F.col("k") == 1).alias("b")).join(total, "doc_id")
+    """doc_id, name, confidence and at (the pattern's place in the library): lines that begin as one of a pattern's parents, and those that begin as one of its components, over lines that aren't blank; half more if both occur, 1 at most.
+
+    Every line is read once, with all patterns as expressions on it. The library is a hand-made list and comes to the driver.
+    """
+    bare = F.regexp_replace("content", r"^\s+|\s+$", "")
+    full = lines.select("doc_id", bare.alias("s")).filter("s <> ''")
+    begins = lambda ways: reduce(lambda a, b: a | b, [F.rlike("s", F.lit(f"^(?:{p})")) for p in ways], F.lit(False))
+    library = patterns.select("name", "parent_indicators", F.transform("component_indicators", lambda x: x["pattern"]).alias("component_indicators")).collect()
+    sums = [F.struct(F.lit(p.name).alias("name"), F.lit(i).alias("at"), F.count_if(begins(p.parent_indicators or [])).alias("a"), F.count_if(begins(p.component_indicators or [])).alias("b")) for i, p in enumerate(library)]
+    kind = "array<struct<name:string,at:int,a:bigint,b:bigint>>"
+    n = full.groupBy("doc_id").agg(F.count("*").alias("total"), F.array(*sums).cast(kind).alias("p")).select("doc_id", "total", F.inline("p")).filter("a + b > 0")
     base = (F.col("a") + F.col("b")) / F.col("total")
-    return n.select("doc_id", "name", F.least(F.lit(1.0), F.when((F.col("a") > 0) & (F.col("b") > 0), base * 1.5).otherwise(base)).alias("confidence"))
+    return n.select("doc_id", "name", F.least(F.lit(1.0), F.when((F.col("a") > 0) & (F.col("b") > 0), base * 1.5).otherwise(base)).alias("confidence"), "at")
 
 
 def best_pattern(scores: DataFrame, docs: DataFrame, least: float = 0.70, generated: str = "AUTO_GEN_1") -> DataFrame:
-    """doc_id, name and confidence of the best pattern of 0.7 or more, else the generated one's at 0.5. Of equal ones the lesser name."""
-    b = scores.groupBy("doc_id").agg(F.max_by("name", F.struct("confidence", F.transform(F.split("name", ""), lambda x: -F.ascii(x)))).alias("name"), F.max("confidence").alias("c")).filter(F.col("c") >= least)
+    """doc_id, name and confidence of the best pattern of 0.7 or more, the first of the library among equal ones, else the generated one's at 0.5."""
+    b = scores.groupBy("doc_id").agg(F.max_by("name", F.struct("confidence", -F.col("at"))).alias("name"), F.max("confidence").alias("c")).filter(F.col("c") >= least)
     return docs.select("doc_id").distinct().join(b, "doc_id", "left").select("doc_id", F.coalesce("name", F.lit(generated)).alias("name"), F.coalesce("c", F.lit(0.5)).alias("confidence"))
 
 
@@ -82,15 +88,21 @@ def generated_pattern(patterns: DataFrame) -> DataFrame:
     return n.select(F.concat(F.lit("AUTO_GEN_"), F.col("n") + 1).alias("name"), F.array(F.lit(r"^\d+\s+[A-Z]")).alias("parent_indicators"), F.array().cast("array<struct<pattern:string,type:string>>").alias("component_indicators"), F.lit("inherit_from_parent").alias("quantity_rule"))
 
 
-def component_summary(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, format, confidence (halved where no code is found), n_codes and warnings."""
+def component_summary(docs: DataFrame, text_col: str = "text", expected: str | None = None) -> DataFrame:
+    """doc_id, format, confidence, n_codes (all that the format shows), warnings and valid (codes were found, and as many as expected).
+
+    `expected` is a column with the number of codes that a document should have; null and 0 ask for nothing. Where codes are
+    expected and none is found, the confidence is halved. The warnings are fixed values.
+    """
     codes = F.array().cast("array<string>")
     for name in FORMATS:
         codes = F.when(F.col("format") == name, format_codes(text_col, name)).otherwise(codes)
-    out = docs.withColumn("format", component_format(text_col)).withColumn("n_codes", F.size(F.array_distinct(codes)))
-    warn = F.filter(F.array(F.when(F.col("format") == "UNKNOWN", F.lit("no component format")), F.when((F.col("format") != "UNKNOWN") & (F.col("n_codes") == 0), F.lit("no component codes"))), lambda x: x.isNotNull())
+    out = docs.withColumn("format", component_format(text_col)).withColumn("n_codes", F.size(F.filter(codes, lambda x: F.trim(x) != "")))
+    want = F.coalesce(F.col(expected).cast("int") if expected else F.lit(0), F.lit(0))
+    none = (F.col("n_codes") == 0) & (want > 0)
+    warn = F.array_compact(F.array(F.when(none, F.format_string("Expected %d subcomponents but extracted 0", want)), F.when((want != 0) & (F.col("n_codes") != want), F.format_string("Extracted %d codes but expected ~%d", F.col("n_codes"), want))))
     c = format_confidence(F.col("format"))
-    return out.select("doc_id", "format", F.when(F.col("n_codes") == 0, c * 0.5).otherwise(c).alias("confidence"), "n_codes", warn.alias("warnings"))
+    return out.select("doc_id", "format", F.when(none, c * 0.5).otherwise(c).alias("confidence"), "n_codes", warn.alias("warnings"), ((F.size(warn) == 0) & (F.col("n_codes") > 0)).alias("valid"))
 
 
 def verify_expected(expected: DataFrame, items: DataFrame, similarity) -> DataFrame:

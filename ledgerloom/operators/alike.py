@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import text
-from ..functions.similarity import code_ratio_from
+from ..functions.similarity import code_ratio_from, main_words, name_ratio_of
 from ..session import ship, staged
 from .runs import runs
 
@@ -109,13 +109,9 @@ def best_of_block(queries: list[str], refs: list[str], seqs: list[int], least: f
     The ratio is at most twice the characters in common over both lengths. References are tried in falling order of that
     bound, and those whose bound does not reach the best ratio so far are not compared.
     """
-    kinds = {c: i for i, (c, _) in enumerate(sorted(_frequencies(refs).items(), key=lambda x: (-x[1], x[0]))[: KINDS - 1])}
-    h, size, seq = histograms(refs, kinds), np.array([len(r) for r in refs], np.int64), np.array(seqs, np.int64)
-    for q, own in zip(queries, histograms(queries, kinds)):
-        used = np.flatnonzero(own)
-        bound = 2 * np.minimum(h[:, used], own[used]).sum(axis=1, dtype=np.int64) / (size + len(q))
-        if len(q) > 65_535:
-            bound = np.ones(len(refs))
+    bounds, seq = Bounds(refs), np.array(seqs, np.int64)
+    for q in queries:
+        bound = bounds.of(q)
         best, found, asked = least, None, 0
         for i in np.lexsort((seq, -bound)).tolist():
             if bound[i] < best - 1e-12:
@@ -138,35 +134,107 @@ def _frequencies(texts: list[str]) -> dict[str, int]:
     return n
 
 
-def best_descriptions(queries: DataFrame, refs: DataFrame, least: float, persist=staged) -> DataFrame:
-    """d, ref_seq, score and asked: for each distinct description of queries (d) the one of refs (d, seq) of highest ratio, if `least`; of several the least seq.
+def in_blocks(queries: DataFrame, refs: DataFrame, meet, schema: str) -> DataFrame:
+    """What meet(queries, refs) yields as rows of a schema, for blocks of refs and chunks of queries of bounded size, columns as lists.
 
-    Equal descriptions are an equi-join. The others, a stated set, are compared with all distinct descriptions of refs in
-    blocks of bounded size; `asked` counts the ratios computed for each, which are few beside the descriptions: see
-    best_of_block().
+    Queries are a stated set; every query meets every row of refs once. Rows are dealt by their column d.
     """
     ship(queries.sparkSession)
-    r = persist(refs.groupBy("d").agg(F.min("seq").alias("seq")), "descriptions")
-    q = queries.select("d").distinct()
-    equal = q.join(r, "d").select("d", F.col("seq").alias("ref_seq"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("asked"))
-    rest = persist(q.join(r, "d", "left_anti"), "descriptions-open")
-    blocks, chunks = (max(1, math.ceil(n / size)) for n, size in ((r.count(), BLOCK), (rest.count(), CHUNK)))
+    blocks, chunks = (max(1, math.ceil(n / size)) for n, size in ((refs.count(), BLOCK), (queries.count(), CHUNK)))
     own = lambda n: F.pmod(F.xxhash64("d"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = r.select(own(blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"), "d", "seq")
-    both = both.union(rest.select(every(blocks).alias("block"), own(chunks).alias("chunk"), F.lit(1), "d", F.lit(0).cast("long")))
+    r = refs.select(own(blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"), "d", *[c for c in refs.columns if c != "d"])
+    q = queries.select(every(blocks).alias("block"), own(chunks).alias("chunk"), F.lit(1).alias("side"), "d", *[c for c in queries.columns if c != "d"])
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(frames):
         for g in runs(frames, ["block", "chunk"]):
-            refs, asking = ([i for i, x in enumerate(g["side"]) if x == k] for k in (0, 1))
-            if refs and asking:
-                yield pd.DataFrame(best_of_block([g["d"][i] for i in asking], [g["d"][i] for i in refs], [g["seq"][i] for i in refs], least), columns=["d", "ref_seq", "score", "asked"])
+            one, two = ({c: [v[i] for i, x in enumerate(g["side"]) if x == k] for c, v in g.items()} for k in (0, 1))
+            if one["d"] and two["d"]:
+                yield pd.DataFrame(meet(two, one), columns=names)
 
-    near = both.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInPandas(run, "d string, ref_seq long, score double, asked long")
+    both = r.unionByName(q, allowMissingColumns=True)
+    return both.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "side", "d").mapInPandas(run, schema)
+
+
+def best_descriptions(queries: DataFrame, refs: DataFrame, least: float, persist=staged) -> DataFrame:
+    """d, ref_seq, score and asked: for each distinct description of queries (d) the one of refs (d, seq) of highest ratio, if `least`; of several the least seq.
+
+    Equal descriptions are an equi-join. The others are compared with all distinct descriptions of refs in blocks; `asked`
+    counts the ratios computed for each, which are few beside the descriptions: see best_of_block().
+    """
+    r = persist(refs.groupBy("d").agg(F.min("seq").alias("seq")), "descriptions")
+    q = queries.select("d").distinct()
+    equal = q.join(r, "d").select("d", F.col("seq").alias("ref_seq"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("asked"))
+    rest = persist(q.join(r, "d", "left_anti"), "descriptions-open")
+    near = in_blocks(rest, r, lambda q, r: best_of_block(q["d"], r["d"], [int(x) for x in r["seq"]], least), "d string, ref_seq long, score double, asked long")
     best = near.groupBy("d").agg(F.max(F.struct("score", (-F.col("ref_seq")).alias("s"))).alias("b"), F.sum("asked").alias("asked"))
     return equal.union(best.select("d", (-F.col("b.s")).alias("ref_seq"), F.col("b.score").alias("score"), "asked"))
 
 
+class Bounds:
+    """Upper bounds of the ratio of a text with each text of a block, from their characters."""
+
+    def __init__(self, refs: list[str]):
+        self.kinds = {c: i for i, (c, _) in enumerate(sorted(_frequencies(refs).items(), key=lambda x: (-x[1], x[0]))[: KINDS - 1])}
+        self.h, self.size = histograms(refs, self.kinds), np.array([len(r) for r in refs], np.int64)
+
+    def of(self, text: str) -> np.ndarray:
+        own = histograms([text], self.kinds)[0]
+        used = np.flatnonzero(own)
+        return np.where(len(text) > 65_535, 1.0, 2 * np.minimum(self.h[:, used], own[used]).sum(axis=1, dtype=np.int64) / np.maximum(1, self.size + len(text)))
+
+
+def names_of_block(texts: list[str], names: list[str], least: float) -> Iterator[tuple[str, str, str, float]]:
+    """(text, name, kind, score) of the names that fit each text: equal 1.0, contained in a longer text 0.85 (all names are looked for at once by an automaton), a ratio of `least` or more."""
+    from ahocorasick import Automaton
+
+    found = Automaton()
+    for i, n in enumerate(names):
+        if n:
+            found.add_word(n, i)
+    if len(found):
+        found.make_automaton()
+    bounds = Bounds(names)
+    for t in texts:
+        inside = {i for _, i in found.iter(t)} if len(found) else set()
+        for i in sorted(inside):
+            yield t, names[i], *(("exact", 1.0) if names[i] == t else ("substring", 0.85))
+        for i in np.flatnonzero(bounds.of(t) >= least - 1e-12).tolist():
+            if i not in inside:
+                ratio = SequenceMatcher(None, t, names[i]).ratio()
+                if ratio >= least:
+                    yield t, names[i], "fuzzy", ratio
+
+
+def names_in(texts: DataFrame, names: DataFrame, least: float = 0.65) -> DataFrame:
+    """d (a text), t (a name), kind and score for every distinct text (d) and name (d) that fit: see names_of_block()."""
+    return in_blocks(texts.distinct(), names.distinct(), lambda q, r: names_of_block(q["d"], r["d"], least), "d string, t string, kind string, score double")
+
+
+def best_names_of_block(asks: dict, refs: dict) -> Iterator[tuple]:
+    """(offer_deviz, ref_deviz, score, first, word_deviz, word_first): the section of best name ratio, and the first whose name holds the word."""
+    names, order = refs["d"], sorted(range(len(refs["d"])), key=lambda i: (refs["first"][i], refs["ref_deviz"][i]))
+    full, main = Bounds(names), Bounds([main_words(n) for n in names])
+    for deviz, name, word in zip(asks["offer_deviz"], asks["d"], asks["word"]):
+        bound = np.maximum(main.of(main_words(name)), 0.8 * full.of(name))
+        best, at = 0.0, None
+        for i in order:
+            if bound[i] > best - 1e-12:
+                ratio = name_ratio_of(name, names[i])
+                if ratio > best:
+                    best, at = ratio, i
+        holds = next((i for i in order if word and word in names[i]), None)
+        yield deviz, None if at is None else refs["ref_deviz"][at], best, None if at is None else int(refs["first"][at]), None if holds is None else refs["ref_deviz"][holds], None if holds is None else int(refs["first"][holds])
+
+
+def best_names(asks: DataFrame, refs: DataFrame) -> DataFrame:
+    """offer_deviz, ref_deviz, score and word_deviz for sections (offer_deviz, d: the name, word) against (ref_deviz, d, first); of equal scores the section that begins first."""
+    told = in_blocks(asks, refs, best_names_of_block, "offer_deviz string, ref_deviz string, score double, first long, word_deviz string, word_first long")
+    place = F.struct("score", (-F.col("first")).alias("f"))
+    return told.groupBy("offer_deviz").agg(F.max_by("ref_deviz", F.when(F.col("ref_deviz").isNotNull(), place)).alias("ref_deviz"), F.max("score").alias("score"), F.min_by("word_deviz", F.when(F.col("word_deviz").isNotNull(), F.struct("word_first", "word_deviz"))).alias("word_deviz"))
+
+
 def suppressed_extras(extra: DataFrame, ref: DataFrame, least: float = 0.45, persist=staged) -> DataFrame:
     """of_seq, ref_seq and score of surplus rows whose description has a ratio of `least` with any reference description: the best."""
     d = lambda rows: rows.select(F.lower(text("denumire")).alias("d"), "seq").filter("length(d) >= 3")

@@ -26,7 +26,7 @@ def described(items: DataFrame) -> DataFrame:
 
 def aligned(ref: DataFrame, offer: DataFrame) -> DataFrame:
     """The offer's items under the reference's sections: by code or name, then by their codes where that left a section the reference lacks."""
-    side = lambda x: sections.first_names(x).select("deviz", "denumire")
+    side = lambda x: sections.first_names(x).select("deviz", "denumire", "first")
     mapping = sections.map_by_name(side(ref), side(offer))
     moved = sections.remap(offer, mapping.select("offer_deviz", "ref_deviz"))
     open_ = moved.select("deviz").distinct().join(ref.select("deviz").distinct(), "deviz", "left_anti")
@@ -52,16 +52,23 @@ class Comparison:
 
 
 def compare(ref: DataFrame, offer: DataFrame, ref_lines: DataFrame | None = None, provider: Provider | None = None, prices: bool = False, mode: str = "strict", fmt: str = "UNKNOWN", confidence: float = 0.0, persist=staged) -> Comparison:
-    """One offer's items against the reference's: ITEM on both sides. ref_lines (content) flag surplus codes that the reference's text holds."""
+    """One offer's items against the reference's: ITEM on both sides. ref_lines (content) flag surplus codes that the reference's text holds.
+
+    Sections are aligned by code, name and items, their names then are the reference's where they mean the same, and
+    sections of nearly the same codes count as equal. Component codes that the reference lacks come as discrepancies too.
+    """
     clean = persist(described(aligned(ref, with_codes(offer))), "offer-aligned")
-    named, mismatches = equalled(ref, sections.fill_names(clean))
+    clean = persist(sections.renamed(ref, sections.fill_names(clean), provider), "offer-renamed")
+    named, mismatches = equalled(ref, clean)
     named = persist(named, "offer-equalled")
     pairs, every = matching.reconcile(ref, named, prices=prices, mode=mode, persist=persist, provider=provider)
     found = matching.final_discrepancies(every)
     if ref_lines is not None:
         found = suspicious_extras(found, ref_lines, ref)
         found = found.withColumn("posibil_omis_din_extractie", F.col("posibil_omis_din_extractie") & (F.col("tip") == "ARTICOL_EXTRA"))
-    return Comparison(pairs, persist(found, "discrepancies"), mismatches, sections.differences(ref, named), components.anomalies(ref, named, fmt, confidence))
+    strange = persist(components.anomalies(ref, named, fmt, confidence), "anomalies")
+    found = found.unionByName(components.anomaly_rows(strange), allowMissingColumns=True)
+    return Comparison(pairs, persist(found, "discrepancies"), mismatches, sections.differences(ref, named), strange)
 
 
 def offer_summary(rows: DataFrame, checks: DataFrame | None = None, most: float = 0.3) -> DataFrame:

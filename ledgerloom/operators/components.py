@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import clean_code, text
-from ..functions.texts import component_codes
-from ..functions.units import is_unit, parse_number, unit_value
+from ..functions.texts import FORMATS, component_codes, format_codes, plain_description
+
+
+# What opens a component, a resource's line, its code, its unit and quantity, and units of time, which resources have.
+MARKER = r"(?i)^>>>\s*componenta\s+\d+"
+RESOURCE = r"(?i)^\d{1,3}\s+([A-Z$][A-Z0-9#$]{2,})"
+CODED, NUMBERED = r"(?i)^(?:\d+\s+)?([A-Z$][A-Z0-9#$]{2,})", r"^(?:\d{1,3}\s+)?(\d{5,7})\s*$"
+UNIT, QUANTITY = r"(?i)^[A-Z]{1,6}$", r"^\d+[.,]\d+$"
+TIMES = ("ORA", "ORE", "ZI", "ZILE", "SCHIMB", "LUNA", "LUNI", "SAPT")
+
+
+def _block_code(line: Column) -> Column:
+    """The code that a line begins with, behind a number: letters with a digit among them, or five to seven digits, which get a dollar sign."""
+    signs, digits = F.upper(F.regexp_extract(line, CODED, 1)), F.regexp_extract(line, NUMBERED, 1)
+    return F.when(signs != "", F.when(signs.rlike(r"\d"), signs).otherwise("")).when(digits != "", F.concat(F.lit("$"), digits)).otherwise("")
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """Component rows of pages: `>>> componenta N`, then `NNN CODE [UNIT] [QUANTITY]` with unit, quantity and text on the same or the next lines."""
+    """Component rows of pages, without quantity, the first of each code on a page.
+
+    A marker `>>> componenta N` has the code on its next line; a resource `NNN CODE` counts only if its next line is a unit
+    of time. Unit, quantity and description follow on lines of their own, any of which may be missing.
+    """
     w = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
-    r = lines.withColumn("marker", F.last(F.when(F.col("content").rlike(r"(?i)>>>\s*componenta"), F.col("line_no")), ignorenulls=True).over(w))
+    r = lines.withColumn("s0", F.trim("content"))
     for k in range(1, 5):
-        r = r.withColumn(f"n{k}", F.coalesce(F.lead("content", k).over(w), F.lit("")))
-    head = r"^(?:.*>>>\s*componenta\s+\S+\s+)?(\d{3})\s+([A-Z]{1,5}\d[A-Z0-9]*|\$?\d{4,9})[#@*^]?\s*(.*)$"
-    r = r.withColumns({"cod": F.regexp_extract("content", head, 2), "tail": F.regexp_extract("content", head, 3)}).filter("cod <> '' and marker is not null")
-    inline = r"^([A-Za-z.]+)\s+([\d.,]+)\s*(.*)$"
-    has = F.col("tail").rlike(inline)
-    um = F.when(has, F.regexp_extract("tail", inline, 1)).when(is_unit("tail"), F.col("tail")).otherwise(F.when(is_unit("n1"), F.col("n1")).otherwise(F.col("n2")))
-    own = F.when(is_unit("tail"), 0).when(is_unit("n1"), 1).otherwise(2)
-    qty = F.when(has, F.regexp_extract("tail", inline, 2)).otherwise(F.when(own == 0, F.col("n1")).when(own == 1, F.col("n2")).otherwise(F.col("n3")))
-    den = F.when(has, F.regexp_extract("tail", inline, 3)).otherwise(F.when(own == 0, F.col("n2")).when(own == 1, F.col("n3")).otherwise(F.col("n1")))
-    return r.select("doc_id", "page_number", "line_no", "cod", F.trim(den).alias("denumire"), F.when(is_unit(um), unit_value(um)).otherwise("").alias("um"), parse_number(qty).alias("cantitate"), F.lit(True).alias("is_component"))
+        r = r.withColumn(f"s{k}", F.trim(F.coalesce(F.lead("content", k).over(w), F.lit(""))))
+    bare = lambda c: F.regexp_replace(c, r"\.+$", "")
+    marked = F.col("s0").rlike(MARKER)
+    resource = ~marked & F.col("s0").rlike(RESOURCE) & F.upper(bare(F.col("s1"))).isin(*TIMES)
+    r = r.filter(marked | resource).withColumn("cod", F.when(marked, _block_code(F.col("s1"))).otherwise(F.upper(F.regexp_extract("s0", RESOURCE, 1)))).filter("cod <> ''")
+    r = r.withColumn("rest", F.when(marked, F.array("s2", "s3", "s4")).otherwise(F.array("s1", "s2", "s3")))
+    unit = bare(F.col("rest")[0])
+    r = r.withColumn("um", F.when(unit.rlike(UNIT), unit).otherwise("")).withColumn("rest", F.when(F.col("um") != "", F.slice("rest", 2, 2)).otherwise(F.slice("rest", 1, 2)))
+    r = r.withColumn("denumire", F.when(F.col("rest")[0].rlike(QUANTITY), F.col("rest")[1]).otherwise(F.col("rest")[0]))
+    one = r.groupBy("doc_id", "page_number", "cod").agg(F.min_by(F.struct("line_no", "denumire", "um"), "line_no").alias("x"))
+    return one.select("doc_id", "page_number", "x.line_no", "cod", plain_description(F.col("x.denumire")).alias("denumire"), "x.um", F.lit(0.0).alias("cantitate"), F.lit(True).alias("is_component"))
 
 
 def inherit(items: DataFrame, order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
@@ -42,12 +60,31 @@ def hierarchy(items: DataFrame, order: str = "seq") -> DataFrame:
     return j.groupBy("cod", order).agg(F.transform(F.array_sort(F.collect_list("__c")), lambda x: x["__c"]).alias("components"))
 
 
+def _codes_in(rows: DataFrame, told: Column, fmt: str) -> DataFrame:
+    """rows with `code`, a row for each component code of a format in a text, in upper case."""
+    return rows.withColumn("code", F.explode(F.transform(format_codes(told, fmt), lambda x: F.upper(F.trim(x))))).filter("code <> ''")
+
+
 def anomalies(ref: DataFrame, offer: DataFrame, fmt: str = "PREFIXED", confidence: float = 1.0) -> DataFrame:
-    """cod and seq of component codes in the offer's descriptions that the reference's do not have; nothing below a confidence of 0.7 or without reference codes."""
-    codes = lambda df: df.withColumn("code", F.explode(component_codes("denumire")))
-    r = codes(ref).select("code").distinct()
-    found = codes(offer).join(r, "code", "left_anti").select("code", "seq").distinct().withColumn("tip", F.lit("SUBCOMP_EXTRA"))
-    return found.filter(F.lit(fmt != "UNKNOWN" and confidence >= 0.7)).join(F.broadcast(r.limit(1).select(F.lit(1).alias("__any"))), F.lit(True), "left_semi")
+    """deviz, cod, code, seq and tip of the component codes, of one format, in an offer's section names and descriptions that no section name of the reference has.
+
+    Nothing below a confidence of 0.7, in an unknown format, or where the reference has no such code at all. A code that an
+    item names twice is two rows.
+    """
+    r = _codes_in(ref, text("deviz_denumire"), fmt).select("code").distinct()
+    found = _codes_in(offer, F.concat_ws(" ", text("deviz_denumire"), text("denumire")), fmt).join(r, "code", "left_anti").select("deviz", "cod", "code", "seq").withColumn("tip", F.lit("SUBCOMP_EXTRA"))
+    return found.filter(F.lit(fmt in FORMATS and confidence >= 0.7)).join(F.broadcast(r.limit(1).select(F.lit(1).alias("__any"))), F.lit(True), "left_semi")
+
+
+def anomaly_rows(found: DataFrame) -> DataFrame:
+    """anomalies() as discrepancies. The texts are fixed values."""
+    code = F.col("code")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return found.select(
+        "tip", F.col("seq").alias("of_seq"), F.col("deviz").alias("ref_deviz"), F.lit("Subcomponent anomaly").alias("deviz_denumire"), F.lit(True).alias("is_component"), say("SUBCOMP:", code).alias("ref_cod"), say("Unknown subcomponent code ", code).alias("ref_denumire"),
+        F.lit("").alias("ref_um"), F.lit(0.0).alias("ref_cantitate"), F.col("cod").alias("oferta_cod"), say("Subcomponent code ", code).alias("oferta_denumire"), F.lit("").alias("oferta_um"), F.lit(0.0).alias("oferta_cantitate"),
+        say("Articol ", F.col("cod"), ": contains subcomponent code ", code, " not found in reference").alias("motiv"),
+    )
 
 
 def component_index(ref: DataFrame) -> DataFrame:

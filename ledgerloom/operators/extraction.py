@@ -40,14 +40,19 @@ def matched_sections(classes: DataFrame, reference: DataFrame) -> DataFrame:
     """q and deviz: the reference's section for each text of a partial key. One exact name wins; several are told apart by the codes of the text's pages; else the best score, then the least section."""
     part = classes.filter("extraction_method = 'partial'")
     named = lambda c: F.when(text(c) != "", F.col(c))
-    q = part.select(F.coalesce(named("section.category.text"), named("section.object.text")).alias("q"), "full").filter("q is not null")
-    found = sections.lookup_text(q.select("q").distinct(), sections.names(reference))
+    texts = part.select(named("section.category.text").alias("category"), named("section.object.text").alias("object"), "full")
+    found = sections.lookup_text(texts.select(F.explode(F.array_compact(F.array("category", "object"))).alias("q")).distinct(), sections.names(reference))
+    # the category's text, or the object's where there is none or it finds nothing
+    known = found.select(F.col("q").alias("category"), F.lit(True).alias("__known")).distinct()
+    q = texts.join(known, "category", "left").select(F.when(F.col("__known"), F.col("category")).otherwise(F.coalesce("object", "category")).alias("q"), F.coalesce("category", "object").alias("as"), "full").filter("q is not null")
+    asked = q.select("q", "as").distinct()
     exact = found.filter("kind = 'exact'")
     n = exact.groupBy("q").agg(F.count("*").alias("n"), F.min("deviz").alias("deviz"))
     codes = q.select("q", F.explode(text_codes("full")).alias("code")).distinct()
     told = sections.disambiguate(exact.join(n.filter("n > 1").select("q"), "q", "left_semi"), codes, reference)
     best = found.groupBy("q").agg(F.min_by("deviz", F.struct((-F.col("score")).alias("s"), "deviz")).alias("deviz")).join(n.select("q"), "q", "left_anti")
-    return n.filter("n = 1").select("q", "deviz").unionByName(told).unionByName(best)
+    every = n.filter("n = 1").select("q", "deviz").unionByName(told).unionByName(best)
+    return asked.join(every, "q").groupBy(F.col("as").alias("q")).agg(F.min("deviz").alias("deviz"))
 
 
 def classified(docs: DataFrame, reference: DataFrame | None = None, provider: providers.Provider | None = None) -> DataFrame:
@@ -102,7 +107,7 @@ def _numbered(items: DataFrame, *order: str | Column) -> DataFrame:
     return items.withColumn("seq", (F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1).cast("long"))
 
 
-def items_of(classes: DataFrame, persist=staged) -> DataFrame:
+def items_of(classes: DataFrame, persist=staged, site: tuple[str, ...] = parser.SITE) -> DataFrame:
     """ITEM of pages: second fill, one parse a section over all its pages, component blocks a page, first of each (code, section, quantity), inheritance, units.
 
     Sections come in the order of their first pages; seq counts the items of a document.
@@ -110,7 +115,7 @@ def items_of(classes: DataFrame, persist=staged) -> DataFrame:
     p = pages.inherit_sections(classes).filter(F.col("is_f3") & (text("deviz_cod") != "")).withColumn("deviz", normalize_section("deviz_cod"))
     s = p.groupBy("doc_id", "deviz").agg(F.min("page_number").alias("first"), F.coalesce(F.min_by("deviz_den", F.when(text("deviz_den") != "", F.col("page_number"))), F.lit("")).alias("deviz_denumire"))
     ln = persist(p.select("doc_id", "deviz", "page_number", F.posexplode("lines").alias("line_no", "content")).join(s, ["doc_id", "deviz"]), "section-lines")
-    parsed = parser.parse(ln.drop("first")).withColumns({"is_component": F.lit(False), "denumire": plain_description("denumire"), "part": F.lit(0), "page_number": F.lit(0), "line_no": F.col("seq")})
+    parsed = parser.parse(ln.drop("first"), site).withColumns({"is_component": F.lit(False), "denumire": plain_description("denumire"), "part": F.lit(0), "page_number": F.lit(0), "line_no": F.col("seq")})
     blocks = components.blocks(ln).join(ln.select(F.col("doc_id"), "page_number", "deviz", "deviz_denumire").distinct(), ["doc_id", "page_number"])
     blocks = blocks.withColumns({"part": F.lit(1), "parent_code": F.lit(None).cast("string")} | {c: F.lit(0.0) for c in parser.PRICES})
     cols = [c for c in ITEM if c != "seq"] + ["part", "page_number", "line_no"]
@@ -134,10 +139,10 @@ def section_length(items: DataFrame, least: int = 2, most: int = 20) -> DataFram
     return items.filter((n >= least) & (n <= most))
 
 
-def extract(docs: DataFrame, reference: DataFrame | None = None, provider: providers.Provider | None = None, persist=staged) -> DataFrame:
-    """ITEM of OCR documents, from pages and tables."""
+def extract(docs: DataFrame, reference: DataFrame | None = None, provider: providers.Provider | None = None, persist=staged, site: tuple[str, ...] = parser.SITE) -> DataFrame:
+    """ITEM of OCR documents, from pages and tables. `site` are the names and project numbers whose lines belong to no item."""
     classes = persist(rescued(classified(docs, reference, provider), provider), "pages")
-    items = dedup.dedup_items(items_of(classes, persist), ["seq"], ("doc_id",))
+    items = dedup.dedup_items(items_of(classes, persist, site), ["seq"], ("doc_id",))
     both = persist(with_tables(items, docs), "items")
     return section_length(dedup.drop_code_suffixes(both, scope=("doc_id",)))
 
@@ -197,9 +202,9 @@ def sliced(texts: DataFrame) -> DataFrame:
     return ln.select("doc_id", "line_no", "content", deviz.alias("deviz"), F.coalesce("__d", F.lit("Document")).alias("deviz_denumire"))
 
 
-def extract_text(texts: DataFrame, persist=staged) -> DataFrame:
+def extract_text(texts: DataFrame, persist=staged, site: tuple[str, ...] = parser.SITE) -> DataFrame:
     """Items and components of running text by its sections."""
     ln = persist(sliced(texts).withColumn("page_number", F.lit(1)), "text-lines")
-    parsed = parser.parse(ln).select("doc_id", "deviz", "deviz_denumire", "cod", "denumire", "um", "cantitate", "is_component", F.col("seq").alias("line_no"))
+    parsed = parser.parse(ln, site).select("doc_id", "deviz", "deviz_denumire", "cod", "denumire", "um", "cantitate", "is_component", F.col("seq").alias("line_no"))
     blocks = components.blocks(ln).join(ln.select("doc_id", "line_no", "deviz", "deviz_denumire"), ["doc_id", "line_no"])
     return parsed.unionByName(blocks.select(*parsed.columns))

@@ -48,12 +48,14 @@ def is_artefact(quantity: str = "cantitate", unit: str = "um") -> Column:
     return (F.coalesce(F.col(quantity), F.lit(0.0)) == 0) & ((u == "") | (u == F.upper(u)))
 
 
-def prepare(items: DataFrame, reference: bool) -> DataFrame:
-    """Rows with a code, no artefacts, no components on the reference's side, one of each (section, code, unit, quantity), with join keys."""
+def prepare(items: DataFrame, reference: bool, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with a code, no artefacts, no components on the reference's side, one of each (section, code, unit, quantity), with join keys. `scope` columns, such as the offer's number, are part of a section."""
     rows = items.filter((text("cod") != "") & ~is_artefact())
     if reference:
         rows = rows.filter(~F.coalesce("is_component", F.lit(False)))
-    return dedup_items(rows, ["seq"]).withColumns({"section": section_key("deviz", "deviz_denumire"), "code": clean_code("cod"), "norm": normalize_code("cod"), "unit": compare_unit("um"), "qty": F.coalesce("cantitate", F.lit(0.0))})
+    section = section_key("deviz", "deviz_denumire")
+    section = F.concat_ws("\t", *[F.col(c).cast("string") for c in scope], section) if scope else section
+    return dedup_items(rows, ["seq"], scope).withColumns({"section": section, "code": clean_code("cod"), "norm": normalize_code("cod"), "unit": compare_unit("um"), "qty": F.coalesce("cantitate", F.lit(0.0))})
 
 
 def rest(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -217,11 +219,11 @@ def surplus_pairs(ref: DataFrame, offer: DataFrame, persist=staged) -> DataFrame
     return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), F.lit(1.0).alias("score"), F.lit(True).alias("sure")).distinct(), "surplus", persist)
 
 
-def cross_section_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
+def cross_section_pairs(ref: DataFrame, offer: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Code, quantity and unit are equal, sections are not. The first offer row of a key serves any number of reference rows."""
-    w = Window.partitionBy("code", "qty", "unit").orderBy("seq")
-    first = offer.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("code", "qty", "unit", F.col("seq").alias("of_seq"))
-    return ref.join(first, ["code", "qty", "unit"]).select(F.col("seq").alias("ref_seq"), "of_seq", F.lit("cross_section").alias("layer"), F.lit(1.0).alias("score"))
+    key = [*scope, "code", "qty", "unit"]
+    first = offer.groupBy(*key).agg(F.min("seq").alias("of_seq"))
+    return ref.join(first, key).select(F.col("seq").alias("ref_seq"), "of_seq", F.lit("cross_section").alias("layer"), F.lit(1.0).alias("score"))
 
 
 def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4, persist=staged) -> DataFrame:
@@ -247,11 +249,11 @@ def interval_pairs(ref: DataFrame, offer: DataFrame, least_text: float = 0.4, pe
     return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), "score", F.lit(True).alias("sure")), "interval", persist)
 
 
-def lenient_dollar(extra: DataFrame, ref_all: DataFrame) -> DataFrame:
+def lenient_dollar(extra: DataFrame, ref_all: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Surplus `$` rows whose code and section a reference row without a unit has: they differ by unit only."""
-    w = Window.partitionBy("cod", "deviz").orderBy("seq")
-    first = ref_all.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("cod", "deviz", F.col("seq").alias("ref_seq"), F.col("um").alias("ref_um"))
-    hit = extra.filter(F.col("cod").startswith("$")).join(first, ["cod", "deviz"])
+    key = [*scope, "cod", "deviz"]
+    first = ref_all.filter(F.col("cod").startswith("$")).groupBy(*key).agg(F.min_by(F.struct(F.col("seq").alias("ref_seq"), F.col("um").alias("ref_um")), "seq").alias("f")).select(*key, "f.*")
+    hit = extra.filter(F.col("cod").startswith("$")).join(first, key)
     return hit.filter((text("ref_um") == "") & (text("um") != "")).select("ref_seq", F.col("seq").alias("of_seq"), F.lit("lenient").alias("layer"), F.lit(1.0).alias("score"))
 
 
@@ -261,22 +263,22 @@ def with_sides(pairs: DataFrame, ref: DataFrame, offer: DataFrame) -> DataFrame:
     return pairs.join(side(ref, "ref_", "ref_seq"), "ref_seq").join(side(offer, "oferta_", "of_seq"), "of_seq")
 
 
-def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False, mode: str = "strict", fuzzy: bool = True, suppress: bool = True, persist=staged, provider=None) -> tuple[DataFrame, DataFrame]:
+def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False, mode: str = "strict", fuzzy: bool = True, suppress: bool = True, persist=staged, provider=None, scope: tuple[str, ...] = (), offers: int = 1) -> tuple[DataFrame, DataFrame]:
     """Matches (ref_seq, of_seq, layer, score) and discrepancies of one offer against the reference, through all layers.
 
     Both sides have FIELDS and `seq` as long. `persist` keeps a layer's result for the next: a table in the shared folder,
     so that plans stay small and lost executors cost no more than their tasks. A provider is asked last, about what no
-    layer matched and whose codes are alike.
+    layer matched and whose codes are alike. With `scope` columns, rows meet only within them; reconcile_many() uses it.
     """
     ship(ref_items.sparkSession)
     ref_items = persist(whole(ref_items), "ref-items")
-    ref, offer = persist(prepare(ref_items, True), "ref"), persist(prepare(whole(offer_items), False), "offer")
+    ref, offer = persist(prepare(ref_items, True, scope), "ref"), persist(prepare(whole(offer_items), False, scope), "offer")
     layers = [exact_pairs, normalized_pairs, variant_pairs, lambda r, o: surplus_pairs(r, o, persist)]
     late = [lambda r, o: similar_pairs(r, o, persist=persist), lambda r, o: interval_pairs(r, o, persist=persist)] if fuzzy else []
     if provider is not None:
         late.append(lambda r, o: provided_pairs(r, o, provider, persist=persist))
     r, o, found = ref, offer, []
-    for f in [*layers, cross_section_pairs, *late]:
+    for f in [*layers, lambda r, o: cross_section_pairs(r, o, scope), *late]:
         p = persist(f(r, o), "pairs")
         r, o = rest(r, p, "ref_seq"), rest(o, p.select("of_seq").distinct(), "of_seq")
         found.append(p)
@@ -285,17 +287,38 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
         pairs = pairs.unionByName(p)
     o = persist(o, "offer-rest")
     if fuzzy and suppress:
-        gone = persist(suppressed_extras(o, ref, persist=persist), "suppressed")
+        gone = suppressed_extras(o, ref, persist=persist)
+        gone = persist(gone.withColumn("ref_seq", F.col("ref_seq") - F.pmod("ref_seq", F.lit(offers)) + F.pmod("of_seq", F.lit(offers))), "suppressed")
         pairs = pairs.unionByName(gone.select("ref_seq", "of_seq", F.lit("suppressed").alias("layer"), "score"))
         o = rest(o, gone, "of_seq")
     components = ref_items.filter(F.coalesce("is_component", F.lit(False))).select(normalize_code("cod").alias("norm")).distinct()
     o = o.join(components, "norm", "left_anti")
-    dollar = lenient_dollar(o, ref_items)
+    dollar = lenient_dollar(o, ref_items, scope)
     pairs = persist(pairs.unionByName(dollar), "pairs")
     o = o.join(pairs.filter("layer = 'lenient'").select(F.col("of_seq").alias("seq")), "seq", "left_anti")
     return pairs, discrepancies(pairs, ref_items, offer, r, o, prices, mode)
 
 
+def reconcile_many(ref_items: DataFrame, offer_items: DataFrame, persist=staged, **options) -> tuple[DataFrame, DataFrame]:
+    """Pairs and discrepancies, with offer_nr, of all offers (offer_items with offer_nr) against one reference, in one plan: what reconcile() gives for each.
+
+    The number of jobs does not depend on the number of offers. Every offer meets a reference of its own, whose ordinals
+    are numbered so that ties fall as for one offer alone; ordinals times offers must fit in 63 bits.
+    """
+    numbers = sorted(r.offer_nr for r in offer_items.select("offer_nr").distinct().collect())  # a number an offer
+    n = max(1, len(numbers))
+    most = max((x.agg(F.max("seq")).first()[0] or 0) for x in (ref_items, offer_items))
+    if most * n >= 1 << 62:
+        raise ValueError("renumber the items: ordinals times offers must fit in 63 bits")
+    rank = F.array_position(F.array(*[F.lit(x) for x in numbers]) if numbers else F.array(F.lit(0)), F.col("offer_nr")) - 1
+    numbered = lambda rows: rows.withColumn("seq", F.col("seq") * n + rank)
+    every = ref_items.withColumn("offer_nr", F.explode(F.array(*[F.lit(x) for x in numbers]) if numbers else F.array().cast("array<int>")))
+    pairs, rows = reconcile(numbered(every), numbered(offer_items), persist=persist, scope=("offer_nr",), offers=n, **options)
+    nr = F.element_at(F.array(*[F.lit(x) for x in numbers]) if numbers else F.array(F.lit(0)), (F.pmod(F.coalesce("ref_seq", "of_seq"), F.lit(n)) + 1).cast("int"))
+    back = lambda x: x.withColumn("offer_nr", nr).withColumns({c: F.expr(f"{c} div {n}") for c in ("ref_seq", "of_seq")})
+    return back(pairs), back(rows)
+
+
 def discrepancies(pairs: DataFrame, ref_items: DataFrame, offer_items: DataFrame, missing: DataFrame, surplus: DataFrame, prices: bool = False, mode: str = "strict") -> DataFrame:
     """What is wrong with matched pairs, and the items that one side has alone: CONTEXT, tip, camp, ref, oferta, calculat, declarat.
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalize_section, text
-from ..functions.texts import ITEM_CODE, has_item_codes
-from ..functions.units import is_unit
+from ..functions.texts import has_item_codes
 
 # What marks a page as no item page, and as one.
 REJECT = (r"(?i)FORMULAR\s+(?!F3\b)[CF][0-9]", r"(?i)CENTRALIZATORUL\s+cheltuielilor", r"(?i)LISTA\s+cuprinzand\s+consumurile", r"(?i)Formularul\s+nr\.")
@@ -150,23 +149,60 @@ def neighbour_sections(pages: DataFrame, key: str = "doc_id", order: str = "page
     return out.withColumn("inferred", F.coalesce(*near)).drop("__h")
 
 
+# Fixed values of the second look at pages: item codes, a section's mark in a heading, sure signs of items, signs of summaries, units, quantities.
+SCORED_CODE = r"\b[A-Z]{2,5}\d{1,4}[A-Z]?\d{0,2}[A-Z]?\b|\b\d{5,8}\s*[-–]"
+SECTION_PAGE = r"(?i)\b([A-Z0-9]{5,8})\s+pag\b"
+SURE = r"(?is)SECTIUNEA\s+TEHNICA.*SECTIUNEA\s+FINANCIARA|Capitol\s+de\s+lucrari.*U\.?M\.?.*Cantitate"
+LETTER_CODE = r"\b[A-Z]{2,5}\d{1,4}[A-Z]?\d{0,2}[A-Z]?\b"
+SUMMED = (
+    r"(?i)Total\s+cheltuieli\s+directe|TOTAL\s+GENERAL\s+DEVIZ|Cheltuieli\s+indirecte|Centralizatorul\s+cheltuielilor|LISTA\s+cuprinzand\s+consumurile|Recapitulatia\s+lucrarilor|consum\s+de\s+manopera|consum\s+de\s+materiale|consum\s+de\s+utilaje|"
+    r"Lista\s+consumurilor\s+de\s+resurse|CONSUMURI\s+DE\s+RESURSE|Detaliere\s+transporturi|Nr\.\s+crt\.\s+Denumirea\s+resurselor"
+)
+SCORED_UNITS = ("MP", "MC", "BUC", "KG", "TONA", "ML", "M", "KM", "L", "ORE", "ORA", "ZI", "ZILE", "LEI", "RON")
+SCORED_QUANTITY = r"^\d{1,10}[.,]\d{1,6}$|^\d{1,10}[.,]\d{3}[.,]\d{1,3}$"
+#: How section codes of one customer begin; they count as a section's mark without the word that follows others.
+SITES = ("226",)
+
+
 def content_scores(rows: DataFrame) -> DataFrame:
-    """doc_id, page_number and score: lines with an item code that have a unit or a decimal quantity two lines before to four after."""
+    """doc_id, page_number and score: lines with an item code that have a unit or a quantity two lines before to four after."""
     w = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(-2, 4)
-    code = F.col("content").rlike(ITEM_CODE)
-    proof = ~code & (is_unit("content") | F.trim("content").rlike(r"^\d{1,10}[.,]\d{1,6}$"))
+    line = F.trim("content")
+    code = F.rlike(line, F.lit(SCORED_CODE))
+    proof = ~code & (F.upper(F.regexp_replace(line, r"[.\s]+", "")).isin(*SCORED_UNITS) | F.rlike(line, F.lit(SCORED_QUANTITY)))
     s = rows.withColumn("c", code).withColumn("e", F.max(proof.cast("int")).over(w))
     return s.groupBy("doc_id", "page_number").agg(F.count_if(F.col("c") & (F.col("e") == 1)).alias("score"))
 
 
-def rescue_candidates(pages: DataFrame, scores: DataFrame) -> DataFrame:
-    """Pages of no items to look at again, with the section they would have: a sure mark, or codes without summary, an explicit section in the first ten lines, and a score."""
-    p = neighbour_sections(pages).join(scores, ["doc_id", "page_number"], "left").filter("label = 'NON_F3'")
-    head = F.concat_ws(" ", F.slice("lines", 1, 10))
-    own = F.upper(F.regexp_extract(head, EXPLICIT, 1))
-    sure = F.rlike(F.col("full"), F.lit(FORM)) & has_item_codes("full")
-    likely = has_item_codes("full") & ~F.rlike(F.col("full"), F.lit(SUMMARY)) & (own != "") & (F.coalesce("score", F.lit(0)) >= 1)
-    return p.filter(sure | likely).withColumn("candidate", F.coalesce(F.nullif(own, F.lit("")), "inferred"))
+def rescue_candidates(pages: DataFrame, scores: DataFrame, reach: int = 4, sites: tuple[str, ...] = SITES) -> DataFrame:
+    """Pages that are no item pages but look like one, with the section they would have in `candidate` (empty where nothing tells).
+
+    A page with a sure sign takes the section marked in its first ten lines, else that of the nearest item page up to four
+    pages away (the one before first at equal distance), else one marked anywhere on it; a page with codes, no sign of a
+    summary, a section marked in its first ten lines and a score takes that one. Pages are gone through in order, and those
+    taken count as item pages for the pages behind them: a fold over a document's pages.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page_number")
+    p = pages if "is_f3" in pages.columns else pages.withColumn("is_f3", F.col("label") == "F3")
+    p = p.join(scores, ["doc_id", "page_number"], "left")
+    whole, early = F.concat_ws("\n", "lines"), F.concat_ws("\n", F.slice("lines", 1, 10))
+    at_site = rf"(?i)\b((?:{'|'.join(sites)})[A-Z0-9]{{3}})\b" if sites else r"(\b\B)"
+    mark = lambda c, pattern: F.nullif(F.upper(F.regexp_extract(c, pattern, 1)), F.lit(""))
+    own = F.coalesce(mark(early, SECTION_PAGE), mark(early, at_site))
+    sure = F.rlike(whole, F.lit(SURE)) | (F.rlike(whole, F.lit("(?i)" + COMPONENT)) & F.rlike(whole, F.lit(LETTER_CODE)))
+    likely = F.rlike("full", F.lit(SCORED_CODE)) & ~F.rlike("full", F.lit(SUMMED)) & own.isNotNull() & (F.coalesce("score", F.lit(0)) >= 1)
+    kind = F.when(F.col("is_f3"), 0).when(F.size("lines") == 0, 3).when(sure, 1).when(likely, 2).otherwise(3)
+    p = p.withColumns({"__kind": kind, "__own": own, "__any": mark(whole, at_site)}).withColumn("__code", F.when((F.col("__kind") == 0) & (text("deviz_cod") != ""), F.col("deviz_cod")))
+    p = p.withColumn("__after", F.array(*[F.lead("__code", k).over(w) for k in range(1, reach + 1)]))
+    rows = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.col("__kind").alias("kind"), F.col("__own").alias("own"), F.col("__any").alias("any"), F.col("__code").alias("code"), F.col("__after").alias("after")))).alias("rows"))
+
+    def step(seen, x):
+        near = [c for k in range(1, reach + 1) for c in (F.when(F.size(seen) >= k, F.nullif(F.try_element_at(seen, F.lit(-k)), F.lit(""))), x["after"][k - 1])]
+        found = F.when(x["kind"] == 0, x["code"]).when(x["kind"] == 1, F.coalesce(x["own"], *near, x["any"])).when(x["kind"] == 2, x["own"])
+        return F.concat(seen, F.array(F.coalesce(found, F.lit(""))))
+
+    told = rows.select("doc_id", F.explode(F.arrays_zip(F.col("rows.page_number").alias("page_number"), F.aggregate("rows", F.array().cast("array<string>"), step).alias("candidate"))).alias("x")).select("doc_id", "x.*")
+    return p.filter("__kind in (1, 2)").drop("__kind", "__own", "__any", "__code", "__after").join(told, ["doc_id", "page_number"])
 
 
 def with_context(rows: DataFrame, before: int = 8, after: int = 8, keys: tuple[str, ...] = ("doc_id", "page_number"), order: str = "line_no") -> DataFrame:
@@ -175,14 +211,22 @@ def with_context(rows: DataFrame, before: int = 8, after: int = 8, keys: tuple[s
     return rows.withColumn("context", F.collect_list("content").over(w))
 
 
+# Labels of a bidder's name, and what ends a name on lines of its own.
+BIDDER_LINE, BIDDER, JOINT = r"(?i)^OFERTANT\s*[,.]?\s*$", r"(?i)^Ofertant\s*:\s*(.+)", r"(?i)(?:denumirea\s+)?Asociere\s*:\s*(.+)"
+NAME_ENDS = r"(?i)^(Director|Semnatura|Nume|Data\b)"
+
+
 def bidder_names(rows: DataFrame, pages: int = 10) -> DataFrame:
-    """doc_id and bidder of a document's first pages: a line after a label, the rest of the label's line, or what follows `Asociere:`; the first hit in order."""
-    w = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
-    r = rows.filter(F.col("page_number") <= pages)
-    label, stop = r"(?i)^\s*(?:ofertant|operator economic|denumirea ofertantului)\s*:?\s*$", r"(?i)^\s*$|^\s*(?:adresa|sediul|telefon|data)\b"
-    nexts = [F.trim(F.coalesce(F.lead("content", k).over(w), F.lit(""))) for k in range(1, 5)]
-    r = r.withColumn("a", F.when(F.col("content").rlike(label), F.array(*nexts)))
-    r = r.withColumn("a", F.get(F.filter("a", lambda x: ~x.rlike(stop)), F.lit(0)))
-    r = r.withColumn("b", F.regexp_extract("content", r"(?i)^\s*(?:ofertant|operator economic)\s*:\s*(.{11,})$", 1)).withColumn("c", F.regexp_extract("content", r"(?i)Asociere\s*:\s*(.{9,})$", 1))
-    hits = r.withColumn("h", F.explode(F.filter(F.array(F.struct(F.lit(1).alias("rule"), F.col("a").alias("v")), F.struct(F.lit(2).alias("rule"), F.nullif("b", F.lit("")).alias("v")), F.struct(F.lit(3).alias("rule"), F.nullif("c", F.lit("")).alias("v"))), lambda x: x["v"].isNotNull())))
-    return hits.groupBy("doc_id").agg(F.min_by("h.v", F.struct("page_number", "line_no", "h.rule")).alias("bidder"))
+    """doc_id and bidder of a document's first ten pages, the first hit in the order of pages and lines.
+
+    Behind a line that is the label alone, up to four lines of the page until a blank one or one of a signature; else what
+    follows the label on its line (11 characters or more), or the label of an association (9 or more).
+    """
+    w = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
+    r = rows.withColumn("__p", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_number"))).filter(F.col("__p") <= pages).withColumn("s", F.trim("content"))
+    nexts = F.array(*[F.trim(F.coalesce(F.lead("content", k).over(w), F.lit(""))) for k in range(1, 5)])
+    r = r.withColumn("nexts", nexts).withColumn("end", F.array_position(F.transform("nexts", lambda x: (x == "") | x.rlike(NAME_ENDS)), True))
+    name = F.trim(F.regexp_replace(F.array_join(F.slice("nexts", F.lit(1), F.when(F.col("end") == 0, 4).otherwise(F.col("end") - 1).cast("int")), " "), r"\s+", " "))
+    told = lambda pattern, least: F.when(F.length(F.trim(F.regexp_extract("s", pattern, 1))) >= least, F.trim(F.regexp_extract("s", pattern, 1)))
+    r = r.withColumn("v", F.coalesce(F.when(F.col("s").rlike(BIDDER_LINE), F.nullif(name, F.lit(""))), told(BIDDER, 11), told(JOINT, 9)))
+    return r.filter("v is not null").groupBy("doc_id").agg(F.min_by("v", F.struct("page_number", "line_no")).alias("bidder"))

@@ -12,9 +12,11 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.units import KNOWN_UNITS, NOT_UNITS
 from ..session import ship
+from .runs import runs
 
 # The grammar of item codes, suffix marks included, and lines that never belong to an item.
 MARKS = r"(?:-\d+)?(?:[#>*@%^+]|\s?\[\d*\]|[\[\]]\d*)?(?:ASIM|TSCH)?-?"
@@ -47,13 +49,14 @@ SKIPPED = (
     r"Cheltuieli\s+directe", r"Total\s+cheltuieli", r"Cheltuieli\s+indirecte", r"Profit", r"TOTAL\s+GENERAL", r"TVA", r"contributie\s+asiguratorie",
     r"Formular\s+generat\s+cu\s+programul", r"Pagina\s+\d+\s+din\s+\d+", r"Deviz\s+[\"']?\d+(?:\.\d+)?[\"']?\s*[-–]?\s*Formular\s+F3", r"^\d+\s+pag", r"^pag\s", r"\bpag$",
     r"Lista\s+cu\s+cantitati", r"Categoria\s+de\s+lucrari", r"Persoana\s+juridica", r"Obiectul\s*:", r"^Deviz\s+oferta", r"^=\s*$", r"^NR\.\s+SIMBOL", r"^CANTITATE$", r"^PU\s", r"^GR\.\s+", r"^SPOR\s",
-    r"^(MATERIALE|MANOPERA|UTILAJ|TRANSPORT|GREUTATE|TOTAL|ARTICOL)$", r"^\d{4,8}$", r"Din\s+care:", r"Valoare\s+aferenta", r"PROIECTANT", r"ORIGEN\s+STUDIE", r"SIGN\s+", r"S\.\s+C\.\s+", r"Artisan", r"-\s+proiect", r"424",
-    r"STE[\-\s]", r"TARGO", r"DAMBO", r"\d{3}-?rev[/\s]+\d{4}", r"[A-Z\s]*S\.R\.L\.", r"[A-Z]{2,}\s+SRL", r"(?:proiect|project)\s+(?:initial|inițial|integral|actualizat|updated)", r"-\s+(?:proiect|project)", r"(?:design|studio|solutions?)(?:\s+|\.)*s\.?r\.?l\.?",
+    r"^(MATERIALE|MANOPERA|UTILAJ|TRANSPORT|GREUTATE|TOTAL|ARTICOL)$", r"^\d{4,8}$", r"Din\s+care:", r"Valoare\s+aferenta", r"PROIECTANT", r"ORIGEN\s+STUDIE", r"SIGN\s+", r"S\.\s+C\.\s+", r"-\s+proiect",
+    r"STE[\-\s]", r"\d{3}-?rev[/\s]+\d{4}", r"(?:proiect|project)\s+(?:initial|inițial|integral|actualizat|updated)", r"-\s+(?:proiect|project)",
 )
-SKIP = re.compile("|".join(SKIPPED), I)
-#: The alternatives that look for company names try many beginnings in a line; they are tried only where their words stand.
-COMPANY = ("s.r.l", "srl", "s.rl", "sr.l")
-PLAIN_SKIP = re.compile("|".join(x for x in SKIPPED if "R\\.L" not in x and "SRL" not in x and "r\\.?l" not in x), I)
+#: Company names (fixed values). They try many beginnings in a line, so they are tried only where one of these words stands.
+COMPANIES = (r"[A-Z\s]*S\.R\.L\.", r"[A-Z]{2,}\s+SRL", r"(?:design|studio|solutions?)(?:\s+|\.)*s\.?r\.?l\.?")
+COMPANY_WORDS = ("s.r.l", "srl", "s.rl", "sr.l")
+#: Names and project numbers of one customer (fixed values): a line that holds one belongs to no item. Other customers pass their own to parse().
+SITE = ("Artisan", "424", "TARGO", "DAMBO")
 #: Where an item of this section's number ends: its page's footer.
 SECTION_FOOTER = re.compile(r"deviz\s+['\"]?\d{5,8}['\"]?\s*[-–]?\s*formular\s+f3", I)
 FOOTER = re.compile(r"^pag|formular\s+f3|e\s+devize", I)
@@ -61,10 +64,19 @@ PRICES = tuple(f"{a}_{b}" for b in ("material", "manopera", "utilaj", "transport
 COLUMNS = "doc_id string, seq long, cod string, denumire string, um string, cantitate double, deviz string, deviz_denumire string, is_component boolean, parent_code string, subcomponents array<string>, " + ", ".join(f"{p} double" for p in PRICES)
 
 
+@lru_cache(maxsize=8)
+def _skips(site: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    """What skips a line, and that with company names."""
+    plain = (*SKIPPED, *map(re.escape, site))
+    return re.compile("|".join(plain), I), re.compile("|".join((*plain, *COMPANIES)), I)
+
+
 @lru_cache(maxsize=1 << 16)
-def skipped(line: str) -> bool:
+def skipped(line: str, site: tuple[str, ...] = SITE) -> bool:
+    """Whether a line belongs to no item."""
+    plain, every = _skips(site)
     low = line.lower()
-    return bool((SKIP if any(w in low for w in COMPANY) else PLAIN_SKIP).search(line))
+    return bool((every if any(w in low for w in COMPANY_WORDS) else plain).search(line))
 
 
 def number(s: str) -> float:
@@ -109,7 +121,8 @@ class Item:
 class Machine:
     """The state: idle, waiting for a code after a row number, or reading an item."""
 
-    def __init__(self):
+    def __init__(self, site: tuple[str, ...] = SITE):
+        self.site = site
         self.out: list[dict] = []
         self.item: Item | None = None
         self.waiting = 0
@@ -278,7 +291,7 @@ def _decimal_after(m: Machine, line: str) -> bool:
 
 RULES = [
     ("read", lambda m, s: LABEL.match(s), lambda m, s: None),
-    ("idle wait read", lambda m, s: not s or (skipped(s) and not (m.state == "wait" and m.linked and BARE_NUMBER.match(s))) or LABEL.match(s), lambda m, s: None),
+    ("idle wait read", lambda m, s: not s or (skipped(s, m.site) and not (m.state == "wait" and m.linked and BARE_NUMBER.match(s))) or LABEL.match(s), lambda m, s: None),
     ("idle wait read", lambda m, s: LINKED.match(s), _linked),
     ("idle wait read", lambda m, s: LINK.match(s) and not (m.item and not m.item.um), lambda m, s: _linked(m, ".L")),
     ("idle wait read", lambda m, s: PREFIXED.match(s), _prefixed),
@@ -317,34 +330,48 @@ RULES = [
 RULES = [(frozenset(states.split()), test, act) for states, test, act in RULES]
 
 
-def merged(lines: list[str]) -> list[str]:
-    """Joins what OCR tore: a counter, a code, a unit and a quantity before their text; a number and its unit; a code and its last digits."""
-    out, i, n = [], 0, len(lines)
-    coded = re.compile(rf"^(?:{CODE}){MARKS}$", I)
-    while i < n:
-        s = lines[i].strip()
-        if i + 3 < n and s.isdigit() and len(s) < 4 and coded.match(lines[i + 1].strip()) and unit(lines[i + 2].strip()) and DECIMAL.match(lines[i + 3].strip()):
-            j, text = i + 4, []
-            while j < n and lines[j].strip() and not (lines[j].strip().isdigit() or coded.match(lines[j].strip()) or LABEL.match(lines[j].strip()) or skipped(lines[j]) or NUMBER.match(lines[j].strip())):
-                text.append(lines[j].strip())
-                j += 1
-            if text:
-                out += [f"{s} {lines[i + 1].strip()} - {' '.join(text)}", lines[i + 2].strip(), lines[i + 3].strip()]
-                i = j
-                continue
-        if i + 1 < n and re.match(rf"^[A-Z]{{2,5}}\d{{1,2}}[A-Z]{{2,4}}{MARKS}$", s, I) and re.match(r"^\d{1,2}$", lines[i + 1].strip()):
-            out.append(s + lines[i + 1].strip())
+# What stands for a unit and a quantity in records that OCR scattered over lines, and what begins another item. A code stands alone there.
+LONE_CODE = re.compile(rf"^(?:{CODE}){MARKS}$", I)
+BEGINS = re.compile(r"^(?:[A-Z]{1,5}\d{1,4}|\$[A-Z0-9]{4,}|\d{4,9}(?!\d))", I)
+SCATTERED_UNIT, SCATTERED_QUANTITY, COUNTER = re.compile(r"^[A-Za-z\s.]{1,19}$"), re.compile(r"^[\d.,]+$"), re.compile(r"^\d+$")
+
+
+def _scattered(lines: list[str], i: int, site: tuple[str, ...]) -> tuple[list[str], int] | None:
+    """The lines that a record scattered from line i on becomes, and where it ends; None where none begins: a counter, a code, a unit, a quantity, then text up to what begins another item or belongs to none."""
+    if i + 3 >= len(lines) or not (COUNTER.match(lines[i]) and LONE_CODE.match(lines[i + 1]) and SCATTERED_UNIT.match(lines[i + 2]) and SCATTERED_QUANTITY.match(lines[i + 3])):
+        return None
+    j = i + 4
+    while j < len(lines) and not (COUNTER.match(lines[j]) or BEGINS.match(lines[j]) or LABEL.match(lines[j]) or (lines[j] and skipped(lines[j], site))):
+        j += 1
+    told = " ".join(x for x in lines[i + 4 : j] if x)
+    return ([f"{lines[i]} {lines[i + 1]} - {told}", lines[i + 2], lines[i + 3]], j) if told else None
+
+
+def merged(lines: list[str], site: tuple[str, ...] = SITE) -> list[str]:
+    """Joins what OCR tore: a record scattered over lines, a code and its last digits, a number of up to four digits and the unit behind it."""
+    lines, out, i = [s.strip() for s in lines], [], 0
+    while i < len(lines):
+        s, after = lines[i], lines[i + 1] if i + 1 < len(lines) else ""
+        found = _scattered(lines, i, site)
+        if found:
+            out += found[0]
+            i = found[1]
+        elif re.match(rf"^[A-Z]{{2,5}}\d{{1,2}}[A-Z]{{2,4}}{MARKS}$", s, I) and re.match(r"^\d{1,2}$", after):
+            out.append(s + after)
             i += 2
-            continue
-        out.append(s)
-        i += 1
+        elif re.match(r"^\d{1,4}$", s) and re.match(r"^[A-Za-z]{1,6}\.?$", after) and after.rstrip(".").upper() in KNOWN_UNITS and after.rstrip(".").upper() != "KM":
+            out.append(f"{s} {after}")
+            i += 2
+        else:
+            out.append(s)
+            i += 1
     return out
 
 
-def parse_lines(lines: list[str]) -> list[dict]:
+def parse_lines(lines: list[str], site: tuple[str, ...] = SITE) -> list[dict]:
     """The items of one section's lines, in order."""
-    m = Machine()
-    every = merged(lines)
+    m = Machine(site)
+    every = merged(lines, site)
     for s, m.next in zip(every, [*every[1:], ""]):
         if LABEL.match(s) and m.item:
             m.flush()
@@ -369,15 +396,24 @@ def register(spark) -> None:
     spark.udtf.register("parse_lines", udtf(ParseLines, returnType="seq int, cod string, denumire string, um string, cantitate double, is_component boolean, parent_code string"))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Items of lines (doc_id, deviz, deviz_denumire, page_number, line_no, content), one group a document and section; seq counts within it."""
-    ship(lines.sparkSession)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["page_number", "line_no"])
-        rows = parse_lines(g["content"].fillna("").tolist())
-        head = {"doc_id": str(g["doc_id"].iloc[0]), "deviz": g["deviz"].iloc[0], "deviz_denumire": g["deviz_denumire"].iloc[0]}
-        names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
-        return pd.DataFrame([head | r | {"seq": i} for i, r in enumerate(rows)], columns=names)
+def parse(lines: DataFrame, site: tuple[str, ...] = SITE) -> DataFrame:
+    """Items of lines (doc_id, deviz, deviz_denumire, page_number, line_no, content); seq counts within a document's section.
 
-    return lines.groupBy("doc_id", "deviz").applyInPandas(run, COLUMNS)
+    Partitions come sorted, and a task holds the lines of one section. Lines that hold one of the `site` marks belong to no item.
+    """
+    ship(lines.sparkSession)
+    names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
+    key = ["doc_id", "deviz"]
+
+    def run(frames):
+        out: list[dict] = []
+        for g in runs(frames, key):
+            head = {"doc_id": g["doc_id"][0], "deviz": g["deviz"][0], "deviz_denumire": g["deviz_denumire"][0]}
+            out += [head | r | {"seq": i} for i, r in enumerate(parse_lines([x or "" for x in g["content"]], site))]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    rows = lines.select(F.col("doc_id").cast("string").alias("doc_id"), "deviz", "deviz_denumire", "page_number", "line_no", "content")
+    return rows.repartition(*key).sortWithinPartitions(*key, "page_number", "line_no").mapInPandas(run, COLUMNS)

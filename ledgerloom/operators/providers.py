@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
+import time
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -35,29 +40,110 @@ TASKS = {
     "fuzzy_items": "of_seq long, score double",
     "categories": "category string",
     "component_format": "format string",
-    "pattern": "name string",
     "extract_items": "items string",
 }
 
 
-def ask(rows: DataFrame, task: str, provider: Provider | None = None, batch: int = 50) -> DataFrame:
-    """rows with the provider's answers to a task, null where it has none. Batches of 50 rows a call; failures answer nothing."""
+class Ledger:
+    """Answers by the hash of what was asked, as files in a folder that all tasks share: a question is asked once.
+
+    A task claims a question before it asks. Another that meets the claim, such as a doubled task, waits for the answer;
+    a claim that was left for longer than `patience` seconds, as by a killed task, is taken over.
+    """
+
+    def __init__(self, folder: str, patience: float = 120.0):
+        self.folder, self.patience = folder.rstrip("/"), patience
+
+    @staticmethod
+    def key(task: str, rows: list[dict]) -> str:
+        return hashlib.sha256(json.dumps([task, rows], sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
+
+    def _place(self, name: str):
+        from pyarrow import fs
+
+        uri = f"{self.folder}/{name}"
+        return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith(("file:", "/")) else fs.FileSystem.from_uri(uri)
+
+    def get(self, key: str) -> list[dict] | None:
+        fs, path = self._place(key + ".json")
+        if not fs.get_file_info(path).is_file:
+            return None
+        with fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def put(self, key: str, answers: list[dict]) -> None:
+        fs, path = self._place(key + ".json")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        own = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(json.dumps(answers, ensure_ascii=False, default=str).encode())
+        fs.move(own, path)
+
+    def claim(self, key: str) -> bool:
+        """Whether this task may ask; exact on file systems that the workers see as local, else as exact as a look before the write."""
+        fs, path = self._place(key + ".claim")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        if fs.type_name == "local":
+            try:
+                os.close(os.open(path, os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                pass
+        elif not fs.get_file_info(path).is_file:
+            fs.open_output_stream(path).close()
+            return True
+        left = fs.get_file_info(path).mtime_ns
+        if left is not None and time.time() - left / 1e9 > self.patience:
+            fs.delete_file(path)
+            return self.claim(key)
+        return False
+
+    def release(self, key: str) -> None:
+        fs, path = self._place(key + ".claim")
+        fs.delete_file(path)
+
+
+def asked(who: Provider, task: str, rows: list[dict], ledger: Ledger | None) -> list[dict]:
+    """The provider's answers to a batch, none where it fails; from the ledger where it was asked before. Failures are not kept."""
+    key = ledger.key(task, rows) if ledger else ""
+    while ledger:
+        known = ledger.get(key)
+        if known is not None:
+            return known
+        if ledger.claim(key):
+            break
+        time.sleep(0.05)
+    try:
+        got = [dict(x) for x in who.answer(task, rows)]
+    except Exception:  # noqa: BLE001 - a provider's failure is no answer
+        if ledger:
+            ledger.release(key)
+        return []
+    if ledger:
+        ledger.put(key, got)
+    return got
+
+
+def ask(rows: DataFrame, task: str, provider: Provider | None = None, batch: int = 50, ledger: Ledger | None = None, calls: int = 8) -> DataFrame:
+    """rows with the provider's answers to a task, null where it has none. Batches of 50 rows a call; failures answer nothing.
+
+    A task has `calls` calls under way at a time. With a ledger, what a lost, retried or doubled task has been told is not
+    asked again; give the rows of a batch a stable order, as from a staged table, for then batches are equal too.
+    """
     ship(rows.sparkSession)
     answers = TASKS[task]
     names = [c.split(" ")[0] for c in answers.split(", ")]
     source, who = rows, provider or NullProvider()
+    ledger = ledger or getattr(who, "ledger", None)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", " + ", ".join(f"answer_{c}" for c in answers.split(", "))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for a in range(0, len(p), batch):
-                q = p.iloc[a : a + batch]
-                try:
-                    got = who.answer(task, q.to_dict("records"))
-                except Exception:  # noqa: BLE001 - a provider's failure is no answer
-                    got = []
-                got = [*got, *[{}] * (len(q) - len(got))][: len(q)]
-                yield q.assign(**{f"answer_{n}": [g.get(n) for g in got] for n in names})
+        with ThreadPoolExecutor(calls) as pool:
+            for p in parts:
+                batches = [p.iloc[a : a + batch] for a in range(0, len(p), batch)]
+                for q, got in zip(batches, pool.map(lambda q: asked(who, task, q.to_dict("records"), ledger), batches)):
+                    got = [*got, *[{}] * (len(q) - len(got))][: len(q)]
+                    yield q.assign(**{f"answer_{n}": [g.get(n) for g in got] for n in names})
 
     return source.mapInPandas(run, schema)
 

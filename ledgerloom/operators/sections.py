@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import clean_code, section_name_key, strip_section_prefix, text
-from ..functions.similarity import name_ratio, text_ratio, word_overlap
-from ..session import small
+from ..functions.codes import clean_code, section_name_key, section_prefix, strip_section_prefix, text
+from ..functions.similarity import word_overlap
+from .alike import best_names, names_in
 
 
 def names(items: DataFrame) -> DataFrame:
@@ -17,9 +17,9 @@ def names(items: DataFrame) -> DataFrame:
 
 
 def first_names(items: DataFrame, order: str = "seq") -> DataFrame:
-    """deviz, its first name that isn't empty, and its number of rows."""
+    """deviz, its first name that isn't empty, its number of rows, and where it begins."""
     named = F.when(text("deviz_denumire") != "", F.col(order))
-    return items.filter(text("deviz") != "").groupBy("deviz").agg(F.min_by("deviz_denumire", named).alias("denumire"), F.count("*").alias("n"))
+    return items.filter(text("deviz") != "").groupBy("deviz").agg(F.min_by("deviz_denumire", named).alias("denumire"), F.count("*").alias("n"), F.min(order).alias("first"))
 
 
 def last_names(items: DataFrame, order: str = "seq") -> DataFrame:
@@ -40,16 +40,13 @@ def fill_names(items: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def lookup_text(queries: DataFrame, catalog: DataFrame, least: float = 0.65) -> DataFrame:
-    """q, deviz, kind and score of every section whose name fits a text: exact 1.0, contained 0.85, else a ratio of 0.65 or more.
+    """q, deviz, kind and score of every section whose name fits a text: exact 1.0, contained in a longer text 0.85, else a ratio of 0.65 or more.
 
-    queries has q; catalog is names(). Both are one row a distinct name, and only lengths that can reach the score meet.
+    queries has q; catalog is names(). Distinct texts meet distinct names in blocks: see alike.names_in().
     """
     t = catalog.select("deviz", F.explode("texts").alias("t"))
     q = queries.select("q", F.lower(text("q")).alias("low")).filter("low <> ''").distinct()
-    c = q.crossJoin(small(t))  # a row a name of a section; beyond a broadcast's size, both sides are dealt out
-    kind = F.when(F.col("low") == F.col("t"), "exact").when(F.col("low").contains(F.col("t")) & (F.length("low") > F.length("t")), "substring").otherwise("fuzzy")
-    c = c.withColumn("kind", kind).filter((F.col("kind") != "fuzzy") | (2 * F.least(F.length("low"), F.length("t")) >= least * (F.length("low") + F.length("t"))))
-    c = c.withColumn("score", F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "substring", 0.85).otherwise(text_ratio("low", "t"))).filter(F.col("score") >= least)
+    c = q.join(names_in(q.select(F.col("low").alias("d")), t.select(F.col("t").alias("d")), least).withColumnRenamed("d", "low"), "low").join(t, "t")
     best = Window.partitionBy("q", "deviz").orderBy(F.col("score").desc(), "kind")
     return c.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select("q", "deviz", "kind", "score")
 
@@ -62,23 +59,42 @@ def disambiguate(candidates: DataFrame, page_codes: DataFrame, ref: DataFrame) -
     return candidates.filter("kind = 'exact'").join(shared, ["q", "deviz"], "left").withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("q", "deviz")
 
 
-def map_by_name(ref: DataFrame, offer: DataFrame, least: float = 0.70) -> DataFrame:
-    """offer_deviz, ref_deviz, how and score: equal code, equal name, best name ratio of 0.7, else a shared first word (0.85).
+def map_by_name(ref: DataFrame, offer: DataFrame, least: float = 0.70, sure: float = 0.65) -> DataFrame:
+    """offer_deviz, ref_deviz, how and score: equal code, equal name, best name ratio, else a name that holds the first word of the offer's code (0.85).
 
-    Sides are one row a section (deviz, denumire). Sections resolved by code or name leave before names are compared.
+    Sides are one row a section (deviz, denumire, and `first`, where the reference's begin; without it they come by code). The
+    last way is for codes without a hyphen whose best ratio is below `sure`; scores below `least` give nothing. Sections
+    resolved by code or name leave before names are compared, and names meet in blocks: see alike.best_names().
     """
-    r = ref.select(F.col("deviz").alias("ref_deviz"), F.lower(text("denumire")).alias("rn"))
+    place = F.col("first") if "first" in ref.columns else F.lit(0).cast("long")
+    r = ref.select(F.col("deviz").alias("ref_deviz"), F.lower(text("denumire")).alias("rn"), place.alias("first"))
     o = offer.select(F.col("deviz").alias("offer_deviz"), F.lower(text("denumire")).alias("n"))
     code = o.join(r, o.offer_deviz == r.ref_deviz).select("offer_deviz", "ref_deviz", F.lit("code").alias("how"), F.lit(1.0).alias("score"))
     left = o.join(code, "offer_deviz", "left_anti")
-    same = left.filter("n <> ''").join(r, left.n == r.rn).groupBy("offer_deviz").agg(F.min("ref_deviz").alias("ref_deviz")).select("offer_deviz", "ref_deviz", F.lit("name").alias("how"), F.lit(1.0).alias("score"))
+    same = left.filter("n <> ''").join(r, left.n == r.rn).groupBy("offer_deviz").agg(F.min(F.struct("first", "ref_deviz")).alias("m")).select("offer_deviz", "m.ref_deviz", F.lit("name").alias("how"), F.lit(1.0).alias("score"))
     left = left.join(same, "offer_deviz", "left_anti").filter("n <> ''")
-    pairs = left.crossJoin(small(r.filter("rn <> ''"))).withColumn("s", name_ratio("rn", "n"))  # a row a section on either side
-    best = pairs.groupBy("offer_deviz").agg(F.max_by(F.struct("ref_deviz", "s"), F.struct("s", "ref_deviz")).alias("b")).select("offer_deviz", "b.ref_deviz", F.col("b.s").alias("score"))
-    close = best.filter(F.col("score") >= least).select("offer_deviz", "ref_deviz", F.lit("similar").alias("how"), "score")
-    word = pairs.join(close, "offer_deviz", "left_anti").filter(~F.col("offer_deviz").contains("-") & (F.col("rn").contains(F.split_part("n", F.lit(" "), F.lit(1)))) & (F.length(F.split_part("n", F.lit(" "), F.lit(1))) > 2))
-    word = word.groupBy("offer_deviz").agg(F.min("ref_deviz").alias("ref_deviz")).select("offer_deviz", "ref_deviz", F.lit("first_word").alias("how"), F.lit(0.85).alias("score"))
-    return code.unionByName(same).unionByName(close).unionByName(word)
+    asks = left.select("offer_deviz", F.col("n").alias("d"), F.when(~F.col("offer_deviz").contains("-"), section_prefix("offer_deviz")).otherwise("").alias("word"))
+    best = best_names(asks, r.filter("rn <> ''").select("ref_deviz", F.col("rn").alias("d"), "first"))
+    worded = (F.coalesce("score", F.lit(0.0)) < sure) & F.col("word_deviz").isNotNull()
+    told = best.select("offer_deviz", F.when(worded, F.col("word_deviz")).otherwise(F.col("ref_deviz")).alias("ref_deviz"), F.when(worded, "first_word").otherwise("similar").alias("how"), F.when(worded, 0.85).otherwise(F.col("score")).alias("score"))
+    return code.unionByName(same).unionByName(told.filter(F.col("score") >= least))
+
+
+def renamed(ref: DataFrame, offer: DataFrame, provider=None) -> DataFrame:
+    """offer's items under the reference's section names, as far as map_names() or the provider knows them; all stay where both sides have the same name keys."""
+    side = lambda x: x.select(F.trim("deviz_denumire").alias("denumire")).filter("denumire <> ''").distinct()
+    r, o = side(ref), side(offer)
+    key = lambda x: x.select(section_name_key("denumire").alias("k")).distinct()
+    if r.isEmpty() or (key(o).join(key(r), "k", "left_anti").isEmpty() and key(r).join(key(o), "k", "left_anti").isEmpty()):
+        return offer
+    m = map_names(r, o).select("offer_name", "ref_name")
+    if provider is not None:
+        from .providers import section_names
+
+        open_ = o.select(F.col("denumire").alias("offer_name")).join(m, "offer_name", "left_anti")
+        m = m.unionByName(section_names(open_, provider).join(r.select(F.col("denumire").alias("ref_name")), "ref_name", "left_semi").select("offer_name", "ref_name"))
+    named = offer.withColumn("__name", F.trim("deviz_denumire")).join(m.select(F.col("offer_name").alias("__name"), F.col("ref_name").alias("__to")), "__name", "left")
+    return named.withColumn("deviz_denumire", F.coalesce("__to", "deviz_denumire")).select(*offer.columns)
 
 
 def remap(items: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -154,29 +170,51 @@ def differences(ref: DataFrame, offer: DataFrame) -> DataFrame:
     return o.join(r, "deviz", "left_anti").withColumn("side", F.lit("extra")).unionByName(r.join(o, "deviz", "left_anti").withColumn("side", F.lit("missing")))
 
 
+#: Section codes (fixed values): a chapter before a sub-code, a main code, a sub-code.
+PREFIXED, MAIN, SUB = r"^\d{1,3}\s+([0-9]\.[0-9])", r"^\d{1,3}$", r"^[0-9]\.[0-9]"
+
+
 def code_pattern(ref: DataFrame, offer: DataFrame) -> DataFrame:
-    """pattern, n_ref, n_offer and n_both: how an offer's section codes relate to the reference's.
+    """pattern, n_ref, n_offer and n_both: how an offer's section codes relate to the reference's, by the first that holds.
 
-    IDENTICAL, SUBSET or SUPERSET as sets; PREFIXED or MAIN_PLUS_SUB if 70 % of the offer's codes end in, or begin, a
-    reference code; UNKNOWN otherwise.
+    IDENTICAL sets; PREFIXED, where codes `NNN X.Y` have their X.Y in the reference, three of them and half at least, or seven
+    tenths beside main codes; MAIN_PLUS_SUB, where main codes are the offer's alone and seven tenths of its sub-codes are the
+    reference's too; SUBSET; SUPERSET; UNKNOWN.
     """
-    r, o = ref.select("deviz").filter("deviz <> ''").distinct(), offer.select("deviz").filter("deviz <> ''").distinct()
-    starts = r.filter("instr(deviz, '-') > 0").select(F.split_part("deviz", F.lit("-"), F.lit(1)).alias("x"))
-    of_end = o.select("deviz", F.explode(F.expr("transform(sequence(1, length(deviz)), i -> substring(deviz, i))")).alias("x")).join(r.select(F.col("deviz").alias("x")), "x", "left_semi").select("deviz").distinct()
-    agg = lambda df, name: df.agg(F.count("*").alias(name))
-    one = agg(r, "n_ref").join(F.broadcast(agg(o, "n_offer"))).join(F.broadcast(agg(o.join(r, "deviz", "left_semi"), "n_both"))).join(F.broadcast(agg(of_end.join(r, "deviz", "left_anti"), "n_prefixed"))).join(F.broadcast(agg(o.join(starts.select(F.col("x").alias("deviz")), "deviz", "left_semi"), "n_main")))
+    codes = lambda x: x.select("deviz").filter(text("deviz") != "").distinct()
+    r = codes(ref)
+    o = codes(offer).withColumn("sub", F.regexp_extract("deviz", PREFIXED, 1))
+    o = o.join(r.withColumn("hit", F.lit(True)), "deviz", "left").join(r.select(F.col("deviz").alias("sub"), F.lit(True).alias("subhit")), "sub", "left")
+    main, dotted, hit = F.col("deviz").rlike(MAIN), F.col("deviz").rlike(SUB), F.col("hit").isNotNull()
+    n = o.agg(F.count("*").alias("n_offer"), F.count_if(hit).alias("n_both"), F.count_if(F.col("sub") != "").alias("subs"), F.count_if(F.col("subhit").isNotNull()).alias("subhits"), F.count_if(main).alias("mains"), F.count_if(main & hit).alias("mainhits"), F.count_if(dotted).alias("dots"), F.count_if(dotted & hit).alias("dothits"))
+    one = n.join(F.broadcast(r.agg(F.count("*").alias("n_ref"))))
     p = (
-        F.when((F.col("n_ref") == F.col("n_offer")) & (F.col("n_both") == F.col("n_ref")), "IDENTICAL")
-        .when(F.col("n_both") == F.col("n_offer"), "SUBSET")
-        .when(F.col("n_both") == F.col("n_ref"), "SUPERSET")
-        .when(F.col("n_prefixed") >= 0.7 * F.col("n_offer"), "PREFIXED")
-        .when(F.col("n_main") >= 0.7 * F.col("n_offer"), "MAIN_PLUS_SUB")
+        F.when(F.expr("n_ref = n_offer AND n_both = n_ref"), "IDENTICAL")
+        .when(F.expr("subs > 0 AND (subhits >= greatest(3, subs div 2) OR (subhits > 0 AND mains > 0 AND subhits >= 0.7D * subs))"), "PREFIXED")
+        .when(F.expr("mains > 0 AND mainhits = 0 AND dots > 0 AND dothits >= 0.7D * dots"), "MAIN_PLUS_SUB")
+        .when(F.expr("n_both = n_offer"), "SUBSET")
+        .when(F.expr("n_both = n_ref"), "SUPERSET")
         .otherwise("UNKNOWN")
     )
     return one.select(p.alias("pattern"), "n_ref", "n_offer", "n_both")
 
 
+def code_mapping(offer: DataFrame, pattern: str) -> DataFrame:
+    """offer_deviz and ref_deviz of the codes that a pattern changes: under PREFIXED, `NNN X.Y` is X.Y; no other pattern changes any."""
+    sub = F.regexp_extract("deviz", PREFIXED, 1)
+    return offer.select(F.col("deviz").alias("offer_deviz"), sub.alias("ref_deviz")).filter((F.col("ref_deviz") != "") & F.lit(pattern == "PREFIXED")).distinct()
+
+
+def normalized_codes(items: DataFrame, ref: DataFrame) -> DataFrame:
+    """items under section codes as the reference has them, by the pattern that both show."""
+    pattern = code_pattern(ref, items).first()["pattern"]
+    if pattern == "MAIN_PLUS_SUB":
+        return to_first_sub(items, ref)
+    return remap(items, code_mapping(items, pattern)).select(*items.columns) if pattern == "PREFIXED" else items
+
+
 def to_first_sub(items: DataFrame, ref: DataFrame) -> DataFrame:
-    """items whose section is a main code take the least of the reference's sub-codes `MAIN-NN`."""
-    subs = ref.filter("instr(deviz, '-') > 0").groupBy(F.split_part("deviz", F.lit("-"), F.lit(1)).alias("deviz")).agg(F.min("deviz").alias("__to"))
-    return items.join(subs, "deviz", "left").withColumn("deviz", F.coalesce("__to", "deviz")).select(*items.columns)
+    """items of a main code take the least of the sub-codes under which the reference has their item code."""
+    subs = ref.filter((text("cod") != "") & F.col("deviz").rlike(SUB)).groupBy("cod").agg(F.min("deviz").alias("__to"))
+    main = F.col("deviz").rlike(MAIN) & F.col("__to").isNotNull()
+    return items.join(subs, "cod", "left").withColumn("deviz", F.when(main, F.col("__to")).otherwise(F.col("deviz"))).select(*items.columns)

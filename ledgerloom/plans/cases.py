@@ -14,7 +14,7 @@ from ..operators import audits, comparison, components, compare, dedup, extracti
 from ..session import staged
 from ..sources import ocr, sinks
 from .bill import SQL, bill, offer, read, reference
-from .queries import query
+from .queries import _GREEDY, _recursive, query
 
 
 def _sql(values: list[tuple]) -> str:
@@ -85,7 +85,7 @@ def section_forms(spark, d):
 LINES = [
     ("TSC35XA1 - Sapatura  mecanica", "tsc35xa1 - sapatura mecanica", "TSC35XA1", "Sapatura  mecanica", False, [], "UNKNOWN", None), ("6715504 - Piesa „noua”", "6715504 - piesa „noua'", "$6715504", "Piesa „noua”", False, [], "UNKNOWN", None),
     ("L: SL30 - 0001 : 2452958 Electrod sud. ol", "l: sl30 - 0001 : 2452958 electrod sud ol", "", "", False, ["2452958"], "PREFIXED", "2452958"), ("x 31.1 2100995 - y", "x 31.1 2100995 - y", "", "", False, [], "SIMPLE", "2100995"),
-    (">>> componenta 002 010 3271283", ">>> componenta 002 010 3271283", "", "", False, [], "MARKER", "3271283"), ("12,50", "12,50", "", "", True, [], "UNKNOWN", None), ("100 RON", "100 ron", "", "", True, [], "UNKNOWN", None), (None, "", "", "", False, [], "UNKNOWN", None), ("AB# - ceva", "ab# - ceva", "AB", "ceva", False, [], "UNKNOWN", None),
+    (">>> componenta 002 010 3271283", ">>> componenta 002 010 3271283", "", "", False, [], "MARKER", "3271283"), ("12,50", "12,50", "", "", True, [], "UNKNOWN", None), ("100 RON", "100 ron", "", "", True, [], "UNKNOWN", None), (None, "", "", "", False, [], "UNKNOWN", None), ("AB# - ceva", "ab# - ceva", "AB", "ceva", False, [], "UNKNOWN", None), ("SC07A-1# - Filtru", "sc07a-1# - filtru", "SC07A-1#", "Filtru", False, [], "UNKNOWN", None), ("sc07a - x1", "sc07a - x1", "SC07A", "x1", False, [], "UNKNOWN", None),
 ]
 
 
@@ -99,7 +99,8 @@ def line_forms(spark, d):
 
 # label, stage, stage code, stage name, form's name
 STAGES = [
-    ("STADIUL FIZIC: oferta 226108 STRUCTURA", "oferta", "226108", "STRUCTURA", ""), ("Stadiul fizic: 12 Zidarie", "Zidarie", "12", "Zidarie", ""), ("STADIU FIZIC: Arhitectura noua", "Arhitectura noua", "", "Arhitectura noua", ""), ('Deviz "07" - Vopsele - Formular F3', "", None, None, "Vopsele"), ("Formularul F3 - Lista lucrarilor", "", None, None, "Lista lucrarilor"), (None, "", None, None, ""),
+    ("STADIUL FIZIC: oferta 226108 STRUCTURA", "oferta", "226108", "STRUCTURA", ""), ("Stadiul fizic: 12 Zidarie", "", "", "12 Zidarie", ""), ("STADIU FIZIC: Arhitectura noua", "", "", "Arhitectura noua", ""), ("STADIUL FIZIC: Zidarie 0 1 2", "Zidarie", "ZIDARIE", "0 1 2", ""), ("001 1.1 ARHITECTURA", "", "1.1", "ARHITECTURA", ""), ("1.2 INSTALATII electrice", "", "1.2", "INSTALATII electrice", ""),
+    ("Deviz oferta 226208 STRUCTURA DE REZISTENTA Categoria de lucrari", "", "DEVIZ", "oferta 226208 STRUCTURA DE REZISTENTA Categoria de lucrari", "STRUCTURA DE REZISTENTA"), ("Obiectul : 0001 POD PESTE RAU Lista cu cantitati", "", "OBIECTUL", ": 0001 POD PESTE RAU Lista cu cantitati", "POD PESTE RAU"), (None, "", "", "", ""),
 ]
 
 
@@ -121,7 +122,7 @@ def ratios(spark, d):
 
 
 # quantity cell, unit cell, quantity, unit
-CELLS = [("99 M", "", 99.0, "M"), ("1.840,50", "mc.", 1840.5, "mc"), ("12,5", "3", 12.5, ""), ("7 BUC.", "4", 7.0, "BUC"), ("x", "kg", 0.0, "xkg"), (None, None, 0.0, "")]
+CELLS = [("99 M", "", 99.0, "M"), ("99 M", "4", 99.0, "M 4"), ("1.840,50", "mc.", 1840.5, "MC"), ("12,5", "3", 12.5, ""), ("7 BUC.", "4", 7.0, ""), ("x", "kg", 0.0, "x KG"), (None, None, 0.0, "")]
 
 
 @query(_expected("q, u, quantity, unit", CELLS, "quantity, unit"))
@@ -147,10 +148,14 @@ def page_classes(spark, d):
 _BILL = SQL + """, t AS (SELECT *, (310000 + deviz::INT)::VARCHAR AS code FROM b)"""
 
 
+def _document(order):
+    """Documents hold the orders of a thousand keys, however many orders there are."""
+    return F.concat(F.lit("d"), F.floor(order / 1000).cast("string"))
+
+
 def _printed():
-    """The six lines of an item. Lines that hold 424 never belong to an item, so no price is printed with it; codes with it get lost."""
-    price = lambda c: F.when(F.format_string("%.2f", c).contains("424"), "1.00").otherwise(F.format_string("%.2f", c))
-    return F.array(F.lit("1"), F.concat("cod", F.lit(" - "), "denumire"), F.col("um"), F.format_string("%.3f", "cantitate"), price("pret_material"), price("val_material"))
+    """The six lines of an item."""
+    return F.array(F.lit("1"), F.concat("cod", F.lit(" - "), "denumire"), F.col("um"), F.format_string("%.3f", "cantitate"), F.format_string("%.2f", "pret_material"), F.format_string("%.2f", "val_material"))
 
 
 def _documents(rows, tables=False):
@@ -163,20 +168,20 @@ def _documents(rows, tables=False):
     return p.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pages")).withColumn("tables", none)
 
 
-@query(_BILL + """SELECT DISTINCT 'd' || (l_orderkey % 16)::VARCHAR AS doc_id, cod, lower(denumire) AS denumire, CASE um WHEN 'kg' THEN 'tona' ELSE um END AS um, cantitate, code AS deviz FROM t WHERE NOT contains(cod, '424')""")
+@query(_BILL + """SELECT DISTINCT 'd' || (l_orderkey // 1000)::VARCHAR AS doc_id, cod, lower(denumire) AS denumire, CASE um WHEN 'kg' THEN 'tona' ELSE um END AS um, cantitate, code AS deviz FROM t""")
 def extracted_documents(spark, d):
     """From OCR pages to items: the bill printed as documents, classified, filled, parsed and normalized again."""
-    b = bill(spark, d).withColumn("doc_id", F.concat(F.lit("d"), (F.col("l_orderkey") % 16).cast("string")))
-    return extraction.extract(_documents(b)).select("doc_id", "cod", "denumire", "um", "cantitate", "deviz")
+    b = bill(spark, d).withColumn("doc_id", _document(F.col("l_orderkey")))
+    return extraction.extract(_documents(b), site=()).select("doc_id", "cod", "denumire", "um", "cantitate", "deviz")
 
 
-@query(SQL + """SELECT (l_orderkey % 1000)::VARCHAR AS doc_id, row_number() OVER (PARTITION BY l_orderkey % 1000, deviz ORDER BY seq) - 1 AS seq, deviz, cod, um, cantitate FROM b WHERE NOT contains(cod, '424')""")
+@query(SQL + """SELECT (l_orderkey % 1000)::VARCHAR AS doc_id, row_number() OVER (PARTITION BY l_orderkey % 1000, deviz ORDER BY seq) - 1 AS seq, deviz, cod, um, cantitate FROM b""")
 def parsed_bill(spark, d):
     """The bill printed as lines and parsed again, a group a section and order."""
     b = bill(spark, d).withColumn("doc_id", (F.col("l_orderkey") % 1000).cast("string"))
     ln = _printed()
     rows = b.select("doc_id", "deviz", "deviz_denumire", F.col("seq").alias("page_number"), F.posexplode(ln).alias("line_no", "content"))
-    return parser.parse(rows.withColumn("deviz_denumire", F.lit(""))).select("doc_id", "seq", "deviz", "cod", "um", "cantitate")
+    return parser.parse(rows.withColumn("deviz_denumire", F.lit("")), site=()).select("doc_id", "seq", "deviz", "cod", "um", "cantitate")
 
 
 @query(SQL + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deviz, cod, cantitate, um ORDER BY seq) AS n FROM ref) WHERE n = 1),
@@ -189,22 +194,25 @@ def merged_tables(spark, d):
     return tables.merge(r, o).select("deviz", "cod", "um", "cantitate", "seq", "side")
 
 
-@query(SQL + """SELECT 'd' || (l_orderkey % 16)::VARCHAR AS doc_id, cod, lower(denumire) AS denumire, um, cantitate, '226108' AS deviz, 'LOT ' || (l_orderkey % 16)::VARCHAR AS deviz_denumire FROM b""")
+@query(SQL + """SELECT 'd' || (l_orderkey // 1000)::VARCHAR AS doc_id, cod, lower(denumire) AS denumire, um, cantitate, '226108' AS deviz, 'LOT ' || (l_orderkey // 1000)::VARCHAR AS deviz_denumire FROM b""")
 def table_rows(spark, d):
     """Layout tables of a bill: a metadata table, then a data table with a row an item."""
-    b = bill(spark, d).withColumn("k", (F.col("l_orderkey") % 16).cast("string")).withColumn("doc_id", F.concat(F.lit("d"), "k"))
+    b = bill(spark, d).withColumn("k", F.floor(F.col("l_orderkey") / 1000).cast("string")).withColumn("doc_id", F.concat(F.lit("d"), "k"))
     cell = lambda t, r, c, x: F.struct(F.lit(t).alias("table_idx"), r.cast("int").alias("row_index"), F.lit(c).alias("column_index"), x.alias("content"))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) + 2
     rows = b.withColumn("r", n).select("doc_id", F.explode(F.array(cell(1, F.col("r"), 1, F.concat("cod", F.lit(" - "), "denumire")), cell(1, F.col("r"), 3, F.col("um")), cell(1, F.col("r"), 4, F.format_string("%.2f", "cantitate")))).alias("c"))
-    head = b.select("doc_id", "k").distinct().select("doc_id", F.explode(F.array(cell(0, F.lit(5), 0, F.lit("STADIUL FIZIC")), cell(0, F.lit(5), 1, F.concat(F.lit("226108 LOT "), "k")), cell(1, F.lit(0), 0, F.lit("SECTIUNEA TEHNICA")), cell(1, F.lit(1), 1, F.lit("Capitol de lucrari")), cell(1, F.lit(1), 3, F.lit("U.M.")), cell(1, F.lit(1), 4, F.lit("Cantitatea")))).alias("c"))
+    head = b.select("doc_id", "k").distinct().select("doc_id", F.explode(F.array(cell(0, F.lit(5), 0, F.lit("STADIUL FIZIC")), cell(0, F.lit(5), 1, F.concat(F.lit("226108 LOT "), "k")), cell(1, F.lit(0), 0, F.lit("SECTIUNEA TEHNICA")), cell(1, F.lit(1), 0, F.lit("Nr.")), cell(1, F.lit(1), 1, F.lit("Capitol de lucrari")), cell(1, F.lit(1), 3, F.lit("U.M.")), cell(1, F.lit(1), 4, F.lit("Cantitatea")))).alias("c"))
     return tables.table_items(rows.union(head).select("doc_id", "c.*")).select("doc_id", "cod", "denumire", "um", "cantitate", "deviz", "deviz_denumire")
 
 
-@query(SQL + """SELECT l_orderkey AS page_number, cod, denumire, um, cantitate FROM (SELECT l_orderkey, cod, denumire, CASE um WHEN 'buc' THEN 'buc' WHEN 'mp' THEN 'mp' ELSE upper(um) END AS um, cantitate FROM b)""")
+@query(SQL + """, x AS (SELECT l_orderkey AS page_number, cod, seq, lower(denumire) AS denumire, CASE l_partkey % 4 WHEN 1 THEN 'ORA' WHEN 3 THEN '' ELSE um END AS um FROM b WHERE l_partkey % 4 <> 2)
+SELECT page_number, cod, arg_min(denumire, seq) AS denumire, arg_min(um, seq) AS um, 0.0::DOUBLE AS cantitate FROM x GROUP BY page_number, cod""")
 def component_blocks(spark, d):
-    """Components printed as blocks on pages."""
+    """Components printed as blocks on pages: behind a marker, as resources by the hour, as items that are none, and behind a marker without unit and quantity."""
     b = bill(spark, d)
-    ln = F.array(F.lit(">>> componenta 001"), F.concat(F.lit("001 "), "cod"), F.col("um"), F.format_string("%.2f", "cantitate"), F.col("denumire"))
+    coded, tail = F.concat(F.lit("001 "), "cod"), (F.format_string("%.2f", "cantitate"), F.col("denumire"))
+    kinds = [F.array(F.lit(">>> componenta 001"), coded, F.col("um"), *tail), F.array(coded, F.lit("ORA."), *tail), F.array(coded, F.col("um"), *tail), F.array(F.lit(">>> componenta 12"), F.col("cod"), F.concat("denumire"))]
+    ln = F.element_at(F.array(*kinds), (F.col("l_partkey") % 4).cast("int") + 1)
     rows = b.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", ln.alias("l")))), lambda x: x["l"])).alias("l")).select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.posexplode("l").alias("line_no", "content"))
     return components.blocks(rows).select("page_number", "cod", "denumire", "um", "cantitate")
 
@@ -276,11 +284,14 @@ def lenient_dollars(spark, d):
     return matching.lenient_dollar(offer(spark, d).withColumn("cod", dollar), r).select("ref_seq", "of_seq")
 
 
-@query(SQL + """, r AS (SELECT DISTINCT 'X' || l_partkey::VARCHAR AS c FROM ref WHERE l_partkey % 2 = 0), o AS (SELECT seq, 'X' || l_partkey::VARCHAR AS c FROM offer) SELECT c AS code, seq, 'SUBCOMP_EXTRA' AS tip FROM o WHERE c NOT IN (SELECT c FROM r)""")
+@query(SQL + """, r AS (SELECT DISTINCT 'X' || l_partkey::VARCHAR AS c FROM ref WHERE l_partkey % 2 = 0), o AS (SELECT seq, deviz, cod, 'X' || l_partkey::VARCHAR AS c FROM offer)
+SELECT k || c AS code, seq, deviz, cod, 'SUBCOMP_EXTRA' AS tip FROM (SELECT *, unnest(['', 'Z']) AS k FROM o) WHERE k || c NOT IN (SELECT c FROM r)""")
 def component_anomalies(spark, d):
-    """Component codes of the offer's descriptions that no description of the reference has."""
-    told = lambda x: x.withColumn("denumire", F.concat(F.lit("teava L: AB12 - 0001 : X"), F.col("l_partkey").cast("string"), F.lit(" otel")))
-    return components.anomalies(told(reference(spark, d).filter("l_partkey % 2 = 0")), told(offer(spark, d)))
+    """Component codes in the offer's section names and descriptions that no section name of the reference has."""
+    code = F.concat(F.lit("X"), F.col("l_partkey").cast("string"))
+    r = reference(spark, d).filter("l_partkey % 2 = 0").withColumn("deviz_denumire", F.concat(F.lit(">>> componenta 001 02 "), code))
+    o = offer(spark, d).withColumns({"deviz_denumire": F.concat(F.lit(">>> componenta 7 8 Z"), code), "denumire": F.concat(F.lit("teava >>> componenta 1 1 "), code, F.lit(" otel"))})
+    return components.anomalies(r, o, "MARKER").select("code", "seq", "deviz", "cod", "tip")
 
 
 @query(SQL + """, p AS (SELECT cod, seq FROM ref), c AS (SELECT cod AS parent, seq AS o, 'C' || seq::VARCHAR AS c FROM offer) SELECT p.cod, p.seq, count(c.c)::BIGINT AS n, coalesce(min(c.c), '') AS least FROM p LEFT JOIN c ON c.parent = p.cod AND c.o > p.seq GROUP BY ALL""")
@@ -292,13 +303,14 @@ def component_hierarchy(spark, d):
     return h.select("cod", "seq", F.size("components").cast("long").alias("n"), F.coalesce(F.array_min("components"), F.lit("")).alias("least"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents), f AS (SELECT * FROM l WHERE trim(c) <> ''), t AS (SELECT doc_id, count(*) AS total FROM f GROUP BY ALL),
-h AS (SELECT doc_id, 'NUMBERED' AS name, count(*) FILTER (regexp_matches(c, '^[A-Z]')) AS a, count(*) FILTER (regexp_matches(c, '[0-9]+')) AS b FROM f GROUP BY ALL)
+@query(r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS c FROM documents), f AS (SELECT * FROM l WHERE c <> ''), t AS (SELECT doc_id, count(*) AS total FROM f GROUP BY ALL),
+h AS (SELECT doc_id, 'NUMBERED' AS name, count(*) FILTER (regexp_matches(c, '^[A-Z]')) AS a, count(*) FILTER (regexp_matches(c, '^(?:[0-9]+|[a-z]+,)')) AS b FROM f GROUP BY ALL
+      UNION ALL SELECT doc_id, 'WORDED', count(*) FILTER (regexp_matches(c, '^(?:The |[0-9])')) AS a, 0 FROM f GROUP BY ALL)
 SELECT doc_id, name, round(least(1.0, CASE WHEN a > 0 AND b > 0 THEN (a + b) / total * 1.5 ELSE (a + b) / total END), 6)::DOUBLE AS confidence FROM h JOIN t USING (doc_id) WHERE a + b > 0""")
 def pattern_scores(spark, d):
     ln = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
-    lib = spark.createDataFrame([("NUMBERED", ["^[A-Z]"], [("[0-9]+", "any")], "none")], "name string, parent_indicators array<string>, component_indicators array<struct<pattern:string,type:string>>, quantity_rule string")
-    return A.pattern_scores(ln, lib).withColumn("confidence", F.round("confidence", 6))
+    lib = spark.createDataFrame([("NUMBERED", ["^[A-Z]", "^[A-Z][a-z]"], [("[0-9]+", "any"), ("[a-z]+,", "any")], "none"), ("WORDED", ["The |[0-9]"], [], "none")], "name string, parent_indicators array<string>, component_indicators array<struct<pattern:string,type:string>>, quantity_rule string")
+    return A.pattern_scores(ln, lib).select("doc_id", "name", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""SELECT doc_id, n FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MANECIU' WHEN 1 THEN 'DRAGOMIRESTI' ELSE 'AUTO_GEN_3' END AS n FROM documents)""")
@@ -310,10 +322,13 @@ def best_patterns(spark, d):
     return A.best_pattern(A.pattern_scores(ln, lib), ln, generated=A.generated_pattern(lib).first()["name"]).select("doc_id", F.col("name").alias("n"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'PREFIXED' WHEN 1 THEN 'MARKER' ELSE 'UNKNOWN' END AS format, CASE doc_id % 3 WHEN 2 THEN 0.0 ELSE 0.95 END::DOUBLE AS confidence, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_codes FROM documents""")
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'PREFIXED' WHEN 1 THEN 'MARKER' ELSE 'UNKNOWN' END AS format, CASE doc_id % 3 WHEN 2 THEN 0.0 ELSE 0.95 END::DOUBLE AS c, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS n_codes, (doc_id % 4)::INT AS want FROM documents)
+SELECT doc_id, format, CASE WHEN n_codes = 0 AND want > 0 THEN c * 0.5 ELSE c END AS confidence, n_codes, n_codes > 0 AND (want = 0 OR n_codes = want) AS valid, CASE WHEN want > 0 AND n_codes = 0 THEN 2 WHEN want > 0 AND n_codes <> want THEN 1 ELSE 0 END AS n_warnings FROM x""")
 def component_summaries(spark, d):
+    """Component codes of documents of three formats, held against an expected number of 0 to 3."""
     t = F.element_at(F.array(F.lit("L:AB1 -0001:77 a\nL:AB1 -0001:78 b\nL:AB1 -0001:77 c"), F.lit(">>> componenta 1 2 X9"), F.lit("nimic")), (F.col("doc_id") % 3).cast("int") + 1)
-    return A.component_summary(read(spark, d, "documents").select("doc_id", t.alias("text"))).select("doc_id", "format", "confidence", "n_codes")
+    out = A.component_summary(read(spark, d, "documents").select("doc_id", t.alias("text"), (F.col("doc_id") % 4).alias("want")), expected="want")
+    return out.select("doc_id", "format", "confidence", "n_codes", "valid", F.size("warnings").alias("n_warnings"))
 
 
 @query(SQL + """SELECT cod AS code, CASE l_partkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'complete' WHEN 2 THEN 'incomplete' ELSE 'found' END AS status FROM (SELECT DISTINCT cod, l_partkey FROM ref)""")
@@ -404,15 +419,15 @@ def text_chunks(spark, d):
     return k.groupBy("doc_id").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("chars"))
 
 
-@query(_BILL + """, d AS (SELECT 'd' || (l_orderkey % 16)::VARCHAR AS doc_id, l_orderkey, code, seq, cod FROM t WHERE NOT contains(cod, '424'))
+@query(_BILL + """, d AS (SELECT 'd' || (l_orderkey // 1000)::VARCHAR AS doc_id, l_orderkey, code, seq, cod FROM t)
 SELECT doc_id, code AS deviz, count(*)::BIGINT AS items, 'LOT ' || code AS name FROM d GROUP BY ALL""")
 def sliced_text(spark, d):
     """Running text of many sections, each behind its heading, after pages that hold no form: items a section."""
-    b = bill(spark, d).withColumn("doc_id", F.concat(F.lit("d"), (F.col("l_orderkey") % 16).cast("string"))).withColumn("code", (F.col("deviz").cast("int") + 310000).cast("string"))
+    b = bill(spark, d).withColumn("doc_id", _document(F.col("l_orderkey"))).withColumn("code", (F.col("deviz").cast("int") + 310000).cast("string"))
     ln = F.array_join(_printed(), "\n")
     s = b.groupBy("doc_id", "code").agg(F.concat_ws("\n", F.concat(F.lit("Deviz oferta "), "code", F.lit(" LOT "), "code"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", ln.alias("l")))), lambda x: x["l"]), "\n")).alias("t"))
     text = s.groupBy("doc_id").agg(F.concat_ws("\n", F.lit("Centralizator\n1 AB01A1 - altceva\nbuc\n2.000\n\nFormularul F3"), F.array_join(F.array_sort(F.collect_list("t")), "\n")).alias("text"))
-    return extraction.extract_text(text).groupBy("doc_id", "deviz", F.col("deviz_denumire").alias("name")).agg(F.count("*").alias("items"))
+    return extraction.extract_text(text, site=()).groupBy("doc_id", "deviz", F.col("deviz_denumire").alias("name")).agg(F.count("*").alias("items"))
 
 
 @query(SQL + """, m AS (SELECT DISTINCT deviz, CASE WHEN deviz::INT % 3 = 0 THEN 'R' || deviz WHEN deviz::INT % 3 = 1 THEN deviz END AS t FROM offer) SELECT seq, coalesce(t, offer.deviz) AS deviz, CASE WHEN t IS NOT NULL AND t <> offer.deviz THEN offer.deviz END AS deviz_original FROM offer LEFT JOIN m USING (deviz)""")
@@ -465,7 +480,7 @@ def observations(spark, d):
 
 
 # description, parent, label, cut description
-LABELS = [("AB1", True, "CD2", "[COMPONENT] AB1 (parent: CD2)"), ("AB1", False, None, "AB1"), ("AB1", None, "CD2", "AB1"), (None, True, None, "[COMPONENT]  (parent: )")]
+LABELS = [("AB1", True, "CD2", "[COMPONENT] AB1 (parent: CD2)"), ("AB1", False, None, "AB1"), ("AB1", None, "CD2", "AB1"), (None, True, None, "[COMPONENT] "), ("AB1", True, "", "[COMPONENT] AB1")]
 
 
 @query(_expected("code, part, parent, label", LABELS, "label"))
@@ -475,19 +490,35 @@ def hierarchy_labels(spark, d):
 
 
 @query(SQL + """, n AS (SELECT count(DISTINCT deviz)::BIGINT AS n FROM ref), h AS (SELECT count(DISTINCT deviz)::BIGINT AS n FROM ref WHERE deviz::INT < 9) SELECT 'same' AS how, 'IDENTICAL' AS pattern, n.n AS n_ref, n.n AS n_offer, n.n AS n_both FROM n UNION ALL SELECT 'fewer', 'SUBSET', n.n, h.n, h.n FROM n, h UNION ALL SELECT 'more', 'SUPERSET', h.n, n.n, h.n FROM n, h
-UNION ALL SELECT 'prefix', 'PREFIXED', n.n, n.n, 0 FROM n UNION ALL SELECT 'main', 'MAIN_PLUS_SUB', n.n, n.n, 0 FROM n UNION ALL SELECT 'other', 'UNKNOWN', n.n, n.n, 0 FROM n""")
+UNION ALL SELECT 'prefix', 'PREFIXED', n.n, n.n, 0 FROM n UNION ALL SELECT 'mixed', 'PREFIXED', n.n, 2 + n.n, 0 FROM n UNION ALL SELECT 'main', 'MAIN_PLUS_SUB', n.n, 2 * n.n, n.n FROM n UNION ALL SELECT 'other', 'UNKNOWN', n.n, n.n, 0 FROM n""")
 def section_patterns(spark, d):
-    """How the codes of an offer's sections relate to the reference's: each outcome once."""
+    """How the codes of an offer's sections relate to the reference's: each outcome once, and prefixed codes beside main ones."""
     r = reference(spark, d).select("deviz").distinct()
-    x = r.select(F.concat(F.lit("Q"), "deviz").alias("deviz"))
-    less, sub = r.filter("try_cast(deviz AS int) < 9"), r.select(F.concat(F.lit("M"), "deviz", F.lit("-01")).alias("deviz"))
-    runs = {"same": (r, r), "fewer": (r, less), "more": (less, r), "prefix": (r, x), "main": (sub, r.select(F.concat(F.lit("M"), "deviz").alias("deviz"))), "other": (r, r.select(F.concat("deviz", F.lit("!")).alias("deviz")))}
+    sub = r.select(F.concat_ws(".", (F.col("deviz").cast("int") / 10).cast("int"), (F.col("deviz").cast("int") % 10)).alias("deviz"))
+    long = sub.select(F.concat(F.lit("007 "), "deviz", F.lit(" LOT")).alias("deviz"))
+    main = r.select(F.lpad((F.col("deviz").cast("int") + 100).cast("string"), 3, "0").alias("deviz"))
+    runs = {"same": (r, r), "fewer": (r, r.filter("try_cast(deviz AS int) < 9")), "more": (r.filter("try_cast(deviz AS int) < 9"), r), "prefix": (sub, long), "mixed": (sub, long.union(main.filter("deviz in ('100', '101')"))), "main": (sub, sub.union(main)), "other": (r, r.select(F.concat("deviz", F.lit("!")).alias("deviz")))}
     out = [sections.code_pattern(a, b).withColumn("how", F.lit(k)) for k, (a, b) in runs.items()]
     for o in out[1:]:
         out[0] = out[0].unionByName(o)
     return out[0]
 
 
+@query(SQL + """, x AS (SELECT seq, cod, deviz::INT AS k FROM offer WHERE deviz::INT < 40), s AS (SELECT cod, min((deviz::INT // 10)::VARCHAR || '.' || (deviz::INT % 10)::VARCHAR) AS t FROM ref GROUP BY cod)
+SELECT 'prefix' AS how, seq, CASE WHEN k % 2 = 0 THEN (k // 10)::VARCHAR || '.' || (k % 10)::VARCHAR ELSE (k + 100)::VARCHAR END AS deviz FROM x
+UNION ALL SELECT 'main', seq, CASE WHEN k % 2 = 0 THEN (k // 10)::VARCHAR || '.' || (k % 10)::VARCHAR ELSE coalesce(t, (k + 100)::VARCHAR) END FROM x LEFT JOIN s USING (cod)""")
+def normalized_sections(spark, d):
+    """Offers whose sections have main codes beside prefixed ones, or beside sub-codes, brought under the reference's."""
+    k = F.col("deviz").cast("int")
+    sub = F.concat_ws(".", (k / 10).cast("int"), k % 10)
+    r = reference(spark, d).withColumn("deviz", sub)
+    o, main = offer(spark, d).filter("try_cast(deviz AS int) < 40"), (k + 100).cast("string")
+    long = o.withColumn("deviz", F.when(k % 2 == 0, F.concat(F.lit("007 "), sub, F.lit(" LOT"))).otherwise(main))
+    both = o.withColumn("deviz", F.when(k % 2 == 0, sub).otherwise(main))
+    told = lambda x, how: sections.normalized_codes(x, r).select(F.lit(how).alias("how"), "seq", "deviz")
+    return told(long, "prefix").unionByName(told(both, "main"))
+
+
 @query(SQL + """, r AS (SELECT deviz, cod, count(*) AS n FROM rd GROUP BY ALL), o AS (SELECT deviz, cod, count(*) AS n FROM od GROUP BY ALL) SELECT 'ref' AS side, deviz, cod, (r.n - coalesce(o.n, 0))::BIGINT AS n FROM r LEFT JOIN o USING (deviz, cod) WHERE r.n > coalesce(o.n, 0)
 UNION ALL SELECT 'offer', deviz, cod, (o.n - coalesce(r.n, 0))::BIGINT FROM o LEFT JOIN r USING (deviz, cod) WHERE o.n > coalesce(r.n, 0)""")
 def left_over(spark, d):
@@ -521,3 +552,82 @@ def silent_provider(spark, d):
     """Without a provider every question is left open, and nothing fails."""
     r = reference(spark, d).select("denumire").distinct()
     return providers.categories(r).agg(F.count("*").alias("n"), F.count("category").alias("told"))
+
+
+# reference, offer, score: digits around a separator are one token, but a digit that ended one pair begins no other
+GLUED = [("1x2x3", "12x3", 0.0), ("110,45 mm", "11045 mm", 1.0), ("110/45", "110 45", 1.0), ("4-5 zid alb", "45 zid", 2 / 3), ("zid", "zid alb mare", 1.0), (None, "x", 0.0)]
+
+
+@query(_expected("a, b, score", GLUED, "round(score, 6) AS score"))
+def glued_numbers(spark, d):
+    t = _dealt(spark, d, "a string, b string", [x[:2] for x in GLUED])
+    return _counted(t, F.round(S.token_score("a", "b"), 6).alias("score"))
+
+
+@query("""WITH p AS (SELECT (o_custkey % 40)::VARCHAR AS doc_id, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT doc_id, n::INT AS page_number, CASE WHEN n % 7 < 4 THEN 'S' || doc_id || '-' || (n - n % 7)::VARCHAR ELSE 'Q' || lpad(((CASE n % 7 WHEN 4 THEN n ELSE n - 1 END) % 10000)::VARCHAR, 4, '0') END AS candidate FROM p WHERE n % 7 IN (1, 2, 3, 4, 5)""")
+def rescued_pages(spark, d):
+    """Missed pages of documents: those with a sure sign take the section of the page before, rescued or not; one has its own mark; one is a summary."""
+    w = Window.partitionBy("doc_id").orderBy("o_orderkey")
+    p = read(spark, d, "orders").select((F.col("o_custkey") % 40).cast("string").alias("doc_id"), "o_orderkey").withColumn("n", F.row_number().over(w) - 1)
+    k, own = F.col("n") % 7, F.concat(F.lit("q"), F.lpad((F.col("n") % 10000).cast("string"), 4, "0"), F.lit(" pag 3"))
+    sure, coded = F.array(F.lit("Sectiunea tehnica"), F.lit("x"), F.lit("SECTIUNEA FINANCIARA")), F.array(own, F.lit("CA01A1 - beton"), F.lit("x"), F.lit("m.c."))
+    lines = F.when(k == 0, F.array(F.lit("articole"))).when(k.isin(1, 2, 3, 5), sure).when(k == 4, coded).otherwise(F.concat(coded, F.array(F.lit("Cheltuieli indirecte 10%"))))
+    p = p.select("doc_id", F.col("n").alias("page_number"), lines.alias("lines"), F.when(k == 0, "F3").otherwise("NON_F3").alias("label"), F.when(k == 0, F.concat(F.lit("S"), "doc_id", F.lit("-"), F.col("n").cast("string"))).otherwise("").alias("deviz_cod")).withColumn("full", F.concat_ws(" ", "lines"))
+    return pages.rescue_candidates(p, pages.content_scores(extraction.lines_of(p))).select("doc_id", F.col("page_number").cast("int").alias("page_number"), "candidate")
+
+
+@query("""SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'S.C. ' || c_name || ' SRL' WHEN 1 THEN c_name || ' ASOCIATII' WHEN 2 THEN 'lider ' || c_name WHEN 3 THEN c_name END AS bidder FROM customer WHERE c_custkey % 5 < 4""")
+def bidders(spark, d):
+    """Bidders' names behind a label of its own line, on the label's line, and of an association; none too short or beyond the tenth page."""
+    k = F.col("c_custkey") % 5
+    far = F.array(F.lit("x"), F.lit("y"))
+    first = F.when(k == 0, F.array(F.lit("OFERTANT,"), F.lit("S.C."), F.concat("c_name", F.lit("  SRL")), F.lit("Director general"), F.lit("Pop Ion"))).when(k == 1, F.array(F.lit("Ofertant: SRL"), F.concat(F.lit("ofertant :"), "c_name", F.lit(" ASOCIATII")))).when(k == 2, F.array(F.lit("x"), F.concat(F.lit("prin denumirea Asociere: lider "), "c_name"))).when(k == 3, F.array(F.lit("Ofertant ."), F.lit(""), F.lit("x"), F.lit("Ofertant"), F.col("c_name"), F.lit(""))).otherwise(far)
+    p = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(F.array(far, first, *[far] * 9, F.array(F.lit("Ofertant: prea departe aici"))))).toDF("doc_id", "page_number", "lines")
+    return pages.bidder_names(extraction.lines_of(p)).select("doc_id", "bidder")
+
+
+@query(SQL + """, x AS (SELECT *, l_orderkey % 4 AS layout, l_orderkey % 3 AS meta FROM b WHERE l_orderkey % 4 <> 3)
+SELECT 'd' || l_orderkey::VARCHAR AS doc_id, cod, lower(denumire) AS denumire, um, cantitate, CASE meta WHEN 0 THEN '226108' WHEN 1 THEN '226008' ELSE '4.1' END AS deviz, CASE meta WHEN 1 THEN 'LOT DOI' ELSE 'Lot unu' END AS deviz_denumire FROM x""")
+def table_layouts(spark, d):
+    """Tables of an order each: labelled columns, heads without labels (quantity before unit), codes in a column before an empty head, and none that tells its columns; sections from three kinds of tables."""
+    b = bill(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("seq")) + 2)
+    cell = lambda t, r, c, x: F.struct(F.lit(t).alias("table_idx"), r.cast("int").alias("row_index"), F.lit(c).alias("column_index"), x.alias("content"))
+    at, qty, one, layout = F.col("r"), F.format_string("%.2f", "cantitate"), F.concat("cod", F.lit("-1# - "), "denumire"), F.col("l_orderkey") % 4
+    said = F.when(layout == 0, F.array(cell(2, at, 1, one), cell(2, at, 2, F.col("um")), cell(2, at, 3, qty))).when(layout == 1, F.array(cell(2, at, 1, one), cell(2, at, 3, qty), cell(2, at, 4, F.col("um"))))
+    said = said.when(layout == 2, F.array(cell(2, at, 1, F.concat("cod", F.lit(" [1]"))), cell(2, at, 2, F.col("denumire")), cell(2, at, 4, F.col("um")), cell(2, at, 5, qty))).otherwise(F.array(cell(2, at, 1, F.lit("- x")), cell(2, at, 3, qty)))
+    head = lambda r, c, x: cell(2, F.lit(r), c, F.lit(x))
+    roles = F.when(layout == 0, F.array(head(1, 0, "Nr."), head(1, 1, "Capitol de lucrari"), head(1, 2, "U.M."), head(1, 3, "Cantitatea"))).when(layout == 2, F.array(head(1, 0, "Nr. crt"), head(1, 1, ""), head(1, 2, "Capitolul"), head(1, 4, "UM"), head(1, 5, "Cantitate"))).otherwise(F.array(head(1, 0, "Nr."), head(1, 5, "Pret")))
+    kind = F.col("l_orderkey") % 3
+    meta = F.when(kind == 0, F.array(cell(0, F.lit(5), 0, F.lit("Stadiul fizic:")), cell(0, F.lit(5), 1, F.lit("226U08 vechi")), cell(1, F.lit(5), 0, F.lit("STADIUL FIZIC")), cell(1, F.lit(5), 1, F.lit("226108 Lot unu")), head(0, 0, "SECTIUNEA TEHNICA"))).when(kind == 1, F.array(cell(1, F.lit(2), 3, F.lit("Deviz oferta 226u08 Lot doi")), head(0, 2, "CAPITOLUL"))).otherwise(F.array(cell(1, F.lit(2), 3, F.lit("oferta 226108 Lot trei")), head(0, 0, "Stadiul fizic : 4.1 Lot unu"), head(0, 1, "Cantitate")))
+    rows = b.select("l_orderkey", F.explode(said).alias("c")).union(b.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.concat(meta, roles)).alias("c")))
+    return tables.table_items(rows.select(F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("doc_id"), "c.*")).select("doc_id", "cod", "denumire", "um", "cantitate", "deviz", "deviz_denumire")
+
+
+@query(SQL + """, x AS (SELECT DISTINCT 'Zona' || deviz || ' veche' AS offer_deviz, (SELECT arg_min(deviz, f) FROM (SELECT deviz, min(seq) AS f FROM ref GROUP BY deviz) z WHERE contains('lot zona' || z.deviz || ' nou', 'zona' || r.deviz)) AS ref_deviz FROM ref r)
+SELECT offer_deviz, ref_deviz, 'first_word' AS how, 0.85::DOUBLE AS score FROM x UNION ALL SELECT DISTINCT 'N-' || deviz, deviz, 'name', 1.0 FROM ref""")
+def section_words(spark, d):
+    """Sections of an offer that nothing but the first word of their code ties to a name of the reference, and sections of the same name."""
+    r = sections.first_names(reference(spark, d)).select("deviz", F.concat(F.lit("lot zona"), "deviz", F.lit(" nou")).alias("denumire"), "first")
+    o = r.select(F.concat(F.lit("Zona"), "deviz", F.lit(" veche")).alias("deviz"), F.lit("qqqqqqqqqqqqqqqqqqqqqqq").alias("denumire")).union(r.select(F.concat(F.lit("N-"), "deviz"), "denumire"))
+    return sections.map_by_name(r, o).select("offer_deviz", "ref_deviz", "how", "score")
+
+
+@query(_recursive(SQL + _GREEDY + """, x AS (SELECT p1.ref_seq, p1.of_seq, od.pret_material AS p, od.val_material AS v, floor(od.cantitate * od.pret_material * 100 + 0.5) / 100 AS w FROM p1 JOIN od ON od.seq = p1.of_seq)
+SELECT ref_seq, of_seq, 'val_material' AS camp, w AS calculat, v AS declarat FROM x WHERE p > 0 AND v > 0 AND w > 0 AND abs(v - w) > 0.05 AND abs(v - w) / greatest(v, w) > 0.01"""))
+def arithmetic_of_pairs(spark, d):
+    """Values of matched offer items that are not quantity times price."""
+    r, o = matching.whole(reference(spark, d)), matching.whole(offer(spark, d))
+    pairs = staged(matching.exact_pairs(matching.prepare(r, True), matching.prepare(o, False)), "exact")
+    none = matching.prepare(r.limit(0), True)
+    return matching.discrepancies(pairs, r, o, none, none, prices=True).filter("tip = 'EROARE_ARITMETICA'").select("ref_seq", "of_seq", "camp", "calculat", "declarat")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT DISTINCT lower(c_name) AS t FROM customer UNION SELECT lower(c_name || ' ' || n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT n_nationkey::VARCHAR AS deviz, lower(n_name) AS name FROM nation)
+SELECT t AS q, deviz, 0.85::DOUBLE AS score FROM t JOIN s ON contains(t, name) AND length(t) > length(name)""")
+def names_in_texts(spark, d):
+    """Sections whose name stands in a longer text, all names looked for at once."""
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    q = c.select(F.col("c_name").alias("q")).union(c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat("c_name", F.lit(" "), "n_name")))
+    names = n.select(F.col("n_nationkey").cast("string").alias("deviz"), F.array(F.lower("n_name")).alias("texts"))
+    return sections.lookup_text(q.select(F.lower("q").alias("q")).distinct(), names).filter("kind = 'substring'").select("q", "deviz", "score")

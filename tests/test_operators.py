@@ -84,8 +84,9 @@ def test_tables_and_merge(spark):
 
 
 def test_components_and_audits(spark):
-    ln = spark.createDataFrame([("d", 1, i, c) for i, c in enumerate([">>> componenta 010 035 SD05A1 BUC. 2.000 ROBINET", "x"])], "doc_id string, page_number int, line_no int, content string")
-    assert [(r.cod, r.um, r.cantitate, r.denumire) for r in components.blocks(ln).collect()] == [("SD05A1", "buc", 2.0, "ROBINET")]
+    said = [">>> componenta 012", "037 SC27A2", "BUC.", "1.000", "PORTPAHAR DIN FONTA", "001 AUT3000", "ORA", "2.000", "APARAT DE SUDURA", "002 SA43D1", "M", "2.000", "TEAVA", ">>> componenta 013", "036 6701362", "ROBINET", ">>> componenta 014", "BETON", "x", ">>> componenta 015", "SC27A2", "KG", ">>> componenta 16 17 SD05A1"]
+    ln = spark.createDataFrame([("d", 1, i, c) for i, c in enumerate(said)], "doc_id string, page_number int, line_no int, content string")
+    assert sorted((r.line_no, r.cod, r.um, r.cantitate, r.denumire) for r in components.blocks(ln).collect()) == [(0, "SC27A2", "BUC", 0.0, "portpahar din fonta"), (5, "AUT3000", "ORA", 0.0, "aparat de sudura"), (13, "$6701362", "", 0.0, "robinet")]
     assert audits.code_context(spark.createDataFrame([("SD05A1",)], "code string"), ln).count() == 1
     assert {r.code: r.cause for r in audits.missing_causes(spark.createDataFrame([("SD05A1",), ("QQ77",)], "ref_cod string"), ln).collect()} == {"SD05A1": "exact", "QQ77": "genuine"}
 

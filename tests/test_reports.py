@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from ledgerloom.functions.texts import observation
+from ledgerloom.functions.texts import observation, systemic_alert
 from ledgerloom.sources import ocr, office, sinks
 
 DDL = "offer_nr int, tip string, camp string, ref double, oferta double, ref_deviz string, oferta_deviz string, ref_cod string, oferta_cod string, ref_denumire string, oferta_denumire string, ref_um string, oferta_um string, ref_cantitate double, oferta_cantitate double"
@@ -43,12 +43,20 @@ def test_docx(spark, rows):
     assert order == sorted(order)
 
 
-def test_xlsx(rows):
-    data = office.report_xlsx(rows, "Primaria", prices=False)
+def test_xlsx(spark, rows):
+    from pyspark.sql import functions as F
+
+    data = office.report_xlsx(rows, "Primaria", prices=False, investment="Pod", offers=[(2, "di_oferta_2.json", "SC ALFA SRL"), (3, "di_oferta_3.json", "")], date="2024-01-02")
     names = zipfile.ZipFile(io.BytesIO(data)).namelist()
-    assert {"xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml", "xl/worksheets/sheet3.xml"} <= set(names)
-    assert [a or b for a, b in texts(data, "xl/worksheets/sheet1.xml")] == ["Beneficiar:", "Primaria", "Oferta", "Total neconcordanțe", "Oferta 1", "3", "Oferta 2", "1"]
-    assert "CD2" not in "".join(a for a, _ in texts(data, "xl/worksheets/sheet3.xml"))
+    assert {f"xl/worksheets/sheet{k}.xml" for k in (1, 2, 3, 4)} <= set(names)
+    sheet = lambda k: [a or b for a, b in texts(data, f"xl/worksheets/sheet{k}.xml")]
+    assert sheet(1) == ["Beneficiar:", "Primaria", "Obiect investiție:", "Pod", "Oferta", "Total neconcordanțe", "Oferta 2", "1", "Oferta 3", "0", "Oferta 1", "3"]
+    head = ["Beneficiar:", "Primaria", "Obiect investiție:", "Pod", "Data:", "2024-01-02", "Oferta:"]
+    assert sheet(2) == [*head, "Oferta 2 — di_oferta_2.json", "Ofertant:", "SC ALFA SRL", "Nr.\ncrt.", "Cerința din caietul de sarcini", "Ce a ofertat\nSC ALFA SRL", "Observații", "Categoria de lucrari: 12", "1", "CD1  mp  1.0\ny", "CD1  mc  1.0\ny", "UNITATE DE MĂSURĂ DIFERITĂ\nRef: mp  |  Ofertă: mc"]
+    assert sheet(3)[-1] == "Nicio neconcordanță detectată."
+    assert "—" in sheet(4) and "LIPSĂ ARTICOL" in sheet(4) and "CANTITATE DIFERITĂ\nRef: 2.0  |  Ofertă: 3.0" in sheet(4)
+    data = office.report_xlsx(rows.withColumns({"suspect": F.col("tip") == "UM_DIFERIT", "motiv_suspiciune": F.lit("alt pret")}), alert=systemic_alert(0.456))
+    assert "⚠️ ALERTĂ SISTEMICĂ: 45% din itemii verificați sunt suspecți" in sheet(1) and "⚠️ alt pret" in sheet(3) and "Suspect" in sheet(3)
     with pytest.raises(ValueError):
         office.report_xlsx(rows, most=2)
 
@@ -64,14 +72,14 @@ def test_files(spark, rows, tmp_path):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "di_oferta_2.json").write_text('{"pages": [{"page_number": 1, "lines": [{"content": "Ofertant:"}, {"content": "SC ALFA"}]}]}')
+    (tmp_path / "di_oferta_2.json").write_text('{"pages": [{"page_number": 1, "lines": [{"content": "OFERTANT,"}, {"content": "SC ALFA"}, {"content": "SRL"}, {"content": "Data 1.1"}]}]}')
     (tmp_path / "di_oferta_x.json").write_text('{"tables": []}')
     (tmp_path / "di_referinta.json").write_text('{"pages": []}')
     docs = ocr.documents(spark, str(tmp_path))
     assert [(r.doc_id, r.offer_nr) for r in ocr.offers(docs).collect()] == [("di_oferta_2", 2)] and ocr.reference(docs).count() == 1
     from ledgerloom.operators import pages
 
-    assert [(r.doc_id, r.bidder) for r in pages.bidder_names(pages.lines(docs)).collect()] == [("di_oferta_2", "SC ALFA")]
+    assert [(r.doc_id, r.bidder) for r in pages.bidder_names(pages.lines(docs)).collect()] == [("di_oferta_2", "SC ALFA SRL")]
     (tmp_path / "want.txt").write_text("# none\nab1|zid\nbad line\n|x\n")
     assert [tuple(r) for r in ocr.expected_items(spark, str(tmp_path / "want.txt")).collect()] == [("AB1", "zid")]
     lib = ocr.patterns(spark)
