@@ -6,8 +6,9 @@ share integers vote for the offset between them; offsets with votes enough are c
 over the whole overlap, and the one with most votes of those that pass is taken. Recordings of one fingerprint are one
 class, and classes are what is aligned. Every frame votes. Classes are dealt into chunks and queries into blocks, and
 each block meets each chunk: an inverted list of the chunk's integers gives the offsets at which a query has votes, all
-recordings at once, and bit errors are counted there and then, so nothing but alignments leaves a task. A vote is two of
-an integer's four bytes that agree, so frames vote whose integers differ in a few bits; an equal integer is six votes.
+recordings at once, and bit errors are counted there and then, so nothing but alignments leaves a task. A vote is three
+of an integer's four bytes that agree, of the bytes as they are or turned by half a byte, so frames vote too whose
+integers differ in neighbouring bits; an equal integer is eight votes.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ FRAME, HOP, LOW, HIGH = 0.128, 0.032, 110.0, 2500.0
 #: Frames that a filter sees, and the answer's outer thresholds.
 WIDTH, EDGE = 8, 0.12
 #: Votes and overlapping frames an alignment needs, and the share of bits that may differ.
-VOTES, OVERLAP, MOST_ERROR = 3, 8, 0.25
-#: The pairs of bytes that vote.
-BYTES = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+VOTES, OVERLAP, MOST_ERROR = 2, 8, 0.25
+#: By how many bits an integer is turned, and the byte that is left out, for each of its votes.
+PARTS = tuple((turn, left) for turn in (0, 4) for left in range(4))
 #: Frames of a chunk of recordings or a block of queries, and pairs of runs or of frames that are compared at once.
 CHUNK, BLOCK = 1 << 20, 1 << 21
 #: Hops that a note of a played text lasts.
@@ -138,14 +139,24 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable[[b
     return staged(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n int, fp binary, r long"), "chroma-fingerprints")
 
 
+def voting(fp: np.ndarray) -> list[np.ndarray]:
+    """For each of PARTS, three bytes of the integers and the part's number."""
+    out = []
+    for k, (turn, left) in enumerate(PARTS):
+        x = fp >> np.uint32(turn) | fp << np.uint32(32 - turn) if turn else fp
+        low = x & np.uint32((1 << 8 * left) - 1)
+        high = x >> np.uint32(8 * left + 8) << np.uint32(8 * left) if left < 3 else np.uint32(0)
+        out.append(low | high | np.uint32(k << 24))
+    return out
+
+
 def _runs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where runs of one value of each pair of bytes start, their lengths, and the value with the pair's number."""
+    """Where runs of one vote start, their lengths, and the vote."""
     starts, lengths, values = [], [], []
-    for k, (p, q) in enumerate(BYTES):
-        v = (fp >> np.uint32(8 * p) & np.uint32(255)) | (fp >> np.uint32(8 * q) & np.uint32(255)) << np.uint32(8) | np.uint32(k << 16)
+    for v in voting(fp):
         at = np.flatnonzero(np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]]))
         starts.append(at)
-        lengths.append(np.diff(at, append=len(v)))
+        lengths.append(np.diff(at, append=len(v)).astype(np.int32))
         values.append(v[at])
     return np.concatenate(starts), np.concatenate(lengths), np.concatenate(values)
 
@@ -166,41 +177,52 @@ class Chunk:
 
 
 def votes(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Where a query's first frame may stand in a chunk's row with VOTES or more equal pairs of bytes, and how many there are.
+    """Where a query's first frame may stand in a chunk's row with VOTES votes or more, and how many there are.
 
-    Two runs of one value add a trapezoid of votes over the places, of which the four bends are summed, so long runs cost
-    no more than short ones.
+    Two runs of one vote add a trapezoid of votes over the places, of which the four bends are summed, so long runs cost no
+    more than short ones; runs of one frame on either side add one vote at one place.
     """
     start, length, value = _runs(a)
     low = np.searchsorted(chunk.value, value)
     n = np.searchsorted(chunk.value, value, side="right") - low
-    places, bends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    single, places, bends = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = starts_of(n)
     for x in range(0, int(first[-1]), BLOCK):
-        pair = np.arange(x, min(x + BLOCK, int(first[-1])))
-        i = np.searchsorted(first, pair, side="right") - 1
-        j = low[i] + pair - first[i]
+        size = np.minimum(first[1:], x + BLOCK) - np.maximum(first[:-1], x)
+        i = np.repeat(np.arange(len(n)), np.maximum(0, size))
+        j = np.arange(x, min(x + BLOCK, int(first[-1]))) + (low - first[:-1])[i]
         rise, stay = length[i], chunk.length[j]
         at = chunk.place[j] - start[i] - rise + 1
+        one = (rise == 1) & (stay == 1)
+        single.append(at[one])
+        at, rise, stay = at[~one], rise[~one], stay[~one]
         one = np.ones(len(at), np.int64)
         places = np.concatenate([places, at, at + rise, at + stay, at + rise + stay])
         bends = np.concatenate([bends, one, -one, -one, one])
-        order = np.argsort(places, kind="stable")
-        places, bends = places[order], bends[order]
-        new = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
-        places, bends = places[new], np.add.reduceat(bends, new)
-        kept = bends != 0
-        places, bends = places[kept], bends[kept]
+        places, bends = _summed(places, bends)
+    counted = np.sort(np.concatenate(single)) if single else places
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(counted)), bool), counted[1:] != counted[:-1]]))
+    found, count = counted[new], np.diff(new, append=len(counted))
+    if len(places):
+        slope, width = bends.cumsum(), np.diff(places, append=places[-1:])
+        end = (slope * width).cumsum()
+        before = end - slope * width
+        some = np.flatnonzero((np.maximum(before + slope, end) >= (1 if len(found) else VOTES)) & (width > 0))
+        step = np.arange(width[some].sum()) - np.repeat(starts_of(width[some])[:-1], width[some])
+        some = np.repeat(some, width[some])
+        found, count = _summed(np.concatenate([found, places[some] + step]), np.concatenate([count, before[some] + slope[some] * (step + 1)]))
+    return found[count >= VOTES], count[count >= VOTES]
+
+
+def _summed(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order, and the sum of the values at each, where it isn't zero."""
     if not len(places):
-        return places, bends
-    slope, width = bends.cumsum(), np.diff(places, append=places[-1:])
-    end = (slope * width).cumsum()
-    before = end - slope * width
-    some = np.flatnonzero((np.maximum(before + slope, end) >= VOTES) & (width > 0))
-    step = np.arange(width[some].sum()) - np.repeat(starts_of(width[some])[:-1], width[some])
-    some = np.repeat(some, width[some])
-    count = before[some] + slope[some] * (step + 1)
-    return (places[some] + step)[count >= VOTES], count[count >= VOTES]
+        return places, values
+    order = np.argsort(places, kind="stable")
+    places, values = places[order], values[order]
+    new = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+    places, values = places[new], np.add.reduceat(values, new)
+    return places[values != 0], values[values != 0]
 
 
 def search(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, ...]:
