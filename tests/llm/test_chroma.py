@@ -16,11 +16,16 @@ def links(spark, fps: list[np.ndarray], queries: int) -> dict:
 def votes_at(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     """By offset, the triples of bytes that agree, of the integers as they are and turned by four bits: four equal bytes are four, three are one."""
 
-    def agree(x: int, y: int) -> int:
-        d = int(x) ^ int(y)
-        return sum({4: 4, 3: 1}.get(sum((z >> 8 * k) & 255 == 0 for k in range(4)), 0) for z in (d, (d >> 4 | d << 28) & 0xFFFFFFFF))
-
-    return {o: sum(agree(a[i], b[i + o]) for i in range(max(0, -o), min(len(a), len(b) - o))) for o in range(1 - len(a), len(b))}
+    def agree(x: np.ndarray, y: np.ndarray) -> int:
+        d = x ^ y
+        total = 0
+        for z in (d, d >> np.uint32(4) | d << np.uint32(28)):
+            equal = sum(((z >> np.uint32(8 * k)) & np.uint32(255) == 0).astype(int) for k in range(4))
+            total += 4 * int((equal == 4).sum()) + int((equal == 3).sum())
+        return total
+
+    part = lambda o: slice(max(0, -o), min(len(a), len(b) - o))
+    return {o: agree(a[part(o)], b[part(o).start + o : part(o).stop + o]) for o in range(1 - len(a), len(b))}
 
 
 def noisy(rng, x: np.ndarray, p: float) -> np.ndarray:
