@@ -105,8 +105,8 @@ def component_summary(docs: DataFrame, text_col: str = "text", expected: str | N
     return out.select("doc_id", "format", F.when(none, c * 0.5).otherwise(c).alias("confidence"), "n_codes", warn.alias("warnings"), ((F.size(warn) == 0) & (F.col("n_codes") > 0)).alias("valid"))
 
 
-def verify_expected(expected: DataFrame, items: DataFrame, similarity) -> DataFrame:
-    """code, status (complete from 0.9, incomplete from 0.7, found, missing) and the best score of an expected description."""
-    j = expected.join(items.select(F.upper(text("cod")).alias("code"), "denumire"), "code", "left").withColumn("s", F.when(F.col("denumire").isNotNull(), similarity("description", "denumire")))
-    best = j.groupBy("code", "description").agg(F.max("s").alias("score"))
+def verify_expected(expected: DataFrame, items: DataFrame, similarity, scope: tuple[str, ...] = ()) -> DataFrame:
+    """code, status (complete from 0.9, incomplete from 0.7, found, missing) and the best score of an expected description, among the items of its code and `scope`."""
+    j = expected.join(items.select(*scope, F.upper(text("cod")).alias("code"), "denumire"), [*scope, "code"], "left").withColumn("s", F.when(F.col("denumire").isNotNull(), similarity("description", "denumire")))
+    best = j.groupBy(*scope, "code", "description").agg(F.max("s").alias("score"))
     return best.withColumn("status", F.when(F.col("score").isNull(), "missing").when(F.col("score") >= 0.9, "complete").when(F.col("score") >= 0.7, "incomplete").otherwise("found"))
