@@ -232,16 +232,33 @@ def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, le
     return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), (0.6 * F.col("cr") + 0.4 * F.col("t")).alias("score"), (F.col("t") >= least_text).alias("sure")), "similar", persist)
 
 
+def interval_classes(ref: DataFrame, offer: DataFrame, *members: Column) -> DataFrame:
+    """interval_candidates() as pairs of classes: section, unit, r_qty and o_qty that are near enough, with r_n and o_n, the rows of each, and any aggregates of them (r_ and o_ columns).
+
+    All rows of a side with one section, unit and quantity meet the same rows, so they are one class: every row of r_qty is
+    a candidate for every one of o_qty, and no pair of rows is made.
+    """
+    key = ["section", "unit", "qty"]
+    side = lambda rows: rows.groupBy(*key).agg(F.count("*").alias("n"), *members)
+    return _near(side(ref), side(offer), [c for c in side(ref).columns if c not in ("section", "unit")])
+
+
+def _near(ref: DataFrame, offer: DataFrame, columns: list[str]) -> DataFrame:
+    """section, unit, and r_ and o_ columns of pairs whose quantities are near enough; see interval_candidates()."""
+    size = F.floor(F.log(F.abs("qty") + 1) / 0.0102)
+    r = ref.filter((F.col("qty") != 0) | (F.col("unit") != "")).withColumn("__s", F.explode(F.array(size - 1, size, size + 1)))
+    name = lambda rows, p: rows.select("section", "unit", "__s", *[F.col(c).alias(p + c) for c in columns])
+    c = name(r, "r_").join(name(offer.withColumn("__s", size), "o_"), ["section", "unit", "__s"]).drop("__s")
+    return c.filter(F.abs(F.col("r_qty") - F.col("o_qty")) <= 0.01 * F.greatest(F.abs("r_qty"), F.abs("o_qty")) + 0.01)
+
+
 def interval_candidates(ref: DataFrame, offer: DataFrame) -> DataFrame:
     """Pairs of one section and unit whose quantities differ by a hundredth of the larger at most (and 0.01).
 
     Such quantities, one added, differ by a factor of 1/0.99 at most, so they lie in one class of that width or in two
     neighbouring ones: rows meet over these.
     """
-    size = F.floor(F.log(F.abs("qty") + 1) / 0.0102)
-    r = ref.filter((F.col("qty") != 0) | (F.col("unit") != "")).withColumn("__s", F.explode(F.array(size - 1, size, size + 1)))
-    c = _sides(r, offer.withColumn("__s", size), ["section", "unit", "__s"]).drop("__s")
-    return c.filter(F.abs(F.col("r_qty") - F.col("o_qty")) <= 0.01 * F.greatest(F.abs("r_qty"), F.abs("o_qty")) + 0.01)
+    return _near(ref, offer, ["seq", "code", "norm", "qty", "denumire", "um"])
 
 
 def interval_pairs(ref: DataFrame, offer: DataFrame, least_text: float = 0.4, persist=staged) -> DataFrame:

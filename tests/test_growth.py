@@ -25,3 +25,12 @@ def test_components_as_spans_of_a_list(spark):
     # a component at its parent's own place does not stand behind it, and no code is no parent's
     edge = spark.createDataFrame([("P", 1, False, None), ("c", 1, True, "P"), (None, 0, False, None), ("x", 2, True, None)], "cod string, seq long, is_component boolean, parent_code string")
     assert [(r.n, r.least) for r in components.spans(edge).filter("NOT is_component").collect()] == [(0, None)] * 2
+
+
+def test_intervals_meet_as_classes(spark):
+    from ledgerloom.operators import matching
+
+    rows = spark.range(200).select(F.lit("s").alias("section"), F.lit("m").alias("unit"), F.when(F.col("id") < 100, 100.0).otherwise(100.5).alias("qty"), *[F.lit("x").alias(c) for c in ("code", "norm", "denumire", "um")], F.col("id").alias("seq"))
+    c = matching.interval_classes(rows, rows, F.sum("seq").alias("seqs"))
+    assert c.count() == 4 and c.agg(F.sum(F.col("r_n") * F.col("o_n"))).first()[0] == matching.interval_candidates(rows, rows).count() == 40_000
+    assert c.agg(F.sum(F.col("r_seqs") * F.col("o_n"))).first()[0] == matching.interval_candidates(rows, rows).agg(F.sum("r_seq")).first()[0]

@@ -39,3 +39,8 @@ def test_prices_that_differ_are_no_values(spark, shared):
 
 def test_extracted_items_of_one_code(spark, shared):
     same(spark, shared, "extracted_documents")
+
+
+@pytest.mark.parametrize("name", ["rescued_pages", "component_hierarchy", "interval_join"])
+def test_linear_queries(spark, shared, name):
+    same(spark, shared, name)
