@@ -78,3 +78,25 @@ def dedup_discrepancies(rows: DataFrame, order: list, scope: list[str] | None =
         prio = F.when(F.col("tip") == tip, p).otherwise(prio)
     w = Window.partitionBy(*(scope or []), "ref_cod", "oferta_cod").orderBy(prio.desc(), *order)
     return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+
+
+def first_differences(ref: DataFrame, offer: DataFrame, keys: list[str]) -> DataFrame:
+    """ref_cod, oferta_cod, ref_seq, oferta_seq, tip and camp: for each pair of codes its first difference of unit or quantity, by the ordinals of both sides, among rows of equal `keys`.
+
+    Sides have keys, seq, cod, um and cantitate. This is what dedup_discrepancies() leaves of diffs() over the join, without
+    the join: a reference row differs from some offer row of its key if and only if it differs from one of the extremes in
+    unit or quantity, as a quantity that counts as different stays so the farther it lies. So the first such row of each pair
+    of codes is found from the extremes, and only that one meets its offer rows.
+    """
+    unit = compare_unit("um")
+    side = lambda rows, p: rows.select(*keys, *[F.col(c).alias(p + c) for c in ("seq", "cod", "um", "cantitate")])
+    q = F.coalesce("cantitate", F.lit(0.0))
+    ends = offer.groupBy(*keys, F.col("cod").alias("oferta_cod")).agg(F.min(unit).alias("__u"), F.max(unit).alias("__v"), F.min(q).alias("__a"), F.max(q).alias("__b"))
+    own, value = compare_unit("ref_um"), F.col("ref_cantitate")
+    hit = side(ref, "ref_").join(ends, keys).filter((own != F.col("__u")) | (own != F.col("__v")) | differs(value, F.col("__a")) | differs(value, F.col("__b")))
+    fields = [*keys, *[f"ref_{c}" for c in ("seq", "cod", "um", "cantitate")]]
+    first = hit.groupBy("ref_cod", "oferta_cod").agg(F.min_by(F.struct(*[c for c in fields if c != "ref_cod"]), "ref_seq").alias("x")).select("ref_cod", "oferta_cod", "x.*")
+    near = first.withColumnRenamed("oferta_cod", "__oc").join(side(offer, "oferta_"), keys).filter(F.col("__oc").eqNullSafe(F.col("oferta_cod")))
+    found = near.select("ref_cod", "oferta_cod", "ref_seq", "oferta_seq", F.explode(diffs()).alias("d"))
+    best = found.groupBy("ref_cod", "oferta_cod").agg(F.min_by(F.struct("ref_seq", "oferta_seq", "d.tip", "d.camp"), F.struct("ref_seq", "oferta_seq", field_rank("d.camp").alias("k"))).alias("x"))
+    return best.select("ref_cod", "oferta_cod", "x.*")

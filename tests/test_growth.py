@@ -34,3 +34,13 @@ def test_intervals_meet_as_classes(spark):
     c = matching.interval_classes(rows, rows, F.sum("seq").alias("seqs"))
     assert c.count() == 4 and c.agg(F.sum(F.col("r_n") * F.col("o_n"))).first()[0] == matching.interval_candidates(rows, rows).count() == 40_000
     assert c.agg(F.sum(F.col("r_seqs") * F.col("o_n"))).first()[0] == matching.interval_candidates(rows, rows).agg(F.sum("r_seq")).first()[0]
+
+
+def test_first_differences_make_no_pairs(spark):
+    from ledgerloom.operators import compare
+
+    rows = spark.range(400).select(F.lit("s").alias("section"), F.lit("C").alias("code"), F.lit("C").alias("cod"), F.lit("m").alias("um"), (F.lit(100.0) + F.col("id") * 0.01).alias("cantitate"), F.col("id").alias("seq"))
+    got = compare.first_differences(rows, rows, ["section", "code"]).collect()
+    assert [(r.ref_seq, r.oferta_seq, r.tip, r.camp) for r in got] == [(0, 51, "DIFERENTA_CAMP", "cantitate")]
+    near = rows.filter("seq < 20")
+    assert compare.first_differences(near, near, ["section", "code"]).count() == 0

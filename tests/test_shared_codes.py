@@ -44,3 +44,7 @@ def test_extracted_items_of_one_code(spark, shared):
 @pytest.mark.parametrize("name", ["rescued_pages", "component_hierarchy", "interval_join"])
 def test_linear_queries(spark, shared, name):
     same(spark, shared, name)
+
+
+def test_first_differences(spark, shared):
+    same(spark, shared, "discrepancy_dedup")
