@@ -43,9 +43,10 @@ def rolled_up(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def coverage(found: DataFrame, detected: DataFrame) -> DataFrame:
-    """extracted and detected distinct codes, the former over the latter to three decimals (1 if none is detected, above 1 if more were extracted), and a warning below 0.7."""
-    n = lambda rows, name: rows.filter(text("code") != "").agg(F.count_distinct(F.upper(text("code"))).alias(name))
-    one = n(detected, "detected").join(F.broadcast(n(found, "extracted")))
+    """extracted and detected distinct codes, covered (those that are both), extracted over detected to three decimals (1 if none is detected, above 1 if more were extracted), and a warning below 0.7."""
+    codes = lambda rows, name: rows.filter(text("code") != "").select(F.upper(text("code")).alias("code")).distinct().withColumn(name, F.lit(True))
+    both = codes(detected, "d").join(codes(found, "e"), "code", "full_outer")
+    one = both.agg(F.count("d").alias("detected"), F.count("e").alias("extracted"), F.count_if(F.col("d") & F.col("e")).alias("covered"))
     part = F.when(F.col("detected") > 0, F.col("extracted") / F.col("detected")).otherwise(F.lit(1.0))
     return one.withColumn("ratio", F.floor(part * 1000 + 0.5) / 1000).withColumn("warn", part < 0.7)
 

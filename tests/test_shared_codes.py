@@ -48,3 +48,12 @@ def test_linear_queries(spark, shared, name):
 
 def test_first_differences(spark, shared):
     same(spark, shared, "discrepancy_dedup")
+
+
+def test_coverage_counts_codes_of_both_sides(spark, shared):
+    same(spark, shared, "extraction_coverage")
+    found, detected = (spark.createDataFrame([(c,) for c in x], "code string") for x in (["a", "B", "x", "y", None], ["A", "b", "C", "", "b"]))
+    from ledgerloom.operators.aggregates import coverage
+
+    r = coverage(found, detected).first()
+    assert (r.detected, r.extracted, r.covered, r.ratio, r.warn) == (3, 4, 2, 1.333, False)
