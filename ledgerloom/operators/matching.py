@@ -73,29 +73,39 @@ def ordinal_pairs(ref: DataFrame, offer: DataFrame, keys: list, layer: str, orde
 def exact_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     """Section and code are equal: each reference row in order of quantity takes the offer row of its unit with the nearest quantity.
 
-    Keys with one row on either side are a plain join; only the others are grouped.
+    Both sides lie together by key after one shuffle. A key that one side lacks goes no farther, one with one row on either
+    side is a pair at once; only the others are read key by key.
     """
     keys = ["section", "code"]
-    n = ref.groupBy(keys).agg(F.count("*").alias("nr")).join(offer.groupBy(keys).agg(F.count("*").alias("no")), keys)
-    one = n.filter("nr = 1 and no = 1").select(keys)
-    plain = ref.join(one, keys).select(*keys, F.col("seq").alias("ref_seq")).join(offer.select(*keys, F.col("seq").alias("of_seq")), keys)
-    plain = plain.select("ref_seq", "of_seq", F.lit("exact").alias("layer"), F.lit(1.0).alias("score"))
-    many = n.filter("nr > 1 or no > 1").select(keys)
-    side = lambda rows, k: rows.join(many, keys).select(*keys, "seq", "unit", "qty", F.lit(k).alias("side"))
-    both = side(ref, 0).unionByName(side(offer, 1))
+    side = lambda rows, k: rows.select(*keys, "seq", "unit", "qty", F.lit(k).alias("side")).dropna(subset=keys)
+    key = Window.partitionBy(*keys)
+    n = lambda k: F.count_if(F.col("side") == k).over(key)
+    both = side(ref, 0).unionByName(side(offer, 1)).withColumns({"nr": n(0), "no": n(1), "after": F.coalesce(F.lead("seq").over(key.orderBy("side")), F.lit(0))})
+    both = both.withColumn("single", (F.col("nr") == 1) & (F.col("no") == 1)).filter("nr > 0 AND no > 0 AND (NOT single OR side = 0)").drop("nr", "no")
 
-    def run(frames):
+    def taken(rows):
         out: list[tuple] = []
-        for g in runs(frames, keys):
+        for g in runs([rows], keys):
             side = lambda k: sorted((q, s, u) for q, s, u, x in zip(g["qty"], g["seq"], g["unit"], g["side"]) if x == k)
             out += [(r, o, "exact", 1.0) for r, o in nearest_pairs(side(0), side(1))]
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        yield pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=names)
+
+    def run(frames):
+        held = None
+        for f in frames:
+            one = f["single"].to_numpy(dtype=bool)
+            yield pd.DataFrame({"ref_seq": f["seq"][one], "of_seq": f["after"][one], "layer": "exact", "score": 1.0})
+            rows = f[~one] if held is None else pd.concat([held, f[~one]])
+            if len(rows):
+                # the last key may go on in the next frame
+                last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+                held = rows[last]
+                yield taken(rows[~last])
+        if held is not None:
+            yield taken(held)
 
     names = [c.split(" ")[0] for c in PAIRS.split(", ")]
-    return plain.unionByName(both.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, PAIRS))
+    return both.sortWithinPartitions(*keys).mapInPandas(run, PAIRS)
 
 
 class Free:

@@ -44,3 +44,24 @@ def test_first_differences_make_no_pairs(spark):
     assert [(r.ref_seq, r.oferta_seq, r.tip, r.camp) for r in got] == [(0, 51, "DIFERENTA_CAMP", "cantitate")]
     near = rows.filter("seq < 20")
     assert compare.first_differences(near, near, ["section", "code"]).count() == 0
+
+
+def test_exact_pairs_shuffle_each_side_once(spark):
+    from ledgerloom.operators import matching
+
+    n = spark.range(0, 30_000).select(F.lit("s").alias("section"), F.concat(F.lit("C"), (F.col("id") % 9_000).cast("string")).alias("code"), F.col("id").alias("seq"), F.lit("m").alias("unit"), (F.col("id") % 7).cast("double").alias("qty"))
+    # keys below 3,000 have more rows than one, those from 7,000 on lack one side
+    ref = n.filter("seq < 9000 or seq >= 27000 and seq < 30000").withColumn("seq", F.col("seq") + 0)
+    offer = n.filter("seq < 7000").withColumn("seq", F.col("seq") + 1_000_000)
+    p = matching.exact_pairs(ref, offer)
+    got = {(r.ref_seq, r.of_seq) for r in p.collect()}
+    assert {(r, o) for r, o in got if 3_000 <= r < 9_000} == {(i, i + 1_000_000) for i in range(3_000, 7_000)}
+    assert len(got) == 7_000 and len({o for _, o in got}) == 7_000
+    assert p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    few = ref.filter("seq < 400 or seq >= 27000 and seq < 27400"), offer.filter("seq < 300")
+    whole = matching.exact_pairs(*few).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # keys go on from one batch into the next
+    try:
+        assert sorted(matching.exact_pairs(*few).collect()) == sorted(whole) and len(whole) == 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
