@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 UNITS = ("buc", "mp", "mc", "kg", "m")
+#: Parts up to which Spark may broadcast them; more are joined by a shuffle, whatever their file's size promises.
+PARTS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,7 @@ def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
     It holds up to 64 lines of an order and 4,096 repeats of a line, and any number of orders below 2^45.
     """
     li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    p = p if p.count() <= PARTS else p.hint("merge")
     again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     li = li.withColumn("again", again - 1)
     seq = (F.col("l_orderkey") * 64 + F.col("l_linenumber")) * 4096 + F.col("again")

@@ -65,3 +65,14 @@ def test_exact_pairs_shuffle_each_side_once(spark):
         assert sorted(matching.exact_pairs(*few).collect()) == sorted(whole) and len(whole) == 300
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_parts_are_not_broadcast(spark, tmp_path):
+    from ledgerloom.plans import bill
+
+    n = 2_100_000
+    spark.range(n).select(F.col("id").alias("p_partkey"), *[F.lit(c).alias(c) for c in ("p_name", "p_brand")], F.lit(1).alias("p_size"), F.lit(2.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).select(F.col("id").alias("l_orderkey"), (F.col("id") * 50_000).alias("l_partkey"), F.col("id").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(3.0).alias("l_quantity"), F.lit(6.0).alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    codes = bill.bill(spark, str(tmp_path)).select("l_orderkey", "cod")
+    assert codes.count() == 40
+    assert "Broadcast" not in codes._jdf.queryExecution().executedPlan().toString()
