@@ -35,6 +35,8 @@ VOTES, OVERLAP, MOST_ERROR = 2, 8, 0.25
 PARTS = tuple((turn, left) for turn in (0, 4) for left in range(4))
 #: Frames of a chunk of recordings or a block of queries, and pairs of runs or of frames that are compared at once.
 CHUNK, BLOCK = 1 << 20, 1 << 21
+#: Frames of windows that are compared at once: few enough for a processor's cache.
+WINDOWS = 1 << 16
 #: Hops that a note of a played text lasts.
 NOTE = 1
 
@@ -166,14 +168,25 @@ class Chunk:
 
     def __init__(self, fps: list[np.ndarray], most: int):
         lens = np.array([len(x) for x in fps], np.int64)
-        self.lens, self.flat, self.first = lens, np.concatenate(fps), starts_of(lens)[:-1]
-        self.at = self.first + most * np.arange(1, len(fps) + 1)
+        self.row = np.concatenate([np.zeros(most, np.uint32), *fps, np.zeros(most + 1, np.uint32)])
+        self.lens, self.first = lens, most + starts_of(lens)[:-1]
+        self.at = self.first + most * np.arange(len(fps))
         runs = [_runs(x) for x in fps]
         start, self.length = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
         own = np.repeat(np.arange(len(fps)), [len(r[0]) for r in runs])
         value = np.concatenate([r[2] for r in runs])
         order = np.argsort(value, kind="stable")
-        self.value, self.place, self.length = value[order], (start + self.at[own])[order], self.length[order]
+        value, self.place, self.length = value[order], (start + self.at[own])[order], self.length[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(value)), bool), value[1:] != value[:-1]]))
+        self.value, self.span = value[new], np.append(new, len(value))
+
+    def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of each vote begin, and how many there are."""
+        k = np.searchsorted(self.value, value)
+        here = k < len(self.value)
+        here[here] = self.value[k[here]] == value[here]
+        k = np.where(here, k, 0)
+        return self.span[k], np.where(here, self.span[np.minimum(k + 1, len(self.value))] - self.span[k], 0)
 
 
 def votes(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +196,7 @@ def votes(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     more than short ones; runs of one frame on either side add one vote at one place.
     """
     start, length, value = _runs(a)
-    low = np.searchsorted(chunk.value, value)
-    n = np.searchsorted(chunk.value, value, side="right") - low
+    low, n = chunk.found(value)
     single, places, bends = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = starts_of(n)
     for x in range(0, int(first[-1]), BLOCK):
@@ -225,6 +237,32 @@ def _summed(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return places[values != 0], values[values != 0]
 
 
+def _differing(a: np.ndarray, row: np.ndarray, at: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many bits differ in each overlap: n frames from `start` on of a query that lies at `at` in a row.
+
+    Where most of the query overlaps, whole windows of its width are compared, and what lies outside the overlap is left out.
+    """
+    out, first, width, x = np.zeros(len(at), np.int64), starts_of(n), len(a) + len(a) % 2, 0
+    if width * len(at) <= 4 * int(first[-1]):
+        narrow = np.int16 if width < 1 << 15 else np.int64
+        wide, t = np.zeros(width, np.uint32), np.arange(width, dtype=narrow)
+        wide[: len(a)] = a
+        windows, start, end = np.lib.stride_tricks.sliding_window_view(row, width), start.astype(narrow)[:, None], (start + n).astype(narrow)[:, None]
+        step = max(1, WINDOWS // width)
+        for x in range(0, len(at), step):
+            d = np.ascontiguousarray(windows[at[x : x + step]] ^ wide)
+            d *= (t >= start[x : x + step]) & (t < end[x : x + step])
+            out[x : x + step] = np.bitwise_count(d.view(np.uint64)).sum(1, dtype=np.int64)
+        return out
+    while x < len(at):
+        y = max(x + 1, int(np.searchsorted(first, first[x] + BLOCK, side="right")) - 1)
+        i = np.arange(first[y] - first[x]) + np.repeat(start[x:y] - first[x:y] + first[x], n[x:y])
+        j = i + np.repeat(at[x:y], n[x:y])
+        out[x:y] = np.add.reduceat(np.bitwise_count(a[i] ^ row[j]).astype(np.int64), first[x:y] - first[x])
+        x = y
+    return out
+
+
 def search(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, ...]:
     """Recording, offset, votes, overlap and share of differing bits of a query's best alignment with each recording that has one.
 
@@ -236,14 +274,7 @@ def search(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, ...]:
     start, end = np.maximum(0, -offset), np.minimum(len(a), chunk.lens[r] - offset)
     long = np.flatnonzero(end - start >= OVERLAP)
     r, offset, count, start, n = r[long], offset[long], count[long], start[long], (end - start)[long]
-    differ, first = np.zeros(len(r), np.int64), starts_of(n)
-    x = 0
-    while x < len(r):
-        y = max(x + 1, int(np.searchsorted(first, first[x] + BLOCK, side="right")) - 1)
-        i = np.arange(first[y] - first[x]) + np.repeat(start[x:y] - first[x:y] + first[x], n[x:y])
-        j = i + np.repeat(offset[x:y] + chunk.first[r[x:y]], n[x:y])
-        differ[x:y] = np.add.reduceat(np.bitwise_count(a[i] ^ chunk.flat[j]).astype(np.int64), first[x:y] - first[x])
-        x = y
+    differ = _differing(a, chunk.row, chunk.first[r] + offset, start, n)
     error = differ / np.maximum(1, 32 * n)
     good = np.flatnonzero(error <= MOST_ERROR)
     good = good[np.lexsort((offset[good], -count[good], r[good]))]
@@ -251,47 +282,89 @@ def search(a: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, ...]:
     return r[good], offset[good], count[good], n[good], error[good]
 
 
-def _meet(asked: pa.Table, there: pa.Table) -> pa.Table:
-    """The alignments of a block of queries with a chunk of recordings."""
+def _alignments(asked: pa.Table, there: pa.Table):
+    """For each query of a block: its class, and the classes, offsets, votes, overlaps and shares of differing bits of its alignments with a chunk of recordings."""
     queries = [np.frombuffer(x, np.uint32) for x in asked["fp"].to_pylist()]
-    out: list[tuple] = []
     if queries and len(there):
         chunk = Chunk([np.frombuffer(x, np.uint32) for x in there["fp"].to_pylist()], max(map(len, queries)))
         ids = there["r"].to_numpy()
         for q, a in zip(asked["r"].to_pylist(), queries):
             r, *found = search(a, chunk)
             other = ids[r] != q
-            out.append((np.full(int(other.sum()), q), ids[r][other], *[x[other] for x in found]))
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-    return pa.table([pa.array(x).cast(k) for x, k in zip(columns, kinds)], ["q", "r", "offset", "votes", "overlap", "bit_error_rate"])
+            yield q, ids[r][other], *[x[other] for x in found]
 
 
-def align(prints: DataFrame, is_query) -> DataFrame:
-    """kind, query_id, match_id, offset, votes, overlap and bit_error_rate.
+def _table(out: list[tuple]) -> pa.Table:
+    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 7
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+    return pa.table([pa.array(x).cast(k) for x, k in zip(columns, kinds)], ["q", "r", "offset", "votes", "overlap", "bit_error_rate", "n_links"])
 
-    Rows of kind `match`: a class with a query in it and another class, at the best (most votes, then the least) of all
-    offsets with VOTES votes, OVERLAP frames and at most MOST_ERROR of bits differing. Rows of kind `member`: every
-    recording and its class (null without a fingerprint), with its frames as overlap. A class is named by its least id.
-    Repeated rows are members once each.
-    """
+
+def _meet(asked: pa.Table, there: pa.Table) -> pa.Table:
+    """The alignments of a block of queries with a chunk of recordings, each one link."""
+    return _table([(np.full(len(r), q), r, *found, np.ones(len(r))) for q, r, *found in _alignments(asked, there)])
+
+
+def _count(asked: pa.Table, there: pa.Table) -> pa.Table:
+    """For each query of a block, the best of its alignments with a chunk of recordings, and how many there are."""
+    out = []
+    for q, r, offset, votes, overlap, error in _alignments(asked, there):
+        k = np.lexsort((r, error, -votes))[:1]
+        out.append((np.full(len(k), q), r[k], offset[k], votes[k], overlap[k], error[k], np.full(len(k), len(r))))
+    return _table(out)
+
+
+def _classes(prints: DataFrame, is_query) -> DataFrame:
+    """A row a class: r, copies, asks (whether a query is in it), its least id and its fingerprint."""
     some = prints.filter("n > 0 and id is not null")
-    reps = staged(some.groupBy("r").agg(F.min(F.struct("id", "fp")).alias("m"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("asks")).select("r", "copies", "asks", "m.*"), "chroma-classes")
+    return staged(some.groupBy("r").agg(F.min(F.struct("id", "fp")).alias("m"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("asks")).select("r", "copies", "asks", "m.*"), "chroma-classes")
+
+
+def _met(reps: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """What meet() gives for each block of queries and each chunk of recordings, staged."""
     frames, of_queries = (x or 0 for x in reps.agg(F.sum(F.length("fp").cast("long")), F.sum(F.when(F.col("asks") == 1, F.length("fp").cast("long")))).first())
     chunks, blocks = 1 + frames // (4 * CHUNK), 1 + of_queries // (4 * CHUNK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64("r"), F.lit(n)).cast("int")
     asked = reps.filter("asks = 1").select("r", "fp", dealt(blocks).alias("block"), every(chunks).alias("chunk"))
     there = reps.select("r", "fp", every(blocks).alias("block"), dealt(chunks).alias("chunk"))
-    met = asked.groupBy("block", "chunk").cogroup(there.groupBy("block", "chunk")).applyInArrow(_meet, "q long, r long, offset int, votes long, overlap int, bit_error_rate double")
-    pairs = staged(met, "chroma-pairs").join(reps.select(F.col("r").alias("q"), F.col("id").alias("query_id")), "q").join(reps.select("r", F.col("id").alias("match_id")), "r")
-    pairs = pairs.select("query_id", "match_id", "offset", "votes", "overlap", "bit_error_rate")
-    pairs = pairs.select(F.lit("match").alias("kind"), "*")
+    met = asked.groupBy("block", "chunk").cogroup(there.groupBy("block", "chunk")).applyInArrow(meet, "q long, r long, offset int, votes long, overlap int, bit_error_rate double, n_links long")
+    return staged(met, "chroma-pairs")
+
+
+def _named(found: DataFrame, prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """Alignments of classes by their least ids as rows of kind `match`, and every recording and its class as rows of kind `member`."""
+    pairs = found.join(reps.select(F.col("r").alias("q"), F.col("id").alias("query_id")), "q").join(reps.select("r", F.col("id").alias("match_id")), "r")
+    pairs = pairs.select(F.lit("match").alias("kind"), "query_id", "match_id", "offset", "votes", "overlap", "bit_error_rate", "n_links")
     members = prints.select("id", "r", "n").join(reps.select("r", F.col("id").alias("match_id")), "r", "left")
-    members = members.select(F.lit("member").alias("kind"), F.col("id").alias("query_id"), F.when(F.col("n") > 0, F.col("match_id")).alias("match_id"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("votes"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error_rate"))
+    members = members.select(F.lit("member").alias("kind"), F.col("id").alias("query_id"), F.when(F.col("n") > 0, F.col("match_id")).alias("match_id"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("votes"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error_rate"), F.lit(0).cast("long").alias("n_links"))
     return pairs.unionByName(members)
 
 
+def align(prints: DataFrame, is_query) -> DataFrame:
+    """kind, query_id, match_id, offset, votes, overlap and bit_error_rate.
+
+    Rows of kind `match`: a class with a query in it and another class, at the best (most votes, then the least) of all
+    offsets with VOTES votes, OVERLAP frames and at most MOST_ERROR of bits differing. Rows of kind `member`: every
+    recording and its class (null without a fingerprint), with its frames as overlap. A class is named by its least id.
+    Repeated rows are members once each.
+    """
+    reps = _classes(prints, is_query)
+    return _named(_met(reps, _meet), prints, reps).drop("n_links")
+
+
+def links(prints: DataFrame, is_query) -> DataFrame:
+    """align() with one row of kind `match` a class with a query in it, and n_links: with how many other classes it has an
+    alignment. The row shows the one of most votes, then the least share of differing bits.
+
+    Every alignment is found and counted, but none is a row of its own: pairs grow with queries times recordings.
+    """
+    reps = _classes(prints, is_query)
+    best = ["r", "offset", "votes", "overlap", "bit_error_rate"]
+    found = _met(reps, _count).groupBy("q").agg(F.min_by(F.struct(*best), F.struct(-F.col("votes"), F.col("bit_error_rate"), F.col("r"))).alias("b"), F.sum("n_links").alias("n_links"))
+    return _named(found.select("q", *[f"b.{c}" for c in best], "n_links"), prints, reps)
+
+
 def clip(text):
     """The last two thirds of a text's words, every tenth of them reversed: a part of a recording with noise."""
     return F.concat_ws(" ", F.transform(F.slice(F.split(text, r"[\x20\x09-\x0D]+"), F.floor(F.size(F.split(text, r"[\x20\x09-\x0D]+")) / 3).cast("int") + 1, 1 << 30), lambda w, i: F.when(i % 10 == 9, F.reverse(w)).otherwise(w)))
@@ -299,10 +372,11 @@ def clip(text):
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """No table holds audio: every turn of `conversations` is played as a melody (clip 0), and those of conversations
-    divisible by 50, which are the queries, once more in part and with noise (clip 1), to be found in their whole."""
+    divisible by 50, which are the queries, once more in part and with noise (clip 1), to be found in their whole. A row
+    for each query's class (its best alignment, and how many others it aligns with), and one for each recording's class."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     part = turns.filter("conv_id % 50 = 0 and text is not null").select("conv_id", "turn", F.lit(1).alias("clip"), clip(F.col("text")).alias("text"))
     every = turns.select("conv_id", "turn", F.lit(0).alias("clip"), "text").union(part)
-    out = align(fingerprints(every.select(F.struct("conv_id", "turn", "clip").alias("id"), "text"), "id", "text", melody), F.col("id.conv_id") % 50 == 0)
+    out = links(fingerprints(every.select(F.struct("conv_id", "turn", "clip").alias("id"), "text"), "id", "text", melody), F.col("id.conv_id") % 50 == 0)
     ids = [F.col(f"{side}_id.{c}").alias(f"{side}_{c}") for side in ("query", "match") for c in ("conv_id", "turn", "clip")]
-    return out.select("kind", *ids, "offset", "votes", "overlap", "bit_error_rate")
+    return out.select("kind", *ids, "offset", "votes", "overlap", "bit_error_rate", "n_links")

@@ -130,3 +130,20 @@ def test_query(spark):
             wanted += 1
             assert own[t.conv_id, t.turn].offset == cut * chroma.NOTE
     assert wanted >= 5
+
+
+def test_links_are_counted_whole(spark):
+    """A row a query's class, which counts every alignment that align() has, also where a query meets several chunks."""
+    docs = spark.range(120).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(F.lit("w"), ((i + F.col("id") * F.lit(7)) % 41).cast("string")))).alias("text"))
+    prints = chroma.fingerprints(docs, "id", "text", chroma.melody)
+    pairs = [r for r in chroma.align(prints, F.col("id") % 5 == 0).collect() if r.kind == "match"]
+    rows = chroma.links(prints, F.col("id") % 5 == 0).collect()
+    got = {r.query_id: r for r in rows if r.kind == "match"}
+    want = {}
+    for r in pairs:
+        want.setdefault(r.query_id, []).append(r)
+    assert len(pairs) > 2 * len(want) and {q: r.n_links for q, r in got.items()} == {q: len(x) for q, x in want.items()}
+    for q, r in got.items():
+        assert (-r.votes, r.bit_error_rate) == min((-x.votes, x.bit_error_rate) for x in want[q])
+        assert (r.match_id, r.offset, r.votes, r.overlap) in [(x.match_id, x.offset, x.votes, x.overlap) for x in want[q]]
+    assert sum(r.kind == "member" for r in rows) == 120
