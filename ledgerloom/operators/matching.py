@@ -23,7 +23,7 @@ from ..functions.texts import programme_name
 from ..functions.units import compare_unit
 from ..session import ship, staged
 from .alike import similar_codes, suppressed_extras
-from .compare import PRICES, arithmetic, dedup_discrepancies, diffs, field_rank, lenient
+from .compare import PRICES, arithmetic, arithmetic_errors, dedup_discrepancies, diffs, field_rank, lenient
 from .dedup import dedup_items
 from .graph import PAIRS, assigned
 from .runs import runs
@@ -372,6 +372,12 @@ def discrepancies(pairs: DataFrame, ref_items: DataFrame, offer_items: DataFrame
     return fields.unionByName(gap(missing, "ref", "ARTICOL_LIPSA")).unionByName(gap(surplus, "oferta", "ARTICOL_EXTRA"))
 
 
+def arithmetic_of(pairs: DataFrame, offer_items: DataFrame) -> DataFrame:
+    """ref_seq, of_seq, tip, camp, calculat and declarat: the arithmetic that discrepancies() finds wrong, of which the offer's items alone tell, so no more of either side is read."""
+    wrong = arithmetic_errors(offer_items, ["seq"]).withColumnRenamed("seq", "of_seq")
+    return pairs.filter(F.col("layer").isin(*EARLY)).select("ref_seq", "of_seq").join(wrong, "of_seq").select("ref_seq", "of_seq", "tip", "camp", "calculat", "declarat")
+
+
 def _side(name: str, here: str) -> Column:
     """A context column for a row that only one side has."""
     if name == "layer":

@@ -76,3 +76,16 @@ def test_many_parts_are_not_broadcast(spark, tmp_path):
     codes = bill.bill(spark, str(tmp_path)).select("l_orderkey", "cod")
     assert codes.count() == 40
     assert "Broadcast" not in codes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arithmetic_reads_offer_items_only(spark):
+    from ledgerloom.operators import matching
+
+    items = lambda ids, price: matching.whole(spark.createDataFrame([(i, f"AB{i % 5}", "x", "m", float(i), "1", "", False, price, float(i)) for i in ids], "seq long, cod string, denumire string, um string, cantitate double, deviz string, deviz_denumire string, is_component boolean, pret_material double, val_material double"))
+    ref, offer = items(range(1, 20), 1.0), items(range(101, 120), 2.0)
+    pairs = matching.exact_pairs(matching.prepare(ref, True), matching.prepare(offer, False)).unionByName(spark.createDataFrame([(1, 101, "cross_section", 1.0)], "ref_seq long, of_seq long, layer string, score double"))
+    none = matching.prepare(ref.limit(0), True)
+    columns = ["ref_seq", "of_seq", "tip", "camp", "calculat", "declarat"]
+    want = matching.discrepancies(pairs, ref, offer, none, none, prices=True).filter("tip = 'EROARE_ARITMETICA'").select(*columns)
+    got = matching.arithmetic_of(pairs, offer)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 19
