@@ -89,3 +89,19 @@ def test_arithmetic_reads_offer_items_only(spark):
     want = matching.discrepancies(pairs, ref, offer, none, none, prices=True).filter("tip = 'EROARE_ARITMETICA'").select(*columns)
     got = matching.arithmetic_of(pairs, offer)
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 19
+
+
+def test_running_text_is_not_shuffled(spark, monkeypatch):
+    """A document's items meet by document once; printed sections are not shuffled again."""
+    from ledgerloom.plans import cases
+
+    built = []
+
+    def keep(text, site):
+        built.append(text)
+        return text.select("doc_id", F.lit("d").alias("deviz"), F.lit("n").alias("deviz_denumire"))
+
+    monkeypatch.setattr(cases.extraction, "extract_text", keep)
+    cases.sliced_text(spark, "/root/testdata/sf0.001")
+    plan = built[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x and "code" in x]
