@@ -4,7 +4,8 @@
    one fingerprint are one class; only a class's representative goes on, so copies are never paired.
 2. Two sets as similar as asked share at least T of K coordinate-value pairs, so they share one of the K - T + 1 first
    pairs of each in any common order (the prefix). The order is by a count sketch of fixed size, rare pairs first.
-   Representatives are posted under their prefix; the least of a posting list is its pivot, and lists of one pivot merge.
+   Representatives are posted under their prefix; the one of a posting list whose pairs are commonest is its pivot, and
+   lists of one pivot merge. In a group of near copies that is the one nearest to what they share, in most lists the same.
 3. Collisions are counted in blocks of bounded size, between all members of a pivot that fit in one block, and between
    the pivot and each member where they are more. A block's rows are posted under each of their pairs; a row merges its
    K posting lists in order of length. The K - T + 1 shortest (the prefix) make its partners and their first counts; in
@@ -12,8 +13,9 @@
    partner of at least T collisions stay.
 4. For these, full sets are built from whole texts again, and a search over exact similarities finds the components
    within a block. It gives one link a member, not a link a pair.
-5. Members of a large group that are linked to its pivot are in one component, so they need not meet each other. Only
-   those that are not linked to it meet all its members, again in blocks. A group of m near copies costs m rows.
+5. Members of a large group that these links put in one component need not meet each other. Only those outside the
+   component that holds most of them meet all members, again in blocks. A group of m near copies costs m rows; r members
+   outside cost r * m / BLOCK.
 6. Components of all links come from alternating large-star and small-star steps on tables in the shared folder.
 """
 
@@ -131,7 +133,7 @@ def pair_counts(reps: DataFrame) -> np.ndarray:
 
 
 def postings(reps: DataFrame, t: int) -> DataFrame:
-    """key and r: every representative under the pairs of its prefix."""
+    """key, rank and r: every representative under the pairs of its prefix. The commoner its pairs are, the lower is its rank."""
     counts = reps.sparkSession.sparkContext.broadcast(pair_counts(reps).clip(max=(1 << 32) - 1).astype(np.uint32))
 
     def run(batches):
@@ -140,11 +142,13 @@ def postings(reps: DataFrame, t: int) -> DataFrame:
             if not b.num_rows:
                 continue
             keys = _pair_keys(_matrix(b))
-            order = np.lexsort((keys, counts.value[(keys % np.uint64(SLOTS)).astype(np.int64)]), axis=1)[:, :p]
+            often = counts.value[(keys % np.uint64(SLOTS)).astype(np.int64)]
+            order = np.lexsort((keys, often), axis=1)[:, :p]
             first = np.take_along_axis(keys, order, axis=1).ravel()
-            yield pa.RecordBatch.from_arrays([_signed(first), pa.array(np.repeat(col(b, "r").to_numpy(), p))], ["key", "r"])
+            rank = -np.log(often).sum(axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([_signed(first), pa.array(np.repeat(rank, p)), pa.array(np.repeat(col(b, "r").to_numpy(), p))], ["key", "rank", "r"])
 
-    return reps.select("r", "sig").mapInArrow(run, "key long, r long")
+    return reps.select("r", "sig").mapInArrow(run, "key long, rank float, r long")
 
 
 def parts_of(members: DataFrame) -> DataFrame:
@@ -163,16 +167,18 @@ def first_blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
     return out.select("pivot", "r", "i", F.lit(0).alias("j"), (pivot | (F.col("parts") == 1)).alias("asks"))
 
 
-def rest_blocks(members: DataFrame, parts: DataFrame, linked: DataFrame) -> DataFrame:
-    """Blocks for what large groups leave: members that are not linked (pivot, r) to their pivot meet those that are, whom they ask, and each other."""
-    every = members.join(small(parts.filter("parts > 1")), "pivot")
-    rest = staged(every.filter("r <> pivot").join(linked, ["pivot", "r"], "left_anti"), "minhash-rest")
+def rest_blocks(members: DataFrame, parts: DataFrame, stars: DataFrame) -> DataFrame:
+    """Blocks for what large groups leave. Most of a group's members are in one component of the links found so far (stars), so they need not meet; the others meet those, whom they ask, and each other."""
+    every = members.join(small(parts.filter("parts > 1")), "pivot").join(stars.select(F.col("u").alias("r"), F.col("v").alias("c")), "r", "left")
+    every = staged(every.withColumn("c", F.coalesce("c", "r")), "minhash-every")
+    most = every.groupBy("pivot", "c").count().groupBy("pivot").agg(F.max(F.struct("count", "c")).alias("m")).select("pivot", F.col("m.c").alias("most"))
+    every = every.join(small(staged(most, "minhash-most")), "pivot")
+    rest = staged(every.filter("c <> most"), "minhash-rest")
     few = small(staged(rest.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("rests")), "minhash-rests"))
     own = lambda n: F.pmod(F.xxhash64("r"), F.col(n)).cast("int")
     rest, upto = rest.join(few, "pivot"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     ask = rest.select("pivot", "r", own("rests").alias("i"), F.explode(upto("parts")).alias("j"), F.lit(True).alias("asks"))
-    told = every.filter("r = pivot").unionByName(every.join(linked, ["pivot", "r"], "left_semi").select(*every.columns)).join(few, "pivot")
-    told = told.select("pivot", "r", F.explode(upto("rests")).alias("i"), own("parts").alias("j"), F.lit(False).alias("asks"))
+    told = every.filter("c = most").join(few, "pivot").select("pivot", "r", F.explode(upto("rests")).alias("i"), own("parts").alias("j"), F.lit(False).alias("asks"))
     both = rest.select("pivot", "r", own("rests").alias("own"), F.explode(upto("rests")).alias("other"))
     both = both.select("pivot", "r", F.least("own", "other").alias("i"), (-1 - F.greatest("own", "other")).alias("j"), F.lit(True).alias("asks"))
     return ask.union(told).union(both)
@@ -328,19 +334,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.groupBy(F.col("r").alias("f1"), "f2", "n").agg(F.min(F.struct("id", "th", "sig")).alias("m"), F.count("*").alias("copies"))
     reps = staged(reps.select("f1", "f2", "n", "copies", "m.*", F.monotonically_increasing_id().alias("r")), "minhash-classes")
     posted = staged(postings(reps, t), "minhash-postings")
-    pivots = staged(posted.groupBy("key").agg(F.min("r").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("key", "pivot"), "minhash-pivots")
+    pivots = staged(posted.groupBy("key").agg(F.min(F.struct("rank", "r")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("m.r").alias("pivot")), "minhash-pivots")
     met = staged(posted.join(pivots, "key").select("pivot", "r").distinct().join(reps.select("r", "n"), "r"), "minhash-members")
     parts = parts_of(met)
     signed = lambda rows: rows.join(reps.select("r", "sig"), "r")
     alive = live(signed(first_blocks(met, parts)), t)
     sets = _sets(docs, id_col, text_col, shingle, alive, reps)
     edges = links(signed(alive).join(sets, "r"), t, percent)
+    stars = components(edges)
     if not parts.filter("parts > 1").isEmpty():
-        star = edges.filter("v = pivot").select("pivot", F.col("u").alias("r"))
-        late = live(signed(rest_blocks(met, parts, star)), t)
+        late = live(signed(rest_blocks(met, parts, stars)), t)
         if not late.isEmpty():
-            edges = edges.union(links(signed(late).join(_sets(docs, id_col, text_col, shingle, late, reps), "r"), t, percent))
-    stars = components(edges)
+            late = links(signed(late).join(_sets(docs, id_col, text_col, shingle, late, reps), "r"), t, percent)
+            stars = components(stars.union(late.select("u", "v")))
     named = stars.join(reps.select("r", "id"), stars.u == reps.r).select("u", "v", "id").union(reps.select(F.col("r").alias("u"), F.col("r").alias("v"), "id").join(stars.select("v").distinct(), "v", "left_semi").select("u", "v", "id"))
     named = staged(named, "minhash-named")
     least = named.groupBy("v").agg(F.min("id").alias("component"))

@@ -188,6 +188,27 @@ def test_large_groups_meet_their_pivot(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in sets}
 
 
+def test_pivot_is_the_middle_of_a_group(spark, monkeypatch):
+    """Texts near one of them, and none near another: they meet that one, and none is left to meet all the rest."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    rng, staged, rows = np.random.default_rng(8), minhash.staged, {}
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "staged", counted)
+    base = [f"w{i}" for i in rng.permutation(5000)[:200]]
+    texts = []
+    for i in range(400):
+        at = set((rng.permutation(19)[:4] * 10 + 5).tolist()) if i else set()
+        texts.append((1000 - i, " ".join(f"x{i}y{k}" if k in at else w for k, w in enumerate(base))))
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {601}
+    assert rows["minhash-rest"] <= 40
+
+
 def test_ablations(spark):
     """n_only against dropping the rule and judging again."""
     docs = spark.createDataFrame([(1, "a b c"), (2, "# # # # # # # # # # # # a"), (3, "x" * 1200), (4, "one two three four five six seven eight nine ten"), (5, "1 2 3 4 5 6 7 8 9 0 1 2"), (6, "a b c d e f g h i j k l m")], "doc_id long, text string")
