@@ -32,3 +32,24 @@ def test_integer_after_unit_is_a_quantity_and_headers_are_no_items():
 def test_components():
     r = parse_lines(["1", "CA01J1 - Beton", "mc", "5.0", "L:SL30 -0001:2452958 - teava", "ml", "3.0"])
     assert [(x["cod"], x["is_component"], x["parent_code"]) for x in r] == [("CA01J1", False, None), ("$2452958", True, "CA01J1")]
+
+
+def test_rules_left_out_do_not_act():
+    """The rules that lines of figures are spared, and the patterns that other lines are spared, would not have acted on them."""
+    import random
+
+    from ledgerloom.operators import parser
+
+    rng = random.Random(4)
+    assert len(parser.BY_STATE["read"][1]) < len(parser.BY_STATE["read"][0])
+    for _ in range(3000):
+        line = "".join(rng.choice("0123456789.,") for _ in range(rng.randint(1, 9)))
+        for state in ("idle", "wait", "read"):
+            for quantity in (0.0, 2.0):
+                m = parser.Machine()
+                m.item, m.waiting, m.next = parser.Item("CK01A01", um="buc" if quantity else "", quantity=quantity) if state == "read" else None, int(state == "wait"), "buc"
+                first = next(i for i, (states, test, _) in enumerate(parser.RULES) if state in states and test(m, line))
+                assert first in parser.FIGURES
+        assert parser.skipped_figure(line) == parser.skipped(line) == bool(parser._skips(parser.SITE)[0].search(line))
+    for line in ("Cheltuieli directe", "Profit", "x pag", "PU x", "S. C. x", "STE-x", "ABC S.R.L.", "a TARGO b", "proſit", "plain words", "Din care:", "- proiect"):
+        assert parser.skipped(line) == bool(parser._skips(parser.SITE)[1].search(line))
