@@ -141,7 +141,8 @@ def section_length(items: DataFrame, least: int = 2, most: int = 20) -> DataFram
 
 def extract(docs: DataFrame, reference: DataFrame | None = None, provider: providers.Provider | None = None, persist=staged, site: tuple[str, ...] = parser.SITE) -> DataFrame:
     """ITEM of OCR documents, from pages and tables. `site` are the names and project numbers whose lines belong to no item."""
-    classes = persist(rescued(classified(docs, reference, provider), provider), "pages")
+    # a page's text is that of its lines, so it is neither carried nor written beside them
+    classes = persist(rescued(classified(docs, reference, provider), provider).drop("full"), "pages").withColumn("full", F.concat_ws(" ", "lines"))
     items = dedup.dedup_items(items_of(classes, persist, site), ["seq"], ("doc_id",))
     both = persist(with_tables(items, docs), "items")
     return section_length(dedup.drop_code_suffixes(both, scope=("doc_id",)))

@@ -26,6 +26,19 @@ def docs(spark):
     return spark.createDataFrame([("di_referinta", ref, []), ("di_oferta_1", offer, [])], "doc_id string, " + DOCUMENT)
 
 
+def test_pages_are_staged_without_their_text(docs):
+    class Staged(Exception):
+        pass
+
+    def persist(df, name):
+        raise Staged(name, df.columns)
+
+    with pytest.raises(Staged) as told:
+        extraction.extract(docs, persist=persist)
+    name, columns = told.value.args
+    assert name == "pages" and "lines" in columns and "full" not in columns
+
+
 def test_extract(docs):
     got = {(r.doc_id, r.cod): (r.deviz, r.um, r.cantitate) for r in extraction.extract(docs).collect()}
     assert got["di_referinta", "CA01A1"] == ("310012", "mc", 5.0) and got["di_referinta", "EF03D1"] == ("310013", "buc", 4.0)
