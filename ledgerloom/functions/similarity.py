@@ -26,11 +26,21 @@ def word_overlap(a, b) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(F.lit(0.0))
 
 
+def score_tokens(c) -> Column:
+    """A description's distinct tokens, as token_score() compares them; digits around a separator are one token."""
+    return _tokens(F.regexp_replace(F.lower(text(c)), r"(\d)[,x.\-](\d)", "$1$2"), "[a-z0-9]+")
+
+
 def token_score(ref, offer) -> Column:
-    """The larger of the Jaccard index and of the part of the reference's tokens found; digits around a separator are one token."""
-    glue = lambda c: F.regexp_replace(F.lower(text(c)), r"(\d)[,x.\-](\d)", "$1$2")
-    x, y = _tokens(glue(ref), "[a-z0-9]+"), _tokens(glue(offer), "[a-z0-9]+")
-    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    """The larger of the Jaccard index and of the part of the reference's tokens found."""
+    return tokens_score(score_tokens(ref), score_tokens(offer))
+
+
+def tokens_score(x, y) -> Column:
+    """token_score() of two columns of score_tokens()."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = F.size(F.array_intersect(x, y))
+    either = F.size(x) + F.size(y) - both
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.greatest(both / either, both / F.size(x))).otherwise(F.lit(0.0))
 
 
@@ -55,6 +65,32 @@ def code_ratio_of(a: str | None, b: str | None) -> float:
     return ratio(x, y) if x and y else 0.0
 
 
+#: Patterns of equal characters and their ratios, and how many of them a worker holds.
+_PATTERNS: dict[bytes, float] = {}
+HELD = 500_000
+
+
+def ratios(a: list[str], b: list[str]) -> list[float]:
+    """ratio() of each pair of texts. It depends only on which characters are equal, so each such pattern is compared once."""
+    wa, wb = max(map(len, a), default=0), max(map(len, b), default=0)
+    if not 0 < wa + wb <= 64:
+        return [ratio(x, y) for x, y in zip(a, b)]
+    x, y = (np.array(t, f"U{max(1, w)}").view(np.uint32).reshape(len(t), max(1, w)) for t, w in ((a, wa), (b, wb)))
+    every = np.hstack([x, y])
+    first = np.stack([(every == every[:, [p]]).argmax(axis=1) for p in range(every.shape[1])], axis=1)
+    raw, width = np.where(every == 0, 255, first).astype(np.uint8).tobytes(), every.shape[1]
+    sides, out = bytes([x.shape[1]]), []
+    for i, (s, t) in enumerate(zip(a, b)):
+        key = sides + raw[i * width : (i + 1) * width]
+        r = _PATTERNS.get(key)
+        if r is None:
+            if len(_PATTERNS) >= HELD:
+                _PATTERNS.clear()
+            r = _PATTERNS[key] = ratio(s, t)
+        out.append(r)
+    return out
+
+
 def can_match(a: list[str], b: list[str], least: float) -> np.ndarray:
     """Whether the ratio of each pair of texts may reach `least`.
 
@@ -87,9 +123,9 @@ def code_ratio_from(least: float):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = ([(s or "").upper().translate(_BARE) for s in side] for side in (a, b))
         out = np.zeros(len(x))
-        for i in np.flatnonzero(can_match(x, y, least)).tolist():
-            r = ratio(x[i], y[i])
-            out[i] = r if r >= least else 0.0
+        at = np.flatnonzero(can_match(x, y, least))
+        found = np.array(ratios([x[i] for i in at], [y[i] for i in at]))
+        out[at] = np.where(found >= least, found, 0.0)
         return pd.Series(out)
 
     return run

@@ -50,9 +50,67 @@ def _least_shared(least: float, size: int) -> str:
     return m if size == 1 else f"(3 * {m} - 1 - la - lb)"
 
 
+#: Where rests of codes meet.
+REST = ["section", "la", "lb", "rest"]
+#: Rests of one code (what is left without some of its characters) up to which codes of two lengths meet over them.
+RESTS = 100
+
+
+def met_by_rest(a: int, b: int, least: float) -> bool:
+    """Whether codes of these lengths meet over what is left of them: m characters matched in order are a rest of both."""
+    m = matched(a, b, least)
+    return 1 <= m <= min(a, b) and max(math.comb(a, m), math.comb(b, m)) <= RESTS
+
+
+def _rests(out: int) -> str:
+    """The distinct rests of column b without `out` of its characters."""
+    rests = "array(b)"
+    for _ in range(out):
+        rests = f"array_distinct(flatten(transform({rests}, v -> transform(sequence(1, length(v)), i -> concat(substring(v, 1, i - 1), substring(v, i + 1))))))"
+    return rests
+
+
+def code_lengths(ref: DataFrame, offer: DataFrame, least: float) -> tuple[list[tuple[int, int, int]], bool]:
+    """Lengths (of the reference's code, the offer's, characters to match) whose codes meet over their rests, and whether others can have a ratio of `least`, too."""
+    length = lambda rows, side: rows.select(F.lit(side).alias("side"), F.length(F.translate("code", "#$@ ", "")).alias("n"))
+    found = length(ref, 0).union(length(offer, 1)).filter("n > 0").distinct().collect()  # a row a length
+    pairs = [(a.n, b.n) for a in found for b in found if a.side == 0 and b.side == 1 and reachable(a.n, b.n, least)]
+    short = sorted((a, b, matched(a, b, least)) for a, b in pairs if met_by_rest(a, b, least))
+    return short, len(short) < len(pairs)
+
+
+def by_rests(rows: DataFrame, lengths: list[tuple[int, int, int]], side: int) -> DataFrame:
+    """rows (with code), once for each rest that codes of the other side may have, with la, lb and rest.
+
+    Codes of ratio `least` match enough characters in order, so these are a rest of both: an equi-join over section, la, lb
+    and rest misses no pair, and makes few that don't have the ratio, however many codes begin alike.
+    """
+    fits = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("la", "lb", "m"), x)]) for x in lengths])
+    own = F.filter(fits, lambda x: x["la" if side == 0 else "lb"] == F.length("b"))
+    rows = rows.withColumn("b", F.translate("code", "#$@ ", "")).filter("b <> ''").withColumn("__f", F.explode(own))
+    most = max(x[side] - x[2] for x in lengths)
+    rests = " ".join(f"WHEN {n} THEN {_rests(n)}" for n in range(most + 1))
+    return rows.select("*", "__f.la", "__f.lb", F.explode(F.expr(f"CASE length(b) - __f.m {rests} END")).alias("rest")).drop("b", "__f")
+
+
 def code_candidates(ref: DataFrame, offer: DataFrame, least: float, persist=staged) -> DataFrame:
     """section, r_code and o_code: distinct codes of one section that may have a ratio of `least`; none that has is missing.
 
+    Codes of few rests meet over these (by_rests), longer ones over their grams (long_candidates).
+    """
+    lengths, longer = code_lengths(ref, offer, least)
+    out = []
+    if lengths:
+        side = lambda rows, k: by_rests(rows.select("section", "code").distinct(), lengths, k).withColumnRenamed("code", "ro"[k] + "_code")
+        out.append(side(ref, 0).join(side(offer, 1), REST).select("section", "r_code", "o_code").distinct())
+    if longer or not out:
+        out.append(long_candidates(ref, offer, least, lengths, persist))
+    return out[0].union(out[1]) if len(out) == 2 else out[0]
+
+
+def long_candidates(ref: DataFrame, offer: DataFrame, least: float, met: list[tuple[int, int, int]], persist=staged) -> DataFrame:
+    """code_candidates() of codes whose lengths are none of `met`.
+
     A pair must share T grams (shared_grams), so it shares one among the n - T + 1 rarest of each in any common order. Codes
     post these, rarest in the section first, once for each length that the other side has; so signs that all codes have
     in common are hardly ever posted. A pair is taken where its first common gram meets, if enough may follow (position),
@@ -64,11 +122,14 @@ def code_candidates(ref: DataFrame, offer: DataFrame, least: float, persist=stag
     codes = persist(codes, "codes")
     lengths = codes.groupBy("section", "side").agg(F.collect_set("la").alias("others")).select("section", (1 - F.col("side")).alias("side"), "others")
     some = codes.join(F.broadcast(lengths) if lengths.limit(10_001).count() <= 10_000 else lengths, ["section", "side"])
+    done = F.lit(False)
+    for a, b, _ in met:
+        done = done | F.when(F.col("side") == 0, (F.col("la") == a) & (F.col("lb") == b)).otherwise((F.col("la") == b) & (F.col("lb") == a))
     posted = []
     for size, col in ((2, "pairs"), (1, "chars")):
         t = _least_shared(least, size)
         want = f"{t} >= 1" if size == 2 else f"{_least_shared(least, 2)} < 1"
-        fits = some.withColumn("lb", F.explode("others")).filter(f"{_least_shared(least, 1)} <= least(la, lb) AND {want}")
+        fits = some.withColumn("lb", F.explode("others")).filter(f"{_least_shared(least, 1)} <= least(la, lb) AND {want}").filter(~done)
         # rare first: how many codes of the section, on either side, have the gram
         rare = codes.select("section", F.explode(col).alias("gram")).groupBy("section", "gram").agg(F.count("*").alias("n"))
         sorted_ = codes.select("section", "side", "code", "la", F.explode(col).alias("gram")).join(rare, ["section", "gram"]).groupBy("section", "side", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))

@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import clean_code, normalize_code, section_key, text
-from ..functions.similarity import token_score
+from ..functions.similarity import code_ratio_from, score_tokens, tokens_score
 from ..functions.texts import programme_name
 from ..functions.units import compare_unit
 from ..session import ship, staged
-from .alike import similar_codes, suppressed_extras
+from .alike import REST, by_rests, code_lengths, long_candidates, similar_codes, suppressed_extras
 from .compare import PRICES, arithmetic, arithmetic_errors, dedup_discrepancies, diffs, field_rank, lenient
 from .dedup import dedup_items
-from .graph import PAIRS, assigned
+from .graph import PAIRS, assigned, assigned_classes
 from .runs import runs
 
 #: Layers whose pairs share a key or a variant of it.
@@ -81,11 +81,11 @@ def exact_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
     key = Window.partitionBy(*keys)
     n = lambda k: F.count_if(F.col("side") == k).over(key)
     both = side(ref, 0).unionByName(side(offer, 1)).withColumns({"nr": n(0), "no": n(1), "after": F.coalesce(F.lead("seq").over(key.orderBy("side")), F.lit(0))})
-    both = both.withColumn("single", (F.col("nr") == 1) & (F.col("no") == 1)).filter("nr > 0 AND no > 0 AND (NOT single OR side = 0)").drop("nr", "no")
+    both = both.withColumns({"single": (F.col("nr") == 1) & (F.col("no") == 1), "key": F.min(F.when(F.col("side") == 0, F.col("seq"))).over(key)}).filter("nr > 0 AND no > 0 AND (NOT single OR side = 0)")
 
     def taken(rows):
         out: list[tuple] = []
-        for g in runs([rows], keys):
+        for g in runs([rows], ["key"]):
             side = lambda k: sorted((q, s, u) for q, s, u, x in zip(g["qty"], g["seq"], g["unit"], g["side"]) if x == k)
             out += [(r, o, "exact", 1.0) for r, o in nearest_pairs(side(0), side(1))]
         return pd.DataFrame(out, columns=names)
@@ -98,14 +98,15 @@ def exact_pairs(ref: DataFrame, offer: DataFrame) -> DataFrame:
             rows = f[~one] if held is None else pd.concat([held, f[~one]])
             if len(rows):
                 # the last key may go on in the next frame
-                last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+                last = rows["key"].to_numpy() == rows["key"].iloc[-1]
                 held = rows[last]
                 yield taken(rows[~last])
         if held is not None:
             yield taken(held)
 
     names = [c.split(" ")[0] for c in PAIRS.split(", ")]
-    return both.sortWithinPartitions(*keys).mapInPandas(run, PAIRS)
+    # a key's first reference row stands for it, as its texts are long
+    return both.sortWithinPartitions(*keys).select("key", "single", "seq", "after", "unit", "qty", "side").mapInPandas(run, PAIRS)
 
 
 class Free:
@@ -226,7 +227,7 @@ def surplus_pairs(ref: DataFrame, offer: DataFrame, persist=staged) -> DataFrame
     longer = F.when(F.col("code").rlike(r"^.+\d$"), F.concat(F.lit("v"), F.expr("substring(code, 1, length(code) - 1)")))
     o = keyed(offer, F.array_compact(F.array(longer, F.concat(F.lit("n"), "norm"))))
     c = _sides(r, o, ["section", "__k"]).filter(F.col("__k").startswith("v") | ((F.col("r_code") != F.col("r_norm")) & (F.abs(F.col("r_qty") - F.col("o_qty")) < 0.01)))
-    return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), F.lit(1.0).alias("score"), F.lit(True).alias("sure")).distinct(), "surplus", persist)
+    return assigned(c.select("section", F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), F.lit(1.0).alias("score"), F.lit(True).alias("sure")).distinct(), "surplus", persist)
 
 
 def cross_section_pairs(ref: DataFrame, offer: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -237,9 +238,33 @@ def cross_section_pairs(ref: DataFrame, offer: DataFrame, scope: tuple[str, ...]
 
 
 def similar_pairs(ref: DataFrame, offer: DataFrame, least_code: float = 0.80, least_text: float = 0.4, persist=staged) -> DataFrame:
-    """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4 for the best."""
-    c = similar_codes(ref, offer, least_code, persist).withColumn("t", token_score("r_denumire", "o_denumire"))
-    return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), (0.6 * F.col("cr") + 0.4 * F.col("t")).alias("score"), (F.col("t") >= least_text).alias("sure")), "similar", persist)
+    """Within a section: codes of ratio 0.8 or more, best by 0.6 of that and 0.4 of the descriptions' score, which must reach 0.4 for the best.
+
+    A row whose description's score is too low only matters where it comes before one that is taken. None of less than the
+    least score that is taken does, so such pairs are no candidates; most are told from their descriptions alone.
+    """
+    ship(ref.sparkSession)
+    taken = 0.6 * least_code + 0.4 * least_text - 1e-9
+    lengths, longer = code_lengths(ref, offer, least_code)
+    side = lambda rows, p: rows.select("section", "code", "seq", score_tokens("denumire").alias(p + "t")).withColumnsRenamed({"seq": p + "seq"})
+    # a bit for each token: without one in common no token is, and such a pair can't be taken
+    bits = lambda rows, p: rows.withColumn(p + "bits", F.aggregate(p + "t", F.lit(0).cast("long"), lambda x, t: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(t), F.lit(64))))))
+    r, o = bits(side(ref, "r_"), "r_"), bits(side(offer, "o_"), "o_")
+    some = F.col("r_bits").bitwiseAND(F.col("o_bits")) != 0 if taken > 0.6 and least_text > 0 else F.lit(True)
+    met = []
+    if lengths:
+        post = lambda rows, k, p: by_rests(rows, lengths, k).withColumnRenamed("code", p + "code")
+        met.append(post(r, 0, "r_").join(post(o, 1, "o_"), REST).drop("la", "lb", "rest"))  # a pair may meet twice, which changes nothing
+    if longer or not met:
+        c = long_candidates(ref, offer, least_code, lengths, persist)
+        met.append(c.join(r.withColumnRenamed("code", "r_code"), ["section", "r_code"]).join(o.withColumnRenamed("code", "o_code"), ["section", "o_code"]))
+    every = []
+    for c in met:
+        c = c.filter(some).select("section", "r_seq", "o_seq", "r_code", "o_code", tokens_score("r_t", "o_t").alias("t")).filter((F.col("t") >= least_text) | (0.6 + 0.4 * F.col("t") >= taken))
+        c = c.withColumn("cr", code_ratio_from(least_code)("r_code", "o_code")).filter(F.col("cr") >= least_code)
+        c = c.select("section", F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), (0.6 * F.col("cr") + 0.4 * F.col("t")).alias("score"), (F.col("t") >= least_text).alias("sure"))
+        every.append(c.filter(F.col("sure") | (F.col("score") >= taken)))
+    return assigned(every[0].unionByName(every[1]) if len(every) == 2 else every[0], "similar", persist)
 
 
 def interval_classes(ref: DataFrame, offer: DataFrame, *members: Column) -> DataFrame:
@@ -272,8 +297,16 @@ def interval_candidates(ref: DataFrame, offer: DataFrame) -> DataFrame:
 
 
 def interval_pairs(ref: DataFrame, offer: DataFrame, least_text: float = 0.4, persist=staged) -> DataFrame:
-    c = interval_candidates(ref, offer).withColumn("score", token_score("r_denumire", "o_denumire")).filter(F.col("score") >= least_text)
-    return assigned(c.select(F.col("r_seq").alias("ref_seq"), F.col("o_seq").alias("of_seq"), "score", F.lit(True).alias("sure")), "interval", persist)
+    """Candidates of interval_candidates() whose descriptions' score reaches 0.4, best first.
+
+    Rows of one section, unit, quantity and set of tokens are alike, so their classes meet, and no pair of rows is made.
+    """
+    key = ["section", "unit", "qty", "tokens"]
+    cls = lambda rows: persist(rows.select("section", "unit", "qty", F.array_sort(score_tokens("denumire")).alias("tokens"), "seq").withColumn("cls", F.min("seq").over(Window.partitionBy(*key))), "interval-rows")
+    r, o = cls(ref), cls(offer)
+    one = lambda rows: rows.filter("seq = cls").drop("seq")
+    pairs = _near(one(r), one(o), ["qty", "tokens", "cls"]).withColumn("score", tokens_score("r_tokens", "o_tokens")).filter(F.col("score") >= least_text)
+    return assigned_classes(r.select("section", "cls", "seq"), o.select("section", "cls", "seq"), pairs, "interval", persist)
 
 
 def lenient_dollar(extra: DataFrame, ref_all: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -298,16 +331,22 @@ def reconcile(ref_items: DataFrame, offer_items: DataFrame, prices: bool = False
     layer matched and whose codes are alike. With `scope` columns, rows meet only within them; reconcile_many() uses it.
     """
     ship(ref_items.sparkSession)
-    ref_items = persist(whole(ref_items), "ref-items")
-    ref, offer = persist(prepare(ref_items, True, scope), "ref"), persist(prepare(whole(offer_items), False, scope), "offer")
-    layers = [exact_pairs, normalized_pairs, variant_pairs, lambda r, o: surplus_pairs(r, o, persist)]
+    own = lambda items: whole(items).select("seq", *scope, *FIELDS[1:], *PRICES)
+    ref_items = persist(own(ref_items), "ref-items")
+    # the exact layer takes most rows, and only what it leaves needs the other keys
+    ref, offer = persist(prepare(ref_items, True, scope).drop("norm"), "ref"), persist(prepare(own(offer_items), False, scope).drop("norm"), "offer")
+    p = persist(exact_pairs(ref, offer), "pairs")
+    keyed = lambda rows, side: persist(rest(rows, p, side).withColumn("norm", normalize_code("cod")), "rest")
+    r, o, found = keyed(ref, "ref_seq"), keyed(offer, "of_seq"), [p]
+    layers = [normalized_pairs, variant_pairs, lambda r, o: surplus_pairs(r, o, persist), lambda r, o: cross_section_pairs(r, o, scope)]
     late = [lambda r, o: similar_pairs(r, o, persist=persist), lambda r, o: interval_pairs(r, o, persist=persist)] if fuzzy else []
     if provider is not None:
         late.append(lambda r, o: provided_pairs(r, o, provider, persist=persist))
-    r, o, found = ref, offer, []
-    for f in [*layers, lambda r, o: cross_section_pairs(r, o, scope), *late]:
+    for i, f in enumerate([*layers, *late]):
         p = persist(f(r, o), "pairs")
         r, o = rest(r, p, "ref_seq"), rest(o, p.select("of_seq").distinct(), "of_seq")
+        if late and i == len(layers) - 1:
+            r, o = persist(r, "rest"), persist(o, "rest")
         found.append(p)
     pairs = found[0]
     for p in found[1:]:
