@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -22,14 +22,27 @@ def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It holds up to 64 lines of an order and 4,096 repeats of a line, and any number of orders below 2^45.
     """
-    li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    p = p if p.count() <= PARTS else p.hint("merge")
+    li = read(spark, sf_dir, "lineitem")
     again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     li = li.withColumn("again", again - 1)
     seq = (F.col("l_orderkey") * 64 + F.col("l_linenumber")) * 4096 + F.col("again")
+    return _items(li, read(spark, sf_dir, "part"), seq.alias("seq"))
+
+
+def printable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bill for queries that only print it in order: `place` in place of seq, which puts the items of an order in the same order.
+
+    Rows of one place are equal in all columns, so which comes first shows nowhere; no row is numbered, and no order is shuffled for it.
+    """
+    li = read(spark, sf_dir, "lineitem")
+    return _items(li, read(spark, sf_dir, "part"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("place"))
+
+
+def _items(li: DataFrame, p: DataFrame, place: Column) -> DataFrame:
+    p = p if p.count() <= PARTS else p.hint("merge")
     units = F.array(*map(F.lit, UNITS))
     return li.join(p, li.l_partkey == p.p_partkey).select(
-        seq.alias("seq"), (F.col("l_orderkey") % 40).cast("string").alias("deviz"), F.concat(F.lit("PK"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")).alias("cod"),
+        place, (F.col("l_orderkey") % 40).cast("string").alias("deviz"), F.concat(F.lit("PK"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")).alias("cod"),
         F.col("p_name").alias("denumire"), F.element_at(units, F.col("p_size") % 5 + 1).alias("um"), F.col("l_quantity").alias("cantitate"), F.col("p_brand").alias("deviz_denumire"),
         F.lit(False).alias("is_component"), F.col("p_retailprice").alias("pret_material"), F.col("l_extendedprice").alias("val_material"), "l_orderkey", "l_linenumber", "l_partkey", "p_size",
     )
