@@ -17,6 +17,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def item_code(part: str) -> Column:
+    return F.concat(F.lit("PK"), F.lpad(F.col(part).cast("string"), 5, "0"))
+
+
 def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item a lineitem; seq is unique and in the order of order and line, and of part, supplier and amounts where a line repeats.
 
@@ -42,7 +46,7 @@ def _items(li: DataFrame, p: DataFrame, place: Column) -> DataFrame:
     p = p if p.count() <= PARTS else p.hint("merge")
     units = F.array(*map(F.lit, UNITS))
     return li.join(p, li.l_partkey == p.p_partkey).select(
-        place, (F.col("l_orderkey") % 40).cast("string").alias("deviz"), F.concat(F.lit("PK"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")).alias("cod"),
+        place, (F.col("l_orderkey") % 40).cast("string").alias("deviz"), item_code("l_partkey").alias("cod"),
         F.col("p_name").alias("denumire"), F.element_at(units, F.col("p_size") % 5 + 1).alias("um"), F.col("l_quantity").alias("cantitate"), F.col("p_brand").alias("deviz_denumire"),
         F.lit(False).alias("is_component"), F.col("p_retailprice").alias("pret_material"), F.col("l_extendedprice").alias("val_material"), "l_orderkey", "l_linenumber", "l_partkey", "p_size",
     )
