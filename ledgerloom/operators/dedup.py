@@ -30,13 +30,41 @@ def _bare(c: str) -> Column:
     return F.regexp_replace(F.upper(F.col(c)), r"^\$", "")
 
 
+def _drop_near_suffixes(items: DataFrame, order: str, scope: tuple[str, ...]) -> DataFrame:
+    """drop_code_suffixes() over rows that lie together by `scope`, such as a document's, without joins.
+
+    Read backwards, an end is a beginning, and in order of such texts a code that begins another begins the next different
+    one: each pass is one sort, and no end is spread out.
+    """
+
+    def ends(after: str) -> Column:
+        """Whether the row's code is a proper end of the one that comes next, read backwards."""
+        return F.coalesce((F.col("__r") != "") & F.col(after).startswith(F.col("__r")) & (F.length(after) > F.length("__r")), F.lit(False))
+
+    base = items.withColumn("__r", F.reverse(_bare("cod")))
+    near = Window.partitionBy(*scope, "deviz", "cantitate", "um").orderBy("__r", order)
+    # equal codes stand side by side, those without a code as one
+    again = (F.row_number().over(near) > 1) & F.lag("__r").over(near).eqNullSafe(F.col("__r"))
+    base = base.withColumn("__again", again).filter(~F.col("__again") | (F.coalesce("__r", F.lit("-")) == ""))
+    base = base.withColumn("__after", F.lead("__r").over(near)).filter(~ends("__after"))
+    wide = Window.partitionBy(*scope, "deviz").orderBy("__r")
+    after = F.lead("__r").over(wide)
+    base = base.withColumn("__after", F.when(after != F.col("__r"), after))
+    base = base.withColumn("__after", F.max("__after").over(Window.partitionBy(*scope, "deviz", "__r")))
+    numeric = F.coalesce(F.col("__r").rlike(r"^\d{4,9}$"), F.lit(False))
+    return base.filter(~(numeric & ends("__after"))).select(*items.columns)
+
+
 def drop_code_suffixes(items: DataFrame, order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
     """Drops codes that are the end of another's, within `scope`.
 
     First among rows of one section, quantity and unit (of equal codes the later row goes); then, over what is left,
     numeric ends of 4 to 9 digits among all rows of a section. Only the proper ends of distinct codes are spread out,
-    those of 4 to 9 digits in the second pass, so each is an equi-join and no comparison of all pairs.
+    those of 4 to 9 digits in the second pass, so each is an equi-join and no comparison of all pairs. With a scope its rows
+    are sorted where they lie instead.
     """
+    if scope:
+        return _drop_near_suffixes(items, order, scope)
 
     def without_ends(rows: DataFrame, keys: list[str], numeric: bool) -> DataFrame:
         base = rows.withColumn("__c", _bare("cod"))
@@ -54,7 +82,7 @@ def drop_code_suffixes(items: DataFrame, order: str = "seq", scope: tuple[str, .
             on = on & F.col(k).eqNullSafe(F.col("__" + k))
         return base.join(ends, on, "left_anti").drop("__c")
 
-    return without_ends(without_ends(items, [*scope, "deviz", "cantitate", "um"], False), [*scope, "deviz"], True)
+    return without_ends(without_ends(items, ["deviz", "cantitate", "um"], False), ["deviz"], True)
 
 
 def drop_code_fragments(items: DataFrame) -> DataFrame:
