@@ -151,7 +151,7 @@ def section_length(items: DataFrame, least: int = 2, most: int = 20) -> DataFram
 def extract(docs: DataFrame, reference: DataFrame | None = None, provider: providers.Provider | None = None, persist=staged, site: tuple[str, ...] = parser.SITE) -> DataFrame:
     """ITEM of OCR documents, from pages and tables; documents without the column `tables` have none. `site` are the names and project numbers whose lines belong to no item."""
     classes = rescued(classified(docs, reference, provider), provider)
-    if provider is not None:  # asked once: what it rescues is asked for again otherwise
+    if provider is not None or "tables" in docs.columns:  # a provider is asked once; a page's text is that of its lines, so it is not written beside them
         classes = persist(classes.drop("full"), "pages").withColumn("full", F.concat_ws(" ", "lines"))
     items = items_of(classes, persist, site)
     if "tables" in docs.columns:
